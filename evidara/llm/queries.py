@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import mixing, simhash, token_files
+from . import decontaminate, mixing, simhash, token_files, warc
 from .common import table
 
 
@@ -18,6 +18,14 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.token_output(table(spark, sf_dir, "documents"), word_tokenizer())
 
@@ -26,5 +34,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op8_tokens": op8_tokens, "op9_mixing": op9_mixing, "op10_simhash": op10_simhash}
-ORACLE_SQL: dict[str, str] = {"op9_mixing": mixing.ORACLE}
+QUERIES = {
+    "op2_winnowing": op2_winnowing,
+    "op5_warc": op5_warc,
+    "op8_tokens": op8_tokens,
+    "op9_mixing": op9_mixing,
+    "op10_simhash": op10_simhash,
+}
+ORACLE_SQL: dict[str, str] = {"op2_winnowing": decontaminate.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
