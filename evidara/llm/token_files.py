@@ -16,10 +16,12 @@ A null doc_id sorts first and is written as the smallest long.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -28,10 +30,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KERNEL_BYTES, checkpointed, pieces, shared_dir
+from .common import KERNEL_BYTES, checkpointed, pieces, shared_dir, worker_cache
 
 MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES = b"EVIDTOK1", 4096, 4 << 20, 16 << 20
-END_ID, CACHE_WORDS, NO_ID = 1, 400_000, -(1 << 63)
+MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
+END_ID, CACHE_WORDS, ENCODE_BYTES, NO_ID = 1, 300_000, 1 << 20, -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -87,6 +90,18 @@ class TokenFile:
         return np.concatenate(out)[a - first * self.block : b - first * self.block]
 
 
+class WordIndex(dict):
+    """Numbers words as they are first looked up; fresh lists those that came since it was last emptied."""
+
+    def __init__(self):
+        self.fresh: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> int:
+        self.fresh.append(word)
+        self[word] = n = len(self)
+        return n
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins across ASCII white space: each different word is encoded once.
 
@@ -102,39 +117,44 @@ class WordEncoder:
         self.forget()
 
     def forget(self) -> None:
-        self.at: dict[bytes, int] = {}
-        self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def learn(self, words: list[bytes]) -> None:
-        if len(self.at) + len(words) > CACHE_WORDS:
-            self.forget()
-        found = [e.ids for e in self.tokenizer.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        sizes = np.fromiter(map(len, found), np.int64, len(found))
-        self.at.update(zip(words, range(len(self.at), len(self.at) + len(words))))
-        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes) - sizes))
+        self.at = WordIndex()
+        self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def learn(self) -> None:
+        text = b" ".join(self.at.fresh).decode().split(" ")
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int32, len(found))
+        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes))
         self.length = np.concatenate((self.length, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter((i for f in found for i in f), np.uint32, int(sizes.sum()))))
+        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+        self.at.fresh = []
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and their number for each text."""
-        # Lower-casing A-Z beforehand changes no id unless it could spell a special token.
-        split = [(t if b"<|" in t else t.lower()).split() for t in texts]
-        words = [w for s in split for w in s]
-        new = list(dict.fromkeys(w for w in words if w not in self.at))
-        if new:
-            if len(self.at) + len(new) > CACHE_WORDS:
-                self.forget()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-        which = np.fromiter(map(self.at.__getitem__, words), np.int64, len(words))
+        if len(self.at) > CACHE_WORDS:
+            self.forget()
+        # Lower-casing A-Z beforehand changes no id, nor does a space between a letter and a mark, where the split
+        # pattern always ends a match; a text that could spell a special token is left as it is.
+        split = [(t if b"<|" in t else MARK.sub(rb"\1 ", t.lower())).split() for t in texts]
+        upto = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
+        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(upto[-1]))
+        if self.at.fresh:
+            self.learn()
         sizes = self.length[which]
-        ends = np.cumsum(sizes)
+        ends = np.cumsum(sizes, dtype=np.int64)
         ids = self.flat[np.repeat(self.begin[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        upto = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
         stop = np.concatenate(([0], ends))[upto]
         return np.insert(ids, stop, END_ID), np.diff(stop, prepend=0) + 1
 
 
+def kept_encoder(path: str) -> WordEncoder:
+    """This worker's encoder for the tokenizer file, with the words that it met in earlier tasks."""
+    kept = worker_cache()
+    if path not in kept:
+        kept[path] = WordEncoder(path)
+    return kept[path]
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Write docs (doc_id, text) to folder; a row per file: name, documents, ids. Evaluate it once."""
     from tokenizers import Tokenizer
@@ -159,12 +179,12 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"name": [name], "documents": [len(doc_ids)], "ids": [total]})
 
         for b in batches:
-            for first, texts in pieces(b.column(1)):
-                encoder = encoder or WordEncoder(tokenizer)
+            for first, texts in pieces(b.column(1), ENCODE_BYTES):
+                encoder = encoder or kept_encoder(tokenizer)
                 ids, n = encoder.encode(texts)
                 doc_ids += [NO_ID if i is None else i for i in b.column(0).slice(first, len(texts)).to_pylist()]
                 counts += n.tolist()
-                held.append(ids.astype(np.uint32))
+                held.append(ids.astype(np.uint16 if bits <= 16 else np.uint32))
                 total += len(ids)
                 if total >= FILE_IDS:
                     yield flush()
