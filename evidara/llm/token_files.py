@@ -34,7 +34,7 @@ from .common import KERNEL_BYTES, checkpointed, pieces, shared_dir, worker_cache
 
 MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES = b"EVIDTOK1", 4096, 4 << 20, 16 << 20
 MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
-END_ID, CACHE_WORDS, ENCODE_BYTES, NO_ID = 1, 300_000, 1 << 20, -(1 << 63)
+END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP, NO_ID = 1, 500_000, 1 << 20, 500, -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -114,6 +114,9 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.ends = [False] * self.tokenizer.get_vocab_size(with_added_tokens=True)
+        for piece, i in self.tokenizer.get_vocab().items():
+            self.ends[i] = piece.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
@@ -122,7 +125,19 @@ class WordEncoder:
 
     def learn(self) -> None:
         text = b" ".join(self.at.fresh).decode().split(" ")
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(text, add_special_tokens=False)]
+        found: list = [None] * len(text)
+        plain = [i for i, w in enumerate(text) if w.isalpha()]
+        groups = [plain[a : a + GROUP] for a in range(0, len(plain), GROUP)]
+        joined = self.tokenizer.encode_batch_fast([" ".join([text[i] for i in g]) for g in groups], add_special_tokens=False)
+        for g, e in zip(groups, joined):
+            ids = e.ids
+            stops = [k for k, i in enumerate(ids, 1) if self.ends[i]]
+            if len(stops) == len(g):  # each word is one match and ends once
+                for i, k, stop in zip(g, [0, *stops], stops):
+                    found[i] = ids[k:stop]
+        rest = [i for i, f in enumerate(found) if f is None]
+        for i, e in zip(rest, self.tokenizer.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)):
+            found[i] = e.ids
         sizes = np.fromiter(map(len, found), np.int32, len(found))
         self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes))
         self.length = np.concatenate((self.length, sizes))
