@@ -8,8 +8,8 @@ word and prefix, a bias and transition weights, and is fitted by Adagrad on the
 Forward and backward messages of a chain of two labels are ratios, and each step maps a ratio x to (a + b x) / (c + d x).
 Such maps compose like 2 x 2 matrices, so all documents of a batch are cut into rows of COLUMNS tokens, all rows advance
 together, and a scan over the rows' composed maps links them: exact, whatever the lengths. Marginals over SPAN are
-merged into spans (code point offsets), and a logistic regression on the log of the expected number of toxic tokens and
-on the largest marginal's log-odds gives the document's score.
+merged into spans (code point offsets), and a logistic regression on the expected number of toxic tokens and on their summed
+log-odds gives the document's score.
 
 It is fitted on the driver on at most FIT_TOXIC toxic and FIT_CLEAN other documents. Without labels of both classes the
 score is the share of label 1, or 0.5, and there are no spans. Null texts are empty; texts without words have no spans
@@ -29,8 +29,9 @@ from .common import ALNUM, BYTE_BASE, Words, mix64, pieces, polynomial
 from .fitting import base_rate, fold, labelled_sample, logistic, sigmoid
 
 FIT_TOXIC, FIT_CLEAN, PREFIX, BUCKETS = 1200, 3600, 6, 1 << 18
-LEAST_G2, LEAST_LIFT, STEPS, RATE, RIDGE, COLUMNS, SPAN = 18.0, 5.0, 40, 0.7, 0.005, 64, 0.5
-PIECE_BYTES = 1 << 20
+LEAST_G2, LEAST_LIFT, STEPS, RATE, RIDGE, COLUMNS, SPAN = 18.0, 5.0, 40, 1.0, 0.001, 64, 0.5
+#: Marginals that words without evidence may have; a long text must not gather them into a score.
+PIECE_BYTES, NOISE = 1 << 20, 0.1
 
 
 class Tokens:
@@ -131,11 +132,10 @@ def token_labels(t: Tokens, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
 
 
 def evidence(t: Tokens, p: np.ndarray) -> np.ndarray:
-    """Per text: log of 1 + the expected number of toxic tokens, and the largest marginal's log-odds."""
-    total = np.bincount(t.doc, p, t.texts)
-    top = np.full(t.texts, 1e-6)
-    np.maximum.at(top, t.doc, np.clip(p, 1e-6, 1 - 1e-6))
-    return np.column_stack([np.log1p(total), np.log(top / (1 - top)) / 4])
+    """Per text: log of 1 + the expected number of toxic tokens above NOISE, and of 1 + their summed log-odds above even."""
+    total = np.bincount(t.doc, np.maximum(p - NOISE, 0) / (1 - NOISE), t.texts)
+    sure = np.clip(p, 0.5, 1 - 1e-6)
+    return np.log1p(np.column_stack([total, np.bincount(t.doc, np.log(sure / (1 - sure)), t.texts)]))
 
 
 class Model:
