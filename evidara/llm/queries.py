@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, token_files, toxicity, warc
+from . import decontaminate, mixing, quality, simhash, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -18,6 +18,10 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
@@ -43,6 +47,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_topk": op1_topk,
     "op2_winnowing": op2_winnowing,
     "op4_crf": op4_crf,
     "op5_warc": op5_warc,
@@ -51,4 +56,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op2_winnowing": decontaminate.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_winnowing": decontaminate.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
