@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, quality, simhash, token_files, topk, toxicity, warc
+from . import decontaminate, mixing, pii, quality, simhash, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -34,6 +34,10 @@ def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
+def op6_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.personal_data(table(spark, sf_dir, "documents"))
+
+
 def op7_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -51,6 +55,7 @@ QUERIES = {
     "op2_winnowing": op2_winnowing,
     "op4_crf": op4_crf,
     "op5_warc": op5_warc,
+    "op6_bootstrap": op6_bootstrap,
     "op7_cnn": op7_cnn,
     "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, LEVELS, QUERY_BYTES, ROWS = 1024, (4, 16), 8 << 20, 2048
+SCALE, LEVELS, QUERY_BYTES, PAIRS, STRIP = 1024, (4, 16), 4 << 20, 1 << 19, 65536
 
 
 def statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -39,11 +39,19 @@ def statistics(v: np.ndarray, segments: int) -> np.ndarray:
     return np.column_stack(out)
 
 
+def products(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """Inner products of rows of a and of b, pair by pair; of all pairs at once where an eighth of them is asked for."""
+    if len(rows) * 8 > len(a) * len(b):
+        return (a @ b.T)[rows, columns]
+    strips = [np.einsum("ij,ij->i", a[rows[x : x + STRIP]], b[columns[x : x + STRIP]]) for x in range(0, len(rows), STRIP)]
+    return np.concatenate(strips) if strips else np.zeros(0)
+
+
 def exact(a: np.ndarray, b: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """Inner products of rows of a and of b, pair by pair, as longs."""
+    """products as longs, without rounding."""
     reach = (np.abs(a).max(initial=0) * np.abs(b).max(initial=0)) * max(1, a.shape[1])
     if reach < 1 << 53:
-        return np.einsum("ij,ij->i", a[rows], b[columns]).astype(np.int64)
+        return products(a, b, rows, columns).astype(np.int64)
     whole = [sum(int(x) * int(y) for x, y in zip(a[i], b[j])) for i, j in zip(rows, columns)]
     return np.array([max(-(1 << 63), min((1 << 63) - 1, s)) for s in whole], np.int64)
 
@@ -58,8 +66,9 @@ class Search:
         self.q, self.c, self.s = (np.zeros(0, np.int64) for _ in range(3))
 
     def add(self, ids: np.ndarray, v: np.ndarray) -> None:
-        for a in range(0, len(ids), ROWS):
-            self._add(ids[a : a + ROWS], v[a : a + ROWS])
+        step = max(16, PAIRS // max(1, len(self.ids)))
+        for a in range(0, len(ids), step):
+            self._add(ids[a : a + step], v[a : a + step])
 
     def _add(self, ids: np.ndarray, v: np.ndarray) -> None:
         if self.stats:
@@ -67,14 +76,13 @@ class Search:
             floor = self.least - 1e-9 * size - 1e-6  # rounding never drops a pair
             q, c = np.nonzero(self.stats[0] @ statistics(v, LEVELS[0]).T >= floor[:, None])
             for own, n in zip(self.stats[1:], LEVELS[1:]):
-                keep = [np.einsum("ij,ij->i", own[q[x : x + 65536]], s[c[x : x + 65536]]) >= floor[q[x : x + 65536]] for s in [statistics(v, n)] for x in range(0, len(q), 65536)]
-                keep = np.concatenate(keep) if keep else np.zeros(0, bool)
+                keep = products(own, statistics(v, n), q, c) >= floor[q]
                 q, c = q[keep], c[keep]
         else:
             q, c = (x.ravel() for x in np.indices((len(self.ids), len(ids))))
         other = self.ids[q] != ids[c]
         q, c = q[other], c[other]
-        score = np.concatenate([exact(self.v, v, q[x : x + 65536], c[x : x + 65536]) for x in range(0, len(q), 65536)] or [np.zeros(0, np.int64)])
+        score = exact(self.v, v, q, c)
         good = score >= self.least[q]
         q, c, score = np.concatenate((self.q, q[good])), np.concatenate((self.c, ids[c[good]])), np.concatenate((self.s, score[good]))
         order = np.lexsort((c, np.invert(score), q))

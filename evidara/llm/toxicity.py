@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import ALNUM, BYTE_BASE, Words, mix64, pieces, polynomial
 from .fitting import base_rate, fold, labelled_sample, logistic, sigmoid
 
-FIT_TOXIC, FIT_CLEAN, PREFIX, BUCKETS = 1200, 3600, 6, 1 << 18
+FIT_TOXIC, FIT_CLEAN, PREFIX, BUCKETS = 1200, 3000, 6, 1 << 18
 LEAST_G2, LEAST_LIFT, STEPS, RATE, RIDGE, COLUMNS, SPAN = 18.0, 5.0, 40, 1.0, 0.001, 64, 0.5
 #: Marginals that words without evidence may have; a long text must not gather them into a score.
 PIECE_BYTES, NOISE = 1 << 20, 0.1
@@ -50,6 +50,21 @@ class Tokens:
         self.starts[w.first[w.count > 0]] = True
 
 
+def gathered(texts: list[bytes]) -> Tokens:
+    """Tokens of many texts, hashed a piece at a time; without their words."""
+    parts, first, size = [], 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= PIECE_BYTES or i == len(texts) - 1:
+            parts.append((first, Tokens(texts[first : i + 1])))
+            parts[-1][1].words, first, size = None, i + 1, 0
+    out = parts[0][1]
+    for name in ("word", "prefix", "starts"):
+        setattr(out, name, np.concatenate([getattr(t, name) for _, t in parts]))
+    out.doc, out.n, out.texts = np.concatenate([t.doc + a for a, t in parts]), len(out.word), len(texts)
+    return out
+
+
 def chain(a: np.ndarray, b: np.ndarray, c: np.ndarray, d: np.ndarray) -> np.ndarray:
     """x[t] = (a + b x[t-1]) / (c + d x[t-1]) for all t; the first map must not depend on x."""
     n = len(a)
@@ -140,7 +155,7 @@ def evidence(t: Tokens, p: np.ndarray) -> np.ndarray:
 
 class Model:
     def __init__(self, texts: list[bytes], y: np.ndarray, weight: np.ndarray):
-        t = Tokens(texts)
+        t = gathered(texts)
         labels = token_labels(t, y, weight)
         self.field, memory = Field(float(np.log((labels.sum() + 1) / (t.n + 2)))), {}
         for _ in range(STEPS):
