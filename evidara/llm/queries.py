@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, simhash, token_files, topk, toxicity, warc
+from . import decontaminate, mixing, pii, quality, simhash, substrings, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -26,6 +26,10 @@ def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
+def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op4_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
 
@@ -53,6 +57,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_winnowing": op2_winnowing,
+    "op3_substrings": op3_substrings,
     "op4_crf": op4_crf,
     "op5_warc": op5_warc,
     "op6_bootstrap": op6_bootstrap,
@@ -61,4 +66,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_winnowing": decontaminate.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_winnowing": decontaminate.ORACLE, "op3_substrings": substrings.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}

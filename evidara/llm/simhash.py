@@ -149,6 +149,11 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """docs without the documents that a component's first one stands for; of repeated doc_ids one row stays."""
-    kept = simhash_groups(docs).where("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.dropDuplicates(["doc_id"]).join(kept, docs.doc_id.eqNullSafe(kept.doc_id), "left_semi")
+    """docs without the documents that a component's first one stands for; of a repeated doc_id one row stays.
+
+    Only the ids that go are joined, so texts move only where that list outgrows a broadcast.
+    """
+    gone = checkpointed(simhash_groups(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
+        docs = docs.dropDuplicates(["doc_id"])
+    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
