@@ -1,4 +1,7 @@
 """Registered queries of the library's own operators, by family."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict[str, str] = {}
+from . import lexicons, linkage, trajectories
+
+FAMILIES = (trajectories, lexicons, linkage)
+QUERIES = {name: q for f in FAMILIES for name, q in f.QUERIES.items()}
+ORACLE_SQL = {name: sql for f in FAMILIES for name, sql in f.ORACLE_SQL.items()}

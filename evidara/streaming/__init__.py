@@ -1,0 +1 @@
+"""Resumable ingestion: new files only, exactly once, until none is left."""
