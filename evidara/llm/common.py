@@ -17,12 +17,25 @@ from pyspark.sql import functions as F
 KERNEL_BYTES = 4 << 20
 
 
+#: Rows of an Arrow batch at most: Spark's default of 10,000 would hold tens of MB of text several times over.
+BATCH_ROWS = 1000
+
+
+def modest_batches(spark: SparkSession) -> None:
+    """Bounds the Arrow batches of this session; the operators' texts are long."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(key)) <= BATCH_ROWS:
+        spark.conf.set(key, str(BATCH_ROWS))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one, which is then set."""
+    modest_batches(spark)
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
@@ -39,6 +52,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the files of a materialized df, once what was made of it is itself written."""
+    spark = df.sparkSession
+    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
@@ -69,11 +90,6 @@ def pieces(column: pa.Array, limit: int = KERNEL_BYTES) -> Iterator[tuple[int, l
         yield start, out
 
 
-def small_partitions(spark: SparkSession, df: DataFrame, weight: int = 1) -> int:
-    """Partitions for a shuffle of df: the session's setting, never under it."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), weight)
-
-
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (src long, dst long) edges as (node, root), root the smallest node reachable.
 
@@ -148,12 +164,6 @@ class Words:
         return self.data[self.start[i] : self.end[i]]
 
 
-def spans(word_hashes: np.ndarray, first: np.ndarray, length: int) -> np.ndarray:
-    """Hash of the words first .. first + length - 1 for each of first."""
-    prefix, inverse = polynomial(word_hashes, WORD_BASE)
-    return mix64((prefix[first + length] - prefix[first]) * inverse[first])
-
-
 def byte_class(*ranges: tuple[int, int]) -> np.ndarray:
     out = np.zeros(256, bool)
     for a, b in ranges:

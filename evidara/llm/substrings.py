@@ -32,10 +32,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, checkpointed, materialize, pieces
+from .common import NOT_SPACE, Words, as_bytes, checkpointed, discard, materialize, pieces
 from .decontaminate import Grams, least
 
-WINDOW, GRAM, SHARD, LAST_ID = 20, 6, 2000, (1 << 63) - 1
+WINDOW, GRAM, SHARD, MOST_BITS, LAST_ID = 20, 10, 2000, 1 << 26, (1 << 63) - 1
 
 
 class SuffixAutomaton:
@@ -203,50 +203,112 @@ def window_repeats(runs: DataFrame) -> DataFrame:
     return later.select("doc_id", "h", "first", (F.col("first") + WINDOW).alias("stop"))
 
 
-def repeated_ranges(rows: DataFrame, copies: DataFrame) -> DataFrame:
-    """(doc_id, h, first, stop): words of rows (doc_id, h, text) that repeated windows cover; copies (doc_id, copies)."""
+def bitmap(ids: DataFrame, count: int) -> np.ndarray:
+    """Bits set at the hashes of ids (id long); of a size that follows their count up to MOST_BITS, a proven bound."""
+    bits = min(MOST_BITS, 1 << max(16, (32 * count).bit_length()))
+    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
+    words = ids.select((slot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))").alias("bit"))
+    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def possibly_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
+    """rows (doc_id, ...) without most of those whose doc_id is not in ids (id): spares a join the texts it would drop.
+
+    Rows pass a fixed-size bitmap where they are read. It never drops a row that the join needs, whatever its load.
+    """
+    ids = checkpointed(ids)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids, ids.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = shared.value
+        for b in batches:
+            slot = b.column(b.num_columns - 1).to_numpy() % (64 * len(table))
+            yield b.filter(pa.array((table[slot >> 6] >> (slot & 63)) & 1 == 1))
+
+    schema = rows.withColumn("slot", F.lit(0).cast("bigint")).schema
+    return rows.withColumn("slot", F.xxhash64("doc_id")).mapInArrow(run, schema).drop("slot")
+
+
+def repeated_ranges(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h, gone: array of first and stop) for rows (doc_id, h, text), the rows that may have such, and their runs; copies (doc_id, copies)."""
     found = materialize(anchors(rows.select("doc_id", "text")), "anchors")
     counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
     known = found.join(counts, "anchor").groupBy("doc_id")
     known = known.agg(*(F.collect_set(F.when((F.col("n") > SHARD) == hot, F.col("anchor"))).alias(name) for name, hot in (("cold", False), ("hot", True))))
-    joined = rows.join(known, "doc_id").join(copies, "doc_id", "left").select("doc_id", "h", "text", "cold", "hot", "copies")
+    known = materialize(known, "known")
+    discard(found)
+    some = possibly_in(rows, known.select(F.col("doc_id").alias("id")))
+    joined = some.join(known, "doc_id").join(copies, "doc_id", "left").select("doc_id", "h", "text", "cold", "hot", "copies")
+    joined = materialize(joined, "referenced")
     runs = materialize(reference(joined), "runs")
-    return shard_repeats(runs.where("NOT hot")).union(window_repeats(runs.where("hot")))
+    ranges = shard_repeats(runs.where("NOT hot")).union(window_repeats(runs.where("hot")))
+    ranges = ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "stop")).alias("gone"))
+    return materialize(ranges, "ranges"), joined, runs
+
+
+def digests(rows: DataFrame) -> DataFrame:
+    """(doc_id, h, digest of the text, n_words, kept_sha256 of all words) for rows (doc_id, h, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = [(hashlib.sha256(t).digest(), len(w := t.split()), hashlib.sha256(b" ".join(w)).hexdigest()) for t in as_bytes(b.column(2))]
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.binary(), pa.int64(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "h", "digest", "n_words", "kept_sha256"])
+
+    return rows.mapInArrow(run, "doc_id long, h long, digest binary, n_words long, kept_sha256 string")
+
+
+def shortened(rows: DataFrame) -> DataFrame:
+    """(doc_id, h, n_kept, kept_sha256, kept) of rows (doc_id, h, text, gone)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for text, gone in zip(as_bytes(b.column(2)), b.column(3)):
+                words = text.split()
+                keep = np.ones(len(words), bool)
+                for r in gone.as_py():
+                    keep[r["first"] : r["stop"]] = False
+                left = [words[k] for k in np.flatnonzero(keep).tolist()]
+                joined = b" ".join(left)
+                out.append((len(left), hashlib.sha256(joined).hexdigest(), joined.decode()))
+            columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.string(), pa.string()))]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "h", "n_kept", "kept_sha256", "kept"])
+
+    return rows.mapInArrow(run, "doc_id long, h long, n_kept long, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept_sha256, and kept (the text that is left) if asked for."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
-    whole = checkpointed(rows.select("doc_id", "h", F.sha2("text", 256).alias("digest")))
-    first = whole.groupBy("digest").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("latest")).where("original <> latest")
-    copies = whole.join(first, "digest").where("doc_id > original").groupBy("doc_id").agg(F.collect_set("h").alias("copies"))
-    copies = checkpointed(copies)
-    gone = repeated_ranges(rows, copies).groupBy("doc_id").agg(F.collect_list(F.struct("h", "first", "stop")).alias("gone"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, h = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for begin, part in pieces(b.column(2)):
-                out = []
-                for i, data in enumerate(part, begin):
-                    words = data.split()
-                    n, kept = len(words), words
-                    if h[i] in (b.column(4)[i].as_py() or ()):
-                        kept = words if n < WINDOW else []
-                    elif spans := [(r["first"], r["stop"]) for r in b.column(3)[i].as_py() or () if r["h"] == h[i]]:
-                        keep = np.ones(n, bool)
-                        for x, y in spans:
-                            keep[x:y] = False
-                        kept = [words[k] for k in np.flatnonzero(keep).tolist()]
-                    left = b" ".join(kept)
-                    out.append((None if ids[i] == LAST_ID else int(ids[i]), n, n - len(kept), hashlib.sha256(left).hexdigest(), left.decode() if texts else None))
-                kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["doc_id", "n_words", "n_removed", "kept_sha256", "kept"])
-
-    both = rows.join(gone, "doc_id", "left").join(copies, "doc_id", "left").select("doc_id", "h", "text", "gone", "copies")
-    out = both.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string")
-    return out if texts else out.drop("kept")
+    whole = materialize(digests(rows), "digests")
+    first = whole.groupBy("digest").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("latest")).where("original <> latest").drop("latest")
+    copied = checkpointed(whole.join(first, "digest").where("doc_id > original").select("doc_id", "h").distinct())
+    copies = checkpointed(copied.groupBy("doc_id").agg(F.collect_set("h").alias("copies")))
+    gone, referenced, runs = repeated_ranges(rows, copies)
+    discard(runs)
+    some = possibly_in(referenced.select("doc_id", "h", "text"), gone.select(F.col("doc_id").alias("id")).distinct())
+    short = shortened(some.join(gone, ["doc_id", "h"]).select("doc_id", "h", "text", "gone"))
+    short = materialize(short if texts else short.drop("kept").dropDuplicates(["doc_id", "h"]), "shortened")
+    discard(referenced)
+    short = short.dropDuplicates(["doc_id", "h"]) if texts else short
+    own = short.select("doc_id", "h", "n_kept", F.col("kept_sha256").alias("short_sha256"), *(["kept"] if texts else []))
+    both = whole.join(copied.withColumn("copy", F.lit(True)), ["doc_id", "h"], "left").join(own, ["doc_id", "h"], "left")
+    empty = F.col("copy").isNotNull() & (F.col("n_words") >= WINDOW)
+    left = F.when(empty, 0).otherwise(F.coalesce("n_kept", "n_words"))
+    columns = [
+        F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), "n_words", (F.col("n_words") - left).alias("n_removed"),
+        F.when(empty, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("short_sha256", "kept_sha256")).alias("kept_sha256"),
+    ]
+    if not texts:
+        return both.select(*columns)
+    once = rows.dropDuplicates(["doc_id", "h"]).withColumnRenamed("text", "whole")
+    words = F.array_join(F.regexp_extract_all("whole", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ")
+    return both.join(once, ["doc_id", "h"]).select(*columns, F.when(empty, "").otherwise(F.coalesce("kept", words)).alias("kept"))
 
 
 ORACLE = r"""

@@ -34,7 +34,7 @@ from .common import KERNEL_BYTES, checkpointed, pieces, shared_dir, worker_cache
 
 MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES = b"EVIDTOK1", 4096, 4 << 20, 16 << 20
 MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
-END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP, NO_ID = 1, 500_000, 1 << 20, 500, -(1 << 63)
+END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP, NO_ID = 1, 300_000, 1 << 20, 500, -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
