@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import KERNEL_BYTES, checkpointed, pieces, shared_dir, worker_cache
 
-MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES = b"EVIDTOK1", 4096, 4 << 20, 16 << 20
+MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES = b"EVIDTOK1", 4096, 2 << 20, 8 << 20
 MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
 END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP, NO_ID = 1, 300_000, 1 << 20, 500, -(1 << 63)
 
