@@ -75,9 +75,9 @@ def document_parts(doc_id: Column) -> Column:
 
 
 def title_matches(a: Column, b: Column) -> Column:
-    """Whether one title holds the other, or they share 60 % of the words of the longer one."""
+    """Whether one title holds the other, or they share 60 % of the words of the shorter one; null without a first title."""
     plain = lambda c: F.trim(F.regexp_replace(F.lower(fold_accents(c)), "[^a-z0-9]+", " "))
-    x, y = plain(a), plain(b)
+    x, y = plain(a), F.coalesce(plain(b), F.lit(""))
     u, v = F.array_distinct(F.split(x, " ")), F.array_distinct(F.split(y, " "))
-    share = F.size(F.array_intersect(u, v)) / F.greatest(F.size(u), F.size(v), F.lit(1))
-    return (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (share >= 0.6))
+    share = F.size(F.array_intersect(u, v)) / F.greatest(F.least(F.size(u), F.size(v)), F.lit(1))
+    return F.when(a != "", (x != "") & (y != "") & (F.contains(x, y) | F.contains(y, x) | (share >= 0.6)))

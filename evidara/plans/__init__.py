@@ -1,7 +1,7 @@
 """Registered queries of the library's own operators, by family."""
 
-from . import lexicons, linkage, trajectories
+from . import evaluation, lexicons, linkage, scalars, trajectories
 
-FAMILIES = (trajectories, lexicons, linkage)
+FAMILIES = (trajectories, lexicons, linkage, scalars, evaluation)
 QUERIES = {name: q for f in FAMILIES for name, q in f.QUERIES.items()}
 ORACLE_SQL = {name: sql for f in FAMILIES for name, sql in f.ORACLE_SQL.items()}
