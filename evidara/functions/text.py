@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -20,16 +20,27 @@ def fold_accents(value: Column) -> Column:
     return F.translate(value, "".join(_LATIN), _PLAIN)
 
 
-@F.pandas_udf("string")
-def strip_marks(value: pd.Series) -> pd.Series:
+def each(make: Callable, returns: str) -> Callable[[Column], Column]:
+    """A Column function that applies make to each value, an Arrow batch at a time; made when called, as it needs a session."""
+
+    def column(value: Column) -> Column:
+        return F.pandas_udf(lambda batch: batch.map(make), returns, F.PandasUDFType.SCALAR)(value)
+
+    column.__doc__ = make.__doc__
+    return column
+
+
+def _marks(s: str | None) -> str | None:
     """NFD without combining marks, for text of any script."""
-    return value.map(lambda s: None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn"))
+    return None if s is None else "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c) != "Mn")
 
 
-@F.pandas_udf("string")
-def to_ascii(value: pd.Series) -> pd.Series:
+def _ascii(s: str | None) -> str | None:
     """NFKD without anything beyond ASCII."""
-    return value.map(lambda s: None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode())
+    return None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
+
+
+strip_marks, to_ascii = each(_marks, "string"), each(_ascii, "string")
 
 
 def clean(value: Column) -> Column:
