@@ -11,8 +11,8 @@ starts earlier: in a document of smaller doc_id, or in the same one before. Wind
    a window at all. A suffix automaton of the shard's distinct runs is built in document order; the length of the suffix
    link of its newest state is the matching statistic of the stream at that word: the longest suffix seen before. Where
    it reaches WINDOW, the window that ends there is a repeat.
-4. Anchors of more than SHARD runs go another exact way: their windows are dealt by a 128-bit digest, combined to the
-   first position before the shuffle, and compared to it.
+4. Anchors of more than SHARD runs go another exact way: equal runs collapse to the earliest, and the different windows
+   of what is left are dealt by a 128-bit digest, combined to the first position before the shuffle, and compared to it.
 
 The method's automata would be broadcast; a reference as large as the corpus has no size bound, and every document would
 stream through every shard. Dealing both by anchor gives each document exactly the shards that it can match, once.
@@ -180,27 +180,45 @@ def shard_repeats(runs: DataFrame) -> DataFrame:
     return ordered.mapInArrow(run, RANGE)
 
 
+def windows_once(words: bytes) -> tuple[list[tuple[int, bytes]], list[tuple[int, int]]]:
+    """First place and digest of each different window of a run, and the word ranges that its repeats inside it cover."""
+    tokens, seen, again = words.split(b" "), {}, []
+    for i in range(len(tokens) - WINDOW + 1):
+        digest = hashlib.blake2b(b" ".join(tokens[i : i + WINDOW]), digest_size=16).digest()
+        if seen.setdefault(digest, i) != i:
+            if again and again[-1][1] >= i:
+                again[-1] = (again[-1][0], i + WINDOW)
+            else:
+                again.append((i, i + WINDOW))
+    return [(i, d) for d, i in seen.items()], again
+
+
 def window_repeats(runs: DataFrame) -> DataFrame:
+    """Ranges of runs whose anchor is too common for a shard.
+
+    Equal runs first: all but the earliest are repeats from end to end. Of the others each different window is dealt by
+    its digest once, however often the run holds it.
+    """
+    place = F.struct("doc_id", "start", "h")
+    keyed = checkpointed(runs.select(F.unhex(F.sha2("words", 256)).alias("run"), "doc_id", "start", "h", (F.size(F.split(F.col("words").cast("string"), " ")) + F.col("start")).alias("stop")))
+    earliest = keyed.groupBy("run").agg(F.min(place).alias("p"))
+    equal = keyed.join(earliest, "run").where(place > F.col("p")).select("doc_id", "h", F.col("start").alias("first"), "stop")
+    firsts = runs.join(earliest.select("p.*"), ["doc_id", "start", "h"], "left_semi").select("doc_id", "start", "h", "words")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
             out = []
             for doc_id, start, h, words in zip(*(b.column(i).to_pylist() for i in range(4))):
-                tokens = words.split(b" ")
-                out += [(doc_id, h, start + i, hashlib.blake2b(b" ".join(tokens[i : i + WINDOW]), digest_size=16).digest()) for i in range(len(tokens) - WINDOW + 1)]
-                if len(out) > 50_000:
-                    yield windows(out)
-                    out = []
-            yield windows(out)
-
-    def windows(out: list) -> pa.RecordBatch:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 4, kinds)], ["doc_id", "h", "first", "digest"])
-
-    every = materialize(runs.select("doc_id", "start", "h", "words").mapInArrow(run, "doc_id long, h long, first long, digest binary"), "windows")
-    place = F.struct("doc_id", "first", "h")
-    earliest = every.groupBy("digest").agg(F.min(place).alias("earliest"), F.max(place).alias("latest")).where("earliest <> latest").drop("latest")
-    later = every.join(earliest, "digest").where(place > F.col("earliest"))
-    return later.select("doc_id", "h", "first", (F.col("first") + WINDOW).alias("stop"))
+                once, again = windows_once(words)
+                out += [(doc_id, h, start + i, start + i + WINDOW, d) for i, d in once] + [(doc_id, h, start + x, start + y, None) for x, y in again]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], ["doc_id", "h", "first", "stop", "digest"])
+
+    every = materialize(firsts.mapInArrow(run, f"{RANGE}, digest binary"), "windows")
+    at = F.struct("doc_id", "first", "h")
+    shared = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min(at).alias("p"), F.max(at).alias("q")).where("p <> q").drop("q")
+    later = every.join(shared, "digest").where(at > F.col("p")).select("doc_id", "h", "first", "stop")
+    return equal.union(every.where("digest IS NULL").select("doc_id", "h", "first", "stop")).union(later)
 
 
 def bitmap(ids: DataFrame, count: int) -> np.ndarray:
