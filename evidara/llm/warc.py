@@ -47,7 +47,7 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
     revisit = refers_to is not None
     body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body += b"" if revisit else payload
-    safe = lambda u: "".join(c if c > " " else f"%{ord(c):02X}" for c in u)
+    safe = lambda u: "".join(c if c > " " else f"%{ord(c):02X}" for c in u or "")
     fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE)]
     fields += [("WARC-Target-URI", safe(url))] * (url is not None) + [("WARC-Page-ID", page_id)] * (page_id is not None)
     fields += [("WARC-Payload-Digest", base32(digest)), ("WARC-Payload-Length", len(payload)), ("WARC-Block-Digest", base32(hashlib.sha1(body).hexdigest()))]
