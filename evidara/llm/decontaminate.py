@@ -123,7 +123,7 @@ def scan(texts: list[bytes], blocks: list[Callable[[], dict]]) -> tuple[np.ndarr
 def index_blocks(benchmark: DataFrame) -> list[Callable[[], dict]]:
     """A loader for each block of the index: of a broadcast for one block, of files in the shared folder for more."""
     spark = benchmark.sparkSession
-    chosen = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna()
+    chosen = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).dropna().distinct()
     n = max(1, -(-(chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // BLOCK_BYTES))
     folder, loaders = f"{shared_dir(spark)}/benchmark-{uuid.uuid4().hex}", []
     for k in range(n):

@@ -19,7 +19,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     """Texts, labels and weights of up to most[y] labelled documents of each class y, outside the held-out fold.
 
     The sample is in seeded hash order, so reruns agree. Weights restore the share that each class has among all labelled
-    rows. A doc_id labelled twice takes the smaller label; null labels and null or overlong texts are left out.
+    rows. A doc_id labelled twice takes the smaller label, one of several texts the least; null labels and null or overlong texts are left out.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held))
     known = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y")).where(F.col("y").isin(*most))
@@ -32,7 +32,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
         return [], np.zeros(0), np.zeros(0)
     picked = docs.sparkSession.createDataFrame(chosen, known.schema)  # at most the sum of most
     texts = docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_TEXT_BYTES)
-    rows = texts.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id", "text").toLocalIterator()
+    once = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    rows = once.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").toLocalIterator()
     found = [(r.text.encode(), r.y) for r in rows]
     y = np.array([k for _, k in found], float)
     weight = np.ones(len(y))

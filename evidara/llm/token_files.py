@@ -6,8 +6,9 @@ id and of the end; the blocks. A block packs its ids with the lowest bit first a
 ids is unpacked from its own blocks alone.
 
 Documents are dealt by ranges of (doc_id, hash of text) and each task writes its range in order, as one or more files of
-about FILE_IDS ids named by partition and number; a file is written under another name and then moved, so a task that
-runs again replaces it by the same bytes. The files are in the shared folder, reached through pyarrow's filesystems.
+about FILE_IDS ids named by partition, number and attempt. A file is moved to its name when it is whole, and only files
+that a finished task has listed count, so tasks may fail, run again or run twice. The files are in the shared folder,
+reached through pyarrow's filesystems.
 
 Null texts are empty and give the end id alone. Repeated doc_ids are neighbours, ordered by hash and then by text.
 A null doc_id sorts first and is written as the smallest long.
@@ -186,8 +187,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
         store, path = fs.FileSystem.from_uri(folder)
 
         def flush() -> pa.RecordBatch:
-            name = f"{part:06d}-{number:04d}.ids"
-            draft = f"{path}/.{name}.{attempt}"
+            name = f"{part:06d}-{number:04d}-{attempt}.ids"
+            draft = f"{path}/.{name}"
             with store.open_output_stream(draft) as out:
                 out.write(to_file(doc_ids, counts, np.concatenate(held), bits))
             store.move(draft, f"{path}/{name}")

@@ -108,16 +108,14 @@ def top_k(rows: DataFrame, k: int = 10, step: int = 100) -> DataFrame:
     doubles = F.col("embedding").cast("array<double>")
     v = rows.select(F.col("vec_id").cast("long").alias("vec_id"), doubles.alias("v")).where(F.col("vec_id").isNotNull() & F.col("v").isNotNull())
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
-    queries = v.where(F.col("vec_id") % step == 0)
+    queries = v.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     total = queries.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
     blocks = max(1, -(-total * 5 // (QUERY_BYTES * 4)))  # by hash, so some room
     parts = []
     for block in range(blocks):
-        chosen: dict[int, list[float]] = {}
-        for r in queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect():
-            chosen[r.vec_id] = min(chosen.get(r.vec_id, list(r.v)), list(r.v))
+        chosen = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
         start = {}
-        for n, (ids, x) in by_length(list(chosen), list(chosen.values())).items():
+        for n, (ids, x) in by_length([r.vec_id for r in chosen], [r.v for r in chosen]).items():
             s = Search(ids, np.floor(SCALE * x), k)
             s.add(ids, s.v)
             start[n] = (s.ids, s.v, s.least)  # not the rows themselves, which come again as candidates

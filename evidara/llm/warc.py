@@ -4,8 +4,8 @@ Headers (page_id, payload digest, payload length) are shuffled by digest, withou
 LEAST_BYTES the record with the largest page_id is the original, the others become revisit records that name it. Only
 digests that repeat are joined back to the pages, so the payloads stay where they were read unless that table outgrows
 a broadcast, and then a hot digest is split by adaptive execution. Archives are written with fresh headers, a gzip member
-for each record, into the shared folder under a draft name and then moved, so a task that runs again writes the same
-file. Reading checks every payload against its digest.
+for each record, into the shared folder: a file is moved to its name, which holds the task's attempt, when it is whole,
+and only files that a finished task has listed count. Reading checks every payload against its digest.
 
 Null html is an empty payload, a null url writes no target, line breaks in a url are percent-encoded. Rows that carry the
 largest page_id of their payload are all originals, were that page_id repeated. A null page_id is written without one,
@@ -31,7 +31,7 @@ from .common import checkpointed, shared_dir
 
 LEAST_BYTES, FILE_BYTES, LEVEL = 1000, 16 << 20, 3
 DATE, PROFILE = "2026-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-ROWS = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
+ROWS = "name string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
 def record_id(page_id: int | None) -> str:
@@ -107,8 +107,8 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
         store, path = fs.FileSystem.from_uri(folder)
 
         def flush() -> pa.RecordBatch:
-            name = f"{task.partitionId():06d}-{number:04d}.warc.gz"
-            draft = f"{path}/.{name}.{task.taskAttemptId()}"
+            name = f"{task.partitionId():06d}-{number:04d}-{task.taskAttemptId()}.warc.gz"
+            draft = f"{path}/.{name}"
             with store.open_output_stream(draft, compression=None) as out:
                 for x in held:
                     out.write(x)
@@ -130,23 +130,27 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
 def read_archives(spark: SparkSession, folder: str, payloads: bool = True) -> DataFrame:
     """A row per record in the archives of folder; payload is null for revisits and where payloads are not asked for."""
+    names = [x.split()[0] for x in ROWS.split(", ")]
+    types = [pa.string(), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = [x.split()[0] for x in ROWS.split(", ")]
-        types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
+        def batch(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
+
         for b in batches:
-            for data in b.column(0):
+            for name, data in zip(b.column(0).to_pylist(), b.column(1)):
                 rows, size = [], 0
                 for raw in members(data.as_buffer()):
-                    rows.append(parse(raw) if payloads else parse(raw) | {"payload": None})
+                    rows.append(parse(raw) | {"name": name} | ({} if payloads else {"payload": None}))
                     size += len(raw) if payloads else 200
                     if size > FILE_BYTES:
-                        yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
+                        yield batch(rows)
                         rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names)
+                    yield batch(rows)
 
-    return spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder).select("content").mapInArrow(run, ROWS)
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.warc.gz").load(folder)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content").mapInArrow(run, ROWS)
 
 
 def resolve_revisits(records: DataFrame) -> DataFrame:
@@ -165,7 +169,7 @@ def archive_round_trip(pages: DataFrame) -> DataFrame:
     kept = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     if not written.limit(1).count():
         return spark.createDataFrame([], ROWS).select(kept)
-    return read_archives(spark, folder, payloads=False).select(kept)
+    return read_archives(spark, folder, payloads=False).join(written.select("name"), "name", "left_semi").select(kept)
 
 
 ORACLE = """

@@ -194,11 +194,11 @@ def test_token_round_trip(spark, monkeypatch):
 # ---------------------------------------------------------------------------------------------- archives
 
 
-def test_archives(spark):
+def test_archives(spark, tmp_path):
     big, other = "<p>é</p>" * 200, "x" * 999
     rows = [(1, "http://a/\r\nX: y", big), (2, None, big), (3, "http://c", big), (4, "u", other), (5, "u", other), (6, "u", None), (7, "u", ""), (8, "u", "z" * 1000), (None, "n", big), (3, "http://again", big), (9, "u", "y" * 3_000_000)]
     df = spark.createDataFrame([(i, u, h, "clash") for i, u, h in rows], "page_id long, url string, html string, payload string")
-    folder = f"{warc.shared_dir(spark)}/archives-test"
+    folder = f"file://{tmp_path}/archives"
     assert warc.write_archives(df, folder).count() >= 1
     records = warc.read_archives(spark, folder)
     want = []
