@@ -70,6 +70,12 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("evidara_worker_cache", ModuleType("evidara_worker_cache")).__dict__
 
 
+def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
+    """df marked for broadcast if it has at most so many (narrow) rows, counted now; else as it is, for a shuffled join."""
+    df = checkpointed(df)
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, materialize
+from .common import broadcast_if_small, checkpointed, materialize
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, "mix-1:"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -79,7 +79,7 @@ def mix(docs: DataFrame, **how) -> DataFrame:
     """A row per row of docs: doc_id, size, source_size, target, taken (words, repeats counted)."""
     sizes = docs.select("doc_id", F.col("source").cast("string"), size().alias("size"), seeded_bin().alias("bin"))
     sizes = materialize(sizes, "mix-sizes")
-    p = checkpointed(plan(sizes, **how))
+    p = broadcast_if_small(plan(sizes, **how))
     return sizes.alias("d").join(p.alias("p"), F.expr("d.source <=> p.source")).select(
         "doc_id", "size", "source_size", "target", (F.col("size") * F.col("whole") + extra()).cast("long").alias("taken")
     )
@@ -89,7 +89,7 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each repetition, cut to its first words where it gives a part."""
     kept = docs.columns
     own = docs.select(F.struct(*kept).alias("row"), F.col("source").cast("string").alias("source"), size().alias("size"), seeded_bin().alias("bin"))
-    p = checkpointed(plan(own.select("source", "size", "bin"), **how))
+    p = broadcast_if_small(plan(own.select("source", "size", "bin"), **how))
     rows = own.alias("d").join(p.alias("p"), F.expr("d.source <=> p.source")).withColumn("extra", extra())
     turns = F.concat(F.expr("array_repeat(-1L, cast(whole as int))"), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.expr("cast(array() as array<bigint>)")))
     rows = rows.select("row", "size", F.explode(turns).alias("words"))

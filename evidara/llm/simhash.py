@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, checkpointed, components, materialize
+from .common import as_bytes, broadcast_if_small, checkpointed, components, materialize
 
 PIVOTS, BUCKET, BLOCKS = 16, 512, (13, 13, 13, 13, 12)
 SEED, LONGEST = 42, 1 << 20
@@ -153,7 +153,7 @@ def one_of_each(docs: DataFrame) -> DataFrame:
 
     Only the ids that go are joined, so texts move only where that list outgrows a broadcast.
     """
-    gone = checkpointed(simhash_groups(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    gone = broadcast_if_small(simhash_groups(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct())
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id"])
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")

@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import checkpointed, shared_dir
+from .common import broadcast_if_small, checkpointed, shared_dir
 
 LEAST_BYTES, FILE_BYTES, LEVEL = 1000, 16 << 20, 3
 DATE, PROFILE = "2026-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
@@ -91,7 +91,7 @@ def with_originals(pages: DataFrame) -> DataFrame:
     p = p.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     header = p.where(F.col("size") >= LEAST_BYTES).select("digest", "size", "page_id", "url")
     first = header.groupBy("digest", "size").agg(F.max("page_id").alias("original"), F.max_by("url", "page_id").alias("original_url"), F.count("*").alias("n"))
-    first = checkpointed(first.where("n > 1 AND original IS NOT NULL").drop("n"))
+    first = broadcast_if_small(first.where("n > 1 AND original IS NOT NULL").drop("n"))
     seen = p.join(first, ["digest", "size"], "left")
     revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
     return seen.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("original")).alias("refers_to"), F.when(revisit, F.col("original_url")).alias("refers_url"))
