@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linkage, quality, sampling
+from ..operators import linkage, quality, sampling, validation
 from .tables import table
 
 
@@ -127,7 +127,34 @@ def _props(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").groupBy((F.floor(k / 10) * 10).cast("bigint").alias("k_from")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean_value"))
 
 
+def _profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.field_profile(table(spark, sf_dir, "orders"), ["o_custkey", "o_orderstatus", "o_orderpriority"])
+
+
+def _target_coverage(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each segment that have an event."""
+    found = table(spark, sf_dir, "events").select(F.col("user_id").alias("c_custkey"))
+    return linkage.coverage(table(spark, sf_dir, "customer"), found, ["c_custkey"], ["c_mktsegment"])
+
+
+def _case_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events a user, by the segment of the customer of that number alone."""
+    e = table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").alias("events"), F.max("ts").alias("last"))
+    j = e.join(table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id"), "user_id")
+    return j.groupBy("c_mktsegment").agg(F.count("*").alias("users"), F.round(F.avg("events"), 2).alias("mean_events"), F.median("events").alias("median_events"), F.max("last").alias("last"))
+
+
+def _linkage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic documents (confirmed), those with a link (a customer of their number), those with a case (an event of it)."""
+    gold = table(spark, sf_dir, "labels").where("toxic = 1").select(F.col("doc_id").cast("string").alias("doc_id"), F.lit("S3").alias("status"))
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").cast("string").alias("doc_id"), (F.col("doc_id") % 600).alias("numero_registro"))
+    links = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("numero_registro"), F.col("c_custkey").alias("cnj_digits"), (F.col("c_nationkey") < 20).alias("cnj_valid"))
+    cases = table(spark, sf_dir, "events").select(F.col("user_id").alias("numero_processo"))
+    return validation.linkage_rates(gold, docs, links, cases)
+
+
 QUERIES = {
+    "field_profile": _profile, "target_coverage": _target_coverage, "case_stats": _case_stats, "linkage_rates": _linkage_rates,
     "link_coverage": _coverage, "linked_documents": _linked, "key_overlap": _overlap, "source_agreement": _agreement, "integrity_checks": _integrity,
     "duplicate_texts": _duplicates, "suppressed_report": _suppressed, "top_groups": _top, "text_coverage": _text_coverage, "low_coverage": _low_coverage,
     "latest_run": _latest, "undone_work": _undone, "quota_matched_draw": _quota, "conditional_sums": _sums, "set_operations": _sets, "parameter_filter": _filtered,
@@ -135,6 +162,11 @@ QUERIES = {
 }
 _TC = "SELECT source AS key, count(*) AS meta_rows, count(l.doc_id) AS text_rows, round(100.0 * count(l.doc_id) / count(*), 1)::DOUBLE AS pct FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source"
 ORACLE_SQL = {
+    "field_profile": " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS rows, count({c}) AS filled, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderpriority")),
+    "target_coverage": "SELECT c_mktsegment, count(*) AS n, count(u) AS matched, round(100.0 * count(u) / count(*), 1)::DOUBLE AS pct FROM customer LEFT JOIN (SELECT DISTINCT user_id AS u FROM events) ON u = c_custkey GROUP BY 1",
+    "case_stats": "SELECT c_mktsegment, count(*) AS users, round(avg(n), 2) AS mean_events, median(n)::DOUBLE AS median_events, max(last) AS last FROM (SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY 1) JOIN customer ON c_custkey = user_id GROUP BY 1",
+    "linkage_rates": """SELECT count(*) AS confirmed, count(k) AS bridged, count(u) AS found, round(count(k) / count(*), 4)::DOUBLE AS bridge_rate, round(count(u) / nullif(count(k), 0), 4)::DOUBLE AS trajectory_rate
+        FROM labels LEFT JOIN (SELECT c_custkey AS k FROM customer WHERE c_nationkey < 20) ON k = doc_id % 600 LEFT JOIN (SELECT DISTINCT user_id AS u FROM events) ON u = k WHERE toxic = 1""",
     "link_coverage": """SELECT year(o_orderdate)::VARCHAR AS year, count(*) AS n, count(k) AS matched, round(100.0 * count(k) / count(*), 1)::DOUBLE AS pct
         FROM orders LEFT JOIN (SELECT DISTINCT l_orderkey AS k FROM lineitem WHERE l_returnflag = 'R') ON k = o_orderkey GROUP BY 1""",
     "linked_documents": """SELECT o_custkey AS numero_registro, o_orderkey AS seq_documento, o_orderpriority AS key, c_nationkey, l_suppkey, l_linenumber

@@ -177,3 +177,18 @@ def test_stream_resumes(spark, tmp_path):
     scan_new(spark, texts, schema, LEXICON, out, str(tmp_path / "c"))
     assert sorted(r.seq_documento for r in spark.read.parquet(f"{out}/candidates").collect()) == [1, 3]
     assert spark.read.parquet(f"{out}/candidate_hits").count() == 2
+
+
+def test_staging(tmp_path):
+    import io
+
+    from evidara.sources import staging
+
+    listed = list(staging.resources({"success": True, "result": {"resources": [{"url": "http://x/a.json", "format": "JSON", "size": "3"}, {"url": "http://x/b.pdf"}, {"url": "http://x/c.zip?v=1", "format": "ZIP"}, {"url": "http://x/d.csv", "size": 9}]}}))
+    assert [(r["name"], r["size"]) for r in listed] == [("a.json", 3), ("c.zip", None), ("d.csv", 9)]
+    out = staging.download_all(listed, tmp_path, 2, lambda url: io.BytesIO(b"abc"))
+    assert out["a.json"] == out["c.zip"] == "new" and out["d.csv"].startswith("error") and not (tmp_path / "d.csv").exists()
+    assert staging.download_all(listed[:2], tmp_path, 2, None) == {"a.json": "kept", "c.zip": "kept"}
+    with pytest.raises(ValueError):
+        list(staging.resources({"success": False}))
+    assert sinks.macro("rows", "tier 2", "x_1") == "rowsTierTwoXOne"
