@@ -102,22 +102,33 @@ class Scanner:
         return sorted(out, key=lambda h: (h["start"], h["pattern_id"]))
 
 
-def hits_of(text: Column, lexicon: Lexicon, tiers: tuple[str, ...] | None = None, only: tuple[str, ...] | None = None) -> Column:
-    """array<HIT> of a text."""
+def hits_of(text: Column, lexicon: Lexicon, tiers: tuple[str, ...] | None = None, only: tuple[str, ...] | None = None, prefilter: tuple[str, ...] = ()) -> Column:
+    """array<HIT> of a text; null where no pattern of the tiers in prefilter can match, if any are given.
+
+    Declared nondeterministic so that the optimizer neither evaluates it twice nor moves a later filter below it.
+    """
     scanner = Scanner(lexicon, lexicon.of_tiers(tiers, only))
+    source = f"(?s){prefilter_source(lexicon, prefilter)}" if prefilter else ""
 
-    @F.arrow_udf(f"array<{HIT}>")
     def scan(value: pa.Array) -> pa.Array:
         kinds = [("pattern_id", pa.string()), ("tier", pa.string()), ("annex_a", pa.string()), ("start", pa.int64()), ("match", pa.string()), ("context", pa.string()), ("negated_hint", pa.bool_()), ("excluded_by", pa.string())]
-        return pa.array([scanner.hits(v.as_py()) for v in value], pa.list_(pa.struct(kinds)))
+        wanted = pc.fill_null(pc.match_substring_regex(value, source, ignore_case=True), False).to_pylist() if source else [True] * len(value)
+        return pa.array([scanner.hits(v.as_py()) if w else None for v, w in zip(value, wanted)], pa.list_(pa.struct(kinds)))
 
-    return scan(text)
+    scan.__annotations__ = {"value": pa.Array, "return": pa.Array}
+    return F.arrow_udf(scan, f"array<{HIT}>").asNondeterministic()(text)
 
 
 def scan(docs: DataFrame, lexicon: Lexicon, prefilter: bool = True, only: tuple[str, ...] | None = None) -> DataFrame:
-    """docs that the prefilter keeps, with their hits; docs need a text column."""
-    kept = docs.where(may_match(F.col("text"), lexicon)) if prefilter else docs
-    return kept.withColumn("hits", hits_of(F.col("text"), lexicon, only=only))
+    """docs that the prefilter keeps, with their hits; docs need a text column. One Arrow pass does both."""
+    out = docs.withColumn("hits", hits_of(F.col("text"), lexicon, only=only, prefilter=lexicon.candidate_tiers if prefilter else ()))
+    return out.where("hits IS NOT NULL") if prefilter else out
+
+
+def all_hits(text: Column, lexicon: Lexicon, only: tuple[str, ...] | None = None) -> Column:
+    """hits_of, empty where there are none; the prefilter takes in every tier, so it changes nothing but the time."""
+    tiers = tuple({p.tier for p in lexicon.patterns})
+    return F.coalesce(hits_of(text, lexicon, only=only, prefilter=tiers), F.expr(f"cast(array() as array<{HIT}>)"))
 
 
 def hit_rows(scanned: DataFrame) -> DataFrame:

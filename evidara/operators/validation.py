@@ -99,15 +99,15 @@ def mask(scores: DataFrame, estimable: DataFrame) -> DataFrame:
 
 
 def estimates(rows: DataFrame, weight: DataFrame, estimable: DataFrame) -> DataFrame:
-    """Four rows: S3 and S2, or S3 alone, each raw and weighted, masked."""
-    parts = [
-        metrics(rows, w, s2).select(F.lit("S3+S2" if s2 else "S3").alias("positive"), F.lit("raw" if w is None else "weighted").alias("kind"), "tp", "fp", "fn", "tn", "precision", "recall", "f1")
-        for s2 in (True, False) for w in (None, weight)
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return mask(out, estimable)
+    """Four rows: S3 and S2, or S3 alone, each raw and weighted, masked. One aggregation fills all of them."""
+    used = rows.where("status <> 'NA'").join(F.broadcast(weight), "stratum", "left").withColumn("weight", F.coalesce("weight", F.lit(1.0)))
+    cases = [(p, k, signalled(p == "S3+S2"), F.col("weight") if k == "weighted" else F.lit(1.0)) for p in ("S3+S2", "S3") for k in ("raw", "weighted")]
+    hit, sums, out = F.col("flagged"), [], []
+    for i, (p, k, good, w) in enumerate(cases):
+        cells = {"tp": hit & good, "fp": hit & ~good, "fn": ~hit & good, "tn": ~hit & ~good}
+        sums += [F.coalesce(F.sum(F.when(c, w)), F.lit(0.0)).alias(f"{n}{i}") for n, c in cells.items()]
+        out.append(F.struct(F.lit(p).alias("positive"), F.lit(k).alias("kind"), *(F.col(f"{n}{i}").alias(n) for n in cells)))
+    return mask(with_scores(used.agg(*sums).select(F.inline(F.array(*out)))), estimable)
 
 
 def per_pattern(rows: DataFrame, least: int = K, include_s2: bool = True) -> DataFrame:

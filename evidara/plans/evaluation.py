@@ -15,7 +15,7 @@ STRATA = (Stratum("strict", 12, "strict_hit"), Stratum("conduct_multi", 8, "cond
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = texts(spark, sf_dir).withColumn("hits", L.hits_of(F.col("text"), PLAIN))
+    d = texts(spark, sf_dir).withColumn("hits", L.all_hits(F.col("text"), PLAIN))
     s = L.summaries(d, PLAIN)
     return s.join(d.select("seq_documento", "lang"), "seq_documento").withColumn("doc_id", F.col("seq_documento"))
 
@@ -60,7 +60,7 @@ def _metrics_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = _gold(spark, sf_dir)
+    gold = _gold(spark, sf_dir).persist()  # labelled rows: read three times, and few
     out = validation.estimates(gold, validation.weights(_strata(spark, sf_dir), gold), validation.estimability(gold, _log(spark, sf_dir)))
     return out.select("positive", "kind", *(F.round(c, 6).alias(c) for c in ("tp", "fp", "fn", "tn")), "precision", "recall", "f1")
 

@@ -42,11 +42,11 @@ def _hits_with_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _pattern_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return L.pattern_counts(L.hit_rows(L.scan(texts(spark, sf_dir), PLAIN, prefilter=False)))
+    return L.pattern_counts(L.hit_rows(texts(spark, sf_dir).withColumn("hits", L.all_hits(F.col("text"), PLAIN))))
 
 
 def _by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    every = texts(spark, sf_dir).withColumn("hits", L.hits_of(F.col("text"), PLAIN))
+    every = texts(spark, sf_dir).withColumn("hits", L.all_hits(F.col("text"), PLAIN))
     c = L.summaries(every, PLAIN)
     return c.groupBy(F.col("key").alias("source")).agg(
         F.count("*").alias("documents"), F.count_if("is_candidate").alias("candidates"), F.round(100 * F.count_if("is_candidate") / F.count("*"), 2).alias("pct"),
@@ -61,7 +61,7 @@ def _first_places(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = table(spark, sf_dir, "conversations").withColumn("hits", L.hits_of(F.col("text"), PLAIN))
+    c = table(spark, sf_dir, "conversations").withColumn("hits", L.all_hits(F.col("text"), PLAIN))
     return c.groupBy("role").agg(F.count("*").alias("turns"), F.count_if(F.size("hits") > 0).alias("with_hits"), F.sum(F.size("hits")).cast("bigint").alias("hits"))
 
 
@@ -79,7 +79,7 @@ def _marked(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits of one pattern by language, small cells left out."""
-    d = texts(spark, sf_dir).withColumn("hits", L.hits_of(F.col("text"), PLAIN, only=("scorn",)))
+    d = texts(spark, sf_dir).withColumn("hits", L.all_hits(F.col("text"), PLAIN, ("scorn",)))
     return d.groupBy("lang").agg(F.count_if(F.size("hits") > 0).alias("documents"), F.sum(F.size("hits")).cast("bigint").alias("hits")).where("documents >= 5")
 
 

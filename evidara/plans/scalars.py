@@ -37,7 +37,7 @@ def _dates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").select("doc_id", F.left("text", F.lit(60)).alias("t"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("t"))
     marks = F.when(F.col("doc_id") % 5 == 0, F.lit(" None ")).when(F.col("doc_id") % 5 == 1, F.lit("-")).otherwise(F.col("t"))
     subjects = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("7.10."), F.col("doc_id").cast("string"), F.lit(",8.007,7.10."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.lit("09;"), F.col("doc_id").cast("string"), F.lit(",x; 9")))
     return d.select(
@@ -93,7 +93,7 @@ ORACLE_SQL = {
         CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS worksheet, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS days FROM orders""",
     "text_functions": r"""SELECT doc_id, strip_accents(t) AS folded, strip_accents(t) AS stripped, CASE doc_id % 5 WHEN 0 THEN NULL WHEN 1 THEN '-' ELSE trim(t) END AS cleaned, CASE WHEN doc_id % 5 > 1 THEN trim(t) END AS placed,
         CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id = 7 THEN '7' ELSE doc_id || ';7' END ELSE CASE WHEN doc_id = 9 THEN '9' ELSE '9;' || doc_id END END AS leaves,
-        trim(regexp_replace(t, '\s+', ' ', 'g')) || ' x' AS collapsed, '2023' || lpad(doc_id::VARCHAR, 4, '0') AS key, '2023-a-' || doc_id AS document_id, '2023-a' AS part_key, doc_id AS part_seq FROM (SELECT doc_id, left(text, 60) AS t FROM documents)""",
+        trim(regexp_replace(t, '\s+', ' ', 'g')) || ' x' AS collapsed, '2023' || lpad(doc_id::VARCHAR, 4, '0') AS key, '2023-a-' || doc_id AS document_id, '2023-a' AS part_key, doc_id AS part_seq FROM (SELECT doc_id, text AS t FROM documents)""",
     "hash_functions": """SELECT c_custkey, substr(sha256('salt' || upper(c_name) || ' E'), 1, 24) AS p24, substr(sha256('salt' || upper(c_name) || ' É'), 1, 32) AS p32, sha256(c_name) AS content,
         sha256('20260922:' || c_custkey) AS place, md5(c_custkey || '-' || c_nationkey || '-7') AS draw FROM customer""",
     "label_functions": """SELECT doc_id, ['S3', 'S2', 'NA', 'S0', 'S0', NULL, NULL, 'S1'][(doc_id % 8 + 1)::INT] AS status, CASE WHEN doc_id % 8 <= 5 THEN 'M' || doc_id % 8 END AS measure,
