@@ -20,3 +20,12 @@ def session(name: str = "evidara", master: str | None = None, **conf: str) -> Sp
     for key, value in (settings | {k.replace("__", "."): v for k, v in conf.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder under spark.checkpoint.dir, which all executors share; a temporary one where that is unset."""
+    import tempfile
+    import uuid
+
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="evidara-")
+    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -192,3 +192,11 @@ def test_staging(tmp_path):
     with pytest.raises(ValueError):
         list(staging.resources({"success": False}))
     assert sinks.macro("rows", "tier 2", "x_1") == "rowsTierTwoXOne"
+
+
+def test_bibliography():
+    from evidara.sources.bibliography import entry
+
+    text = entry("k", {"type": "journal-article", "title": ["A {title}"], "author": [{"family": "F", "given": "G"}, {"name": "Org"}], "issued": {"date-parts": [[2024, 1]]}, "page": "1-9"})
+    assert text == "@article{k,\n  author = {F, G and Org},\n  title = {A title},\n  year = {2024},\n  pages = {1--9},\n}"
+    assert entry("k", {}) == "@misc{k,\n}"
