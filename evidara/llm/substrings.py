@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import NOT_SPACE, Words, as_bytes, checkpointed, discard, materialize, pieces
 from .decontaminate import Grams, least
 
-WINDOW, GRAM, SHARD, MOST_BITS, LAST_ID = 20, 10, 2000, 1 << 26, (1 << 63) - 1
+WINDOW, GRAM, SHARD, MOST_BITS, SALTS, LAST_ID = 20, 10, 2000, 1 << 26, 16, (1 << 63) - 1
 
 
 class SuffixAutomaton:
@@ -193,6 +193,12 @@ def windows_once(words: bytes) -> tuple[list[tuple[int, bytes]], list[tuple[int,
     return [(i, d) for d, i in seen.items()], again
 
 
+def salted(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
+    """Inner join on key where one value may have a large part of many's rows: few repeats for each of SALTS salts."""
+    salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
+    return many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(few.withColumn("salt", F.explode(salts)), [key, "salt"])
+
+
 def window_repeats(runs: DataFrame) -> DataFrame:
     """Ranges of runs whose anchor is too common for a shard.
 
@@ -202,7 +208,8 @@ def window_repeats(runs: DataFrame) -> DataFrame:
     place = F.struct("doc_id", "start", "h")
     keyed = checkpointed(runs.select(F.unhex(F.sha2("words", 256)).alias("run"), "doc_id", "start", "h", (F.size(F.split(F.col("words").cast("string"), " ")) + F.col("start")).alias("stop")))
     earliest = keyed.groupBy("run").agg(F.min(place).alias("p"))
-    equal = keyed.join(earliest, "run").where(place > F.col("p")).select("doc_id", "h", F.col("start").alias("first"), "stop")
+    common = keyed.groupBy("run").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
+    equal = salted(keyed, common, "run").where(place > F.col("p")).select("doc_id", "h", F.col("start").alias("first"), "stop")
     firsts = runs.join(earliest.select("p.*"), ["doc_id", "start", "h"], "left_semi").select("doc_id", "start", "h", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -217,7 +224,7 @@ def window_repeats(runs: DataFrame) -> DataFrame:
     every = materialize(firsts.mapInArrow(run, f"{RANGE}, digest binary"), "windows")
     at = F.struct("doc_id", "first", "h")
     shared = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min(at).alias("p"), F.max(at).alias("q")).where("p <> q").drop("q")
-    later = every.join(shared, "digest").where(at > F.col("p")).select("doc_id", "h", "first", "stop")
+    later = salted(every, shared, "digest").where(at > F.col("p")).select("doc_id", "h", "first", "stop")
     return equal.union(every.where("digest IS NULL").select("doc_id", "h", "first", "stop")).union(later)
 
 
