@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -23,8 +24,13 @@ def fold_accents(value: Column) -> Column:
 def each(make: Callable, returns: str) -> Callable[[Column], Column]:
     """A Column function that applies make to each value, an Arrow batch at a time; made when called, as it needs a session."""
 
+    def mapped(batch):
+        return batch.map(make)
+
+    mapped.__annotations__ = {"batch": pd.Series, "return": pd.Series}
+
     def column(value: Column) -> Column:
-        return F.pandas_udf(lambda batch: batch.map(make), returns, F.PandasUDFType.SCALAR)(value)
+        return F.pandas_udf(mapped, returns)(value)
 
     column.__doc__ = make.__doc__
     return column
