@@ -12,6 +12,7 @@ def flat(columns: str) -> StructType:
     return StructType([StructField(name, _KINDS[kind]) for name, kind in (c.split() for c in columns.split(","))])
 
 
+# Names and kinds of the stored columns.
 _text = lambda names: ", ".join(f"{n} string" for n in names.split())
 
 DOCUMENTS = flat(
