@@ -35,7 +35,7 @@ from .common import KERNEL_BYTES, checkpointed, pieces, shared_dir, worker_cache
 
 MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES = b"EVIDTOK1", 4096, 2 << 20, 8 << 20
 MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
-END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP, NO_ID = 1, 300_000, 1 << 20, 500, -(1 << 63)
+END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP, NO_ID = 1, 400_000, 1 << 20, 500, -(1 << 63)
 
 
 def bits_for(vocabulary: int) -> int:
@@ -123,6 +123,16 @@ class WordEncoder:
     def forget(self) -> None:
         self.at = WordIndex()
         self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.uses = np.zeros(0, np.int64)
+
+    def trim(self) -> None:
+        """Keep the half of the words that were looked up most."""
+        keep = np.sort(np.argsort(self.uses, kind="stable")[-CACHE_WORDS // 2 :])
+        words, sizes = list(self.at), self.length[keep]
+        ends = np.cumsum(sizes, dtype=np.int64)
+        self.flat = self.flat[np.repeat(self.begin[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
+        self.begin, self.length, self.uses, self.at = ends - sizes, sizes, self.uses[keep] // 2, WordIndex()
+        self.at.update(zip((words[i] for i in keep.tolist()), range(len(keep))))
 
     def learn(self) -> None:
         text = b" ".join(self.at.fresh).decode().split(" ")
@@ -148,7 +158,7 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and their number for each text."""
         if len(self.at) > CACHE_WORDS:
-            self.forget()
+            self.trim()
         # Lower-casing A-Z beforehand changes no id, nor does a space between a letter and a mark, where the split
         # pattern always ends a match; a text that could spell a special token is left as it is.
         split = [(t if b"<|" in t else MARK.sub(rb"\1 ", t.lower())).split() for t in texts]
@@ -156,6 +166,9 @@ class WordEncoder:
         which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(upto[-1]))
         if self.at.fresh:
             self.learn()
+        uses = np.bincount(which, minlength=len(self.at))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         sizes = self.length[which]
         ends = np.cumsum(sizes, dtype=np.int64)
         ids = self.flat[np.repeat(self.begin[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]

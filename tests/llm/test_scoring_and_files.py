@@ -162,9 +162,12 @@ def test_bits():
 STRANGE = ["Don't   stop", "IT'S 12,34.5 O'clock!!'s", "é,É!  áb  x y\x1cz\x85w", "<|endoftext|> <|ENDOFTEXT|>a", "Ünïcode—dash 漢字かな 🙂🙂x", "a_b-c/d@e.f #1 $2%^&*()[]{}<>?;:\"`~\\|", "", " ", "İstanbul ﬁ ①x́,", "\x00\x01a.\x02b", "ﷺ,a,b", "x" * 3000 + ",y"]
 
 
-def test_words_encode_alone():
+@pytest.mark.parametrize("most", [400_000, 6])
+def test_words_encode_alone(monkeypatch, most):
     from tokenizers import Tokenizer
 
+    monkeypatch.setattr(token_files, "CACHE_WORDS", most)
+
     whole, words = Tokenizer.from_file(word_tokenizer()), token_files.WordEncoder(word_tokenizer())
     for texts in (STRANGE, STRANGE[::-1], [t.upper() for t in STRANGE]):
         ids, n = words.encode([t.encode() for t in texts])
