@@ -16,16 +16,25 @@ def distinct_events(events: DataFrame, keys: tuple[str, ...] = (*CASE, "codigo",
     return events.groupBy(*keys).agg(F.min(name).alias(name))
 
 
-def event_summary(events: DataFrame, groups: EventGroups, case: tuple[str, ...] = CASE, code: str = "codigo", name: str = "nome", at: str = "data_hora", organ: str = "orgao_codigo") -> DataFrame:
-    """Counts and first times of a case's distinct events, overall and for each group, in one aggregation."""
-    columns: list[Column] = [
-        F.count("*").alias("n_movimentos"), F.count_distinct(code).alias("n_codigos_distintos"), F.count_distinct(organ).alias("n_orgaos_movimento"),
-        F.min(at).alias("primeiro_movimento"), F.max(at).alias("ultimo_movimento"),
-    ]
+def event_summary(
+    events: DataFrame, groups: EventGroups, case: tuple[str, ...] = CASE, code: str = "codigo", name: str = "nome", at: str = "data_hora", organ: str = "orgao_codigo", raw: DataFrame | None = None
+) -> DataFrame:
+    """Counts and first times of a case's distinct events, overall and for each group.
+
+    Distinct codes and organs are counted apart, from pairs that need no other column (of raw, the events before they were
+    made distinct, where given): beside so many aggregates a distinct count would carry all of their buffers for each pair.
+    """
+    columns: list[Column] = [F.count("*").alias("n_movimentos"), F.min(at).alias("primeiro_movimento"), F.max(at).alias("ultimo_movimento")]
     for g in groups.groups:
         hit = g.matches(code, name)
         columns += [F.count_if(hit).alias(f"n_{g.id}"), F.min(F.when(hit, F.col(at))).alias(f"primeiro_{g.id}")]
-    return events.groupBy(*case).agg(*columns)
+    out = events.groupBy(*case).agg(*columns)
+    own = [c for c in out.columns if c not in case]
+    for column, count in ((code, "n_codigos_distintos"), (organ, "n_orgaos_movimento")):
+        pairs = (events if raw is None else raw).select(*case, F.col(column).alias("_of")).where("_of IS NOT NULL").distinct()
+        out = out.unionByName(pairs.groupBy(*case).agg(F.count("*").alias(count)), allowMissingColumns=True)
+    # One row a case and part: the union is small, and null cases meet as well.
+    return out.groupBy(*case).agg(*(F.max(c).alias(c) for c in own), *(F.coalesce(F.max(c), F.lit(0)).alias(c) for c in ("n_codigos_distintos", "n_orgaos_movimento")))
 
 
 def case_summary(cases: DataFrame) -> DataFrame:
@@ -40,7 +49,7 @@ def case_summary(cases: DataFrame) -> DataFrame:
 
 def features(cases: DataFrame, events: DataFrame, targets: DataFrame, groups: EventGroups) -> DataFrame:
     """One row a target, found or not; both sides are summed by case before the joins, which use the same partitioning."""
-    e = event_summary(distinct_events(events), groups)
+    e = event_summary(distinct_events(events), groups, raw=events)
     t = targets.select(*CASE, "grupo", "pub_year", "strict_hit", F.col("n_documentos").alias("n_docs_corpus")).distinct()
     joined = t.join(case_summary(cases).withColumn("found", F.lit(True)), [*CASE], "left").join(e, [*CASE], "left")
     sane = (F.col("data_ajuizamento") <= F.col("ultimo_movimento")) & (F.year("data_ajuizamento") >= 1990)
