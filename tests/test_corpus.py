@@ -10,10 +10,10 @@ from evidara.sources.config import load_lexicon
 
 LEX = load_lexicon({
     "version": "1",
-    "patterns": [{"id": "s", "tier": "strict", "regex": "abusive"}, {"id": "c1", "tier": "conduct", "regex": "copied"}, {"id": "c2", "tier": "conduct", "regex": "invented"}, {"id": "f", "tier": "sanction", "regex": "fined"}],
+    "patterns": [{"id": "s", "tier": "strict", "regex": "spurious"}, {"id": "c1", "tier": "conduct", "regex": "copied"}, {"id": "c2", "tier": "conduct", "regex": "invented"}, {"id": "f", "tier": "sanction", "regex": "fined"}],
     "exclusions": [{"id": "x", "regex": "harmless", "applies_to": ["s"]}], "negations": [{"id": "n", "regex": r"\bnot\b"}],
 })
-TEXTS = {1: "abusive", 2: "not abusive", 3: "copied, invented", 4: "copied, fined", 5: "abusive but harmless", 6: "quiet " * 100, 7: "short", 8: "copied"}
+TEXTS = {1: "spurious", 2: "not spurious", 3: "copied, invented", 4: "copied, fined", 5: "spurious but harmless", 6: "quiet " * 100, 7: "short", 8: "copied"}
 
 
 @pytest.fixture(scope="module")

@@ -42,7 +42,7 @@ def test_texts(spark):
     assert values(spark, text.subject_leaves, "1.9596,2.7,3.9596", "3372;014689, x", None, "None") == ["9596;7", "3372;14689", None, None]
     assert values(spark, text.clean_placeholder, " None ", "-", "NaN", "a ") == [None, None, None, "a"]
     assert values(spark, text.file_key, "/x/textos20230614.zip", "metadados202202.json", "none") == ["20230614", "202202", None]
-    assert values(spark, text.fold_accents, "LITIGÂNCIA ção ñ") == ["LITIGANCIA cao n"]
+    assert values(spark, text.fold_accents, "PETIÇÕES ção ñ") == ["PETICOES cao n"]
 
 
 def test_labels(spark):

@@ -12,7 +12,7 @@ from evidara.sources.config import load_groups, load_lexicon
 BASE = {
     "version": "t",
     "patterns": [
-        {"id": "strict_a", "tier": "strict", "annex_a": [12, 7], "regex": r"abusive\s+litigation"},
+        {"id": "strict_a", "tier": "strict", "annex_a": [12, 7], "regex": r"spurious\s+petition"},
         {"id": "conduct_a", "tier": "conduct", "annex_a": [7], "regex": r"identical[^.]{0,30}?petitions"},
         {"id": "capture", "tier": "conduct", "regex": r"capture"},
         {"id": "law", "tier": "normative", "regex": r"article\s\d+"},
@@ -34,16 +34,16 @@ def summary(spark, *texts):
 
 
 def test_hits_exclusions_and_negation(spark):
-    s = scanned(spark, "capture at low funding cost", "capture of clients", "There is no  abusive \n litigation", None, "")
+    s = scanned(spark, "capture at low funding cost", "capture of clients", "There is no  spurious \n petition", None, "")
     hits = {(r.seq_documento, r.pattern_id): r for r in L.hit_rows(s).collect()}
     assert hits[0, "capture"].excluded_by == "funding" and hits[1, "capture"].excluded_by is None
     h = hits[2, "strict_a"]
-    assert h.negated_hint and h.match == "abusive litigation" and h.start == 13 and h.context == "There is no abusive litigation" and h.annex_a == "12;7"
+    assert h.negated_hint and h.match == "spurious petition" and h.start == 13 and h.context == "There is no spurious petition" and h.annex_a == "12;7"
     assert not [k for k in hits if k[0] in (3, 4)]
 
 
 def test_summary(spark):
-    rows = summary(spark, "Abusive litigation by identical new petitions under article 5", "bad faith", "no abusive litigation", "capture, funding cost")
+    rows = summary(spark, "Spurious petition by identical new petitions under article 5", "bad faith", "no spurious petition", "capture, funding cost")
     a = rows[0]
     assert a.is_candidate and a.strict_hit and a.conduct_hit and a.normative_hit and not a.negated_all
     assert (a.n_hits, a.n_patterns, a.annex_a_items, a.patterns) == (3, 3, "7;12", "conduct_a;law;strict_a")
@@ -60,7 +60,7 @@ def test_cap_comes_before_exclusion(spark):
 def test_prefilter_takes_in_all_hits():
     """Whatever white space or case a hit has, RE2 keeps it."""
     source = "(?s)" + L.prefilter_source(LEX, ("strict", "conduct", "sanction", "normative", "neighbour"))
-    examples = ["abusive litigation", "identical new petitions", "capture", "article 5", "bad faith"]
+    examples = ["spurious petition", "identical new petitions", "capture", "article 5", "bad faith"]
     for sep in "  \n \x0b\x85\x1c":
         for e in examples:
             t = e.replace(" ", sep)
