@@ -16,7 +16,7 @@ every doc_id of it is null. Repeated rows are all returned. Other columns of the
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import numpy as np
@@ -148,12 +148,12 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     )
 
 
-def one_of_each(docs: DataFrame) -> DataFrame:
+def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = simhash_groups) -> DataFrame:
     """docs without the documents that a component's first one stands for; of a repeated doc_id one row stays.
 
-    Only the ids that go are joined, so texts move only where that list outgrows a broadcast.
+    groups gives the component_id of each doc_id. Only the ids that go are joined, so texts move only where that list outgrows a broadcast.
     """
-    gone = broadcast_if_small(simhash_groups(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct())
+    gone = broadcast_if_small(groups(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct())
     if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
         docs = docs.dropDuplicates(["doc_id"])
     return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
