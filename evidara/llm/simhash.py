@@ -149,11 +149,21 @@ def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
 
 
 def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = simhash_groups) -> DataFrame:
-    """docs without the documents that a component's first one stands for; of a repeated doc_id one row stays.
+    """One row of docs for each component: of smallest doc_id (null last), then of smallest text hash.
 
-    groups gives the component_id of each doc_id. Only the ids that go are joined, so texts move only where that list outgrows a broadcast.
+    groups gives the component_id of each doc_id. It is given hashes of the texts as ids, so rows are told apart by doc_id
+    and text: null or repeated doc_ids with other texts stay. Of rows that repeat both, one stays. Only ids and hashes that
+    go are joined, so texts move only where that list outgrows a broadcast or such rows are repeated.
     """
-    gone = broadcast_if_small(groups(docs).where("NOT doc_id <=> component_id").select(F.col("doc_id").alias("gone")).distinct())
-    if docs.groupBy("doc_id").count().where("count > 1").limit(1).count():
-        docs = docs.dropDuplicates(["doc_id"])
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.gone), "left_anti")
+    text = F.xxhash64(F.col("text").cast("string"))
+    named = groups(docs.select(text.alias("doc_id"), "text")).select(F.col("doc_id").alias("h"), "component_id").distinct()
+    rows = docs.select(F.col("doc_id").alias("id"), text.alias("h")).groupBy("id", "h").agg(F.count("*").alias("n"))
+    rows = checkpointed(rows.join(broadcast_if_small(named), "h"))
+    order = F.struct(F.col("id").isNull().alias("last"), "id", "h")
+    firsts = broadcast_if_small(rows.groupBy("component_id").agg(F.min(order).alias("first")))
+    judged = checkpointed(rows.join(firsts, "component_id").select("id", "h", "n", (order == F.col("first")).alias("stays")))
+    same = lambda other: docs.doc_id.eqNullSafe(other.id) & (text == other.h)
+    out = broadcast_if_small(judged.where("n > 1 OR NOT stays").select("id", "h"))
+    kept = docs.join(out, same(out), "left_anti")
+    twice = broadcast_if_small(judged.where("n > 1 AND stays").select("id", "h"))
+    return kept.union(docs.join(twice, same(twice), "left_semi").dropDuplicates(["doc_id", "text"])) if twice.limit(1).count() else kept

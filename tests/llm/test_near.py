@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evidara.llm import near
+from evidara.llm import near, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -74,6 +74,16 @@ def test_one_changed_word(spark, small):
     assert [r.doc_id for r in kept.collect()] == [1]
 
 
+@pytest.mark.parametrize("groups", [simhash.simhash_groups, near.near_groups])
+def test_null_and_repeated_ids(spark, groups):
+    """Only a row whose own component has another representative goes."""
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(80)) for x in "abcde")
+    rows = [(1, a), (None, a), (None, b), (None, c), (None, c), (2, d), (2, e), (3, d), (4, None), (4, ""), (5, "x"), (5, "y")]
+    kept = simhash.one_of_each(docs(spark, rows), groups)
+    got = sorted(((r.doc_id or 0, r.text or "") for r in kept.collect()))
+    assert got == sorted([(1, a), (0, c), (2, d), (4, ""), (5, "x"), (5, "y"), (2, e), (0, b)])
+
+
 @pytest.mark.parametrize("bucket, few", [(512, 16), (3, 0), (3, 2)])
 def test_pairs_across_components(monkeypatch, bucket, few):
     """Every pair of different components that passes both bounds, whichever way a group is taken."""
