@@ -92,7 +92,7 @@ def test_pairs_across_components(monkeypatch, bucket, few):
     r = random.Random(5)
     rows = sorted((g, r.randrange(5, 9), i) for i in range(120) for g in [r.randrange(6)])
     root = [r.choice((1, 1, 1, 1, i)) for i in range(120)]
-    sketch = [[r.choice((0, 1))] + [0] * (near.SKETCH - 1) for _ in rows]
+    sketch = [[r.choice((0, 1))] + [0] * (near.FOLDED - 1) for _ in rows]
     t = pa.table({"key": [g for g, _, _ in rows], "fp": [i for _, _, i in rows], "size": [s for _, s, _ in rows], "root": root, "sketch": pa.array(sketch, pa.list_(pa.int64()))})
     got = {(int(a), int(b)) for x, y in near.across(np.array([g for g, _, _ in rows]), t) for a, b in zip(x, y)}
     want = set()
