@@ -84,20 +84,75 @@ def test_null_and_repeated_ids(spark, groups):
     assert got == sorted([(1, a), (0, c), (2, d), (4, ""), (5, "x"), (5, "y"), (2, e), (0, b)])
 
 
-@pytest.mark.parametrize("bucket, few", [(512, 16), (3, 0), (3, 2)])
-def test_pairs_across_components(monkeypatch, bucket, few):
-    """Every pair of different components that passes both bounds, whichever way a group is taken."""
-    monkeypatch.setattr(near, "BUCKET", bucket)
-    monkeypatch.setattr(near, "FEW", few)
+@pytest.mark.parametrize("chunk, held, strip, turns", [(4, 3, 5, 4), (7, 50, 40, 1), (2, 1, 1, 2)])
+def test_small_chunks_and_parts(spark, small, monkeypatch, chunk, held, strip, turns):
+    """Large buckets in chunks, long groups in parts and few turns give the same kept documents."""
+    for name, value in (("CHUNK", chunk), ("HELD", held), ("STRIP", strip), ("TURNS", turns)):
+        monkeypatch.setattr(near, name, value)
+    rows = edited(160, seed=8) + ODD
+    kept = corpus_pipeline.keep_distinct(spark, docs(spark, rows), small)
+    assert sorted(r.doc_id for r in kept.collect()) == firsts(rows)
+
+
+def bucket_table(rows):
+    columns = ("fp", "other", "size", "pos", "root", "sketch")
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
+    return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(columns, kinds))})
+
+
+def test_pairs_of_a_bucket():
+    """Without a forest all pairs of different components within the bounds; with one, edges that connect the same sets."""
     r = random.Random(5)
-    rows = sorted((g, r.randrange(5, 9), i) for i in range(120) for g in [r.randrange(6)])
-    root = [r.choice((1, 1, 1, 1, i)) for i in range(120)]
-    sketch = [[r.choice((0, 1))] + [0] * (near.FOLDED - 1) for _ in rows]
-    t = pa.table({"key": [g for g, _, _ in rows], "fp": [i for _, _, i in rows], "size": [s for _, s, _ in rows], "root": root, "sketch": pa.array(sketch, pa.list_(pa.int64()))})
-    got = {(int(a), int(b)) for x, y in near.across(np.array([g for g, _, _ in rows]), t) for a, b in zip(x, y)}
+    sets = [set(r.sample(range(1, 60), r.randrange(30, 40))) if r.random() < 0.3 else None for _ in range(90)]
+    seeds = [s for s in sets if s]
+    sets = [s or {x for x in r.choice(seeds) if r.random() > 0.04} | set(r.sample(range(1, 60), 1)) for s in sets]
+    doc = np.repeat(np.arange(90), [len(s) for s in sets])
+    h = near.mix64(np.array([x for s in sets for x in sorted(s)], np.uint64))
+    sketch = near.sketches(90, doc, h)
+    root = [i if r.random() < 0.8 else -1 - r.randrange(3) for i in range(90)]
+    rows = sorted(((i, 0, len(sets[i]), 0, root[i], sketch[i]) for i in range(90)), key=lambda x: x[2])
     want = set()
-    for a, (g, s, i) in enumerate(rows):
-        for b, (h, n, j) in enumerate(rows[:a]):
-            if g == h and root[a] != root[b] and 5 * min(s, n) >= 4 * max(s, n) and 9 * (sketch[a][0] ^ sketch[b][0]) <= s + n:
-                want.add((min(i, j), max(i, j)))
-    assert got == want and want
+    for i in range(90):
+        for j in range(i):
+            apart = int(np.bitwise_count(np.frombuffer(sketch[i], np.uint64) ^ np.frombuffer(sketch[j], np.uint64)).sum())
+            assert apart <= len(sets[i] ^ sets[j])
+            if root[i] != root[j] and 9 * apart <= len(sets[i]) + len(sets[j]):
+                want.add((j, i))
+    assert len(want) > 20
+
+    def found(forest, own, visitors=(), refuted=()):
+        b, out = near.Bucket(1, forest), []
+        for kind, part in ((near.REJECT, refuted), (near.OWN, own), (near.VISITOR, visitors)):
+            out += list(b.add(kind, bucket_table(part))) if part else []
+        return out + list(b.close())
+
+    assert set(found(False, rows)) == want
+    no = (0, 0, 0, 0, 0, None)
+    gone = [(i, j, *no[2:]) for i, j in sorted(want)[::7]]
+    assert set(found(False, rows, refuted=gone)) == want - {g[:2] for g in gone}
+    halves = found(False, rows[::2], rows[1::2]) + found(False, rows[::2]) + found(False, rows[1::2])
+    assert set(halves) == want
+    name = lambda i: root[i]
+
+    def parts(edges):
+        up = {n: n for n in root}
+        top = lambda x: x if up[x] == x else top(up[x])
+        for i, j in edges:
+            up[top(name(i))] = top(name(j))
+        return sorted(sorted(n for n in root if top(n) == t) for t in {top(n) for n in root})
+
+    forest = found(True, rows)
+    assert set(forest) <= want and parts(forest) == parts(want) and len(forest) < len(set(root))
+
+
+def test_sketches_fold():
+    """A sketch of more words, folded, is that of fewer; sets of any size get a power of two of words."""
+    h = near.mix64(np.arange(1, 40_001).astype(np.uint64))
+    for n in (1, 5, 128, 129, 4000, 40_000):
+        (s,) = near.sketches(1, np.zeros(n, np.int64), h[:n])
+        words = len(s) // 8
+        assert words & (words - 1) == 0 and near.LEAST_WORDS <= words <= near.MOST_WORDS
+        folded = np.bitwise_xor.reduce(np.frombuffer(s, np.uint64).reshape(-1, near.LEAST_WORDS), axis=0)
+        want = np.zeros(near.LEAST_WORDS, np.uint64)
+        np.bitwise_xor.at(want, ((h[:n] >> np.uint64(6)) % np.uint64(near.LEAST_WORDS)).astype(np.int64), np.uint64(1) << (h[:n] & np.uint64(63)))
+        assert (folded == want).all()
