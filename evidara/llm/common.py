@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import sys
 import tempfile
 import uuid
@@ -10,7 +11,7 @@ from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Bytes of text that the numpy kernels take at a time; bounds their memory whatever the Arrow batch holds.
@@ -34,22 +35,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one, which is then set."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a temporary one, which is then set; a local master only,
+    as on a cluster each executor would write to a disk of its own."""
     modest_batches(spark)
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[[^]]*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="evidara-")
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def temporary(spark: SparkSession, name: str) -> str:
+    """The path of a new folder in the shared one, to be written by the caller; it goes when the driver's session ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(at)  # what does not exist is not deleted
+    store.deleteOnExit(at)
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: cuts lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path = temporary(df.sparkSession, name)
+    df.write.mode("append").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
@@ -70,10 +83,105 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("evidara_worker_cache", ModuleType("evidara_worker_cache")).__dict__
 
 
-def broadcast_if_small(df: DataFrame, most: int = 200_000) -> DataFrame:
-    """df marked for broadcast if it has at most so many (narrow) rows, counted now; else as it is, for a shuffled join."""
-    df = checkpointed(df)
-    return F.broadcast(df) if df.count() <= most else df
+#: Bytes of a broadcast table at most, as row_bytes counts them; tasks over a table of so few bytes.
+BROADCAST_BYTES, SMALL_TASKS = 8 << 20, 8
+
+
+def row_bytes(df: DataFrame) -> Column:
+    """Bytes that a row of df takes about: eight a value and eight more, with the bytes of strings and of nested values."""
+    fixed = {"string", "binary"}
+    sizes = [F.octet_length(c) if k in fixed else F.octet_length(F.to_json(F.struct(c))) for c, k in df.dtypes if k in fixed or "<" in k]
+    return sum((F.coalesce(n, F.lit(0)) for n in sizes), F.lit(8 + 8 * len(df.columns))).cast("long")
+
+
+def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """df, evaluated now, and marked for broadcast if all its rows take at most so many bytes; else for a shuffled join."""
+    return marked_if_small(checkpointed(df), most)
+
+
+def marked_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
+    """The same for a df that is a written table already."""
+    size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
+    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
+
+
+def is_broadcast(df: DataFrame) -> bool:
+    """Whether df carries the mark of broadcast_if_small."""
+    return "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+
+
+#: Keys that hold more than this part of all rows are split in joins, into as many parts.
+HEAVY = 4096
+
+
+def spread_join(many: DataFrame, few: DataFrame, key: str, total: int, by: Column, n: str = "n") -> DataFrame:
+    """Inner join on key, where few has a row a key and in column n how many rows of many have it; total is the number of those.
+
+    A key with more than total / HEAVY rows (there are fewer than HEAVY such keys, so they are broadcast) is dealt to
+    n * HEAVY / total salts, which rows of many draw by `by`; so no key brings more than about that part to one task.
+    """
+    share = max(1, total // HEAVY)
+    salts = F.when(F.col(n) > share, F.ceil(F.col(n) / share)).otherwise(1).cast("bigint")
+    heavy = few.where(F.col(n) > share).select(key, salts.alias("salts"))
+    dealt = many.join(F.broadcast(heavy), key, "left")
+    dealt = dealt.withColumn("salt", F.when(F.col("salts").isNotNull(), F.pmod(by, F.col("salts"))).otherwise(F.lit(0).cast("bigint"))).drop("salts")
+    return dealt.join(few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))), [key, "salt"]).drop("salt")
+
+
+#: Bits of a bitmap at most: 8 MB, whatever it holds.
+MOST_BITS = 1 << 26
+
+
+def bitmap(ids: DataFrame, count: int, hashed: bool = False) -> np.ndarray:
+    """Bits set at the hashes of ids (id long), or at ids that are hashes; of a size that follows their count up to MOST_BITS, a proven bound."""
+    bits = min(MOST_BITS, 1 << max(16, (32 * count).bit_length()))
+    slot = F.pmod(F.col("id") if hashed else F.xxhash64("id"), F.lit(bits))
+    slots = ids.select(slot.alias("slot")).select((F.col("slot") / 64).cast("long").alias("word"), F.expr("shiftleft(1L, cast(slot % 64 as int))").alias("bit"))
+    found = slots.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
+    out = np.zeros(bits // 64, np.int64)
+    out[found["word"].to_numpy()] = found["bits"].to_numpy()
+    return out
+
+
+def in_bitmap(table: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """For each hash (long) whether its bit is set."""
+    slot = hashes % (64 * len(table))
+    return (table[slot >> 6] >> (slot & 63)) & 1 == 1
+
+
+def possibly_in(rows: DataFrame, ids: DataFrame, mark: bool = False) -> DataFrame:
+    """rows (with a column doc, long) without most of those whose doc is not in ids (id): spares a join what it would drop.
+
+    Rows pass a fixed-size bitmap where they are read. It never drops a row that the join needs, whatever its load. With
+    mark, all rows come, and the boolean possible says which ones the join needs to see.
+    """
+    ids = checkpointed(ids)
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids, ids.count()))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = pa.array(in_bitmap(shared.value, b.column(b.num_columns - 1).to_numpy()))
+            yield pa.RecordBatch.from_arrays([*b.columns, found], [*b.schema.names, "possible"]) if mark else b.filter(found)
+
+    schema = rows.withColumn("slot", F.lit(0).cast("bigint")).schema
+    schema = schema.add("possible", "boolean") if mark else schema
+    return rows.withColumn("slot", F.xxhash64("doc")).mapInArrow(run, schema).drop("slot")
+
+
+def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column], parts: int = 64) -> DataFrame:
+    """df with, for each name, the sum of that column over all rows before this one in order; ties must be broken by order.
+
+    Rows are dealt by ranges of order and summed by range, so one task orders `parts` rows at most, whatever df holds.
+    """
+    dealt = df.select("*", *(v.alias(f"{k}__own") for k, v in sums.items())).repartitionByRange(parts, *order)
+    dealt = checkpointed(dealt.withColumn("range__", F.spark_partition_id()))  # ranges are drawn anew if evaluated twice
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy("range__").agg(*(F.sum(f"{k}__own").alias(f"{k}__all") for k in sums))
+    ranges = ranges.select("range__", *(F.coalesce(F.sum(f"{k}__all").over(before.orderBy("range__")), F.lit(0)).alias(f"{k}__base") for k in sums))
+    inside = before.partitionBy("range__").orderBy(*order)
+    both = dealt.join(F.broadcast(ranges), "range__")
+    totals = {k: F.coalesce(F.sum(f"{k}__own").over(inside), F.lit(0)) + F.col(f"{k}__base") for k in sums}
+    return both.withColumns(totals).select(*df.columns, *sums)
 
 
 def as_bytes(column: pa.Array) -> list[bytes | None]:
@@ -104,15 +212,20 @@ def components(edges: DataFrame) -> DataFrame:
     """
     both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
     both = checkpointed(both.where("src <> dst").distinct())
-    labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
+    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
+    # A graph of few bytes takes few tasks, and its labels are broadcast; as large a graph as you like is shuffled.
+    small = both.count() * 32 <= BROADCAST_BYTES
+    few = (lambda df: df.coalesce(SMALL_TASKS)) if small else (lambda df: df)
+    both, labels = few(both), checkpointed(few(labels))
     while True:
-        near = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
-        hooked = labels.join(near, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+        known = F.broadcast(labels) if small else labels
+        near = both.join(known.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
+        hooked = near.join(known, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        jump = known.select(F.col("node").alias("mid"), F.col("root").alias("far"))
         moved = hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root"), "old")
-        moved = checkpointed(moved)
+        moved = checkpointed(few(moved))
         labels = moved.select("node", "root")
-        if not moved.where("root <> old").limit(1).count():
+        if not moved.agg(F.count_if(F.col("root") != F.col("old"))).first()[0]:
             return labels
 
 
@@ -143,6 +256,26 @@ def mix64(h: np.ndarray) -> np.ndarray:
 BYTE_BASE, WORD_BASE = 0x5851F42D4C957F2D, 0xD1342543DE82EF95
 
 
+#: Bytes over which prefix sums are held at a time.
+HASH_BYTES = 1 << 18
+
+
+def span_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Polynomial hashes of raw[start:end], which do not depend on the place; spans are sorted and do not overlap.
+
+    Prefix sums are held for about HASH_BYTES of text at a time, so that a long text takes no more of them than a short one.
+    """
+    out, a = np.empty(len(start), np.uint64), 0
+    while a < len(start):
+        b = max(a + 1, int(np.searchsorted(end, start[a] + HASH_BYTES, side="right")))
+        first = int(start[a])
+        prefix, inverse = polynomial(raw[first : int(end[b - 1])].astype(np.uint64) + np.uint64(1), BYTE_BASE)
+        s, e = start[a:b] - first, end[a:b] - first
+        out[a:b] = (prefix[e] - prefix[s]) * inverse[s]
+        a = b
+    return out
+
+
 class Words:
     """Words of a list of texts, found all at once: byte starts and ends, document of each, 64-bit hash of each.
 
@@ -163,8 +296,7 @@ class Words:
         self.raw = raw
 
     def hashes(self) -> np.ndarray:
-        prefix, inverse = polynomial(self.raw.astype(np.uint64) + np.uint64(1), BYTE_BASE)
-        return mix64((prefix[self.end] - prefix[self.start]) * inverse[self.start] + (self.end - self.start).astype(np.uint64))
+        return mix64(span_hashes(self.raw, self.start, self.end) + (self.end - self.start).astype(np.uint64))
 
     def word(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]]

@@ -11,7 +11,8 @@ there, at most 65 at one value.
 
 Copies collapse to one row a fingerprint before anything is compared. Null text has no words; no words give
 fingerprint zero, which links like any other. A null doc_id is kept in the output and never names a component unless
-every doc_id of it is null. Repeated rows are all returned. Other columns of the input are not read.
+every doc_id of it is null. Repeated rows are all returned; a table without rows gives none; a very long text is hashed
+in strips of LONGEST words. Other columns of the input are not read; one_of_each keeps them as they are.
 """
 
 from __future__ import annotations
