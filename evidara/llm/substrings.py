@@ -11,14 +11,16 @@ starts earlier: in a document of smaller doc_id, or in the same one before. Wind
    a window at all. A suffix automaton of the shard's distinct runs is built in document order; the length of the suffix
    link of its newest state is the matching statistic of the stream at that word: the longest suffix seen before. Where
    it reaches WINDOW, the window that ends there is a repeat.
-4. Anchors of more than SHARD runs go another exact way: equal runs collapse to the earliest, and the different windows
+4. Anchors of more than SHARD runs, or more than SHARD_WORDS words, go another exact way: equal runs collapse to the earliest, and the different windows
    of what is left are dealt by a 128-bit digest, combined to the first position before the shuffle, and compared to it.
 
 The method's automata would be broadcast; a reference as large as the corpus has no size bound, and every document would
 stream through every shard. Dealing both by anchor gives each document exactly the shards that it can match, once.
 
-Null texts have no words. A null doc_id counts as the largest. Rows that share a doc_id but not the text are ordered by
-start, then by hash of text; rows that share both give equal results. Other columns are not read.
+Null texts have no words, and a table without rows gives none. A null doc_id counts as larger than any other; rows
+without one are documents of their own, in order of a hash of their text. Rows that share a doc_id but not the text are
+ordered by start, then by hash of text; rows that share both give equal results. Very long texts: a text is held whole by
+the task that reads it, at some ten bytes of tables for each of its own. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,10 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, as_bytes, checkpointed, discard, materialize, pieces
+from .common import KERNEL_BYTES, NOT_SPACE, Words, as_bytes, checkpointed, discard, materialize, pieces, possibly_in, spread_join
 from .decontaminate import Grams, least
 
-WINDOW, GRAM, SHARD, MOST_BITS, SALTS, LAST_ID = 20, 10, 2000, 1 << 26, 16, (1 << 63) - 1
+WINDOW, GRAM, EMIT = 20, 10, 50_000
+#: Runs, and words of these runs, that a shard has at most.
+SHARD, SHARD_WORDS = 2000, 1 << 17
 
 
 class SuffixAutomaton:
@@ -72,7 +76,7 @@ class SuffixAutomaton:
 
 
 def repeats(shard: list[tuple[int, int, int, bytes]]) -> Iterator[tuple[int, int, int, int]]:
-    """(doc_id, text hash, first word, end) of repeated windows of runs (doc_id, start, text hash, words) in order."""
+    """(doc, text hash, first word, end) of repeated windows of runs (doc, start, text hash, words) in order."""
     automaton, ids, seen, before = SuffixAutomaton(), {}, set(), None
     for n, (doc_id, start, text, words) in enumerate(shard):
         if (doc_id, start, text) == before:
@@ -120,48 +124,58 @@ class Runs:
 
 
 def anchors(rows: DataFrame) -> DataFrame:
+    """(anchor, doc, words) of each run of rows (doc, text); twice where the run may repeat itself."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids = b.column(0).to_numpy()
+            docs = b.column(0).to_numpy()
             for first, texts in pieces(b.column(1)):
                 r = Runs(texts)
                 times = 1 + r.loops
-                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(r.anchor, times)), pa.array(np.repeat(ids[first + r.doc], times))], ["anchor", "doc_id"])
+                columns = (r.anchor, docs[first + r.doc], (r.windows + WINDOW - 1).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(c, times)) for c in columns], ["anchor", "doc", "words"])
+
+    return rows.mapInArrow(run, "anchor long, doc long, words int")
+
 
-    return rows.mapInArrow(run, "anchor long, doc_id long")
+RUN = "anchor long, hot boolean, nul boolean, doc long, start long, h long, words binary"
 
 
 def reference(joined: DataFrame) -> DataFrame:
-    """Runs of rows (doc_id, h, text, cold, hot, copies) whose anchor is in cold or hot, unless h is in copies."""
+    """Runs of rows (nul, doc, h, text, cold, hot, copies) whose anchor is in cold or hot, unless h is in copies."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, kinds = [x.split()[0] for x in RUN.split(", ")], [pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
         for b in batches:
-            ids, h = b.column(0).to_numpy(), b.column(1).to_numpy()
-            for first, texts in pieces(b.column(2)):
-                r, out = Runs(texts), []
+            nul, docs, h = (b.column(i).to_pylist() for i in range(3))
+            for first, texts in pieces(b.column(3)):
+                r, out, size = Runs(texts), [], 0
                 stops = np.searchsorted(r.doc, np.arange(len(texts) + 1))
                 for d in range(len(texts)):
                     row = first + d
-                    if h[row] in (b.column(5)[row].as_py() or ()):
+                    if h[row] in (b.column(6)[row].as_py() or ()):
                         continue
                     own = r.anchor[stops[d] : stops[d + 1]]
-                    for kind, column in ((False, 3), (True, 4)):
+                    for kind, column in ((False, 4), (True, 5)):
                         wanted = b.column(column)[row].values
                         if wanted is not None and len(wanted):
                             for i in (np.flatnonzero(np.isin(own, wanted.to_numpy())) + stops[d]).tolist():
-                                out.append((int(r.anchor[i]), kind, int(ids[row]), int(r.at[i] - r.words.first[d]), int(h[row]), r.text(i)))
+                                out.append((int(r.anchor[i]), kind, nul[row], docs[row], int(r.at[i] - r.words.first[d]), h[row], r.text(i)))
+                                size += len(out[-1][-1])
+                                if size > KERNEL_BYTES:
+                                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
+                                    out, size = [], 0
                 if out:
-                    kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], ["anchor", "hot", "doc_id", "start", "h", "words"])
+                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names)
 
-    return joined.mapInArrow(run, "anchor long, hot boolean, doc_id long, start long, h long, words binary")
+    return joined.mapInArrow(run, RUN)
 
 
-RANGE = "doc_id long, h long, first long, stop long"
+RANGE = "doc long, h long, first long, stop long"
 
 
 def ranges(found: list[tuple[int, int, int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 4)], ["doc_id", "h", "first", "stop"])
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*found) if found else [()] * 4)], ["doc", "h", "first", "stop"])
 
 
 def shard_repeats(runs: DataFrame) -> DataFrame:
@@ -169,125 +183,104 @@ def shard_repeats(runs: DataFrame) -> DataFrame:
         rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(5))))
         found: list[tuple[int, int, int, int]] = []
         for _, shard in groupby(rows, lambda row: row[0]):
-            members = [row[1:] for row in shard]  # SHARD runs at most
+            members = [row[1:] for row in shard]  # SHARD runs and SHARD_WORDS words at most
             found += repeats(members)
-            if len(found) > 50_000:
+            if len(found) > EMIT:
                 yield ranges(found)
                 found = []
         yield ranges(found)
 
-    ordered = runs.select("anchor", "doc_id", "start", "h", "words").repartition("anchor").sortWithinPartitions("anchor", "doc_id", "start", "h")
-    return ordered.mapInArrow(run, RANGE)
+    ordered = runs.repartition("anchor").sortWithinPartitions("anchor", "nul", "doc", "start", "h")
+    return ordered.select("anchor", "doc", "start", "h", "words").mapInArrow(run, RANGE)
 
 
-def windows_once(words: bytes) -> tuple[list[tuple[int, bytes]], list[tuple[int, int]]]:
-    """First place and digest of each different window of a run, and the word ranges that its repeats inside it cover."""
-    tokens, seen, again = words.split(b" "), {}, []
+def windows_once(words: bytes) -> Iterator[tuple[int, int, bytes | None]]:
+    """(first, stop, digest) of each different window of a run, where it comes first, and (first, stop, None) of the word
+    ranges that its repeats inside the run cover."""
+    tokens, seen, a, b = words.split(b" "), set(), 0, 0
     for i in range(len(tokens) - WINDOW + 1):
         digest = hashlib.blake2b(b" ".join(tokens[i : i + WINDOW]), digest_size=16).digest()
-        if seen.setdefault(digest, i) != i:
-            if again and again[-1][1] >= i:
-                again[-1] = (again[-1][0], i + WINDOW)
-            else:
-                again.append((i, i + WINDOW))
-    return [(i, d) for d, i in seen.items()], again
-
-
-def salted(many: DataFrame, few: DataFrame, key: str) -> DataFrame:
-    """Inner join on key where one value may have a large part of many's rows: few repeats for each of SALTS salts."""
-    salts = F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<bigint>")
-    return many.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS))).join(few.withColumn("salt", F.explode(salts)), [key, "salt"])
+        if digest not in seen:
+            seen.add(digest)
+            yield i, i + WINDOW, digest
+            continue
+        if b < i:
+            if b:
+                yield a, b, None
+            a = i
+        b = i + WINDOW
+    if b:
+        yield a, b, None
 
 
 def window_repeats(runs: DataFrame) -> DataFrame:
     """Ranges of runs whose anchor is too common for a shard.
 
     Equal runs first: all but the earliest are repeats from end to end. Of the others each different window is dealt by
-    its digest once, however often the run holds it.
-    """
-    place = F.struct("doc_id", "start", "h")
-    keyed = checkpointed(runs.select(F.unhex(F.sha2("words", 256)).alias("run"), "doc_id", "start", "h", (F.size(F.split(F.col("words").cast("string"), " ")) + F.col("start")).alias("stop")))
-    earliest = keyed.groupBy("run").agg(F.min(place).alias("p"))
-    common = keyed.groupBy("run").agg(F.min(place).alias("p"), F.count("*").alias("n")).where("n > 1").drop("n")
-    equal = salted(keyed, common, "run").where(place > F.col("p")).select("doc_id", "h", F.col("start").alias("first"), "stop")
-    firsts = runs.join(earliest.select("p.*"), ["doc_id", "start", "h"], "left_semi").select("doc_id", "start", "h", "words")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-        for b in batches:
-            out = []
-            for doc_id, start, h, words in zip(*(b.column(i).to_pylist() for i in range(4))):
-                once, again = windows_once(words)
-                out += [(doc_id, h, start + i, start + i + WINDOW, d) for i, d in once] + [(doc_id, h, start + x, start + y, None) for x, y in again]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 5, kinds)], ["doc_id", "h", "first", "stop", "digest"])
-
-    every = materialize(firsts.mapInArrow(run, f"{RANGE}, digest binary"), "windows")
-    at = F.struct("doc_id", "first", "h")
-    shared = every.where("digest IS NOT NULL").groupBy("digest").agg(F.min(at).alias("p"), F.max(at).alias("q")).where("p <> q").drop("q")
-    later = salted(every, shared, "digest").where(at > F.col("p")).select("doc_id", "h", "first", "stop")
-    return equal.union(every.where("digest IS NULL").select("doc_id", "h", "first", "stop")).union(later)
-
-
-def bitmap(ids: DataFrame, count: int) -> np.ndarray:
-    """Bits set at the hashes of ids (id long); of a size that follows their count up to MOST_BITS, a proven bound."""
-    bits = min(MOST_BITS, 1 << max(16, (32 * count).bit_length()))
-    slot = F.pmod(F.xxhash64("id"), F.lit(bits))
-    words = ids.select((slot / 64).cast("long").alias("word"), F.expr(f"shiftleft(1L, cast(pmod(xxhash64(id), {bits}) % 64 as int))").alias("bit"))
-    found = words.groupBy("word").agg(F.bit_or("bit").alias("bits")).toPandas()
-    out = np.zeros(bits // 64, np.int64)
-    out[found["word"].to_numpy()] = found["bits"].to_numpy()
-    return out
-
-
-def possibly_in(rows: DataFrame, ids: DataFrame) -> DataFrame:
-    """rows (doc_id, ...) without most of those whose doc_id is not in ids (id): spares a join the texts it would drop.
-
-    Rows pass a fixed-size bitmap where they are read. It never drops a row that the join needs, whatever its load.
+    its digest once, however often the run holds it. Joins split what is common.
     """
-    ids = checkpointed(ids)
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap(ids, ids.count()))
+    place = F.struct("nul", "doc", "start", "h")
+    stop = F.size(F.split(F.col("words").cast("string"), " ")) + F.col("start")
+    keyed = checkpointed(runs.select(F.unhex(F.sha2("words", 256)).alias("run"), "nul", "doc", "start", "h", stop.alias("stop")))
+    earliest = checkpointed(keyed.groupBy("run").agg(F.min(place).alias("p"), F.count("*").alias("n")))
+    equal = spread_join(keyed, earliest.where("n > 1"), "run", keyed.count(), F.xxhash64("doc", "start"))
+    equal = equal.where(place > F.col("p")).select("doc", "h", F.col("start").alias("first"), "stop")
+    firsts = runs.join(earliest.select("p.*"), ["nul", "doc", "start", "h"], "left_semi").select("nul", "doc", "h", "start", "words")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = shared.value
+        kinds = [pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+        batch = lambda out: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 6, kinds)], ["nul", "doc", "h", "first", "stop", "digest"])
+        out: list[tuple] = []
         for b in batches:
-            slot = b.column(b.num_columns - 1).to_numpy() % (64 * len(table))
-            yield b.filter(pa.array((table[slot >> 6] >> (slot & 63)) & 1 == 1))
-
-    schema = rows.withColumn("slot", F.lit(0).cast("bigint")).schema
-    return rows.withColumn("slot", F.xxhash64("doc_id")).mapInArrow(run, schema).drop("slot")
+            for nul, doc, h, start, words in zip(*(b.column(i).to_pylist() for i in range(5))):
+                for first, stop, digest in windows_once(words):
+                    out.append((nul, doc, h, start + first, start + stop, digest))
+                    if len(out) >= EMIT:
+                        yield batch(out)
+                        out = []
+        yield batch(out)
+
+    every = materialize(firsts.mapInArrow(run, f"nul boolean, {RANGE}, digest binary"), "windows")
+    at = F.struct("nul", "doc", "first", "h")
+    once = every.where("digest IS NOT NULL")
+    shared = checkpointed(once.groupBy("digest").agg(F.min(at).alias("p"), F.max(at).alias("q"), F.count("*").alias("n")).where("p <> q").drop("q"))
+    later = spread_join(once, shared, "digest", every.count(), F.xxhash64("doc", "first")).where(at > F.col("p")).select("doc", "h", "first", "stop")
+    return equal.union(every.where("digest IS NULL").select("doc", "h", "first", "stop")).union(later)
 
 
 def repeated_ranges(rows: DataFrame, copies: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(doc_id, h, gone: array of first and stop) for rows (doc_id, h, text), the rows that may have such, and their runs; copies (doc_id, copies)."""
-    found = materialize(anchors(rows.select("doc_id", "text")), "anchors")
-    counts = found.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1")
-    known = found.join(counts, "anchor").groupBy("doc_id")
-    known = known.agg(*(F.collect_set(F.when((F.col("n") > SHARD) == hot, F.col("anchor"))).alias(name) for name, hot in (("cold", False), ("hot", True))))
+    """(doc, h, gone: array of first and stop) for rows (nul, doc, h, text), the rows that may have such, and their runs; copies (doc, copies)."""
+    found = materialize(anchors(rows.select("doc", "text")), "anchors")
+    counts = found.groupBy("anchor").agg(F.count("*").alias("n"), F.sum("words").alias("words")).where("n > 1")
+    counts = checkpointed(counts.select("anchor", "n", ((F.col("n") > SHARD) | (F.col("words") > SHARD_WORDS)).alias("common")))
+    known = spread_join(found.select("anchor", "doc"), counts, "anchor", found.count(), F.xxhash64("doc")).groupBy("doc")
+    known = known.agg(*(F.collect_set(F.when(F.col("common") == hot, F.col("anchor"))).alias(name) for name, hot in (("cold", False), ("hot", True))))
     known = materialize(known, "known")
     discard(found)
-    some = possibly_in(rows, known.select(F.col("doc_id").alias("id")))
-    joined = some.join(known, "doc_id").join(copies, "doc_id", "left").select("doc_id", "h", "text", "cold", "hot", "copies")
+    some = possibly_in(rows, known.select(F.col("doc").alias("id")))
+    joined = some.join(known, "doc").join(copies, "doc", "left").select("nul", "doc", "h", "text", "cold", "hot", "copies")
     joined = materialize(joined, "referenced")
+    discard(known)
     runs = materialize(reference(joined), "runs")
     ranges = shard_repeats(runs.where("NOT hot")).union(window_repeats(runs.where("hot")))
-    ranges = ranges.groupBy("doc_id", "h").agg(F.collect_list(F.struct("first", "stop")).alias("gone"))
+    ranges = ranges.groupBy("doc", "h").agg(F.collect_list(F.struct("first", "stop")).alias("gone"))
     return materialize(ranges, "ranges"), joined, runs
 
 
 def digests(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, digest of the text, n_words, kept_sha256 of all words) for rows (doc_id, h, text)."""
+    """(nul, doc, h, digest of the text, n_words, kept_sha256 of all words) for rows (nul, doc, h, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            out = [(hashlib.sha256(t).digest(), len(w := t.split()), hashlib.sha256(b" ".join(w)).hexdigest()) for t in as_bytes(b.column(2))]
+            out = [(hashlib.sha256(t).digest(), len(w := t.split()), hashlib.sha256(b" ".join(w)).hexdigest()) for t in as_bytes(b.column(3))]
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.binary(), pa.int64(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "h", "digest", "n_words", "kept_sha256"])
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], *columns], ["nul", "doc", "h", "digest", "n_words", "kept_sha256"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, digest binary, n_words long, kept_sha256 string")
+    return rows.mapInArrow(run, "nul boolean, doc long, h long, digest binary, n_words long, kept_sha256 string")
 
 
 def shortened(rows: DataFrame) -> DataFrame:
-    """(doc_id, h, n_kept, kept_sha256, kept) of rows (doc_id, h, text, gone)."""
+    """(doc, h, n_kept, kept_sha256, kept) of rows (doc, h, text, gone)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -301,39 +294,44 @@ def shortened(rows: DataFrame) -> DataFrame:
                 joined = b" ".join(left)
                 out.append((len(left), hashlib.sha256(joined).hexdigest(), joined.decode()))
             columns = [pa.array(c, t) for c, t in zip(zip(*out) if out else [()] * 3, (pa.int64(), pa.string(), pa.string()))]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc_id", "h", "n_kept", "kept_sha256", "kept"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *columns], ["doc", "h", "n_kept", "kept_sha256", "kept"])
 
-    return rows.mapInArrow(run, "doc_id long, h long, n_kept long, kept_sha256 string, kept string")
+    return rows.mapInArrow(run, "doc long, h long, n_kept long, kept_sha256 string, kept string")
 
 
 def remove_repeats(docs: DataFrame, texts: bool = False) -> DataFrame:
     """A row per row of docs: doc_id, n_words, n_removed, kept_sha256, and kept (the text that is left) if asked for."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    doc_id = F.col("doc_id").cast("long")
+    h = F.when(doc_id.isNull(), F.xxhash64(text, F.lit("null"))).otherwise(F.xxhash64(text))
+    rows = docs.select(doc_id.isNull().alias("nul"), F.coalesce(doc_id, h).alias("doc"), h.alias("h"), text.alias("text"))
     whole = materialize(digests(rows), "digests")
-    first = whole.groupBy("digest").agg(F.min("doc_id").alias("original"), F.max("doc_id").alias("latest")).where("original <> latest").drop("latest")
-    copied = checkpointed(whole.join(first, "digest").where("doc_id > original").select("doc_id", "h").distinct())
-    copies = checkpointed(copied.groupBy("doc_id").agg(F.collect_set("h").alias("copies")))
+    who = F.struct("nul", "doc")
+    first = whole.groupBy("digest").agg(F.min(who).alias("original"), F.max(who).alias("latest"), F.count("*").alias("n")).where("original <> latest").drop("latest")
+    copied = spread_join(whole.select("nul", "doc", "h", "digest"), checkpointed(first), "digest", whole.count(), F.xxhash64("doc"))
+    copied = checkpointed(copied.where(who > F.col("original")).select("doc", "h").distinct())
+    copies = checkpointed(copied.groupBy("doc").agg(F.collect_set("h").alias("copies")))
     gone, referenced, runs = repeated_ranges(rows, copies)
     discard(runs)
-    some = possibly_in(referenced.select("doc_id", "h", "text"), gone.select(F.col("doc_id").alias("id")).distinct())
-    short = shortened(some.join(gone, ["doc_id", "h"]).select("doc_id", "h", "text", "gone"))
-    short = materialize(short if texts else short.drop("kept").dropDuplicates(["doc_id", "h"]), "shortened")
+    some = possibly_in(referenced.select("doc", "h", "text"), gone.select(F.col("doc").alias("id")).distinct())
+    short = shortened(some.join(gone, ["doc", "h"]).select("doc", "h", "text", "gone"))
+    short = materialize(short if texts else short.drop("kept").dropDuplicates(["doc", "h"]), "shortened")
     discard(referenced)
-    short = short.dropDuplicates(["doc_id", "h"]) if texts else short
-    own = short.select("doc_id", "h", "n_kept", F.col("kept_sha256").alias("short_sha256"), *(["kept"] if texts else []))
-    both = whole.join(copied.withColumn("copy", F.lit(True)), ["doc_id", "h"], "left").join(own, ["doc_id", "h"], "left")
+    discard(gone)
+    short = short.dropDuplicates(["doc", "h"]) if texts else short
+    own = short.select("doc", "h", "n_kept", F.col("kept_sha256").alias("short_sha256"), *(["kept"] if texts else []))
+    both = whole.join(copied.withColumn("copy", F.lit(True)), ["doc", "h"], "left").join(own, ["doc", "h"], "left")
     empty = F.col("copy").isNotNull() & (F.col("n_words") >= WINDOW)
     left = F.when(empty, 0).otherwise(F.coalesce("n_kept", "n_words"))
     columns = [
-        F.nullif("doc_id", F.lit(LAST_ID)).alias("doc_id"), "n_words", (F.col("n_words") - left).alias("n_removed"),
+        F.when(~F.col("nul"), F.col("doc")).alias("doc_id"), "n_words", (F.col("n_words") - left).alias("n_removed"),
         F.when(empty, F.sha2(F.lit(b""), 256)).otherwise(F.coalesce("short_sha256", "kept_sha256")).alias("kept_sha256"),
     ]
     if not texts:
         return both.select(*columns)
-    once = rows.dropDuplicates(["doc_id", "h"]).withColumnRenamed("text", "whole")
+    once = rows.dropDuplicates(["doc", "h"]).select("doc", "h", F.col("text").alias("whole"))
     words = F.array_join(F.regexp_extract_all("whole", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)), " ")
-    return both.join(once, ["doc_id", "h"]).select(*columns, F.when(empty, "").otherwise(F.coalesce("kept", words)).alias("kept"))
+    return both.join(once, ["doc", "h"]).select(*columns, F.when(empty, "").otherwise(F.coalesce("kept", words)).alias("kept"))
 
 
 ORACLE = r"""
