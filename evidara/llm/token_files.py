@@ -2,24 +2,25 @@
 
 A file is, all little-endian: MAGIC; the header (bits, ids a block, documents, ids, blocks) as five unsigned 64-bit
 integers; the byte offset of each block and of the end; each document's doc_id; the position of each document's first
-id and of the end; the blocks. A block packs its ids with the lowest bit first and ends on a whole byte, so any range of
-ids is unpacked from its own blocks alone.
+id and of the end; a byte for each document, 1 if it has no doc_id (which then stands as 0); the blocks. A block packs
+its ids with the lowest bit first and ends on a whole byte, so any range of ids is unpacked from its own blocks alone.
 
-Documents are dealt by ranges of (doc_id, hash of text) and each task writes its range in order, as one or more files of
-about FILE_IDS ids named by partition, number and attempt. A file is moved to its name when it is whole, and only files
-that a finished task has listed count, so tasks may fail, run again or run twice. The files are in the shared folder,
-reached through pyarrow's filesystems.
+Documents are dealt by ranges of (doc_id, hash of text), MOST_RANGES at most, and each task writes its range in order, as
+one or more files of about FILE_IDS ids named by partition, number and attempt. A file is moved to its name when it is
+whole, and only files that a finished task has listed count, so tasks may fail, run again or run twice. The files are in
+the shared folder, reached through pyarrow's filesystems. Order is that of partition and number, as integers.
 
-Null texts are empty and give the end id alone. Repeated doc_ids are neighbours, ordered by hash and then by text.
-A null doc_id sorts first and is written as the smallest long.
+Null texts are empty and give the end id alone. Repeated doc_ids, and repeated rows, are neighbours, ordered by hash and
+then by text; a null doc_id sorts first. A table without rows gives no file and no rows. Very long texts are encoded
+whole, one at a time. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 from itertools import chain
@@ -31,11 +32,22 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KERNEL_BYTES, checkpointed, pieces, shared_dir, worker_cache
+from .common import KERNEL_BYTES, broadcast_if_small, checkpointed, pieces, temporary, worker_cache
 
-MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES = b"EVIDTOK1", 4096, 2 << 20, 8 << 20
+MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES, MOST_RANGES = b"EVIDTOK2", 4096, 2 << 20, 8 << 20, 50_000
 MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
-END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP, NO_ID = 1, 400_000, 1 << 20, 500, -(1 << 63)
+END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP = 1, 400_000, 1 << 20, 500
+
+# The rules of a tokenizer file under which a text's ids are those of its words, lower-cased and parted at marks.
+NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+PRE_TOKENIZER = {
+    "type": "Sequence",
+    "pretokenizers": [
+        {"type": "Split", "pattern": {"Regex": SPLIT}, "behavior": "Removed", "invert": True},
+        {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+    ],
+}
 
 
 def bits_for(vocabulary: int) -> int:
@@ -56,16 +68,17 @@ def unpack(data: bytes, bits: int, n: int) -> np.ndarray:
     return np.packbits(np.pad(flat, ((0, 0), (0, 32 - bits))), axis=1, bitorder="little").view("<u4").ravel()
 
 
-def to_file(doc_ids: list[int], counts: list[int], ids: np.ndarray, bits: int) -> bytes:
+def to_file(doc_ids: list[int | None], counts: list[int], ids: np.ndarray, bits: int) -> bytes:
     blocks = [pack(ids[a : a + BLOCK_IDS], bits) for a in range(0, len(ids), BLOCK_IDS)]
     offsets = np.concatenate(([0], np.cumsum([len(b) for b in blocks], dtype=np.int64)))
     starts = np.concatenate(([0], np.cumsum(counts, dtype=np.int64)))
+    unnamed = np.array([i is None for i in doc_ids], np.uint8)
     head = MAGIC + struct.pack("<5Q", bits, BLOCK_IDS, len(doc_ids), len(ids), len(blocks))
-    return b"".join([head, offsets.astype("<u8").tobytes(), np.array(doc_ids, "<i8").tobytes(), starts.astype("<u8").tobytes(), *blocks])
+    return b"".join([head, offsets.astype("<u8").tobytes(), np.array([i or 0 for i in doc_ids], "<i8").tobytes(), starts.astype("<u8").tobytes(), unnamed.tobytes(), *blocks])
 
 
 class TokenFile:
-    """Reads a file's bytes: doc_ids, starts, and ids(a, b) for any range of positions."""
+    """Reads a file's bytes: doc_ids, unnamed (without a doc_id), starts, and ids(a, b) for any range of positions."""
 
     def __init__(self, data: bytes):
         if data[:8] != MAGIC:
@@ -78,7 +91,9 @@ class TokenFile:
         self.doc_ids = np.frombuffer(data, "<i8", docs, at)
         at += 8 * docs
         self.starts = np.frombuffer(data, "<u8", docs + 1, at).astype(np.int64)
-        self.payload = at + 8 * (docs + 1)
+        at += 8 * (docs + 1)
+        self.unnamed = np.frombuffer(data, np.uint8, docs, at) == 1
+        self.payload = at + docs
 
     def ids(self, a: int, b: int) -> np.ndarray:
         if a >= b:
@@ -103,6 +118,35 @@ class WordIndex(dict):
         return n
 
 
+def by_words(path: str) -> bool:
+    """Whether the tokenizer file has the rules under which WordEncoder gives a whole text's ids; it holds for no other."""
+    with open(path, encoding="utf-8") as f:
+        rules = json.load(f)
+    model = rules["model"]
+    plain = not any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "fuse_unk", "byte_fallback", "ignore_merges"))
+    special = all(t["content"].startswith("<|") and not t["normalized"] for t in rules.get("added_tokens") or [])
+    return (
+        rules.get("normalizer") == NORMALIZER and rules.get("pre_tokenizer") == PRE_TOKENIZER and special
+        and model.get("type") == "BPE" and plain and model.get("end_of_word_suffix") == "</w>" and not rules.get("truncation") and not rules.get("padding")
+    )
+
+
+class WholeEncoder:
+    """Encodes whole texts, with any tokenizer."""
+
+    def __init__(self, path: str):
+        os.environ.setdefault("RAYON_NUM_THREADS", "1")
+        from tokenizers import Tokenizer
+
+        self.tokenizer = Tokenizer.from_file(path)
+
+    def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each followed by END_ID, and their number for each text."""
+        found = [[*e.ids, END_ID] for e in self.tokenizer.encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        return np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum())), sizes
+
+
 class WordEncoder:
     """Encodes texts with a tokenizer that never joins across ASCII white space: each different word is encoded once.
 
@@ -176,16 +220,16 @@ class WordEncoder:
         return np.insert(ids, stop, END_ID), np.diff(stop, prepend=0) + 1
 
 
-def kept_encoder(path: str) -> WordEncoder:
+def kept_encoder(path: str) -> WordEncoder | WholeEncoder:
     """This worker's encoder for the tokenizer file, with the words that it met in earlier tasks."""
     kept = worker_cache()
     if path not in kept:
-        kept[path] = WordEncoder(path)
+        kept[path] = WordEncoder(path) if by_words(path) else WholeEncoder(path)
     return kept[path]
 
 
 def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
-    """Write docs (doc_id, text) to folder; a row per file: name, documents, ids. Evaluate it once."""
+    """Write docs (doc_id, text) to folder; a row per file: name, part, number, documents, ids. Evaluate it once."""
     from tokenizers import Tokenizer
 
     bits = bits_for(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True))
@@ -205,13 +249,13 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             with store.open_output_stream(draft) as out:
                 out.write(to_file(doc_ids, counts, np.concatenate(held), bits))
             store.move(draft, f"{path}/{name}")
-            return pa.RecordBatch.from_pydict({"name": [name], "documents": [len(doc_ids)], "ids": [total]})
+            return pa.RecordBatch.from_pydict({"name": [name], "part": [part], "number": [number], "documents": [len(doc_ids)], "ids": [total]})
 
         for b in batches:
             for first, texts in pieces(b.column(1), ENCODE_BYTES):
                 encoder = encoder or kept_encoder(tokenizer)
                 ids, n = encoder.encode(texts)
-                doc_ids += [NO_ID if i is None else i for i in b.column(0).slice(first, len(texts)).to_pylist()]
+                doc_ids += b.column(0).slice(first, len(texts)).to_pylist()
                 counts += n.tolist()
                 held.append(ids.astype(np.uint16 if bits <= 16 else np.uint32))
                 total += len(ids)
@@ -222,9 +266,9 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
             yield flush()
 
     salt = F.xxhash64("text")
-    dealt = chosen.repartitionByRange(max(1, -(-size // RANGE_BYTES)), F.col("doc_id").asc_nulls_first(), salt)
+    dealt = chosen.repartitionByRange(min(MOST_RANGES, max(1, -(-size // RANGE_BYTES))), F.col("doc_id").asc_nulls_first(), salt)
     dealt = dealt.sortWithinPartitions(F.col("doc_id").asc_nulls_first(), salt, "text")
-    return dealt.mapInArrow(run, "name string, documents long, ids long")
+    return dealt.mapInArrow(run, "name string, part long, number long, documents long, ids long")
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -241,20 +285,28 @@ def read_files(spark: SparkSession, folder: str) -> DataFrame:
                     for i in range(a, stop):
                         crcs[i] = zlib.crc32(ids[f.starts[i] - f.starts[a] : f.starts[i + 1] - f.starts[a]])
                     a = stop
-                yield pa.RecordBatch.from_pydict({"name": [name.as_py()] * len(crcs), "doc_id": pa.array(f.doc_ids, mask=f.doc_ids == NO_ID), "local_start": f.starts[:-1], "n_tokens": np.diff(f.starts), "ids_crc32": crcs})
+                yield pa.RecordBatch.from_pydict({"name": [name.as_py()] * len(crcs), "doc_id": pa.array(f.doc_ids, mask=f.unnamed), "local_start": f.starts[:-1], "n_tokens": np.diff(f.starts), "ids_crc32": crcs})
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.ids").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
     return named.mapInArrow(run, "name string, doc_id long, local_start long, n_tokens long, ids_crc32 long")
 
 
+def file_bases(written: DataFrame) -> DataFrame:
+    """(name, base: ids of all files before it) of written files; a part's files in one task, and the parts, MOST_RANGES at most."""
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    parts = written.groupBy("part").agg(F.sum("ids").alias("all"))
+    parts = parts.select("part", F.coalesce(F.sum("all").over(before.orderBy("part")), F.lit(0)).alias("from"))
+    inside = F.coalesce(F.sum("ids").over(before.partitionBy("part").orderBy("number")), F.lit(0))
+    return written.withColumn("inside", inside).join(F.broadcast(parts), "part").select("name", (F.col("from") + F.col("inside")).alias("base"))
+
+
 def token_output(docs: DataFrame, tokenizer: str) -> DataFrame:
     """Write docs as token files in the shared folder and read them back: doc_id, start, n_tokens, ids_crc32."""
     spark = docs.sparkSession
-    folder = f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"
+    folder = temporary(spark, "tokens")
     written = checkpointed(write_files(docs, folder, tokenizer))
-    before = F.coalesce(F.sum("ids").over(Window.orderBy("name").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     if not written.limit(1).count():
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
-    base = checkpointed(written.select("name", before.alias("base")))
+    base = broadcast_if_small(file_bases(written))
     return read_files(spark, folder).join(base, "name").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
