@@ -7,25 +7,35 @@ inner product of two short vectors. Bounds are tried coarse to fine (LEVELS segm
 query's k-th best score so far are dropped, and exact scores are computed for the survivors. The k-th best starts from
 the best scores among the queries themselves, which are candidates too, so it never exceeds the final one.
 
-Queries are the rows whose vec_id is divisible by `step`. They go out in blocks of at most QUERY_BYTES, chosen by hash and
-checked, each block against all rows; a task returns k rows a query at most and a window with a partial limit merges them.
+Queries are the rows whose vec_id is divisible by `step`. They go out in blocks of about QUERY_BYTES, each with the k-th
+best scores among its own queries to start from. Up to QUERY_BYTES they are one block and are broadcast. Beyond that,
+tasks write blocks to the shared folder, and the search is one job: a task takes its candidates GATHER_BYTES at a time,
+and reads one block after another for them. Nothing passes through the driver then. A task returns k rows a query and
+gathering at most, and a window with a partial limit merges them.
 
 Vectors that are null, or hold null or non-finite components, and rows without a vec_id take no part. Vectors of different
 lengths are never compared; empty ones score 0 with each other. A row never meets rows of its own vec_id; where a vec_id
 repeats, each row is a candidate, and the query is its least vector. Scores are exact while they fit 64 bits and stop
-at the ends of that range beyond it.
+at the ends of that range beyond it. A table without queries gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-SCALE, LEVELS, QUERY_BYTES, PAIRS, STRIP = 1024, (4, 16), 4 << 20, 1 << 19, 65536
+from .common import checkpointed, temporary
+
+SCALE, LEVELS, QUERY_BYTES, GATHER_BYTES, PAIRS, STRIP = 1024, (4, 16), 4 << 20, 32 << 20, 1 << 19, 65536
 
 
 def statistics(v: np.ndarray, segments: int) -> np.ndarray:
@@ -102,6 +112,91 @@ def by_length(ids: list, vectors: list) -> dict[int, tuple[np.ndarray, np.ndarra
     return {n: (np.array(a, np.int64), np.array(b, float).reshape(len(a), n)) for n, (a, b) in out.items()}
 
 
+#: ids, integer vectors and k-th best scores so far of the queries of each length.
+Block = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]
+
+
+def block_of(ids: list, vectors: list, k: int) -> Block:
+    out = {}
+    for n, (own, x) in by_length(ids, vectors).items():
+        s = Search(own, np.floor(SCALE * x), k)
+        s.add(own, s.v)
+        out[n] = (s.ids, s.v, s.least)  # not the rows themselves, which come again as candidates
+    return out
+
+
+def written_blocks(queries: DataFrame, blocks: int, k: int, folder: str) -> list[str]:
+    """Paths of the block files of queries (vec_id, v), which tasks write; a file counts if a finished task lists it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, path = fs.FileSystem.from_uri(folder)
+
+        def put(block: int, ids: list, vectors: list) -> pa.RecordBatch:
+            name = f"{block:08d}-{TaskContext.get().taskAttemptId()}.block"
+            with store.open_output_stream(f"{path}/.{name}") as out:
+                out.write(pickle.dumps(block_of(ids, vectors, k)))
+            store.move(f"{path}/.{name}", f"{path}/{name}")
+            return pa.RecordBatch.from_pydict({"name": [name]})
+
+        rows = (row for b in batches for row in zip(*(b.column(i).to_pylist() for i in range(3))))
+        for block, group in groupby(rows, lambda row: row[0]):
+            _, ids, vectors = zip(*group)
+            yield put(block, list(ids), list(vectors))
+
+    dealt = queries.select(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"), "vec_id", "v").repartition(blocks, "block").sortWithinPartitions("block")
+    return [f"{folder}/{r.name}" for r in checkpointed(dealt.mapInArrow(run, "name string")).toLocalIterator()]
+
+
+def searched(v: DataFrame, names: list[str], one: Broadcast | None, k: int) -> DataFrame:
+    """(query_id, vec_id, score) of candidates v that may be among the best k of a query of the block files, or of the one block."""
+
+    def load(name: str) -> Block:
+        store, path = fs.FileSystem.from_uri(name)
+        with store.open_input_stream(path) as f:
+            return pickle.loads(f.read())
+
+    def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[dict[int, list[tuple[np.ndarray, np.ndarray]]]]:
+        held, size = {}, 0
+        for b in batches:
+            lists, ids = b.column(1), b.column(0).to_numpy()
+            sizes, flat = np.diff(lists.offsets.to_numpy()), lists.flatten().to_numpy()
+            begin = np.cumsum(sizes) - sizes
+            for n in np.unique(sizes).tolist():
+                at = np.flatnonzero(sizes == n)
+                held.setdefault(n, []).append((ids[at], np.floor(SCALE * flat[begin[at][:, None] + np.arange(n)])))
+            size += flat.nbytes + ids.nbytes
+            if one or size > GATHER_BYTES:
+                yield held
+                held, size = {}, 0
+        if held:
+            yield held
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, Search] = {}
+
+        def result() -> Iterator[pa.RecordBatch]:
+            for s in found.values():
+                yield pa.RecordBatch.from_arrays([pa.array(s.ids[s.q]), pa.array(s.c), pa.array(s.s)], ["query_id", "vec_id", "score"])
+
+        for held in gathered(batches):
+            for name in names or [""]:
+                block = one.value if one else load(name)
+                for n, parts in held.items():
+                    if n in block:
+                        if n not in found:
+                            own, vectors, least = block[n]
+                            found[n] = Search(own, vectors, k)
+                            found[n].least = least.copy()
+                        for ids, x in parts:
+                            found[n].add(ids, x)
+                if not one:
+                    yield from result()
+                    found.clear()
+        yield from result()
+
+    return v.mapInArrow(run, "query_id long, vec_id long, score long")
+
+
 def top_k(rows: DataFrame, k: int = 10, step: int = 100) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for every query of rows (vec_id, embedding)."""
     spark = rows.sparkSession
@@ -110,39 +205,11 @@ def top_k(rows: DataFrame, k: int = 10, step: int = 100) -> DataFrame:
     v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))))
     queries = v.where(F.col("vec_id") % step == 0).groupBy("vec_id").agg(F.min("v").alias("v"))
     total = queries.agg(F.sum(F.size("v") * 8 + 8)).first()[0] or 0
-    blocks = max(1, -(-total * 5 // (QUERY_BYTES * 4)))  # by hash, so some room
-    parts = []
-    for block in range(blocks):
-        chosen = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).collect()
-        start = {}
-        for n, (ids, x) in by_length([r.vec_id for r in chosen], [r.v for r in chosen]).items():
-            s = Search(ids, np.floor(SCALE * x), k)
-            s.add(ids, s.v)
-            start[n] = (s.ids, s.v, s.least)  # not the rows themselves, which come again as candidates
-        shared = spark.sparkContext.broadcast(start)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            found: dict[int, Search] = {}
-            for b in batches:
-                lists, ids = b.column(1), b.column(0).to_numpy()
-                sizes = np.diff(lists.offsets.to_numpy())
-                flat = lists.flatten().to_numpy()
-                begin = np.cumsum(sizes) - sizes
-                for n in np.unique(sizes).tolist():
-                    if n in shared.value:
-                        if n not in found:
-                            own, vectors, least = shared.value[n]
-                            found[n] = Search(own, vectors, k)
-                            found[n].least = least.copy()
-                        at = np.flatnonzero(sizes == n)
-                        found[n].add(ids[at], np.floor(SCALE * flat[begin[at][:, None] + np.arange(n)]))
-            for s in found.values():
-                yield pa.RecordBatch.from_arrays([pa.array(s.ids[s.q]), pa.array(s.c), pa.array(s.s)], ["query_id", "vec_id", "score"])
-
-        parts.append(v.mapInArrow(run, "query_id long, vec_id long, score long"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.union(p)
+    if total <= QUERY_BYTES:
+        chosen = queries.collect()
+        out = searched(v, [], spark.sparkContext.broadcast(block_of([r.vec_id for r in chosen], [r.v for r in chosen], k)), k)
+    else:
+        out = searched(v, written_blocks(queries, -(-total // QUERY_BYTES), k, temporary(spark, "queries")), None, k)
     best = Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id")
     return out.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
