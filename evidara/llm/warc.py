@@ -1,16 +1,20 @@
 """WARC archives with revisit resolution.
 
-Headers (page_id, payload digest, payload length) are shuffled by digest, without payloads; of equal payloads of at least
-LEAST_BYTES the record with the largest page_id is the original, the others become revisit records that name it. Only
-digests that repeat are joined back to the pages, so the payloads stay where they were read unless that table outgrows
-a broadcast, and then a hot digest is split by adaptive execution. Archives are written with fresh headers, a gzip member
-for each record, into the shared folder: a file is moved to its name, which holds the task's attempt, when it is whole,
-and only files that a finished task has listed count. Reading checks every payload against its digest.
+Headers (page_id, payload digest, payload length, url) are shuffled by digest, without payloads; of equal payloads of at
+least LEAST_BYTES the record with the largest page_id is the original, the others become revisit records that name it.
+While the repeated digests take few bytes, counted before, they are broadcast and payloads stay where they were read.
+Beyond that, headers join the originals by digest, hot digests split, and give the revisits, one row each; pages that a
+fixed-size bitmap shows not to be among these are written where they were read, and only the others are joined, by
+page_id and digest, which no digest makes hot. Archives are written with fresh headers, a gzip member for each record, into the
+shared folder: a file is moved to its name, which holds the task's attempt, when it is whole, and only files that a
+finished task has listed count. Reading checks every payload against its digest.
+
+Every record has an id of its own and the date of its writing; a revisit names its original by page_id, target and date.
 
 Null html is an empty payload, a null url writes no target, line breaks in a url are percent-encoded. Rows that carry the
 largest page_id of their payload are all originals, were that page_id repeated. A null page_id is written without one,
 reads back as null, and is an original only if all page_ids of its payload are null. Empty tables give no archive and no
-rows. Other columns are not read.
+rows. A very long payload is one record, held whole by its task. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 import pyarrow as pa
 from pyarrow import fs
@@ -27,33 +32,30 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, shared_dir
+from .common import broadcast_if_small, checkpointed, is_broadcast, possibly_in, spread_join, temporary
 
-LEAST_BYTES, FILE_BYTES, LEVEL = 1000, 16 << 20, 3
-DATE, PROFILE = "2026-01-01T00:00:00Z", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+LEAST_BYTES, FILE_BYTES, LEVEL, CHUNK = 1000, 16 << 20, 3, 1 << 14
+# Fixed value: the profile of revisits by payload.
+PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 ROWS = "name string, page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
 
-def record_id(page_id: int | None) -> str:
-    return f"<urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, f'page:{page_id}')}>"
-
-
 def base32(hexdigest: str) -> str:
     return "sha1:" + base64.b32encode(bytes.fromhex(hexdigest)).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None) -> bytes:
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None, refers_url: str | None, date: str) -> bytes:
     """One WARC/1.1 record as a gzip member."""
     revisit = refers_to is not None
     body = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=UTF-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
     body += b"" if revisit else payload
     safe = lambda u: "".join(c if c > " " else f"%{ord(c):02X}" for c in u or "")
-    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", record_id(page_id)), ("WARC-Date", DATE)]
+    fields = [("WARC-Type", "revisit" if revisit else "response"), ("WARC-Record-ID", f"<urn:uuid:{uuid.uuid4()}>"), ("WARC-Date", date)]
     fields += [("WARC-Target-URI", safe(url))] * (url is not None) + [("WARC-Page-ID", page_id)] * (page_id is not None)
     fields += [("WARC-Payload-Digest", base32(digest)), ("WARC-Payload-Length", len(payload)), ("WARC-Block-Digest", base32(hashlib.sha1(body).hexdigest()))]
     if revisit:
-        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To", record_id(refers_to)), ("WARC-Refers-To-Page-ID", refers_to)]
-        fields += [("WARC-Refers-To-Target-URI", safe(refers_url))] * (refers_url is not None) + [("WARC-Refers-To-Date", DATE)]
+        fields += [("WARC-Profile", PROFILE), ("WARC-Refers-To-Page-ID", refers_to)]
+        fields += [("WARC-Refers-To-Target-URI", safe(refers_url))] * (refers_url is not None) + [("WARC-Refers-To-Date", date)]
     fields += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", len(body))]
     head = "WARC/1.1\r\n" + "".join(f"{k}: {v}\r\n" for k, v in fields) + "\r\n"
     packer = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
@@ -61,11 +63,17 @@ def record(page_id: int | None, url: str | None, payload: bytes, digest: str, re
 
 
 def members(data: bytes) -> Iterator[bytes]:
-    view = memoryview(data)
-    while len(view):
-        opener = zlib.decompressobj(31)
-        yield opener.decompress(view)
-        view = view[len(view) - len(opener.unused_data) :]
+    """The unpacked gzip members of data, fed CHUNK bytes at a time: what a member leaves unused is less than that."""
+    view, at = memoryview(data), 0
+    while at < len(view):
+        opener, out = zlib.decompressobj(31), []
+        while not opener.eof:
+            part = view[at : at + CHUNK]
+            if not len(part):
+                raise ValueError("a record is cut short")
+            out.append(opener.decompress(part))
+            at += len(part) - len(opener.unused_data)
+        yield b"".join(out)
 
 
 def parse(raw: bytes) -> dict:
@@ -85,20 +93,35 @@ def parse(raw: bytes) -> dict:
     return out
 
 
-def with_originals(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, digest, refers_to, refers_url: the last two null for responses."""
+def with_originals(pages: DataFrame, most: int | None = None) -> DataFrame:
+    """page_id, url, payload, digest, refers_to, refers_url: the last two null for responses. Over `most` bytes, as
+    broadcast_if_small counts them, the originals of repeated payloads are joined by headers."""
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
-    header = p.where(F.col("size") >= LEAST_BYTES).select("digest", "size", "page_id", "url")
-    first = header.groupBy("digest", "size").agg(F.max("page_id").alias("original"), F.max_by("url", "page_id").alias("original_url"), F.count("*").alias("n"))
-    first = broadcast_if_small(first.where("n > 1 AND original IS NOT NULL").drop("n"))
-    seen = p.join(first, ["digest", "size"], "left")
-    revisit = F.col("original").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("original"))
-    return seen.select("page_id", "url", "payload", "digest", F.when(revisit, F.col("original")).alias("refers_to"), F.when(revisit, F.col("original_url")).alias("refers_url"))
+    header = p.where(F.col("size") >= LEAST_BYTES).select("digest", "page_id", "url")
+    groups = header.groupBy("digest").agg(F.max("page_id").alias("original"), F.max_by("url", "page_id").alias("original_url"), F.count("*").alias("n"))
+    groups = groups.where("n > 1 AND original IS NOT NULL")
+    first = broadcast_if_small(groups, most)
+    kept = ["page_id", "url", "payload", "digest"]
+    refers = [F.col("original").alias("refers_to"), F.col("original_url").alias("refers_url")]
+    again = ~F.col("page_id").eqNullSafe(F.col("original"))
+    if is_broadcast(first):
+        seen = p.join(first, "digest", "left")
+        revisit = F.col("original").isNotNull() & again & (F.col("size") >= LEAST_BYTES)
+        return seen.select(*kept, *(F.when(revisit, c).alias(n) for c, n in zip(refers, ("refers_to", "refers_url"))))
+    total = first.agg(F.sum("n")).first()[0] or 0
+    headers = spread_join(header.select("digest", "page_id"), first, "digest", total, F.xxhash64("page_id")).where(again)
+    key = lambda: F.xxhash64("page_id", "digest")
+    revisits = checkpointed(headers.distinct().select(F.col("page_id").alias("who"), F.col("digest").alias("what"), *refers).withColumn("doc", F.xxhash64("who", "what")))
+    split = possibly_in(p.withColumn("doc", key()), revisits.select(F.col("doc").alias("id")), mark=True)
+    here = split.where("NOT possible").select(*kept, F.lit(None).cast("long").alias("refers_to"), F.lit(None).cast("string").alias("refers_url"))
+    other = split.where("possible").join(revisits.drop("doc"), F.col("page_id").eqNullSafe(F.col("who")) & (F.col("digest") == F.col("what")), "left")
+    return here.union(other.select(*kept, "refers_to", "refers_url"))
 
 
 def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """Write pages (page_id, url, html) as deduplicated archives in folder; a row per file: name, records. Evaluate once."""
+    date = datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     store, root = fs.FileSystem.from_uri(folder)
     store.create_dir(root, recursive=True)
 
@@ -117,7 +140,7 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
 
         for b in batches:
             for i in range(b.num_rows):
-                held.append(record(*(b.column(c)[i].as_py() for c in range(6))))
+                held.append(record(*(b.column(c)[i].as_py() for c in range(6)), date))
                 size += len(held[-1])
                 if size >= FILE_BYTES:
                     yield flush()
@@ -164,7 +187,7 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
 def archive_round_trip(pages: DataFrame) -> DataFrame:
     """Write pages as archives in the shared folder and read them back: a row per page, without payloads."""
     spark = pages.sparkSession
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = temporary(spark, "warc")
     written = checkpointed(write_archives(pages, folder))
     kept = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
     if not written.limit(1).count():
