@@ -2,7 +2,8 @@
 
 A source's share of the mix is its weight's part of `share` times all words, but never more than `epochs` times its own
 words: sources above that are clamped there, and what they leave goes to the others by weight until none is above. With
-caps sorted by cap over weight this is one pass of running sums, target = min(cap, level * weight).
+caps sorted by cap over weight this is one pass of running sums, target = min(cap, level * weight). The sums run over
+ranges of sources and then over the ranges, so sources may be as many as hosts.
 
 A source with target t and s words repeats each document floor(t / s) times. The rest t - floor(t / s) * s is drawn in
 seeded order: a document's bin is the first three hex digits of the md5 of seed and doc_id, whole bins are taken in
@@ -12,7 +13,8 @@ gathered by source (a histogram of 4,096 bins is summed before the shuffle), and
 
 Size: words [^\\x20\\x09-\\x0D]+ of the whole text, 0 for null. Sources sort by code point, null (a source of its own)
 last, and take the weights in turn. A null doc_id hashes as the word null; repeated doc_ids share a bin and are judged
-row by row. Empty tables give no rows. Sources without words have target 0.
+row by row, as are repeated rows. Empty tables give no rows. Sources without words have target 0. A very long text is
+counted whole; other columns pass through the mix, whatever their names, and are not read otherwise.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, materialize
+from .common import broadcast_if_small, checkpointed, materialize, running_totals
 
 WEIGHTS, SHARE, EPOCHS, SEED = (5, 2, 1), 1.5, 2.0, "mix-1:"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -42,21 +44,19 @@ def plan(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float =
     """
     bins = checkpointed(sizes.groupBy("source", "bin").agg(F.sum("size").alias("words")))
     sources = bins.groupBy("source").agg(F.sum("words").alias("source_size"))
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(order) - 1) % len(weights)
-    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (place + 1).cast("int"))
+    by_name = [F.col("source").isNull(), F.col("source")]
+    sources = running_totals(sources, by_name, {"place": F.lit(1).cast("bigint")})
+    weight = F.element_at(F.array(*(F.lit(float(w)) for w in weights)), (F.col("place") % len(weights) + 1).cast("int"))
     sources = sources.withColumn("weight", weight).withColumn("cap", F.lit(epochs) * F.col("source_size").cast("double"))
-    by_cap = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    onward = by_cap.rowsBetween(Window.currentRow, Window.unboundedFollowing)
-    whole_table = Window.partitionBy().rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sources = sources.withColumns({
-        "level": (F.lit(share) * F.sum("source_size").over(whole_table).cast("double") - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(onward),
-        "place": F.row_number().over(by_cap),
-    })
+    by_cap = [F.col("cap") / F.col("weight"), *by_name]
+    sources = checkpointed(running_totals(sources, by_cap, {"caps": F.col("cap"), "weights": F.col("weight")}))
+    every = sources.agg(F.sum("source_size").cast("double").alias("words"), F.sum("weight").alias("weights")).first()
+    left = F.lit(share) * F.lit(every.words) - F.col("caps")
+    sources = sources.withColumn("level", left / (F.lit(every.weights) - F.col("weights")))
     free = F.col("cap") / F.col("weight") > F.col("level")
-    level = F.min_by(F.when(free, F.col("level")), F.when(free, F.col("place"))).over(whole_table)
-    sources = sources.withColumn("target", F.when(free, F.col("weight") * level).otherwise(F.col("cap")))
+    # The first source above its level, in order of cap over weight, has the level of all that are not clamped.
+    level = sources.where(free).agg(F.min_by("level", F.struct(*(c.alias(f"o{i}") for i, c in enumerate(by_cap))))).first()[0]
+    sources = sources.withColumn("target", F.when(free, F.col("weight") * F.lit(level).cast("double")).otherwise(F.col("cap")))
     sources = sources.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long"))
     sources = checkpointed(sources.select("source", "source_size", "target", "whole", (F.col("target") - F.col("whole") * F.col("source_size")).alias("rest")))
     upto = F.sum("words").over(Window.partitionBy("source").orderBy("bin"))
