@@ -6,8 +6,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Longest text, in bytes, that a classifier is fitted on; scoring takes texts of any length.
-FIT_TEXT_BYTES = 1 << 16
+#: Characters of a text that a classifier is fitted on at most; scoring takes texts of any length, whole.
+FIT_CHARS = 1 << 15
 
 
 def fold(doc_id: str, folds: int) -> Column:
@@ -15,11 +15,19 @@ def fold(doc_id: str, folds: int) -> Column:
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % folds
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: dict[int, int]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+def window(text: Column, doc_id: Column, most: int) -> Column:
+    """The text, or of a longer one `most` characters from a place that the doc_id draws."""
+    room = F.length(text) - most
+    first = F.pmod(F.xxhash64(doc_id, F.lit("window")), F.greatest(room, F.lit(0)) + 1) + 1
+    return F.when(room > 0, F.substr(text, first.cast("int"), F.lit(most))).otherwise(text)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: dict[int, int], chars: int = FIT_CHARS) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Texts, labels and weights of up to most[y] labelled documents of each class y, outside the held-out fold.
 
     The sample is in seeded hash order, so reruns agree. Weights restore the share that each class has among all labelled
-    rows. A doc_id labelled twice takes the smaller label, one of several texts the least; null labels and null or overlong texts are left out.
+    rows. A doc_id labelled twice takes the smaller label, one of several texts the least; null labels and null texts are
+    left out. Of a text over `chars` characters a window of so many is taken, drawn by its doc_id.
     """
     known = labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull() & (fold("doc_id", folds) != held))
     known = known.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("y")).where(F.col("y").isin(*most))
@@ -31,8 +39,9 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int,
     if not chosen:
         return [], np.zeros(0), np.zeros(0)
     picked = docs.sparkSession.createDataFrame(chosen, known.schema)  # at most the sum of most
-    texts = docs.select("doc_id", "text").where(F.octet_length("text") <= FIT_TEXT_BYTES)
-    once = texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    texts = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text IS NOT NULL")
+    cut = texts.join(F.broadcast(picked), "doc_id").withColumn("text", window(F.col("text"), F.col("doc_id"), chars))
+    once = cut.groupBy("doc_id", "y").agg(F.min("text").alias("text"))
     rows = once.orderBy(F.xxhash64("doc_id", F.lit("fit")), "doc_id").toLocalIterator()
     found = [(r.text.encode(), r.y) for r in rows]
     y = np.array([k for _, k in found], float)
