@@ -5,8 +5,11 @@ max-pooled, and two neighbouring blocks make a chunk, so chunks overlap by half
 the maximum over a document's chunks, and the logarithm of its length, go through a hidden layer into one probability. Bytes are embedded, so a filter's
 products are a table by place and byte, and scoring adds table rows for all documents of a batch at once.
 
-It is fitted on the driver by Adam, seeded, on at most FIT_DOCS labelled documents a class. Without labels of both
-classes the score is the share of label 1, or 0.5. Null texts are empty; an empty text is a single padded block.
+It is fitted on the driver by Adam, seeded, on at most FIT_DOCS labelled documents a class, of texts over FIT_CHARS
+characters on a window of so many; scores are of whole texts. Without labels of both classes the score is the share of
+label 1, or 0.5. Null texts are empty; an empty text is a single padded block. Repeated rows get equal scores, a row
+each; a table without rows gives none; a very long text is scored alone, in strips of STRIP blocks. Columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations

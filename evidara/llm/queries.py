@@ -9,48 +9,59 @@ from .common import table
 
 
 def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose 3-word SimHash fingerprints differ in two bits at most."""
     return simhash.simhash_groups(table(spark, sf_dir, "documents"))
 
 
 def word_tokenizer() -> str:
+    """The path of the vocabulary file that op8 and the pipeline encode with."""
     import public_tokenizers
 
     return public_tokenizers.path("word_bpe_49k.json")
 
 
 def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best other vectors of every hundredth vec_id, by integer inner product."""
     return topk.top_k(table(spark, sf_dir, "embeddings"))
 
 
 def op2_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that stand in ten-word windows of benchmark items, and the items."""
     return decontaminate.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items")
 
 
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document without the words of 20-word windows that start earlier."""
     return substrings.remove_repeats(table(spark, sf_dir, "documents"))
 
 
 def op4_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of each document, learned from labels outside its fold."""
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")).drop("spans")
 
 
 def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page as written to archives and read back, repeated payloads as revisits."""
     return warc.archive_round_trip(table(spark, sf_dir, "pages"))
 
 
 def op6_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of each document: base spans, and with those that contexts add."""
     return pii.personal_data(table(spark, sf_dir, "documents"))
 
 
 def op7_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of each document, learned from labels outside its fold."""
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document in the token files: where it starts, how many ids, their checksum."""
     return token_files.token_output(table(spark, sf_dir, "documents"), word_tokenizer())
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that the mix by source weights takes."""
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 

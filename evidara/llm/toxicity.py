@@ -11,9 +11,11 @@ together, and a scan over the rows' composed maps links them: exact, whatever th
 merged into spans (code point offsets), and a logistic regression on the expected number of toxic tokens and on their summed
 log-odds gives the document's score.
 
-It is fitted on the driver on at most FIT_TOXIC toxic and FIT_CLEAN other documents. Without labels of both classes the
-score is the share of label 1, or 0.5, and there are no spans. Null texts are empty; texts without words have no spans
-and the score of no evidence.
+It is fitted on the driver on at most FIT_TOXIC toxic and FIT_CLEAN other documents, of texts over FIT_CHARS characters on
+a window of so many; scores are of whole texts. Without labels of both classes the score is the share of label 1, or 0.5,
+and there are no spans. Null texts are empty; texts without words have no spans and the score of no evidence. Repeated
+rows get equal scores, a row each; a table without rows gives none; a very long text is scored alone. Columns other than
+doc_id and text are not read, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, BYTE_BASE, Words, mix64, pieces, polynomial
+from .common import ALNUM, Words, mix64, pieces, span_hashes
 from .fitting import base_rate, fold, labelled_sample, logistic, sigmoid
 
 FIT_TOXIC, FIT_CLEAN, PREFIX, BUCKETS = 1200, 3000, 6, 1 << 18
@@ -39,10 +41,8 @@ class Tokens:
 
     def __init__(self, texts: list[bytes]):
         self.words = w = Words([t.lower() for t in texts], ALNUM)
-        prefix, inverse = polynomial(w.raw.astype(np.uint64) + np.uint64(1), BYTE_BASE)
-        cut = np.minimum(w.end, w.start + PREFIX)
-        whole = (prefix[w.end] - prefix[w.start]) * inverse[w.start] + (w.end - w.start).astype(np.uint64)
-        short = (prefix[cut] - prefix[w.start]) * inverse[w.start] + np.uint64(97)
+        whole = span_hashes(w.raw, w.start, w.end) + (w.end - w.start).astype(np.uint64)
+        short = span_hashes(w.raw, w.start, np.minimum(w.end, w.start + PREFIX)) + np.uint64(97)
         self.word = (mix64(whole) >> np.uint64(46)).astype(np.int64)
         self.prefix = (mix64(short) >> np.uint64(46)).astype(np.int64)
         self.doc, self.n, self.texts = w.doc, len(w.doc), len(texts)
