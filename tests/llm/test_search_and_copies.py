@@ -49,6 +49,15 @@ def test_top_k_in_blocks(spark, monkeypatch):
     assert top(spark, rows, k=4, step=6) == brute_top(rows, 4, 6)
 
 
+def test_top_k_in_files(spark, monkeypatch):
+    """Blocks of queries in files, candidates gathered by the batch, lengths mixed."""
+    monkeypatch.setattr(topk, "QUERY_BYTES", 300)
+    monkeypatch.setattr(topk, "GATHER_BYTES", 900)
+    r = np.random.default_rng(2)
+    rows = [(i, r.normal(0, 0.3, 5 + i % 3).tolist()) for i in range(150)] + [(20, [9.0] * 5), (151, None)]
+    assert top(spark, rows, k=3, step=5) == brute_top(rows, 3, 5)
+
+
 def test_top_k_beyond_doubles(spark):
     rows = [(i, [x * 1e3 + i, -3.5e5, 7.25]) for i, x in enumerate((1.0, -2.0, 3.0, 900.0, 17.5))]
     assert top(spark, rows, k=2, step=2) == brute_top(rows, 2, 2)
@@ -181,6 +190,27 @@ def test_removal(spark, monkeypatch, shard):
     assert sorted(map(tuple, found.collect()), key=str) == sorted(brute_removal(rows), key=str)
 
 
+@pytest.mark.parametrize("words, heavy", [(60, 4), (1 << 17, 2)])
+def test_removal_with_small_shards_and_split_joins(spark, monkeypatch, words, heavy):
+    """Shards bounded by words, and joins that split nearly every key, give the same rows."""
+    monkeypatch.setattr(substrings, "SHARD_WORDS", words)
+    monkeypatch.setattr(substrings, "EMIT", 7)
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    rows = repetitive(90, seed=6)
+    found = substrings.remove_repeats(docs(spark, rows), texts=True)
+    assert sorted(map(tuple, found.collect()), key=str) == sorted(brute_removal(rows), key=str)
+
+
+def test_removal_at_the_ends_of_ids(spark):
+    """Ids at both ends of long stay; a null id counts as larger than the largest, and null rows are documents of their own."""
+    text = " ".join(map(str, range(30)))
+    other = " ".join(f"w{i}" for i in range(25))
+    most, least = (1 << 63) - 1, -(1 << 63)
+    rows = [(most, text), (least, "x " + text), (None, text + " y"), (None, other), (most, other), (None, None)]
+    got = sorted(((r.doc_id, r.n_words, r.n_removed) for r in substrings.remove_repeats(docs(spark, rows)).collect()), key=str)
+    assert got == sorted([(most, 30, 30), (least, 31, 0), (None, 31, 30), (None, 25, 25), (most, 25, 0), (None, 0, 0)], key=str)
+
+
 def test_removal_of_repeated_rows_and_nothing(spark):
     text = " ".join(map(str, range(30)))
     rows = substrings.remove_repeats(docs(spark, [(1, text), (1, text), (2, text)])).collect()
@@ -238,6 +268,24 @@ def test_decontamination(spark, monkeypatch, block):
     assert sorted(r.doc_id for r in clean.collect()) == [2, 4, 5, 7]
 
 
+def test_decontamination_by_join(spark, monkeypatch):
+    """Many texts and items, with common passages, through the join of fingerprints and through the index."""
+    r = random.Random(9)
+    some = lambda n: " ".join(r.choice("abcdefgh") + str(r.randrange(4)) for _ in range(n))
+    passage = some(14)
+    items = [(i, r.choice([some(30), some(12) + " " + passage, some(3), passage, some(9)])) for i in range(30)]
+    rows = [(i, some(40) + " " + r.choice([passage, passage[:30], r.choice(items)[1], r.choice(items)[1][5:60], ""]) + " " + some(5)) for i in range(150)] + [(None, passage), (None, "x"), (3, passage)]
+    want = sorted(brute_hits(rows, items), key=str)
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    assert sum(w[5] for w in want) > 40
+    for block, heavy in ((1 << 20, 4096), (1, 4096), (1, 3)):
+        monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+        monkeypatch.setattr(common, "HEAVY", heavy)
+        assert sorted(map(tuple, decontaminate.decontaminate(docs(spark, rows), bench).collect()), key=str) == want
+        clean = decontaminate.clean_documents(docs(spark, rows), bench).collect()
+        assert sorted((str(x.doc_id), x.text) for x in clean) == sorted((str(d), t) for (d, t), w in zip(rows, brute_hits(rows, items)) if not w[5])
+
+
 def test_decontamination_without_items_or_documents(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert not any(r.contaminated for r in decontaminate.decontaminate(docs(spark, TEXTS), none).collect())
@@ -251,4 +299,66 @@ def test_winnowing_guarantee():
         shared = " ".join(r.choice("abcdef") + str(r.randrange(6)) for _ in range(10)).encode()
         around = lambda: " ".join(str(r.randrange(99)) for _ in range(r.randrange(9))).encode()
         index = decontaminate.build_index([("i", around() + b" " + shared + b" " + around())])
-        assert decontaminate.scan([around() + b" " + shared + b" " + around()], [lambda: index])[1][0] >= 10
+        assert decontaminate.scan([around() + b" " + shared + b" " + around()], index)[1][0] >= 10
+
+
+# ---------------------------------------------------------------------------------------------- shared helpers
+
+
+def test_broadcast_by_bytes(spark):
+    few = spark.range(10)
+    wide = few.selectExpr("id", "repeat('é', 500) AS s", "array(id, id) AS a", "named_struct('t', repeat('z', 100)) AS n")
+    size = wide.agg(common.F.sum(common.row_bytes(wide))).first()[0]
+    assert 10 * 1100 < size < 10 * 1400
+    assert common.is_broadcast(common.broadcast_if_small(wide, size)) and not common.is_broadcast(common.broadcast_if_small(wide, size - 1))
+    assert common.is_broadcast(common.broadcast_if_small(few)) and common.is_broadcast(common.broadcast_if_small(few.where("false"), 0))
+    for most in (1 << 20, 0):
+        assert few.join(common.broadcast_if_small(few.where("id > 6"), most), "id").count() == 3
+
+
+@pytest.mark.parametrize("heavy", [4096, 5, 1])
+def test_spread_join(spark, monkeypatch, heavy):
+    monkeypatch.setattr(common, "HEAVY", heavy)
+    rows = [(("hot", "a", "b", None)[min(i % 7, 3)] if i % 7 else "hot", i) for i in range(300)]
+    many = spark.createDataFrame(rows, "k string, i long")
+    few = many.where("k IN ('hot', 'b')").groupBy("k").agg(common.F.count("*").alias("n")).withColumn("x", common.F.length("k"))
+    got = common.spread_join(many, common.checkpointed(few), "k", 300, common.F.xxhash64("i"))
+    assert sorted((r.k, r.i, r.x) for r in got.collect()) == sorted((k, i, len(k)) for k, i in rows if k in ("hot", "b"))
+
+
+@pytest.mark.parametrize("parts", [1, 5])
+def test_running_totals(spark, parts):
+    r = random.Random(1)
+    rows = [(r.randrange(50), i, r.randrange(9)) for i in range(200)]
+    df = spark.createDataFrame(rows, "a long, i long, w long")
+    got = common.running_totals(df, [common.F.col("a"), common.F.col("i")], {"before": common.F.col("w"), "place": common.F.lit(1).cast("bigint")}, parts)
+    at, want = 0, []
+    for n, (a, i, w) in enumerate(sorted(rows)):
+        want.append((a, i, w, at, n))
+        at += w
+    assert sorted(map(tuple, got.collect())) == want
+    assert common.running_totals(df.where("false"), [common.F.col("i")], {"before": common.F.col("w")}).count() == 0
+
+
+def test_no_machine_local_folder_on_a_cluster():
+    class Context:
+        master = "spark://host:7077"
+        getConf = staticmethod(dict)
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        sparkContext = Context
+        conf = type("Conf", (), {"get": staticmethod(lambda k: "100")})
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Session)
+
+
+def test_hashes_do_not_depend_on_the_strip(monkeypatch):
+    texts = [b"a bb ccc " * 50, b"", b"x" * 5000 + b" yy", b"a bb"]
+    want = common.Words(texts, common.NOT_SPACE).hashes()
+    for n in (1, 7, 100):
+        monkeypatch.setattr(common, "HASH_BYTES", n)
+        w = common.Words(texts, common.NOT_SPACE)
+        assert (w.hashes() == want).all()
+    assert len(set(want.tolist())) == len({w.word(i) for i in range(len(w.start))})
