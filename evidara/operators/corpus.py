@@ -10,6 +10,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import document_id
+from ..sources.config import Lexicon
+from ..sources.decisions import decision_text
+from .lexicon import outputs
 from .linkage import linked, per_key
 from .sampling import BLIND, SEED, STRATA, Stratum, blind_round, quota_matched, stratified, top_per_key
 from .worksheet import LABEL_COLUMNS
@@ -82,6 +85,26 @@ def blind_sample(sample: DataFrame, total: int, seed: int | str = SEED) -> DataF
     return blind_round(sample, total, seed, BLIND, tuple(h for h in HINTS if h not in ("context_1", "context_2")))
 
 
+def decision_stats(decisions: DataFrame) -> DataFrame:
+    """part (all, year or body), name, decisions, with_theme, with_citations, registrations (distinct).
+
+    One aggregation by year, body and registration fills all parts; undated decisions are in no year.
+    """
+    cells = decisions.groupBy(F.year("data_publicacao").cast("string").alias("year"), F.col("orgao_slug").alias("body"), "numero_registro").agg(
+        F.count("*").alias("n"), F.count("tema").alias("themed"), F.count_if(F.col("n_citations") > 0).alias("citing")
+    )
+    named = F.array(F.struct(F.lit("all").alias("part"), F.lit(None).cast("string").alias("name")), F.struct(F.lit("year").alias("part"), F.col("year").alias("name")), F.struct(F.lit("body").alias("part"), F.col("body").alias("name")))
+    each = cells.select(F.inline(named), "numero_registro", "n", "themed", "citing").where("part <> 'year' OR name IS NOT NULL")
+    by = each.groupBy("part", "name", "numero_registro").agg(*(F.sum(c).alias(c) for c in ("n", "themed", "citing")))
+    return by.groupBy("part", "name").agg(F.sum("n").alias("decisions"), F.sum("themed").alias("with_theme"), F.sum("citing").alias("with_citations"), F.count("numero_registro").alias("registrations"))
+
+
+def scan_decisions(decisions: DataFrame, lexicon: Lexicon) -> dict[str, DataFrame]:
+    """Candidates and their hits among decision summaries; near misses are not kept. One scan feeds both, as in outputs."""
+    out = outputs(decision_text(decisions), lexicon)
+    return {k: out[k] for k in ("scanned", "candidates", "hits")}
+
+
 def by_registry(documents: DataFrame, candidates: DataFrame, on: list[str]) -> DataFrame:
     """numero_registro, year (where documents have a key), strict, candidate: flags of any of its documents."""
     c = candidates.select(*on, F.col("strict_hit").alias("strict"), F.col("is_candidate").alias("candidate"))

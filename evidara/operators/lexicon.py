@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..sources.config import TIERS, Lexicon, Pattern
@@ -136,21 +137,22 @@ def hit_rows(scanned: DataFrame) -> DataFrame:
     return scanned.select("seq_documento", "key", F.inline("hits")).to(schemas.HITS)
 
 
-def summaries(scanned: DataFrame, lexicon: Lexicon) -> DataFrame:
-    """schemas.CANDIDATES: a row a document, from the array of its own hits, so without a shuffle."""
+def summaries(scanned: DataFrame, lexicon: Lexicon, keep: tuple[str, ...] = ()) -> DataFrame:
+    """schemas.CANDIDATES and the columns to keep: a row a document, from the array of its own hits, so without a shuffle."""
     kept = F.filter("hits", lambda h: h["excluded_by"].isNull())
     distinct = lambda field: F.array_sort(F.array_distinct(F.transform(kept, lambda h: h[field])))
     numbers = F.flatten(F.transform(kept, lambda h: F.transform(F.filter(F.split(h["annex_a"], ";"), lambda x: x != ""), lambda x: x.cast("int"))))
     own = F.filter(kept, lambda h: h["tier"].isin(*lexicon.candidate_tiers))
     tiers = distinct("tier")
+    kinds = StructType([*schemas.CANDIDATES.fields, *(scanned.schema[c] for c in keep)])
     return scanned.select(
-        "seq_documento", "key", F.size(kept).cast("bigint").alias("n_hits"), F.size(distinct("pattern_id")).cast("bigint").alias("n_patterns"),
+        *keep, "seq_documento", "key", F.size(kept).cast("bigint").alias("n_hits"), F.size(distinct("pattern_id")).cast("bigint").alias("n_patterns"),
         F.array_join(distinct("pattern_id"), ";").alias("patterns"), F.array_join(tiers, ";").alias("tiers"),
         F.array_join(F.array_sort(F.array_distinct(numbers)), ";").alias("annex_a_items"),
         *(F.array_contains(tiers, t).alias(f"{t}_hit") for t in TIERS),
         ((F.size(own) > 0) & F.forall(own, lambda h: h["negated_hint"])).alias("negated_all"),
         (F.size("hits") - F.size(kept)).cast("bigint").alias("n_excluded"), (F.size(own) > 0).alias("is_candidate"), F.lit(lexicon.version).alias("lexicon_version"),
-    ).to(schemas.CANDIDATES)
+    ).to(kinds)
 
 
 def outputs(docs: DataFrame, lexicon: Lexicon) -> dict[str, DataFrame]:
@@ -164,11 +166,12 @@ def outputs(docs: DataFrame, lexicon: Lexicon) -> dict[str, DataFrame]:
 
 
 def pattern_counts(hits: DataFrame) -> DataFrame:
-    """pattern_id, tier, documents, hits, negated share and excluded hits."""
+    """pattern_id, tier, documents, hits, negated share and excluded hits. Hits are summed by document first, then by pattern."""
     kept = F.col("excluded_by").isNull()
-    return hits.groupBy("pattern_id", "tier").agg(
-        F.count_distinct(F.when(kept, F.struct("key", "seq_documento"))).alias("documents"), F.count_if(kept).alias("hits"),
-        F.round(100 * F.count_if(kept & F.col("negated_hint")) / F.nullif(F.count_if(kept), F.lit(0)), 1).alias("pct_negated"), F.count_if(~kept).alias("dropped"),
+    each = hits.groupBy("pattern_id", "tier", "key", "seq_documento").agg(F.count_if(kept).alias("own"), F.count_if(kept & F.col("negated_hint")).alias("negated"), F.count_if(~kept).alias("out"))
+    own = F.sum("own")
+    return each.groupBy("pattern_id", "tier").agg(
+        F.count_if(F.col("own") > 0).alias("documents"), own.alias("hits"), F.round(100 * F.sum("negated") / F.nullif(own, F.lit(0)), 1).alias("pct_negated"), F.sum("out").alias("dropped"),
     )
 
 

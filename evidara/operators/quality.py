@@ -83,9 +83,28 @@ def undone(work: DataFrame, log: DataFrame, key: list[str]) -> DataFrame:
 
 
 def field_profile(rows: DataFrame, fields: list[str] | None = None) -> DataFrame:
-    """field, rows, filled, missing, distinct_values of each column, in one pass; empty texts count as missing."""
-    fields = fields or rows.columns
-    text = {c: F.nullif(F.trim(F.col(c).cast("string")), F.lit("")) for c in fields}
-    one = rows.agg(F.count("*").alias("_rows"), *(x for i, c in enumerate(fields) for x in (F.count(text[c]).alias(f"f{i}"), F.count_distinct(text[c]).alias(f"d{i}"))))
-    each = F.array(*(F.struct(F.lit(c).alias("field"), F.col("_rows").alias("rows"), F.col(f"f{i}").alias("filled"), (F.col("_rows") - F.col(f"f{i}")).alias("missing"), F.col(f"d{i}").alias("distinct_values")) for i, c in enumerate(fields)))
-    return one.select(F.inline(each))
+    """field, rows, filled, missing, distinct_values of each column; empty texts count as missing.
+
+    Values are counted field by field, each from its own column alone, and values are combined before the shuffle: distinct
+    counts of several fields in one aggregation would carry every row once for each of them.
+    """
+    out = None
+    for c in fields or rows.columns:
+        values = rows.groupBy(F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("value")).agg(F.count("*").alias("n"))
+        total, filled = F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum(F.when(F.col("value").isNotNull(), F.col("n"))), F.lit(0))
+        one = values.agg(total.alias("rows"), filled.alias("filled"), F.count("value").alias("distinct_values"))
+        one = one.select(F.lit(c).alias("field"), "rows", "filled", (F.col("rows") - F.col("filled")).alias("missing"), "distinct_values")
+        out = one if out is None else out.union(one)
+    return out
+
+
+def terms(rows: DataFrame, fields: list[str], k: int) -> DataFrame:
+    """field, value, n: the k commonest values of each field, ties by value, and with a null value the rows without one."""
+    out = None
+    for c in fields:
+        value = F.nullif(F.trim(F.col(c).cast("string")), F.lit("")).alias("value")
+        counts = rows.groupBy(value).agg(F.count("*").alias("n")).select(F.lit(c).alias("field"), "value", "n")
+        top = counts.where("value IS NOT NULL").orderBy(F.col("n").desc(), "value").limit(k)
+        none = counts.where("value IS NULL")
+        out = top.union(none) if out is None else out.union(top).union(none)
+    return out

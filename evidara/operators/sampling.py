@@ -64,8 +64,9 @@ def blind_round(sample: DataFrame, total: int, seed: str | int, fraction: float
 def quota_matched(pool: DataFrame, wanted: DataFrame, cell: list[str], ratio: float, seed: str | int, key: list[str]) -> DataFrame:
     """From pool, ceil(ratio * rows of wanted) rows in each cell; a higher ratio only adds rows."""
     quota = wanted.groupBy(*cell).agg(F.ceil(F.count("*") * ratio).alias("quota"))
+    most = quota.agg(F.max("quota")).first()[0] or 0  # known beforehand, it limits what a task ranks and passes on
     order = Window.partitionBy(*cell).orderBy(seeded_md5(seed, *(F.col(k) for k in key)), *key)
-    return pool.join(quota, cell).withColumn("place", F.row_number().over(order)).where("place <= quota")
+    return pool.join(quota, cell).withColumn("place", F.row_number().over(order)).where(F.col("place") <= most).where("place <= quota")
 
 
 def top_per_key(rows: DataFrame, key: list[str], order: list[Column], most: int, columns: list[str]) -> DataFrame:
@@ -82,13 +83,22 @@ def stratum_rank(stratum: Column, strata: tuple[Stratum, ...] = STRATA) -> Colum
 
 
 def batch_plan(rows: DataFrame, per_day: int = 25, seed: int = SEED) -> DataFrame:
-    """ordem, lote, stratum, doc_id, feito for each row of an annotation worksheet (people label it, so it is small)."""
+    """ordem, lote, stratum, doc_id, feito for each row of an annotation worksheet.
+
+    The order begins with stratum and seeded hash, so rows are placed within a stratum and the first two digits of the
+    hash, and a table of these, 256 rows a stratum, says how many come before: no task orders all rows.
+    """
     if per_day < 1:
         raise ValueError("per_day must be 1 or more")
     name, doc = F.trim(F.coalesce("stratum", F.lit(""))), F.trim(F.coalesce("doc_id", F.lit("")))
-    ordem = F.row_number().over(Window.orderBy(stratum_rank(name), name, seeded_order(doc, seed), doc))
     done = F.length(F.trim(F.coalesce("label1_status", F.lit("")))) > 0
-    placed = rows.select(ordem.alias("ordem"), name.alias("stratum"), doc.alias("doc_id"), done.alias("feito"))
+    drawn = rows.select(stratum_rank(name).alias("rank"), name.alias("stratum"), seeded_order(doc, seed).alias("hash"), doc.alias("doc_id"), done.alias("feito"))
+    part = ["rank", "stratum", "head"]
+    drawn = drawn.withColumn("head", F.substring("hash", 1, 2))
+    before = F.coalesce(F.sum("n").over(Window.orderBy(*part).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = drawn.groupBy(*part).agg(F.count("*").alias("n")).select(*part, before.alias("before"))
+    own = F.row_number().over(Window.partitionBy(*part).orderBy("hash", "doc_id"))
+    placed = drawn.withColumn("own", own).join(F.broadcast(sizes), part).withColumn("ordem", (F.col("before") + F.col("own")).cast("int"))
     return placed.select("ordem", (F.floor((F.col("ordem") - 1) / per_day) + 1).cast("int").alias("lote"), "stratum", "doc_id", "feito")
 
 

@@ -139,6 +139,14 @@ def cohen_kappa(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return seen.join(F.broadcast(chance)).select("n", F.when(F.col("n") > 0, kappa).alias("kappa"))
 
 
+def round_agreement(first: DataFrame, second: DataFrame) -> DataFrame:
+    """One row: documents labelled in both rounds (annotated frames), and kappa of their statuses and of their grounds."""
+    side = lambda r, p: r.select("doc_id", F.col("status").alias(f"{p}s"), F.array_join("grounds", ";").alias(f"{p}g"))
+    pairs = side(first, "a").join(side(second, "b"), "doc_id")
+    status = cohen_kappa(pairs, "as", "bs").select("n", F.col("kappa").alias("kappa_status"))
+    return status.join(F.broadcast(cohen_kappa(pairs, "ag", "bg").select(F.col("kappa").alias("kappa_grounds"))))
+
+
 # Criterion, value column, threshold for go, threshold for reformulate.
 CRITERIA = (
     ("candidates reviewed", "reviewed", 1000.0, 500.0),

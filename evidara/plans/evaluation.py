@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import lexicon as L
 from ..operators import sampling, validation, worksheet
 from ..operators.sampling import Stratum
+from ..session import stored
 from .lexicons import _CANDIDATE, _N, PLAIN
 from .tables import table, texts
 
@@ -15,18 +16,23 @@ STRATA = (Stratum("strict", 12, "strict_hit"), Stratum("conduct_multi", 8, "cond
 
 
 def _flagged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a scan says of each document, with its language: one pass over the texts, without a join."""
     d = texts(spark, sf_dir).withColumn("hits", L.all_hits(F.col("text"), PLAIN))
-    s = L.summaries(d, PLAIN)
-    return s.join(d.select("seq_documento", "lang"), "seq_documento").withColumn("doc_id", F.col("seq_documento"))
+    return L.summaries(d, PLAIN, ("lang",)).withColumn("doc_id", F.col("seq_documento"))
 
 
-def _strata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    f = _flagged(spark, sf_dir)
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same written once, without texts, for plans that use it more than once."""
+    return stored(_flagged(spark, sf_dir), "scanned")
+
+
+def _strata(spark: SparkSession, sf_dir: str, scanned: DataFrame | None = None) -> DataFrame:
+    f = _flagged(spark, sf_dir) if scanned is None else scanned
     return f.groupBy(sampling.stratum_of(STRATA).alias("stratum")).agg(F.count("*").alias("available"))
 
 
 def _sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sampling.stratified(_flagged(spark, sf_dir), 20260922, ["key", "seq_documento"], STRATA).select("doc_id", "key", "stratum", "available", "place")
+    return sampling.stratified(_scanned(spark, sf_dir), 20260922, ["key", "seq_documento"], STRATA).select("doc_id", "key", "stratum", "available", "place")
 
 
 def _blind(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,18 +43,18 @@ def _seeded(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.seeded_sample(table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey"), 100, 42, "o_orderkey")
 
 
-def _gold(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _gold(spark: SparkSession, sf_dir: str, scanned: DataFrame | None = None) -> DataFrame:
     """Labelled documents: status from quality and toxicity, strata, patterns and grounds from the scan."""
-    f = _flagged(spark, sf_dir).withColumn("stratum", sampling.stratum_of(STRATA))
+    f = (_flagged(spark, sf_dir) if scanned is None else scanned).withColumn("stratum", sampling.stratum_of(STRATA))
     l = table(spark, sf_dir, "labels")
     status = F.when(F.col("toxic") == 1, F.when(F.col("quality") == 1, "S3").otherwise("S2")).when(F.col("doc_id") % 10 == 0, "NA").when(F.col("quality") == 0, "S1").otherwise("S0")
     grounds = F.filter(F.split("annex_a_items", ";"), lambda x: x != "")
     return l.join(f, "doc_id").select("doc_id", "stratum", status.alias("status"), F.col("is_candidate").alias("flagged"), F.filter(F.split("patterns", ";"), lambda p: p != "").alias("patterns"), F.transform(grounds, lambda g: F.concat(F.lit("A"), g)).alias("grounds"))
 
 
-def _log(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _log(spark: SparkSession, sf_dir: str, scanned: DataFrame | None = None) -> DataFrame:
     size = F.create_map(*(F.lit(x) for s in STRATA for x in (s.name, s.size)))[F.col("stratum")]
-    return _strata(spark, sf_dir).withColumn("sampled", F.least(size, F.col("available")))
+    return _strata(spark, sf_dir, scanned).withColumn("sampled", F.least(size, F.col("available")))
 
 
 def _metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,8 +66,9 @@ def _metrics_by(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    gold = _gold(spark, sf_dir).persist()  # labelled rows: read three times, and few
-    out = validation.estimates(gold, validation.weights(_strata(spark, sf_dir), gold), validation.estimability(gold, _log(spark, sf_dir)))
+    scanned = _scanned(spark, sf_dir)
+    gold = _gold(spark, sf_dir, scanned)
+    out = validation.estimates(gold, validation.weights(_strata(spark, sf_dir, scanned), gold), validation.estimability(gold, _log(spark, sf_dir, scanned)))
     return out.select("positive", "kind", *(F.round(c, 6).alias(c) for c in ("tp", "fp", "fn", "tn")), "precision", "recall", "f1")
 
 
@@ -70,7 +77,8 @@ def _weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _estimability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = validation.estimability(_gold(spark, sf_dir), _log(spark, sf_dir))
+    scanned = _scanned(spark, sf_dir)
+    e = validation.estimability(_gold(spark, sf_dir, scanned), _log(spark, sf_dir, scanned))
     return e.withColumn("precision_scope", F.array_join("precision_scope", ";"))
 
 
@@ -79,6 +87,15 @@ def _kappa(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.cohen_kappa(pairs)
 
 
+def _rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Agreement of the worksheet with a second labelling of every other row, in which some labels differ."""
+    first, i = _sheet(spark, sf_dir).withColumn("patterns", F.lit("")), F.col("doc_id").cast("bigint")
+    second = first.where(i % 2 == 0).withColumns({
+        "label1_status": F.when(i % 5 == 0, F.lit("S1")).otherwise(F.col("label1_status")), "label2_grounds": F.when(i % 3 == 0, F.lit("A3")).otherwise(F.col("label2_grounds")),
+    })
+    return validation.round_agreement(validation.annotated(first), validation.annotated(second))
+
+
 def _verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = _metrics(spark, sf_dir)
     v = m.select(F.lit(399).alias("reviewed"), (F.col("tp") + F.col("fn")).alias("confirmed"), "precision", F.lit(0.7).alias("kappa"), F.lit(0.5).alias("bridge_rate"), F.lit(None).cast("double").alias("trajectory_rate"))
@@ -131,7 +148,7 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "strata_available": _strata, "stratified_sample": _sample, "blind_sample": _blind, "seeded_sample": _seeded, "gold_metrics": _metrics, "gold_metrics_by_stratum": _metrics_by,
     "masked_estimates": _estimates, "stratum_weights": _weights, "estimability": _estimability, "per_pattern_precision": lambda s, d: validation.per_pattern(_gold(s, d)), "ground_counts": lambda s, d: validation.ground_counts(_gold(s, d), 20),
-    "cohen_kappa": _kappa, "go_no_go": _verdicts, "worksheet_issues": _issues, "worksheet_progress": _progress, "worksheet_pace": _pace, "batch_plan": _plan, "next_batch": _next, "blind_schedule": _schedule, "blind_gaps": _gaps,
+    "cohen_kappa": _kappa, "kappa_two_rounds": _rounds, "go_no_go": _verdicts, "worksheet_issues": _issues, "worksheet_progress": _progress, "worksheet_pace": _pace, "batch_plan": _plan, "next_batch": _next, "blind_schedule": _schedule, "blind_gaps": _gaps,
 }
 
 _F = f"""WITH f AS (SELECT doc_id, source AS key, lang, {_N['insult']} > 0 AS strict_hit, {_N['scorn']} > 0 AS conduct_hit, {_CANDIDATE} AS is_candidate,
@@ -151,6 +168,51 @@ def _scores(good: str, weight: str, source: str, by: str = "") -> str:
         SELECT *, tp / nullif(tp + fp, 0) AS p, tp / nullif(tp + fn, 0) AS r FROM (SELECT {by} {cells} FROM {source} {'GROUP BY ' + by.rstrip(', ') if by else ''}))"""
 
 
+def _kappa_sql(a: str, b: str) -> str:
+    """Cohen's kappa of two columns of q."""
+    chance = f"(SELECT sum(x.n * y.n) FROM (SELECT {a} AS v, count(*) AS n FROM q GROUP BY 1) x JOIN (SELECT {b} AS v, count(*) AS n FROM q GROUP BY 1) y USING (v))"
+    return f"SELECT CASE WHEN n = 0 THEN NULL WHEN e = 1 THEN CASE WHEN o = 1 THEN 1.0 ELSE 0.0 END ELSE round_even((o - e) / (1 - e), 4) END::DOUBLE FROM (SELECT count(*) AS n, count(*) FILTER ({a} = {b}) / count(*) AS o, coalesce({chance}, 0) / (count(*) * count(*)) AS e FROM q)"
+
+
+_RAW = """WITH raw AS (SELECT doc_id::VARCHAR AS id, ['strict', 'conduct_multi', 'control_unflagged', 'elsewhere'][(doc_id % 4 + 1)::INT] AS stratum, ['S3', '', 's2', 'S0', 'NA', 'Q'][(doc_id % 6 + 1)::INT] AS raw, ['A7;A7', '', 'MAFE;A3', 'zz'][(doc_id % 4 + 1)::INT] AS l2,
+    upper(['M0', '', 'M5', 'M9', 'm1'][(doc_id % 5 + 1)::INT]) AS measure, ['D1', '', 'D7'][(doc_id % 3 + 1)::INT] AS domain, ['because', ''][(doc_id % 2 + 1)::INT] AS reason, ['3,5', '', '500', 'x', '2'][(doc_id % 5 + 1)::INT] AS spent,
+    ['ann', ''][(doc_id % 2 + 1)::INT] AS annotator, ['2026-10-02', '05/10/2026', '', 'soon'][(doc_id % 4 + 1)::INT] AS day, ['v0.1', 'v0.2', ''][(doc_id % 3 + 1)::INT] AS version FROM labels),
+  w AS (SELECT *, upper(raw) AS status, raw <> '' AND upper(raw) IN ('S3', 'S2', 'S1', 'S0', 'NA') AS known, list_filter(string_split(upper(l2), ';'), lambda x: x <> '') AS g, TRY_CAST(replace(spent, ',', '.') AS DOUBLE) AS mins FROM raw),
+  x AS (SELECT *, known AND status <> 'NA' AS body, len(g) > 0 AS grounded FROM w)"""
+#: Severity, column, test and message of each row rule.
+_RULES = [
+    ("warning", "stratum", "stratum NOT IN ('strict', 'strict_negated', 'conduct_multi', 'conduct_sanction', 'control_flagged', 'control_unflagged')", "unknown stratum"),
+    ("warning", "label1_status", "raw = '' AND (l2 <> '' OR measure <> '' OR domain <> '' OR reason <> '')", "labels without a status: the row counts as open"),
+    ("error", "label1_status", "raw <> '' AND NOT known", "not a status code"),
+    ("warning", "label1_status", "known AND raw <> status", "lower-case status"),
+    ("error", "label2_grounds", "known AND len(list_filter(g, lambda z: NOT regexp_full_match(z, 'A([1-9]|1[0-9]|20)|T1198|MAFE'))) > 0", "unknown ground code"),
+    ("warning", "label2_grounds", "known AND len(list_distinct(g)) < len(g)", "repeated ground code"),
+    ("error", "label3_measure", "known AND measure <> '' AND measure NOT IN ('M0', 'M1', 'M2', 'M3', 'M4', 'M5')", "not a measure code"),
+    ("error", "label4_domain", "known AND domain <> '' AND domain NOT IN ('D1', 'D2', 'D3', 'D4', 'D5')", "not a domain code"),
+    ("warning", "minutes_spent", "known AND spent = ''", "empty"),
+    ("error", "minutes_spent", "known AND spent <> '' AND mins IS NULL", "not a number"),
+    ("warning", "minutes_spent", "known AND (mins <= 0 OR mins > 240)", "implausible"),
+    ("warning", "annotator", "known AND annotator = ''", "empty"),
+    ("warning", "annotation_date", "known AND day = ''", "empty"),
+    ("error", "annotation_date", "known AND day = 'soon'", "not a date"),
+    ("warning", "protocol_version", "known AND version = ''", "empty"),
+    ("warning", "protocol_version", "known AND version NOT IN ('', 'v0.1')", "another protocol version"),
+    ("warning", "label1_status", "known AND status = 'NA' AND (grounded OR measure <> '' OR domain <> '')", "NA with grounds, measure or domain"),
+    ("warning", "justification", "body AND reason = ''", "empty"),
+    ("warning", "label4_domain", "body AND domain = ''", "empty"),
+    ("warning", "label3_measure", "body AND measure = ''", "empty: use M0 for no measure"),
+    ("warning", "label3_measure", "body AND status = 'S3' AND measure = 'M0'", "S3 presupposes a measure"),
+    ("warning", "label2_grounds", "body AND status IN ('S3', 'S2') AND NOT grounded", "signalled without grounds"),
+    ("warning", "label2_grounds", "body AND status = 'S0' AND grounded", "S0 with grounds"),
+    ("warning", "label2_grounds", "body AND list_contains(g, 'MAFE') AND len(list_filter(g, lambda z: regexp_full_match(z, 'A([1-9]|1[0-9]|20)'))) > 0", "MAFE excludes annex grounds"),
+    ("warning", "label3_measure", "body AND measure = 'M5' AND reason = ''", "M5 needs a justification"),
+]
+_ISSUES = (
+    f"{_RAW} SELECT severity, \"column\", message, count(*) AS rows FROM ("
+    + " UNION ALL ".join(f"SELECT '{s}' AS severity, '{c}' AS \"column\", '{m}' AS message FROM x WHERE {t}" for s, c, t, m in _RULES)
+    + " UNION ALL SELECT 'error', 'doc_id', 'doc_id repeated ' || count(*) || ' times' FROM x GROUP BY id HAVING count(*) > 1) GROUP BY ALL"
+)
+
 _SHEET = """WITH w AS (SELECT doc_id::VARCHAR AS doc_id, doc_id AS i, ['strict', 'conduct_multi', 'control_unflagged', 'elsewhere'][(doc_id % 4 + 1)::INT] AS stratum, ['S3', '', 's2', 'S0', 'NA', 'Q'][(doc_id % 6 + 1)::INT] AS st,
   [3.5, NULL, NULL, NULL, 2.0][(doc_id % 5 + 1)::INT] AS m, [DATE '2026-10-02', DATE '2026-10-05', NULL, NULL][(doc_id % 4 + 1)::INT] AS d,
   CASE doc_id % 4 WHEN 0 THEN 0 WHEN 1 THEN 2 WHEN 2 THEN 5 ELSE 6 END AS rank FROM labels)"""
@@ -166,8 +228,11 @@ ORACLE_SQL = {
     "masked_estimates": f"{_F}, lw AS (SELECT stratum, available / count(*) AS w FROM g JOIN av USING (stratum) GROUP BY stratum, available), uw AS (SELECT u.*, w FROM u JOIN lw USING (stratum))"
     + " UNION ALL ".join(f" SELECT '{n}' AS positive, '{k}' AS kind, round(tp, 6) AS tp, round(fp, 6) AS fp, round(fn, 6) AS fn, round(tn, 6) AS tn, precision, recall, f1 FROM ({_scores(c, w, 'uw')})" for n, c in (("S3+S2", "good"), ("S3", "best")) for k, w in (("raw", "1"), ("weighted", "w"))),
     "stratum_weights": f"{_F} SELECT stratum, available / least(size, available) AS weight FROM av JOIN sizes USING (stratum)",
-    "estimability": f"""{_F} SELECT true AS precision, 'conduct_multi;strict' AS precision_scope, bool_and(n >= least(size, available)) FILTER (stratum IN ('strict', 'conduct_multi')) AS precision_covers_all_candidates, true AS recall,
-        bool_and(n >= least(size, available)) AS annotation_complete, true AS per_pattern_precision, true AS f1 FROM av JOIN sizes USING (stratum) LEFT JOIN (SELECT stratum, count(*) AS n FROM g GROUP BY 1) USING (stratum)""",
+    "estimability": f"""{_F}, e AS (SELECT coalesce(a.stratum, b.stratum) AS stratum, sampled, coalesce(n, 0) AS labelled, coalesce(u, 0) AS usable, coalesce(a.stratum, b.stratum) IN ('strict', 'strict_negated', 'conduct_multi', 'conduct_sanction') AS flagged
+          FROM (SELECT stratum, least(size, available) AS sampled FROM av JOIN sizes USING (stratum)) a FULL JOIN (SELECT stratum, count(*) AS n, count(*) FILTER (status <> 'NA') AS u FROM g GROUP BY 1) b ON a.stratum = b.stratum)
+        SELECT p AS precision, precision_scope, precision_covers_all_candidates, p AND c AS recall, annotation_complete, per_pattern_precision, p AND c AS f1 FROM (SELECT count(*) FILTER (flagged AND usable > 0) > 0 AS p,
+          coalesce(array_to_string(list_sort(list(stratum) FILTER (flagged AND usable > 0)), ';'), '') AS precision_scope, count(*) FILTER (flagged AND sampled > 0 AND labelled < sampled) = 0 AS precision_covers_all_candidates,
+          count(*) FILTER (stratum = 'control_unflagged' AND usable > 0) > 0 AS c, count(*) FILTER (sampled IS NOT NULL AND labelled < sampled) = 0 AS annotation_complete, coalesce(sum(usable), 0) > 0 AS per_pattern_precision FROM e)""",
     "per_pattern_precision": f"{_F} SELECT pattern_id, annotated, CASE WHEN annotated >= 5 THEN signalled END AS signalled, CASE WHEN annotated >= 5 THEN round_even(signalled / annotated, 4)::DOUBLE END AS precision, annotated < 5 AS suppressed FROM ("
     + " UNION ALL ".join(f"SELECT '{i}' AS pattern_id, count(*) AS annotated, count(*) FILTER (good) AS signalled FROM u WHERE n_{i} > 0" for i in _N)
     + ") WHERE annotated > 0",
@@ -176,6 +241,10 @@ ORACLE_SQL = {
     + ") WHERE n > 0",
     "cohen_kappa": f"""{_F} SELECT n, round_even((o - e) / (1 - e), 4)::DOUBLE AS kappa FROM (SELECT count(*) AS n, count(*) FILTER (flagged = good) / count(*) AS o,
         (count(*) FILTER (flagged) * count(*) FILTER (good) + count(*) FILTER (NOT flagged) * count(*) FILTER (NOT good)) / (count(*) * count(*)) AS e FROM u)""",
+    "kappa_two_rounds": f"""WITH l AS (SELECT doc_id, ['S3', NULL, 'S2', 'S0', 'NA', NULL][(doc_id % 6 + 1)::INT] AS s, ['A7', '', 'MAFE;A3', ''][(doc_id % 4 + 1)::INT] AS g FROM labels),
+        p AS (SELECT a.s AS s1, CASE WHEN a.doc_id % 5 = 0 THEN 'S1' ELSE b.s END AS s2, a.g AS g1, CASE WHEN a.doc_id % 3 = 0 THEN 'A3' ELSE b.g END AS g2 FROM l a JOIN l b USING (doc_id) WHERE doc_id % 2 = 0 AND a.s IS NOT NULL),
+        q AS (SELECT * FROM p WHERE s2 IS NOT NULL) SELECT (SELECT count(*) FROM q) AS n, ({_kappa_sql('s1', 's2')}) AS kappa_status, ({_kappa_sql('g1', 'g2')}) AS kappa_grounds""",
+    "worksheet_issues": _ISSUES,
     "go_no_go": f"""{_F}, m AS ({_scores('good', '1', 'u')}) SELECT 'candidates reviewed' AS criterion, 399.0::DOUBLE AS value, 1000.0::DOUBLE AS threshold_go, 'in progress' AS verdict, true AS provisional
         UNION ALL SELECT 'confirmed with reasons (S3 or S2)', tp + fn, 300.0, CASE WHEN tp + fn >= 300 THEN 'go' ELSE 'in progress' END, true FROM m
         UNION ALL SELECT 'lexical trigger precision', precision, 0.3, CASE WHEN precision >= 0.3 THEN 'go' WHEN precision >= 0.15 THEN 'reformulate' ELSE 'no-go' END, true FROM m

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import linkage, quality, sampling, validation
+from ..operators import corpus, linkage, quality, sampling, validation
 from .tables import table
 
 
@@ -51,7 +51,8 @@ def _integrity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.duplicates(table(spark, sf_dir, "documents"), ["text"]).select(F.sha2("text", 256).alias("digest"), "n")
+    """Texts are counted by digest: they never leave the task that reads them."""
+    return quality.duplicates(table(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("digest")), ["digest"])
 
 
 def _suppressed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,12 +90,33 @@ def _quota(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _sums(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Conditional sums, boolean maximum and joined distinct values in one pass."""
+    """Conditional sums, boolean maximum and joined distinct values in one pass; distinct lines from pairs of their own."""
     l = table(spark, sf_dir, "lineitem")
-    return l.groupBy("l_suppkey").agg(
-        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.max(F.col("l_quantity") > 49).alias("any_large"), F.count_distinct("l_orderkey", "l_linenumber").alias("lines"),
+    lines = l.select("l_suppkey", "l_orderkey", "l_linenumber").distinct().groupBy("l_suppkey").agg(F.count("*").alias("lines"))
+    sums = l.groupBy("l_suppkey").agg(
+        F.count("*").alias("n"), F.count_if(F.col("l_returnflag") == "R").alias("returned"), F.max(F.col("l_quantity") > 49).alias("any_large"),
         F.array_join(F.array_sort(F.collect_set("l_linestatus")), ";").alias("statuses"), F.min("l_shipdate").alias("first_ship"), F.round(100.0 * F.count_if(F.col("l_returnflag") == "R") / F.nullif(F.count("*"), F.lit(0)), 1).alias("pct"),
     )
+    return sums.join(lines, "l_suppkey")
+
+
+def _terms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The commonest values of some fields, and the rows without one."""
+    o = table(spark, sf_dir, "orders").select("o_orderstatus", F.when(F.col("o_orderkey") % 7 > 0, F.col("o_orderpriority")).alias("o_orderpriority"), "o_custkey")
+    return quality.terms(o, ["o_orderstatus", "o_orderpriority", "o_custkey"], 4)
+
+
+def _decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as decisions: a year that some lack, a theme and citations that some have."""
+    o, i = table(spark, sf_dir, "orders"), F.col("o_orderkey")
+    return o.select(
+        F.concat(F.lit("d"), i.cast("string")).alias("espelho_id"), F.lower("o_orderstatus").alias("orgao_slug"), F.when(i % 9 > 0, F.col("o_custkey").cast("string")).alias("numero_registro"),
+        F.when(i % 11 > 0, F.col("o_orderdate").cast("date")).alias("data_publicacao"), F.when(i % 3 == 0, F.col("o_orderpriority")).alias("tema"), (i % 4).cast("int").alias("n_citations"),
+    )
+
+
+def _decision_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpus.decision_stats(_decisions(spark, sf_dir))
 
 
 def _sets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -154,14 +176,19 @@ def _linkage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    "field_profile": _profile, "target_coverage": _target_coverage, "case_stats": _case_stats, "linkage_rates": _linkage_rates,
+    "field_terms": _terms, "decision_stats": _decision_stats, "field_profile": _profile, "target_coverage": _target_coverage, "case_stats": _case_stats, "linkage_rates": _linkage_rates,
     "link_coverage": _coverage, "linked_documents": _linked, "key_overlap": _overlap, "source_agreement": _agreement, "integrity_checks": _integrity,
     "duplicate_texts": _duplicates, "suppressed_report": _suppressed, "top_groups": _top, "text_coverage": _text_coverage, "low_coverage": _low_coverage,
     "latest_run": _latest, "undone_work": _undone, "quota_matched_draw": _quota, "conditional_sums": _sums, "set_operations": _sets, "parameter_filter": _filtered,
     "point_lookup": _lookup, "top_per_key": _ranked, "event_properties": _props,
 }
 _TC = "SELECT source AS key, count(*) AS meta_rows, count(l.doc_id) AS text_rows, round(100.0 * count(l.doc_id) / count(*), 1)::DOUBLE AS pct FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source"
+_VALUES = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END", "o_custkey": "o_custkey::VARCHAR"}
+_D = """WITH d AS (SELECT lower(o_orderstatus) AS body, CASE WHEN o_orderkey % 9 > 0 THEN o_custkey END AS reg, CASE WHEN o_orderkey % 11 > 0 THEN year(o_orderdate)::VARCHAR END AS y, o_orderkey % 3 = 0 AS themed, o_orderkey % 4 > 0 AS citing FROM orders)"""
+_DS = "count(*) AS decisions, count(*) FILTER (themed) AS with_theme, count(*) FILTER (citing) AS with_citations, count(DISTINCT reg) AS registrations"
 ORACLE_SQL = {
+    "field_terms": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS field, {v} AS value, count(*) AS n FROM orders WHERE {v} IS NOT NULL GROUP BY 2 ORDER BY n DESC, value LIMIT 4) UNION ALL SELECT '{c}', NULL, count(*) FROM orders WHERE {v} IS NULL HAVING count(*) > 0" for c, v in _VALUES.items()),
+    "decision_stats": f"{_D} SELECT 'all' AS part, NULL::VARCHAR AS name, {_DS} FROM d UNION ALL SELECT 'year', y, {_DS} FROM d WHERE y IS NOT NULL GROUP BY y UNION ALL SELECT 'body', body, {_DS} FROM d GROUP BY body",
     "field_profile": " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS rows, count({c}) AS filled, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderpriority")),
     "target_coverage": "SELECT c_mktsegment, count(*) AS n, count(u) AS matched, round(100.0 * count(u) / count(*), 1)::DOUBLE AS pct FROM customer LEFT JOIN (SELECT DISTINCT user_id AS u FROM events) ON u = c_custkey GROUP BY 1",
     "case_stats": "SELECT c_mktsegment, count(*) AS users, round(avg(n), 2) AS mean_events, median(n)::DOUBLE AS median_events, max(last) AS last FROM (SELECT user_id, count(*) AS n, max(ts) AS last FROM events GROUP BY 1) JOIN customer ON c_custkey = user_id GROUP BY 1",

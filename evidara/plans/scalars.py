@@ -74,10 +74,17 @@ def _titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Citations and laws in texts made of document ids."""
     i = F.col("doc_id").cast("string")
-    cited = F.concat(F.lit("(tema de exemplo "), i, F.lit(") STJ - <<REsp "), i, F.lit(">>-SP, STF - <<RE   "), i, F.lit(">>"))
-    laws = F.concat(F.lit("['LEG:FED LEI:0"), i, F.lit(" ANO:2002 ART:00966 PAR:1', 'x']"))
+    pick = lambda *v: F.element_at(F.array(*v), (F.col("doc_id") % len(v) + 1).cast("int"))
+    text, join = F.lit, F.concat
+    cited = pick(
+        join(text("(tema de exemplo "), i, text(") STJ - <<REsp "), i, text(">>-SP, STF - <<RE   "), i, text(">>")), join(text("<< HC "), i, text(" >> - RJ e TRF 4 <<AC 7>>")),
+        text(" None "), text("STJ <<>> sem nada"), join(text("TJMG (curto) (um tema  longo) <<A  "), i, text(">>")),
+    )
+    laws = pick(
+        join(text("['LEG:FED LEI:0"), i, text(" ANO:2002 ART:00966 PAR:1', 'x']")), join(text("leg:est  dec:"), i, text(".5 ANO:19 INC:2 LEG:MUN CF:000")), text("['nan', 'ART:1 só']"), text("[aberta"), text(""), text("['-']"), text("('LEG:FED LEI:1',)"),
+    )
     d = table(spark, sf_dir, "documents").select("doc_id", parsing.citations(cited).alias("c"), parsing.legislation(laws).alias("l"), parsing.repr_list(laws).alias("r"))
-    return d.select("doc_id", F.get("c", F.lit(0))["court"].alias("court"), F.get("c", F.lit(1))["reference"].alias("second"), F.get("c", F.lit(0))["uf"].alias("uf"), F.get("c", F.lit(0))["topic"].alias("topic"), F.get("l", F.lit(0))["number"].alias("number"), F.get("l", F.lit(0))["articles"].alias("articles"), F.size("r").cast("bigint").alias("items"))
+    return d.select("doc_id", F.get("c", F.lit(0))["court"].alias("court"), F.get("c", F.lit(1))["reference"].alias("second"), F.get("c", F.lit(0))["uf"].alias("uf"), F.get("c", F.lit(0))["topic"].alias("topic"), F.get("l", F.lit(0))["number"].alias("number"), F.get("l", F.lit(0))["articles"].alias("articles"), F.size("r").cast("bigint").alias("items"), F.size("c").cast("bigint").alias("citations"), F.size("l").cast("bigint").alias("laws"), F.get("l", F.lit(1))["kind"].alias("second_kind"))
 
 
 QUERIES = {"case_numbers": _numbers, "date_parsers": _dates, "text_functions": _texts, "hash_functions": _hashes, "label_functions": _labels, "title_matches": _titles, "field_parsers": _parsed}
@@ -100,5 +107,8 @@ ORACLE_SQL = {
         CASE WHEN doc_id % 25 BETWEEN 1 AND 20 AND doc_id % 25 <> 7 THEN 'A' || doc_id % 25 || ';' ELSE '' END || 'A7;T1198' AS grounds, 'A' || doc_id % 25 || ';A7;A7;T1198;ZZ' AS codes FROM labels""",
     "title_matches": r"""SELECT p_partkey, CASE WHEN p_partkey % 3 < 2 THEN true ELSE a <> '' AND b <> '' AND (contains(a, b) OR contains(b, a) OR len(list_intersect(list_distinct(string_split(a, ' ')), list_distinct(string_split(b, ' ')))) / greatest(least(len(list_distinct(string_split(a, ' '))), len(list_distinct(string_split(b, ' ')))), 1) >= 0.6) END AS matches
         FROM (SELECT p_partkey, trim(regexp_replace(lower(strip_accents(p_name)), '[^a-z0-9]+', ' ', 'g')) AS a, trim(regexp_replace(lower(strip_accents(p_type || ' ' || string_split(p_name, ' ')[-1])), '[^a-z0-9]+', ' ', 'g')) AS b FROM part)""",
-    "field_parsers": """SELECT doc_id, 'STJ' AS court, 'RE ' || doc_id AS second, 'SP' AS uf, 'tema de exemplo ' || doc_id AS topic, doc_id::VARCHAR AS number, 'ART:00966;PAR:1' AS articles, 2::BIGINT AS items FROM documents""",
+    "field_parsers": """SELECT doc_id, ['STJ', NULL, NULL, NULL, 'TJMG'][(doc_id % 5 + 1)::INT] AS court, ['RE ' || doc_id, 'AC 7', NULL, NULL, NULL][(doc_id % 5 + 1)::INT] AS second, ['SP', 'RJ', NULL, NULL, NULL][(doc_id % 5 + 1)::INT] AS uf,
+        ['tema de exemplo ' || doc_id, NULL, NULL, NULL, 'um tema longo'][(doc_id % 5 + 1)::INT] AS topic, [2, 2, 0, 0, 1][(doc_id % 5 + 1)::INT]::BIGINT AS citations,
+        [doc_id::VARCHAR, CASE WHEN doc_id = 0 THEN '.5' ELSE doc_id || '.5' END, NULL, NULL, NULL, NULL, '1'][(doc_id % 7 + 1)::INT] AS number, ['ART:00966;PAR:1', 'INC:2', 'ART:1', NULL, NULL, NULL, NULL][(doc_id % 7 + 1)::INT] AS articles,
+        [2, 1, 1, 1, 0, 0, 1][(doc_id % 7 + 1)::INT]::BIGINT AS items, [2, 2, 1, 1, 0, 0, 1][(doc_id % 7 + 1)::INT]::BIGINT AS laws, CASE doc_id % 7 WHEN 1 THEN 'CF' END AS second_kind FROM documents""",
 }

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import quality, trajectory
+from ..operators import figures, quality, trajectory
 from ..sources.config import load_groups
 from .tables import table
 
@@ -22,9 +22,13 @@ CASE = ("user_id",)
 
 def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A row a customer, with the trajectory of the user of that number; customers without events stay."""
-    events = trajectory.distinct_events(table(spark, sf_dir, "events"), ("user_id", "event_type", "ts", "props"), "event_id")
-    summary = trajectory.event_summary(events, GROUPS, CASE, "event_type", "event_type", "ts", "props")
-    targets = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 5000).alias("wealthy"))
+    return features_of(table(spark, sf_dir, "events"), table(spark, sf_dir, "customer"))
+
+
+def features_of(log: DataFrame, customers: DataFrame) -> DataFrame:
+    events = trajectory.distinct_events(log, ("user_id", "event_type", "ts", "props"), "event_id")
+    summary = trajectory.event_summary(events, GROUPS, CASE, "event_type", "event_type", "ts", "props", raw=log)
+    targets = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 5000).alias("wealthy"))
     j = targets.join(summary.withColumn("found", F.lit(True)), "user_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     days = trajectory.days_between(F.col("primeiro_movimento"), F.col("ultimo_movimento")).cast("bigint")
@@ -73,7 +77,13 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.backward_steps(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_shipdate").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
+def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of customers with each event group in two segments, side by side."""
+    return figures.group_shares(_comparison(("segment",))(spark, sf_dir), GROUPS, "segment", "BUILDING", "MACHINERY")
+
+
 QUERIES = {
+    "figure_shares": _shares,
     "trajectory_features": _features,
     "group_comparison": _comparison(("segment",)),
     "group_comparison_two_keys": _comparison(("segment", "wealthy")),
@@ -82,6 +92,10 @@ QUERIES = {
     "backward_steps": _gaps,
 }
 ORACLE_SQL = {
+    "figure_shares": " UNION ALL ".join(
+        f"SELECT '{g.label_en or g.label}' AS label, max(pct_{g.id}) FILTER (segment = 'BUILDING') AS signalled, max(pct_{g.id}) FILTER (segment = 'MACHINERY') AS other FROM ({_comparison_sql('segment')}) HAVING signalled IS NOT NULL AND other IS NOT NULL"
+        for g in GROUPS.groups
+    ),
     "trajectory_features": f"{_SQL} SELECT * FROM f",
     "group_comparison": _comparison_sql("segment"),
     "group_comparison_two_keys": _comparison_sql("segment, wealthy"),

@@ -16,8 +16,6 @@ def tables(small):
 
 @pytest.mark.parametrize("name", sorted(ORACLE_SQL))
 def test_query_matches_sql(spark, small, tables, name):
-    if name == "estimability":
-        pytest.skip("its SQL states what holds on the larger tables")
     assert_same(QUERIES[name](spark, small), tables, ORACLE_SQL[name])
 
 
