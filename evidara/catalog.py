@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
-TABLES = tuple(
-    "documents document_text candidates near_miss candidate_hits candidates_espelhos bridge espelhos espelho_citations "
-    "espelho_legislation datajud_cases datajud_movimentos datajud_targets datajud_features".split()
-)
+# Names of the stored tables.
+TABLES = (
+    "documents", "document_text", "candidates", "near_miss", "candidate_hits", "candidates_espelhos", "bridge",
+    "espelhos", "espelho_citations", "espelho_legislation", "datajud_cases", "datajud_movimentos", "datajud_targets", "datajud_features",
+)
 
 
 def read_table(spark: SparkSession, root: str, name: str) -> DataFrame:

@@ -10,7 +10,10 @@ SEGMENTS = {
     "1": "STF", "2": "CNJ", "3": "STJ", "4": "Justiça Federal", "5": "Justiça do Trabalho", "6": "Justiça Eleitoral",
     "7": "Justiça Militar da União", "8": "Justiça Estadual", "9": "Justiça Militar Estadual",
 }
-STATE_COURTS = "ac al ap am ba ce dft es go ma mt ms mg pa pb pr pe pi rj rn rs ro rr sc se sp to".split()
+STATE_COURTS = (
+    "ac", "al", "ap", "am", "ba", "ce", "dft", "es", "go", "ma", "mt", "ms", "mg", "pa",
+    "pb", "pr", "pe", "pi", "rj", "rn", "rs", "ro", "rr", "sc", "se", "sp", "to",
+)
 ALIASES = (
     {"3.00": "api_publica_stj"}
     | {f"4.0{n}": f"api_publica_trf{n}" for n in range(1, 7)}

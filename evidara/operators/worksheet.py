@@ -10,7 +10,10 @@ from ..functions.labels import DOMAINS, GROUND, MEASURES, STATUSES, codes
 from .sampling import STRATA, stratum_rank
 
 # Columns of the worksheet, version of the protocol, least days before the blind round.
-LABEL_COLUMNS = tuple("label1_status label2_grounds label3_measure label4_domain justification minutes_spent annotator annotation_date protocol_version".split())
+LABEL_COLUMNS = (
+    "label1_status", "label2_grounds", "label3_measure", "label4_domain", "justification",
+    "minutes_spent", "annotator", "annotation_date", "protocol_version",
+)
 REQUIRED = ("doc_id", "stratum", *LABEL_COLUMNS)
 PROTOCOL, MIN_DAYS, MINUTES = "v0.1", 14, (2, 4)
 

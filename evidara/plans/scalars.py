@@ -9,12 +9,14 @@ from ..functions import casenumber, dates, hashing, labels, parsing, text
 from .tables import table
 
 SALT = b"salt"
+#: Every court with an endpoint, then one of each other segment and two that do not exist.
+COURTS = (*(f"8{n:02d}" for n in range(1, 28)), *(f"40{n}" for n in range(1, 7)), "300", "599", "100", "200", "615", "700", "913", "899", "099")
 
 
 def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Case numbers made of order keys, some with wrong check digits, some too short."""
     o = table(spark, sf_dir, "orders")
-    court = F.when(F.col("o_orderkey") % 3 == 0, "826").when(F.col("o_orderkey") % 3 == 1, "401").otherwise("599")
+    court = F.element_at(F.array(*map(F.lit, COURTS)), (F.col("o_orderkey") % len(COURTS) + 1).cast("int"))
     pad = lambda c, n: F.lpad((c).cast("string"), n, "0")
     number = F.concat(pad(F.col("o_orderkey"), 7), F.lit("-"), pad(F.col("o_custkey") % 97 + 2, 2), F.lit("."), F.year("o_orderdate").cast("string"), F.lit("."), court, F.when(F.col("o_orderkey") % 50 == 0, "1").otherwise("0100"))
     n = o.select("o_orderkey", casenumber.case_number(number).alias("c"))
@@ -89,12 +91,14 @@ def _parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {"case_numbers": _numbers, "date_parsers": _dates, "text_functions": _texts, "hash_functions": _hashes, "label_functions": _labels, "title_matches": _titles, "field_parsers": _parsed}
 
-_D = "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE lpad(o_orderkey::VARCHAR, 7, '0') || lpad((o_custkey % 97 + 2)::VARCHAR, 2, '0') || year(o_orderdate)::VARCHAR || CASE o_orderkey % 3 WHEN 0 THEN '826' WHEN 1 THEN '401' ELSE '599' END || '0100' END"
+_D = "CASE WHEN o_orderkey % 50 = 0 THEN NULL ELSE lpad(o_orderkey::VARCHAR, 7, '0') || lpad((o_custkey % 97 + 2)::VARCHAR, 2, '0') || year(o_orderdate)::VARCHAR || CASE WHEN o_orderkey % 42 < 27 THEN '8' || lpad((o_orderkey % 42 + 1)::VARCHAR, 2, '0') WHEN o_orderkey % 42 < 33 THEN '40' || (o_orderkey % 42 - 26) ELSE ['300', '599', '100', '200', '615', '700', '913', '899', '099'][(o_orderkey % 42 - 32)::INT] END || '0100' END"
+_STATES = "['ac', 'al', 'ap', 'am', 'ba', 'ce', 'dft', 'es', 'go', 'ma', 'mt', 'ms', 'mg', 'pa', 'pb', 'pr', 'pe', 'pi', 'rj', 'rn', 'rs', 'ro', 'rr', 'sc', 'se', 'sp', 'to']"
 ORACLE_SQL = {
     "case_numbers": f"""SELECT o_orderkey, d AS digits, substr(d, 1, 7) || '-' || substr(d, 8, 2) || '.' || substr(d, 10, 4) || '.' || substr(d, 14, 1) || '.' || substr(d, 15, 2) || '.' || substr(d, 17, 4) AS formatted,
         substr(d, 8, 2)::INT = 98 - ((substr(d, 1, 7) || substr(d, 10, 11) || '00')::HUGEINT % 97) AS valid, substr(d, 10, 4)::INT AS year, substr(d, 14, 1) AS segment, substr(d, 14, 1) || '.' || substr(d, 15, 2) AS tribunal, substr(d, 17, 4) AS origin,
-        CASE substr(d, 14, 1) WHEN '8' THEN 'Justiça Estadual' WHEN '4' THEN 'Justiça Federal' WHEN '5' THEN 'Justiça do Trabalho' ELSE 'desconhecido' END AS segment_name,
-        CASE substr(d, 14, 3) WHEN '826' THEN 'api_publica_tjsp' WHEN '401' THEN 'api_publica_trf1' END AS alias FROM (SELECT o_orderkey, {_D} AS d FROM orders)""",
+        CASE substr(d, 14, 1) WHEN '1' THEN 'STF' WHEN '2' THEN 'CNJ' WHEN '3' THEN 'STJ' WHEN '4' THEN 'Justiça Federal' WHEN '5' THEN 'Justiça do Trabalho' WHEN '6' THEN 'Justiça Eleitoral'
+          WHEN '7' THEN 'Justiça Militar da União' WHEN '8' THEN 'Justiça Estadual' WHEN '9' THEN 'Justiça Militar Estadual' ELSE 'desconhecido' END AS segment_name,
+        CASE WHEN substr(d, 14, 3) BETWEEN '801' AND '827' THEN 'api_publica_tj' || {_STATES}[substr(d, 15, 2)::INT] WHEN substr(d, 14, 3) BETWEEN '401' AND '406' THEN 'api_publica_trf' || substr(d, 16, 1) WHEN substr(d, 14, 3) = '300' THEN 'api_publica_stj' END AS alias FROM (SELECT o_orderkey, {_D} AS d FROM orders)""",
     "date_parsers": """SELECT o_orderkey, CASE WHEN o_orderkey % 40 <> 0 THEN date_trunc('second', o_orderdate) END AS stamp, date_trunc('day', o_orderdate) AS day_stamp, CASE WHEN o_orderkey % 40 <> 0 THEN date_trunc('second', o_orderdate) END AS iso,
         CASE WHEN o_orderkey % 2 = 0 THEN (o_orderdate - INTERVAL 3 HOUR)::DATE ELSE o_orderdate::DATE END AS meta, CASE WHEN o_orderkey % 40 <> 0 THEN o_orderdate::DATE END AS compact, 'DJE' AS journal, o_orderdate::DATE AS published,
         CASE WHEN o_orderkey % 3 < 2 THEN o_orderdate::DATE END AS worksheet, date_diff('day', DATE '1995-01-01', o_orderdate::DATE)::BIGINT AS days FROM orders""",

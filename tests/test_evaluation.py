@@ -96,3 +96,21 @@ def test_batches(spark):
     assert sampling.batch_dates(3, dt.date(2026, 10, 2)) == [dt.date(2026, 10, 2), dt.date(2026, 10, 5), dt.date(2026, 10, 6)]
     with pytest.raises(ValueError):
         sampling.batch_plan(rows, 0)
+
+
+def test_plan_keeps_one_order(spark):
+    """Places by stratum and first digits of the hash are those of one sort over all rows."""
+    import hashlib
+
+    rows = [(f"d{i}", ("strict", "conduct_multi", None, "other")[i % 4], "S1" if i % 3 else "") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id string, stratum string, label1_status string").repartition(7)
+    rank = {s.name: i for i, s in enumerate(sampling.STRATA)}
+    want = sorted((rank.get(s or "", len(rank)), s or "", hashlib.sha256(f"5:{d}".encode()).hexdigest(), d) for d, s, _ in rows)
+    got = sampling.batch_plan(df, 40, 5).orderBy("ordem").collect()
+    assert [r.doc_id for r in got] == [w[3] for w in want] and [r.ordem for r in got] == list(range(1, 301))
+    assert [r.lote for r in got] == [(i // 40) + 1 for i in range(300)]
+
+
+def test_quota_of_nothing(spark):
+    pool = spark.createDataFrame([("a", 1)], "cell string, id int")
+    assert sampling.quota_matched(pool, pool.where("false"), ["cell"], 1.0, 1, ["id"]).count() == 0

@@ -91,6 +91,20 @@ def test_loader_rejects():
             load_groups(bad)
 
 
+def test_loader_names_every_fault():
+    with pytest.raises(ValueError) as told:
+        load_lexicon({"patterns": [{"id": "a", "tier": "odd", "regex": "("}, {"id": "a", "tier": "strict", "regex": "x"}], "negations": [{"id": "n", "regex": None}]})
+    assert all(x in str(told.value) for x in ("'a' stands 2 times", "unknown tier 'odd'", "pattern 'a' has no valid expression", "negation 'n' has no valid expression"))
+    g = load_groups({"version": 2, "groups": [{"id": "some_group", "codes": ["12", 7, "x1"]}]}).by_id("some_group")
+    assert (g.label, g.codes) == ("some_group", (12, 7, "x1"))
+
+
+def test_wide_lexicon():
+    from evidara.plans.lexicons import MIX, WIDE
+
+    assert len(WIDE.patterns) == sum(MIX.values()) == 53 and {p.tier for p in WIDE.patterns} == set(MIX)
+
+
 def test_yaml_file(tmp_path):
     yaml = pytest.importorskip("yaml")
     path = tmp_path / "lexicon.yaml"

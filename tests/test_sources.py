@@ -200,3 +200,26 @@ def test_bibliography():
     text = entry("k", {"type": "journal-article", "title": ["A {title}"], "author": [{"family": "F", "given": "G"}, {"name": "Org"}], "issued": {"date-parts": [[2024, 1]]}, "page": "1-9"})
     assert text == "@article{k,\n  author = {F, G and Org},\n  title = {A title},\n  year = {2024},\n  pages = {1--9},\n}"
     assert entry("k", {}) == "@misc{k,\n}"
+
+
+def test_reports_have_a_limit(spark):
+    df = spark.range(5)
+    assert len(sinks.small(df, 5)) == 5
+    with pytest.raises(ValueError, match="at most"):
+        sinks.small(df, 4)
+    assert [sinks.aligned(c) for c in (["1", "-2.5", ""], ["1", "x"], [], [""])] == ["r", "l", "l", "r"]
+    assert [sinks.number(x) for x in (1234567, 2.0, 2.5, "a_b")] == [r"1\,234\,567", "2", "2.50", r"a\_b"] and sinks.number(3.14159, 3) == "3.142"
+
+
+def test_scratch_is_shared(spark):
+    from evidara import session
+
+    class Cluster:
+        class sparkContext:
+            master = "spark://host:7077"
+            getConf = staticmethod(dict)
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        session.scratch(Cluster, "x")
+    df = session.stored(spark.range(3), "three")
+    assert df.count() == 3 and len(df.inputFiles()) >= 1
