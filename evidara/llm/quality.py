@@ -29,23 +29,27 @@ EPOCHS, BATCH, RATE, STRIP = 14, 64, 0.004, 128
 
 
 class Layout:
-    """Bytes of texts, each padded with zeros to whole blocks."""
+    """Bytes of texts, each padded with zeros to whole blocks; shifted[w] has at each position the byte w places on, and
+    zero beyond the text's own blocks, so that no text sees the next one."""
 
     def __init__(self, texts: list[bytes]):
         size = np.fromiter(map(len, texts), np.int64, len(texts))
         self.length = np.log1p(size) / 8
         self.blocks = np.maximum(1, -(-size // BLOCK))
         self.first = np.concatenate(([0], np.cumsum(self.blocks)[:-1]))
-        self.bytes = np.frombuffer(b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, self.blocks)) + b"\0" * WIDTH, np.uint8)
-        self.n = int(self.blocks.sum())
+        data = np.frombuffer(b"".join(t.ljust(int(n) * BLOCK, b"\0") for t, n in zip(texts, self.blocks)), np.uint8)
+        self.n, self.shifted, ends = int(self.blocks.sum()), [data], (self.first + self.blocks) * BLOCK
+        for w in range(1, WIDTH):
+            self.shifted.append(np.append(self.shifted[-1][1:], np.uint8(0)))
+            self.shifted[w][ends - 1] = 0
 
 
-def convolve(table: np.ndarray, data: np.ndarray, a: int, b: int) -> np.ndarray:
+def convolve(table: np.ndarray, lay: Layout, a: int, b: int) -> np.ndarray:
     """Activations at the positions of blocks a .. b - 1, by block."""
     lo, hi = a * BLOCK, b * BLOCK
-    out = table[0].take(data[lo:hi], axis=0)
+    out = table[0].take(lay.shifted[0][lo:hi], axis=0)
     for w in range(1, WIDTH):
-        out += table[w].take(data[lo + w : hi + w], axis=0)
+        out += table[w].take(lay.shifted[w][lo:hi], axis=0)
     return out.reshape(b - a, BLOCK, FILTERS)
 
 
@@ -54,7 +58,7 @@ def pooled(table: np.ndarray, lay: Layout, where: bool = False) -> tuple[np.ndar
     top, at = np.empty((lay.n, FILTERS), np.float32), np.empty((lay.n, FILTERS), np.int64) if where else None
     for a in range(0, lay.n, STRIP):
         b = min(lay.n, a + STRIP)
-        act = convolve(table, lay.bytes, a, b)
+        act = convolve(table, lay, a, b)
         if where:
             at[a:b] = act.argmax(axis=1)
             top[a:b] = np.take_along_axis(act, at[a:b, None, :], axis=1)[:, 0]
@@ -120,7 +124,7 @@ class Network:
         columns = np.broadcast_to(np.arange(FILTERS), position.shape)
         g["embed"], g["kernel"], g["shift"] = np.zeros_like(p["embed"]), np.zeros_like(p["kernel"]), dtop.sum(0)
         for w in range(WIDTH):
-            key = lay.bytes[position + w].astype(np.int64) * FILTERS + columns
+            key = lay.shifted[w][position].astype(np.int64) * FILTERS + columns
             t = np.bincount(key.ravel(), dtop.ravel(), 256 * FILTERS).reshape(256, FILTERS)
             g["kernel"][w] = p["embed"].T @ t
             g["embed"] += t @ p["kernel"][w].T
