@@ -101,13 +101,12 @@ def broadcast_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
 
 def marked_if_small(df: DataFrame, most: int | None = None) -> DataFrame:
     """The same for a df that is a written table already."""
-    size = df.agg(F.sum(row_bytes(df))).first()[0] or 0
-    return F.broadcast(df) if size <= (BROADCAST_BYTES if most is None else most) else df
+    return F.broadcast(df) if is_small(df, most) else df
 
 
-def is_broadcast(df: DataFrame) -> bool:
-    """Whether df carries the mark of broadcast_if_small."""
-    return "strategy=broadcast" in df._jdf.queryExecution().logical().toString()
+def is_small(df: DataFrame, most: int | None = None) -> bool:
+    """Whether all rows of df, a written table, take at most so many bytes."""
+    return (df.agg(F.sum(row_bytes(df))).first()[0] or 0) <= (BROADCAST_BYTES if most is None else most)
 
 
 #: Keys that hold more than this part of all rows are split in joins, into as many parts.

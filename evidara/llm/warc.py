@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast_if_small, checkpointed, is_broadcast, possibly_in, spread_join, temporary
+from .common import checkpointed, is_small, possibly_in, spread_join, temporary
 
 LEAST_BYTES, FILE_BYTES, LEVEL, CHUNK = 1000, 16 << 20, 3, 1 << 14
 # Fixed value: the profile of revisits by payload.
@@ -95,18 +95,18 @@ def parse(raw: bytes) -> dict:
 
 def with_originals(pages: DataFrame, most: int | None = None) -> DataFrame:
     """page_id, url, payload, digest, refers_to, refers_url: the last two null for responses. Over `most` bytes, as
-    broadcast_if_small counts them, the originals of repeated payloads are joined by headers."""
+    is_small counts them, the originals of repeated payloads are joined by headers."""
     p = pages.select(F.col("page_id").cast("long"), F.col("url").cast("string"), F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary").alias("payload"))
     p = p.withColumn("digest", F.sha1("payload")).withColumn("size", F.octet_length("payload"))
     header = p.where(F.col("size") >= LEAST_BYTES).select("digest", "page_id", "url")
     groups = header.groupBy("digest").agg(F.max("page_id").alias("original"), F.max_by("url", "page_id").alias("original_url"), F.count("*").alias("n"))
     groups = groups.where("n > 1 AND original IS NOT NULL")
-    first = broadcast_if_small(groups, most)
+    first = checkpointed(groups)
     kept = ["page_id", "url", "payload", "digest"]
     refers = [F.col("original").alias("refers_to"), F.col("original_url").alias("refers_url")]
     again = ~F.col("page_id").eqNullSafe(F.col("original"))
-    if is_broadcast(first):
-        seen = p.join(first, "digest", "left")
+    if is_small(first, most):
+        seen = p.join(F.broadcast(first), "digest", "left")
         revisit = F.col("original").isNotNull() & again & (F.col("size") >= LEAST_BYTES)
         return seen.select(*kept, *(F.when(revisit, c).alias(n) for c, n in zip(refers, ("refers_to", "refers_url"))))
     total = first.agg(F.sum("n")).first()[0] or 0

@@ -310,8 +310,9 @@ def test_broadcast_by_bytes(spark):
     wide = few.selectExpr("id", "repeat('é', 500) AS s", "array(id, id) AS a", "named_struct('t', repeat('z', 100)) AS n")
     size = wide.agg(common.F.sum(common.row_bytes(wide))).first()[0]
     assert 10 * 1100 < size < 10 * 1400
-    assert common.is_broadcast(common.broadcast_if_small(wide, size)) and not common.is_broadcast(common.broadcast_if_small(wide, size - 1))
-    assert common.is_broadcast(common.broadcast_if_small(few)) and common.is_broadcast(common.broadcast_if_small(few.where("false"), 0))
+    assert common.is_small(wide, size) and not common.is_small(wide, size - 1) and common.is_small(few) and common.is_small(few.where("false"), 0)
+    hinted = lambda df: "BroadcastHashJoin" in few.hint("merge").join(df, "id")._jdf.queryExecution().toString()
+    assert hinted(common.broadcast_if_small(wide, size)) and not hinted(common.broadcast_if_small(wide, size - 1))
     for most in (1 << 20, 0):
         assert few.join(common.broadcast_if_small(few.where("id > 6"), most), "id").count() == 3
 
