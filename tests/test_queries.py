@@ -19,9 +19,8 @@ def test_query_matches_sql(spark, small, tables, name):
     assert_same(QUERIES[name](spark, small), tables, ORACLE_SQL[name])
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLE_SQL)))
-def test_other_queries_run(spark, small, name):
-    assert QUERIES[name](spark, small).count() >= 0
+def test_every_query_has_its_sql():
+    assert set(QUERIES) == set(ORACLE_SQL)
 
 
 def test_entry(spark):
