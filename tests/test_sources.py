@@ -130,14 +130,36 @@ def test_index_source(tmp_path):
     assert len(reader.partitions()) == 2 and len(rows) == 6 and "secret" not in str(rows)
 
 
+S = 'xmlns="http://schemas.openxmlformats.org/spreadsheetml/2006/main"'
+WORKBOOK = {
+    "xl/workbook.xml": f'<workbook {S} xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships"><sheets><sheet name="one" sheetId="1" r:id="rId3"/><sheet name="two" sheetId="2" r:id="rId4"/></sheets></workbook>',
+    "xl/_rels/workbook.xml.rels": '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId4" Target="worksheets/sheet2.xml"/><Relationship Id="rId3" Target="worksheets/sheet1.xml"/></Relationships>',
+    "xl/sharedStrings.xml": f"<sst {S}><si><t>doc_id</t></si><si><r><t>a &amp;</t></r><r><t> b</t></r></si><si><t> day </t></si></sst>",
+    "xl/styles.xml": f'<styleSheet {S}><numFmts><numFmt numFmtId="165" formatCode="&quot;d&quot;0.0"/><numFmt numFmtId="166" formatCode="dd/mm/yyyy"/></numFmts><cellXfs><xf numFmtId="0"/><xf numFmtId="14"/><xf numFmtId="165"/><xf numFmtId="166"/></cellXfs></styleSheet>',
+    "xl/worksheets/sheet1.xml": f"""<worksheet {S}><sheetData>
+        <row r="1"><c r="A1" t="s"><v>0</v></c><c r="B1" t="s"><v>2</v></c><c r="C1" t="inlineStr"><is><t>n</t></is></c><c r="E1" t="str"><v>note</v></c></row>
+        <row r="2"><c r="A2" t="s"><v>1</v></c><c r="B2" s="1"><v>46297</v></c><c r="C2"><v>3.0</v></c><c r="E2" t="b"><v>1</v></c></row><row r="3"><c r="A3"/></row>
+        <row r="4"><c r="A4"><v>2</v></c><c r="B4" s="3"><v>46297.5</v></c><c r="C4" s="2"><v>2.5</v></c></row>
+        <row r="5"><c r="A5" t="inlineStr"><is><t>in line</t></is></c><c r="C5"><v>7</v></c><c r="E5" t="str"><f>A1</f><v>x=1</v></c></row></sheetData></worksheet>""",
+}
+
+
 def test_worksheets(spark, tmp_path):
     (tmp_path / "a.csv").write_bytes("﻿doc_id; stratum ;x\n1;a,b;\n2;\"c;d\";y\n".encode())
     (tmp_path / "b.csv").write_text("doc_id,stratum\n1,a\n")
     a = worksheet.read_worksheet(spark, str(tmp_path / "a.csv"))
     assert a.columns == ["doc_id", "stratum", "x"] and [tuple(r) for r in a.collect()] == [("1", "a,b", ""), ("2", "c;d", "y")]
     assert worksheet.read_worksheet(spark, str(tmp_path / "b.csv")).first().stratum == "a"
-    with pytest.raises(ValueError):
-        worksheet.read_worksheet(spark, "c.xlsx")
+    with zipfile.ZipFile(tmp_path / "c.xlsx", "w") as z:
+        for name, xml in WORKBOOK.items():
+            z.writestr(name, xml)
+    c = worksheet.read_worksheet(spark, str(tmp_path / "c.xlsx"))
+    assert c.columns == ["doc_id", "day", "n", "note"]
+    assert [tuple(r) for r in c.collect()] == [("a & b", "2026-10-02", "3", "True"), ("2", "2026-10-02 12:00:00", "2.5", ""), ("in line", "", "7", "x=1")]
+    for bad in (b"nothing", b"PK\x05\x06" + bytes(18)):
+        (tmp_path / "d.xlsx").write_bytes(bad)
+        with pytest.raises(ValueError, match="not a workbook"):
+            worksheet.read_worksheet(spark, str(tmp_path / "d.xlsx"))
 
 
 def test_sinks(spark, tmp_path):
