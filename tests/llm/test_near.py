@@ -84,8 +84,7 @@ def test_null_and_repeated_ids(spark, groups):
     assert got == sorted([(1, a), (0, c), (2, d), (4, ""), (5, "x"), (5, "y"), (2, e), (0, b)])
 
 
-@pytest.mark.parametrize("chunk, held, strip, turns", [(4, 3, 5, 4), (7, 50, 40, 3), (2, 1, 1, 2)])
-@pytest.mark.parametrize("few", [0, 4_000_000])
+@pytest.mark.parametrize("chunk, held, strip, turns, few", [(4, 3, 5, 4, 0), (7, 50, 40, 3, 4_000_000), (2, 1, 1, 2, 0)])
 def test_small_chunks_and_parts(spark, small, monkeypatch, chunk, held, strip, turns, few):
     """Large buckets in chunks, long groups in parts and few turns give the same kept documents."""
     for name, value in (("CHUNK", chunk), ("HELD", held), ("STRIP", strip), ("TURNS", turns), ("FEW_PAIRS", few)):
