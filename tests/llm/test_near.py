@@ -156,3 +156,16 @@ def test_sketches_fold():
         want = np.zeros(near.LEAST_WORDS, np.uint64)
         np.bitwise_xor.at(want, ((h[:n] >> np.uint64(6)) % np.uint64(near.LEAST_WORDS)).astype(np.int64), np.uint64(1) << (h[:n] & np.uint64(63)))
         assert (folded == want).all()
+
+
+def test_components_of_further_edges(spark):
+    """Roots after a second lot of edges are those of both lots together."""
+    r = random.Random(2)
+    first = [(r.randrange(-40, 40), r.randrange(-40, 40)) for _ in range(30)]
+    more = [(r.randrange(-60, 60), r.randrange(-60, 60)) for _ in range(25)]
+    frame = lambda e: spark.createDataFrame(e, "src long, dst long")
+    want = {x.node: x.root for x in near.components(frame(first + more)).collect()}
+    roots = near.joined(near.joined(None, frame(first)), frame(more))
+    got = {x.fp: x.root for x in roots.collect()}
+    assert got == want
+    assert {x.fp: x.root for x in near.joined(roots, frame(first)).collect()} == want
