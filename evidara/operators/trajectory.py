@@ -47,18 +47,22 @@ def case_summary(cases: DataFrame) -> DataFrame:
     )
 
 
+def since_filing(filed: Column, last: Column) -> Column:
+    """Calendar days from filing to the last event; null where filing comes later or before 1990."""
+    return F.when((filed <= last) & (F.year(filed) >= 1990), days_between(filed, last)).cast("bigint")
+
+
 def features(cases: DataFrame, events: DataFrame, targets: DataFrame, groups: EventGroups) -> DataFrame:
     """One row a target, found or not; both sides are summed by case before the joins, which use the same partitioning."""
     e = event_summary(distinct_events(events), groups, raw=events)
     t = targets.select(*CASE, "grupo", "pub_year", "strict_hit", F.col("n_documentos").alias("n_docs_corpus")).distinct()
     joined = t.join(case_summary(cases).withColumn("found", F.lit(True)), [*CASE], "left").join(e, [*CASE], "left")
-    sane = (F.col("data_ajuizamento") <= F.col("ultimo_movimento")) & (F.year("data_ajuizamento") >= 1990)
     count = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     return joined.select(
         *t.columns, "n_documentos", "graus", "n_orgaos_caso", "nivel_sigilo", "classe_codigo", "classe_nome", "assuntos_codigos", "municipio_ibge",
         "data_ajuizamento", "primeiro_movimento", "ultimo_movimento", count("n_movimentos"), count("n_codigos_distintos"), count("n_orgaos_movimento"),
         days_between(F.col("primeiro_movimento"), F.col("ultimo_movimento")).cast("bigint").alias("dias_entre_movimentos"),
-        F.when(sane, days_between(F.col("data_ajuizamento"), F.col("ultimo_movimento"))).cast("bigint").alias("dias_desde_ajuizamento"),
+        since_filing(F.col("data_ajuizamento"), F.col("ultimo_movimento")).alias("dias_desde_ajuizamento"),
         *(c for g in groups.groups for c in (count(f"n_{g.id}"), F.col(f"primeiro_{g.id}"))), F.col("found").isNull().alias("nao_encontrado"),
     )
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import casenumber, dates, hashing, labels, parsing, text
@@ -13,13 +13,16 @@ SALT = b"salt"
 COURTS = (*(f"8{n:02d}" for n in range(1, 28)), *(f"40{n}" for n in range(1, 7)), "300", "599", "100", "200", "615", "700", "913", "899", "099")
 
 
-def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+def case_text() -> Column:
     """Case numbers made of order keys, some with wrong check digits, some too short."""
-    o = table(spark, sf_dir, "orders")
     court = F.element_at(F.array(*map(F.lit, COURTS)), (F.col("o_orderkey") % len(COURTS) + 1).cast("int"))
     pad = lambda c, n: F.lpad((c).cast("string"), n, "0")
     number = F.concat(pad(F.col("o_orderkey"), 7), F.lit("-"), pad(F.col("o_custkey") % 97 + 2, 2), F.lit("."), F.year("o_orderdate").cast("string"), F.lit("."), court, F.when(F.col("o_orderkey") % 50 == 0, "1").otherwise("0100"))
-    n = o.select("o_orderkey", casenumber.case_number(number).alias("c"))
+    return number
+
+
+def _numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = table(spark, sf_dir, "orders").select("o_orderkey", casenumber.case_number(case_text()).alias("c"))
     return n.select("o_orderkey", "c.*", casenumber.segment_name(F.col("c.segment")).alias("segment_name"), casenumber.endpoint_alias(F.col("c.tribunal")).alias("alias"))
 
 

@@ -23,8 +23,8 @@ def session(name: str = "evidara", master: str | None = None, **conf: str) -> Sp
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under spark.checkpoint.dir, which all executors share. Where that is unset, a temporary one; a local
-    master only, as on a cluster each executor would write to a disk of its own."""
+    """A path for new files under spark.checkpoint.dir, which all executors share; they go with the session. Where that is
+    unset, a temporary folder; a local master only, as on a cluster each executor would write to a disk of its own."""
     import tempfile
     import uuid
 
@@ -32,15 +32,15 @@ def scratch(spark: SparkSession, name: str) -> str:
     if not root and not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = root or "file://" + tempfile.mkdtemp(prefix="evidara-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")
+    store = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    store.mkdirs(folder)  # what does not exist is not deleted
+    store.deleteOnExit(folder)
+    return f"{folder}/data"
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written once to a scratch folder and read back, for plans that use it more than once; it goes with the session."""
-    spark, path = df.sparkSession, scratch(df.sparkSession, name)
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    store = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    store.mkdirs(at)  # what does not exist is not deleted
-    store.deleteOnExit(at)
-    df.write.mode("append").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """df written once to a scratch path and read back, for plans that use it more than once."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
