@@ -26,6 +26,8 @@ from .fitting import base_rate, fold, labelled_sample, sigmoid
 
 FIT_DOCS, FILTERS, WIDTH, BLOCK, EMBED, HIDDEN = 1500, 16, 6, 128, 12, 12
 EPOCHS, BATCH, RATE, STRIP = 14, 64, 0.004, 128
+#: Bytes of text that are laid out at a time; a layout takes six times as many.
+PIECE_BYTES = 1 << 20
 
 
 class Layout:
@@ -160,7 +162,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for first, part in pieces(b.column(1)):
+            for first, part in pieces(b.column(1), PIECE_BYTES):
                 score = net.score(part, table) if net else np.full(len(part), rate)
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(first, len(part)), pa.array(np.asarray(score, float))], ["doc_id", "score"])
 
@@ -178,7 +180,7 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [bool(s >= 0.5) for _, part in pieces(b.column(at)) for s in net.score(part, table)]
+            keep = [bool(s >= 0.5) for _, part in pieces(b.column(at), PIECE_BYTES) for s in net.score(part, table)]
             yield b.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -36,7 +36,7 @@ from .common import KERNEL_BYTES, broadcast_if_small, checkpointed, pieces, temp
 
 MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES, MOST_RANGES = b"EVIDTOK2", 4096, 2 << 20, 8 << 20, 50_000
 MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
-END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP = 1, 400_000, 1 << 20, 500
+END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP = 1, 250_000, 1 << 20, 500
 
 # The rules of a tokenizer file under which a text's ids are those of its words, lower-cased and parted at marks.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
