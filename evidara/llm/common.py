@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 import sys
 import tempfile
@@ -83,6 +84,14 @@ def worker_cache() -> dict:
     return sys.modules.setdefault("evidara_worker_cache", ModuleType("evidara_worker_cache")).__dict__
 
 
+def release() -> None:
+    """Give memory that was freed back to the system; else a worker or the driver stays as large as it once was."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of glibc
+    if trim:
+        trim(0)
+
+
 #: Bytes of a broadcast table at most, as row_bytes counts them; tasks over a table of so few bytes.
 BROADCAST_BYTES, SMALL_TASKS = 8 << 20, 8
 

@@ -19,7 +19,6 @@ from __future__ import annotations
 
 import json
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,11 +31,16 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import KERNEL_BYTES, broadcast_if_small, checkpointed, pieces, temporary, worker_cache
+from .common import KERNEL_BYTES, broadcast_if_small, checkpointed, pieces, release, temporary, worker_cache
 
 MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES, MOST_RANGES = b"EVIDTOK2", 4096, 2 << 20, 8 << 20, 50_000
-MARK = re.compile(rb"([a-z])(?=[!\"#$%&()*+,./:;=?@|_-])")
 END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP = 1, 250_000, 1 << 20, 500
+#: A word that ends a text: a byte that UTF-8 never has.
+TEXT_END = b"\xff"
+GAP = b" " + TEXT_END + b" "
+SPACE, LETTER, MARK = 1, 2, 3
+KIND = np.zeros(256, np.uint8)
+KIND[list(b" \t\n\v\f\r")], KIND[list(b"abcdefghijklmnopqrstuvwxyz")], KIND[list(b"!\"#$%&()*+,./:;=?@|_-")] = SPACE, LETTER, MARK
 
 # The rules of a tokenizer file under which a text's ids are those of its words, lower-cased and parted at marks.
 NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]}
@@ -151,7 +155,8 @@ class WordEncoder:
     """Encodes texts with a tokenizer that never joins across ASCII white space: each different word is encoded once.
 
     White space ends a match of the tokenizer's split pattern, and its normaliser changes no character by one beyond
-    white space, so a text's ids are those of its words in turn.
+    white space, so a text's ids are those of its words in turn. Words are parted for all texts at once, and each
+    different one of a call is looked up once.
     """
 
     def __init__(self, path: str):
@@ -159,55 +164,81 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.ends = [False] * self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.ends = np.zeros(self.tokenizer.get_vocab_size(with_added_tokens=True), bool)
         for piece, i in self.tokenizer.get_vocab().items():
             self.ends[i] = piece.endswith("</w>")
         self.forget()
 
     def forget(self) -> None:
+        """Without words but TEXT_END, which is always the first."""
         self.at = WordIndex()
-        self.flat, self.begin, self.length = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int32)
-        self.uses = np.zeros(0, np.int64)
+        self.at[TEXT_END] = 0
+        self.flat, self.begin, self.length = np.array([END_ID], np.uint32), np.zeros(1, np.int64), np.ones(1, np.int32)
+        self.uses = np.zeros(1, np.int64)
 
     def trim(self) -> None:
         """Keep the half of the words that were looked up most."""
-        keep = np.sort(np.argsort(self.uses, kind="stable")[-CACHE_WORDS // 2 :])
+        self.uses[0] = np.iinfo(np.int64).max
+        keep = np.sort(np.argsort(self.uses, kind="stable")[-max(1, CACHE_WORDS // 2) :])
         words, sizes = list(self.at), self.length[keep]
         ends = np.cumsum(sizes, dtype=np.int64)
         self.flat = self.flat[np.repeat(self.begin[keep] - (ends - sizes), sizes) + np.arange(ends[-1])]
         self.begin, self.length, self.uses, self.at = ends - sizes, sizes, self.uses[keep] // 2, WordIndex()
+        self.uses[0] = 0
         self.at.update(zip((words[i] for i in keep.tolist()), range(len(keep))))
 
     def learn(self) -> None:
         text = b" ".join(self.at.fresh).decode().split(" ")
-        found: list = [None] * len(text)
         plain = [i for i, w in enumerate(text) if w.isalpha()]
         groups = [plain[a : a + GROUP] for a in range(0, len(plain), GROUP)]
         joined = self.tokenizer.encode_batch_fast([" ".join([text[i] for i in g]) for g in groups], add_special_tokens=False)
+        begin, sizes = np.zeros(len(text), np.int64), np.full(len(text), -1, np.int32)
+        held, upto = [self.flat], len(self.flat)
         for g, e in zip(groups, joined):
-            ids = e.ids
-            stops = [k for k, i in enumerate(ids, 1) if self.ends[i]]
+            ids = np.array(e.ids, np.uint32)
+            stops = np.flatnonzero(self.ends[ids]) + 1
             if len(stops) == len(g):  # each word is one match and ends once
-                for i, k, stop in zip(g, [0, *stops], stops):
-                    found[i] = ids[k:stop]
-        rest = [i for i, f in enumerate(found) if f is None]
+                begin[g] = upto + np.concatenate(([0], stops[:-1]))
+                sizes[g] = np.diff(stops, prepend=0)
+                held.append(ids)
+                upto += len(ids)
+        rest = np.flatnonzero(sizes < 0).tolist()
         for i, e in zip(rest, self.tokenizer.encode_batch_fast([text[i] for i in rest], add_special_tokens=False)):
-            found[i] = e.ids
-        sizes = np.fromiter(map(len, found), np.int32, len(found))
-        self.begin = np.concatenate((self.begin, len(self.flat) + np.cumsum(sizes, dtype=np.int64) - sizes))
-        self.length = np.concatenate((self.length, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter(chain.from_iterable(found), np.uint32, int(sizes.sum()))))
+            begin[i], sizes[i] = upto, len(e.ids)
+            held.append(np.array(e.ids, np.uint32))
+            upto += len(e.ids)
+        self.begin, self.length, self.flat = np.concatenate((self.begin, begin)), np.concatenate((self.length, sizes)), np.concatenate(held)
         self.at.fresh = []
 
+    def words(self, texts: list[bytes]) -> pa.DictionaryArray:
+        """The words of all texts, and TEXT_END after each text.
+
+        Lower-casing A-Z beforehand changes no id, nor does parting a letter from a mark that follows it, where the split
+        pattern always ends a match; a text that could spell a special token is left as it is.
+        """
+        whole = [b"<|" in t for t in texts]
+        raw = np.frombuffer(b"".join([x for t, w in zip(texts, whole) for x in (t if w else t.lower(), GAP)]), np.uint8)
+        if np.count_nonzero(raw == TEXT_END[0]) > len(texts):
+            raise ValueError("a text is not UTF-8")
+        kind = KIND[raw]
+        inside = kind != SPACE
+        new = (kind[1:] == MARK) & (kind[:-1] == LETTER)
+        if any(whole):
+            ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + len(GAP))
+            for i in np.flatnonzero(whole).tolist():
+                new[ends[i] - len(GAP) - len(texts[i]) : ends[i] - len(GAP)] = False
+        new |= ~inside[:-1]
+        start = np.flatnonzero(np.append(True, new)[inside])
+        data, offsets = raw[inside], np.append(start, np.count_nonzero(inside)).astype(np.int64)
+        return pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data)]).dictionary_encode()
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each followed by END_ID, and their number for each text."""
         if len(self.at) > CACHE_WORDS:
             self.trim()
-        # Lower-casing A-Z beforehand changes no id, nor does a space between a letter and a mark, where the split
-        # pattern always ends a match; a text that could spell a special token is left as it is.
-        split = [(t if b"<|" in t else MARK.sub(rb"\1 ", t.lower())).split() for t in texts]
-        upto = np.cumsum(np.fromiter(map(len, split), np.int64, len(split)))
-        which = np.fromiter(map(self.at.__getitem__, chain.from_iterable(split)), np.int64, int(upto[-1]))
+        words = self.words(texts)
+        known = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        which = np.fromiter(map(self.at.__getitem__, known), np.int64, len(known))[words.indices.to_numpy()]
         if self.at.fresh:
             self.learn()
         uses = np.bincount(which, minlength=len(self.at))
@@ -216,18 +247,23 @@ class WordEncoder:
         sizes = self.length[which]
         ends = np.cumsum(sizes, dtype=np.int64)
         ids = self.flat[np.repeat(self.begin[which] - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
-        stop = np.concatenate(([0], ends))[upto]
-        return np.insert(ids, stop, END_ID), np.diff(stop, prepend=0) + 1
+        return ids, np.diff(ends[which == 0], prepend=0)
 
 
 def kept_encoder(path: str) -> WordEncoder | WholeEncoder:
     """This worker's encoder for the tokenizer file, with the words that it met in earlier tasks."""
-    kept = worker_cache()
+    kept = worker_cache().setdefault("encoders", {})
     if path not in kept:
         kept[path] = WordEncoder(path) if by_words(path) else WholeEncoder(path)
     return kept[path]
 
 
+def forget_encoders() -> None:
+    """Free what kept_encoder keeps."""
+    worker_cache().pop("encoders", None)
+    release()
+
+
 def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     """Write docs (doc_id, text) to folder; a row per file: name, part, number, documents, ids. Evaluate it once."""
     from tokenizers import Tokenizer
@@ -264,6 +300,8 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
                     number, doc_ids, counts, held, total = number + 1, [], [], [], 0
         if doc_ids:
             yield flush()
+        del doc_ids, counts, held
+        release()
 
     salt = F.xxhash64("text")
     dealt = chosen.repartitionByRange(min(MOST_RANGES, max(1, -(-size // RANGE_BYTES))), F.col("doc_id").asc_nulls_first(), salt)
@@ -272,9 +310,10 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """A row per document in the files of folder: name, doc_id, local_start, n_tokens, ids_crc32."""
+    """A row per document in the files of folder: name, doc_id, local_start, n_tokens, ids_crc32. Workers forget their encoders."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget_encoders()
         for b in batches:
             for name, data in zip(b.column(0), b.column(1)):
                 f = TokenFile(data.as_buffer().to_pybytes())

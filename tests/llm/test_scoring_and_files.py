@@ -232,6 +232,25 @@ def test_words_encode_alone(monkeypatch, most):
         assert [ids[e - k : e].tolist() for e, k in zip(np.cumsum(n), n)] == [[*whole.encode(t, add_special_tokens=False).ids, 1] for t in texts]
 
 
+def test_repeated_words_are_looked_up_once():
+    """A call looks up each different word once, and a worker that reads the files keeps no words."""
+
+    class Counted(token_files.WordIndex):
+        def __getitem__(self, word):
+            looked.append(word)
+            return super().__getitem__(word)
+
+    looked, words = [], token_files.WordEncoder(word_tokenizer())
+    known = dict(words.at)
+    words.at = Counted()
+    words.at.update(known)
+    ids, n = words.encode([b"One two, two", b"two one " * 500])
+    assert len(looked) <= 4 + len(known) and n.tolist() == [len(ids) - n[1], n[1]]
+    token_files.kept_encoder(word_tokenizer())
+    token_files.forget_encoders()
+    assert "encoders" not in token_files.worker_cache()
+
+
 def test_token_round_trip(spark, monkeypatch):
     monkeypatch.setattr(token_files, "FILE_IDS", 300)
     monkeypatch.setattr(token_files, "RANGE_BYTES", 2000)
