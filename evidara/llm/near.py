@@ -1,4 +1,9 @@
-"""Near-duplicates by exact similarity: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+"""Near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+SimHash comes first: the fingerprints of `simhash`, of five-word shingles, are linked through pivot distance tables inside
+pigeonhole buckets, and the sets of linked fingerprints are compared whole. Links at two differing bits are the nearest
+copies only: at a similarity of 0.8 some 10 to 18 of 64 bits differ, a radius at which neither blocks nor pivots reject
+anything. So the components that fingerprints give are where an exact search begins, which adds the links between them.
 
 No pair is missed by chance. Sets x and y of similarity 4/5 share 4/5 of the larger one, so under any fixed order of all
 shingles the first |x| - ceil(4|x|/5) + 1 of x and those of y have one in common (prefix filter). The order puts shingles
@@ -29,8 +34,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, broadcast_if_small, checkpointed, components, discard, marked_if_small, materialize, mix64, pieces, spread_join
+from .common import NOT_SPACE, Words, broadcast_if_small, checkpointed, components, discard, marked_if_small, materialize, mix64, pieces, release, spread_join
 from .decontaminate import Grams
+from .simhash import fingerprint
+from .simhash import links as fingerprint_links
 
 SHINGLE, SAMPLE, COMMON = 5, 2000, 100_000
 #: 64-bit words of a sketch, for small and for large sets; sets of a chunk; rows that a grouping pass holds; turns; pairs tried at once; hubs; pairs of open buckets that are tried without a forest.
@@ -107,7 +114,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, fp, size, sketch, prefix) of each row: h is a hash of its text, fp one of its set of shingles; the prefix is in order."""
+    """(doc_id, h, fp, size, simhash, sketch, prefix) of each row: h is a hash of its text, fp one of its set of shingles, simhash
+    its fingerprint; the prefix is in order."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,14 +124,16 @@ def described(docs: DataFrame) -> DataFrame:
                 n, (doc, h) = len(texts), shingle_sets(texts)
                 at, key, size = prefixes(n, doc, h, *shared.value)
                 sketch = pa.array(sketches(n, doc, h), pa.binary())
+                print_ = np.fromiter((fingerprint(t, SHINGLE) for t in texts), np.uint64, n)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(set_names(n, doc, h).view(np.int64)), pa.array(size, pa.int64()), sketch, lists(n, at, key)],
-                    ["doc_id", "h", "fp", "size", "sketch", "prefix"],
+                    [b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(set_names(n, doc, h).view(np.int64)), pa.array(size, pa.int64()), pa.array(print_.view(np.int64)), sketch, lists(n, at, key)],
+                    ["doc_id", "h", "fp", "size", "simhash", "sketch", "prefix"],
                 )
+        release()
 
     text = F.col("text").cast("string")
     return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(
-        run, "doc_id long, h long, fp long, size long, sketch binary, prefix array<long>"
+        run, "doc_id long, h long, fp long, size long, simhash long, sketch binary, prefix array<long>"
     )
 
 
@@ -184,6 +194,7 @@ def several(dealt: DataFrame) -> DataFrame:
                 first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
                 names = mix64(np.add.reduceat(mix64(fp.view(np.uint64)), first))
                 yield batch(np.repeat(names, np.diff(np.append(first, len(key)))), fp, size, pos)
+        release()
 
     return dealt.repartition("key").sortWithinPartitions("key").mapInArrow(run, ROW)
 
@@ -205,6 +216,7 @@ def paired(rows: DataFrame) -> DataFrame:
                 key, fp, size, pos = key[keep], fp[keep], size[keep], pos[keep]
             if len(key):
                 yield batch(key, fp, size, pos)
+        release()
 
     return rows.repartition("key").sortWithinPartitions("key", "size", "fp", "pos").mapInArrow(run, ROW)
 
@@ -352,6 +364,8 @@ def proposals(rows: DataFrame, forest: bool) -> DataFrame:
         if bucket:
             out.extend((bucket.key, *p) for p in bucket.close())
         yield done()
+        del bucket
+        release()
 
     columns = ["key", "kind", "fp", "other", "size", "pos", "root", "sketch"]
     return rows.select(columns).repartition("key").sortWithinPartitions("key", "kind", "size", "fp").mapInArrow(run, "key long, src long, dst long")
@@ -367,6 +381,7 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
             for _, texts in pieces(b.column(0)):
                 doc, h = shingle_sets(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(set_names(len(texts), doc, h).view(np.int64)), lists(len(texts), doc, h)], ["fp", "shingles"])
+        release()
 
     text = F.col("text").cast("string")
     chosen = docs.select(text.alias("text")).join(needed, F.xxhash64(text) == F.col("needed"), "left_semi")
@@ -394,8 +409,31 @@ def joined(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
     return checkpointed(moved.union(fresh))
 
 
-def links(rows: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(fp, root) of the components of the sets that rows (key, fp, size, pos) may link; sets has fp, h, size, sketch."""
+def simhash_links(sets: DataFrame) -> DataFrame:
+    """(src, dst) pairs of sets (fp, simhash), src < dst, that span those of linked fingerprints: each set of a fingerprint with the
+    least one, and the least ones of fingerprints that op10's links join."""
+    least = checkpointed(sets.groupBy("simhash").agg(F.min("fp").alias("least"), F.count("*").alias("n")))
+    shared = checkpointed(least.where("n > 1"))
+    same = spread_join(sets.select("simhash", "fp"), shared, "simhash", sets.count(), F.col("fp")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    edges = checkpointed(fingerprint_links(least.select(F.col("simhash").alias("fp"))))
+    of = lambda c, k: least.select(F.col("simhash").alias(c), F.col("least").alias(k))
+    near = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select("a", "b")
+    pairs = same.union(near).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
+    return checkpointed(pairs.distinct())
+
+
+def simhash_roots(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
+    """(fp, root) of the components of those pairs of simhash_links whose sets have the similarity, or None without such pairs."""
+    pairs = simhash_links(sets)
+    if not pairs.limit(1).count():
+        return None
+    good = verified(pairs, docs, sets)
+    return joined(None, good) if good.limit(1).count() else None
+
+
+def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
+    """(fp, root) of the components of the sets that rows (key, fp, size, pos) may link, and of those that roots (fp, root) has
+    linked already; sets has fp, h, size, sketch."""
     large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("bigint").alias("chunks"))
     large = broadcast_if_small(large)
     some = bool(large.limit(1).count())
@@ -403,7 +441,7 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     part = lambda c: F.when(c.isNull(), F.col("key")).otherwise(F.xxhash64("key", c))
     rows = rows.join(large, "key", "left").withColumn("chunk", chunk).withColumn("part", part(F.col("chunk")))
     sketch, none = sets.select("fp", "sketch"), F.lit(0).cast("bigint")
-    roots = refuted = None
+    refuted = None
     for turn in range(TURNS):
         named = rows.withColumn("root", F.col("fp")) if roots is None else rows.join(marked_if_small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
         if turn:
@@ -444,15 +482,16 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, component_id (smallest doc_id reachable). Null ids as in simhash_groups."""
+    release()  # what the driver held for stages before this one
     of = materialize(described(docs).withColumn("row", F.monotonically_increasing_id()), "near")
     first = checkpointed(of.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = spread_join(of.select("fp", "row"), first, "fp", of.count(), F.col("row")).where("row <> first").select("row")
     copies = broadcast_if_small(copies)
     once = of.join(copies, "row", "left_anti")
-    sets = once.select("fp", "h", "size", "sketch")
+    sets = once.select("fp", "h", "size", "simhash", "sketch")
     dealt = once.select(F.posexplode("prefix").alias("pos", "key"), "fp", F.col("size").cast("int").alias("size")).select("key", "fp", "size", "pos")
     rows = materialize(paired(several(dealt)), "near-shared")  # most shingles are in one set only
-    roots = marked_if_small(links(rows, docs, sets))
+    roots = marked_if_small(links(rows, docs, sets, simhash_roots(docs, sets)))
     named = checkpointed(of.select("doc_id", "fp").join(roots, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("root")))
     discard(of)
     discard(rows)

@@ -1,5 +1,6 @@
 """The pipeline's near-duplicates against the similarity of all pairs."""
 
+import hashlib
 import random
 
 import corpus_pipeline
@@ -94,6 +95,41 @@ def test_small_chunks_and_parts(spark, small, monkeypatch, chunk, held, strip, t
     assert sorted(r.doc_id for r in kept.collect()) == firsts(rows)
 
 
+def described_sets(spark, rows):
+    """The rows' table, described, and its sets."""
+    of = near.materialize(near.described(docs(spark, rows)).withColumn("row", near.F.monotonically_increasing_id()), "test-near")
+    return docs(spark, rows), of, of.dropDuplicates(["fp"]).select("fp", "h", "size", "simhash", "sketch")
+
+
+def test_fingerprint_links_come_first(spark, small, monkeypatch):
+    """The stage's first links are those of SimHash fingerprints of five words that hold for the whole sets."""
+    long = [[f"{x}{i}" for i in range(500)] for x in "abcd"]
+    rows = [(10 * k + j, " ".join(words[: 500 - j] + ["other"] * j)) for k, words in enumerate(long) for j in (0, 1, 2)]
+    prints = {i: simhash.fingerprint(t.encode(), near.SHINGLE) for i, t in rows}
+    df, of, sets = described_sets(spark, rows)
+    assert {r.doc_id: r.simhash & (1 << 64) - 1 for r in of.collect()} == prints
+    name = {r.doc_id: r.fp for r in of.collect()}
+    want = {tuple(sorted((name[i], name[j]))) for i in name for j in name if i < j and (prints[i] ^ prints[j]).bit_count() <= simhash.BITS}
+    assert want and all(abs(i - j) < 10 for i in name for j in name if tuple(sorted((name[i], name[j]))) in want)
+    found = {tuple(r) for r in near.simhash_links(sets).collect()}
+    roots = {r.fp: r.root for r in near.simhash_roots(df, sets).collect()}
+    assert found and found <= want and all(roots[a] == roots[b] for a, b in want) and set(roots) == {x for p in want for x in p}
+
+    asked = []
+    monkeypatch.setattr(near, "simhash_roots", lambda *a, own=near.simhash_roots: asked.append(own(*a)) or asked[-1])
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, df, small).collect()) == firsts(rows)
+    assert len(asked) == 1 and {r.root for r in asked[0].collect()} <= set(name.values())
+
+
+def test_equal_fingerprints_of_other_texts(spark, small, monkeypatch):
+    """Fingerprints that link unlike texts link nothing; those that tell all texts apart lose nothing."""
+    rows = edited(60, seed=4)
+    for same in (True, False):
+        monkeypatch.setattr(near, "fingerprint", lambda t, n, same=same: 7 if same else int.from_bytes(hashlib.md5(t).digest()[:8], "big"))
+        kept = corpus_pipeline.keep_distinct(spark, docs(spark, rows), small)
+        assert sorted(r.doc_id for r in kept.collect()) == firsts(rows)
+
+
 def bucket_table(rows):
     columns = ("fp", "other", "size", "pos", "root", "sketch")
     kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
