@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import re
 import sys
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 from types import ModuleType
@@ -92,8 +94,31 @@ def release() -> None:
         trim(0)
 
 
-#: Bytes of a broadcast table at most, as row_bytes counts them; tasks over a table of so few bytes.
-BROADCAST_BYTES, SMALL_TASKS = 8 << 20, 8
+#: Part of the driver's largest heap beyond which tidy collects, and seconds between two collections at least.
+TIDY_PART, TIDY_S = 0.5, 2
+tidied = [0.0]
+
+
+def tidy(spark: SparkSession) -> bool:
+    """Collect the driver's garbage if its heap has grown; says whether it did.
+
+    What many short jobs leave (plans, broadcast tables, checkpoints, shuffles) is only given up when the driver collects its
+    garbage, which it else does once its heap is as large as it may be.
+    """
+    jvm = spark.sparkContext._jvm
+    heap = jvm.java.lang.Runtime.getRuntime()
+    if heap.totalMemory() <= TIDY_PART * heap.maxMemory() or time.monotonic() - tidied[0] < TIDY_S:
+        return False
+    gc.collect()
+    jvm.System.gc()
+    release()
+    tidied[0] = time.monotonic()
+    return True
+
+
+#: Bytes of a broadcast table at most, as row_bytes counts them; tasks over a table of so few bytes. The driver holds each such table
+#: several times over (rows, hash relation, blocks), and a query several such tables at once.
+BROADCAST_BYTES, SMALL_TASKS = 2 << 20, 8
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -233,6 +258,7 @@ def components(edges: DataFrame) -> DataFrame:
         moved = hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root"), "old")
         moved = checkpointed(few(moved))
         labels = moved.select("node", "root")
+        tidy(edges.sparkSession)
         if not moved.agg(F.count_if(F.col("root") != F.col("old"))).first()[0]:
             return labels
 

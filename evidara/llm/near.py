@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, broadcast_if_small, checkpointed, components, discard, marked_if_small, materialize, mix64, pieces, release, spread_join
+from .common import NOT_SPACE, Words, broadcast_if_small, checkpointed, components, discard, marked_if_small, materialize, mix64, pieces, release, spread_join, tidy
 from .decontaminate import Grams
 from .simhash import fingerprint
 from .simhash import links as fingerprint_links
@@ -389,8 +389,10 @@ def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
     x, y = (full.select(F.col("fp").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("src", "dst"))
     shared: Column = F.size(F.array_intersect("src_set", "dst_set"))
     total: Column = F.size("src_set") + F.size("dst_set")
+    tidy(docs.sparkSession)
     edges = checkpointed(pairs.join(x, "src").join(y, "dst").where(9 * shared >= 4 * total).select("src", "dst"))
     discard(full)
+    tidy(docs.sparkSession)
     return edges
 
 
@@ -415,6 +417,7 @@ def simhash_links(sets: DataFrame) -> DataFrame:
     least = checkpointed(sets.groupBy("simhash").agg(F.min("fp").alias("least"), F.count("*").alias("n")))
     shared = checkpointed(least.where("n > 1"))
     same = spread_join(sets.select("simhash", "fp"), shared, "simhash", sets.count(), F.col("fp")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    tidy(sets.sparkSession)
     edges = checkpointed(fingerprint_links(least.select(F.col("simhash").alias("fp"))))
     of = lambda c, k: least.select(F.col("simhash").alias(c), F.col("least").alias(k))
     near = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select("a", "b")
@@ -465,7 +468,9 @@ def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFrame |
             zero = F.lit(0)
             no = refuted.select("key", F.lit(REJECT).alias("kind"), F.col("src").alias("fp"), F.col("dst").alias("other"), zero.alias("size"), zero.alias("pos"), none.alias("root"), F.lit(None).cast("binary").alias("sketch"))
             live = live.unionByName(no)
+        tidy(docs.sparkSession)
         found = checkpointed(proposals(live, forest))
+        tidy(docs.sparkSession)
         if not found.limit(1).count():
             break
         pairs = checkpointed(found.select("src", "dst").distinct())
@@ -484,6 +489,7 @@ def near_groups(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, component_id (smallest doc_id reachable). Null ids as in simhash_groups."""
     release()  # what the driver held for stages before this one
     of = materialize(described(docs).withColumn("row", F.monotonically_increasing_id()), "near")
+    tidy(docs.sparkSession)
     first = checkpointed(of.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
     copies = spread_join(of.select("fp", "row"), first, "fp", of.count(), F.col("row")).where("row <> first").select("row")
     copies = broadcast_if_small(copies)
@@ -491,7 +497,9 @@ def near_groups(docs: DataFrame) -> DataFrame:
     sets = once.select("fp", "h", "size", "simhash", "sketch")
     dealt = once.select(F.posexplode("prefix").alias("pos", "key"), "fp", F.col("size").cast("int").alias("size")).select("key", "fp", "size", "pos")
     rows = materialize(paired(several(dealt)), "near-shared")  # most shingles are in one set only
+    tidy(docs.sparkSession)
     roots = marked_if_small(links(rows, docs, sets, simhash_roots(docs, sets)))
+    tidy(docs.sparkSession)
     named = checkpointed(of.select("doc_id", "fp").join(roots, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("root")))
     discard(of)
     discard(rows)

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces
+from .common import pieces, release
 from .fitting import base_rate, fold, labelled_sample, sigmoid
 
 FIT_DOCS, FILTERS, WIDTH, BLOCK, EMBED, HIDDEN = 1500, 16, 6, 128, 12, 12
@@ -182,5 +182,6 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for b in batches:
             keep = [bool(s >= 0.5) for _, part in pieces(b.column(at), PIECE_BYTES) for s in net.score(part, table)]
             yield b.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return docs.mapInArrow(run, docs.schema)

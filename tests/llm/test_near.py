@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from evidara.llm import near, simhash
+from evidara.llm import common, near, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -205,3 +205,16 @@ def test_components_of_further_edges(spark):
     got = {x.fp: x.root for x in roots.collect()}
     assert got == want
     assert {x.fp: x.root for x in near.joined(roots, frame(first)).collect()} == want
+
+
+def test_driver_is_tidied(spark, small, monkeypatch):
+    """The stage has the driver collect its garbage between its jobs, once the heap has grown; what is broadcast has a low bound."""
+    done = []
+    monkeypatch.setattr(common, "TIDY_PART", 0)
+    monkeypatch.setattr(common, "TIDY_S", 0)
+    monkeypatch.setattr(near, "tidy", lambda s: done.append(common.tidy(s)))
+    rows = edited(30, seed=6)
+    assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs(spark, rows), small).collect()) == firsts(rows)
+    assert len(done) >= 6 and all(done) and common.BROADCAST_BYTES <= 2 << 20
+    monkeypatch.setattr(common, "TIDY_PART", 1)
+    assert not common.tidy(spark)
