@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import time
 
 import corpus_pipeline
 import numpy as np
@@ -218,3 +219,28 @@ def test_driver_is_tidied(spark, small, monkeypatch):
     assert len(done) >= 6 and all(done) and common.BROADCAST_BYTES <= 2 << 20
     monkeypatch.setattr(common, "TIDY_PART", 1)
     assert not common.tidy(spark)
+
+
+def test_driver_is_tidied_in_the_midst_of_a_job(spark, small, monkeypatch):
+    monkeypatch.setattr(common, "TIDY_PART", 0)
+    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
+    heap, sizes, free = jvm.java.lang.Runtime.getRuntime(), [], {}
+
+    def grows(docs, groups):
+        """Leaves garbage and collects nothing itself."""
+        held = [gateway.new_array(jvm.long, 4 << 20) for _ in range(16)]
+        sizes.append(heap.totalMemory())
+        del held
+        end = time.monotonic() + 10
+        while time.monotonic() < end and heap.totalMemory() > 400 << 20:
+            time.sleep(0.1)
+        sizes.append(heap.totalMemory())
+        free.update({k: common.driver_option(spark, k, v) for k, v in common.FREE.items()})
+        return docs
+
+    monkeypatch.setattr(simhash, "one_of_each", grows)
+    corpus_pipeline.keep_distinct(spark, docs(spark, [(1, "a")]), small)
+    assert sizes[0] > 500 << 20 and sizes[1] <= 400 << 20 and free == common.FREE
+    kept = {k: common.driver_option(spark, k, v) for k, v in {"MinHeapFreeRatio": "40", "MaxHeapFreeRatio": "70"}.items()}
+    assert kept == {"MinHeapFreeRatio": "40", "MaxHeapFreeRatio": "70"}
+    assert common.driver_option(spark, "NoSuchOption", "1") is None
