@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, mixing, pii, quality, simhash, substrings, token_files, topk, toxicity, warc
+from . import conversations, decontaminate, mixing, pii, quality, simhash, substrings, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -65,6 +65,11 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op11_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, damaged by its rows' checksums: faults, cheapest repair, digest of the repaired turns."""
+    return conversations.repair_report(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_winnowing": op2_winnowing,
@@ -76,5 +81,6 @@ QUERIES = {
     "op8_tokens": op8_tokens,
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
+    "op11_viterbi": op11_viterbi,
 }
-ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_winnowing": decontaminate.ORACLE, "op3_substrings": substrings.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_winnowing": decontaminate.ORACLE, "op3_substrings": substrings.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE, "op11_viterbi": conversations.ORACLE}
