@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import conversations, decontaminate, mixing, pii, quality, simhash, substrings, token_files, topk, toxicity, warc
+from . import alignment, conversations, decontaminate, mixing, pii, quality, simhash, substrings, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -70,6 +70,13 @@ def op11_viterbi(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair_report(table(spark, sf_dir, "conversations"))
 
 
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document under two tokenizers: token groups, links between ids, and how common these are."""
+    import public_tokenizers
+
+    return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_winnowing": op2_winnowing,
@@ -82,5 +89,6 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_simhash": op10_simhash,
     "op11_viterbi": op11_viterbi,
+    "op12_alignment": op12_alignment,
 }
 ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_winnowing": decontaminate.ORACLE, "op3_substrings": substrings.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE, "op11_viterbi": conversations.ORACLE}
