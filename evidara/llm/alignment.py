@@ -37,8 +37,8 @@ from pyspark.sql import functions as F
 
 from .common import as_bytes, broadcast_if_small, checkpointed, materialize, release, spread_join, worker_cache
 
-#: Groups whose sums are broadcast; bytes of text taken at a time; parts and bytes of parts that a worker keeps; rows of a batch of counts.
-HEAD, TEXT_BYTES, KEPT_PARTS, KEPT_BYTES, COUNT_ROWS = 65_536, 1 << 20, 200_000, 16 << 20, 50_000
+#: Groups whose sums are broadcast; bytes of text taken at a time; parts, groups and bytes of parts that a worker keeps; rows of a batch of counts.
+HEAD, TEXT_BYTES, KEPT_PARTS, KEPT_GROUPS, KEPT_BYTES, COUNT_ROWS = 65_536, 1 << 20, 300_000, 300_000, 16 << 20, 50_000
 WORD_START = "▁"
 #: Parts of a text: spaces, what follows, and further spaces where the character before them is white space itself.
 NO_SPACE_BEFORE = rb"(?:(?<=[\t-\r\x1c-\x1f])|(?<=\xc2[\x85\xa0])|(?<=\xe1\x9a\x80)|(?<=\xe1\xa0\x8e)|(?<=\xe2\x80[\x80-\x8a\xa8\xa9\xaf])|(?<=\xe2\x81\x9f)|(?<=\xe3\x80\x80))"
@@ -77,8 +77,8 @@ def parts_end_at_spaces(path: str, processor) -> bool:
     a = plain and model.get("type") == "BPE" and rules.get("normalizer") is None and split.get("type") == "ByteLevel" and split.get("use_regex") and not split.get("add_prefix_space")
     pieces = (processor.id_to_piece(i) for i in range(processor.get_piece_size()))
     b = not any(WORD_START in p.lstrip(WORD_START) for p in pieces)
-    probe = "  x ﬁ① "
-    return bool(a and b and "".join(processor.encode(probe, out_type=str)) == WORD_START + probe.replace(" ", WORD_START))
+    probe, data = "  x ﬁ① ", piece_bytes(processor)
+    return bool(a and b and b"".join(data[i] for i in processor.encode(probe)) == (" " + probe).encode())
 
 
 def spread(begin: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -142,9 +142,22 @@ class Aligner:
         self.facts = np.zeros((0, 5), np.int64)  # of parts: ids of A, ids of B, groups, links, whether the bytes are the text's
         self.text: list[str] = []
         self.part_groups, self.group_pairs = Ragged(), Ragged()
-        self.keys = np.zeros(0, np.int64)
+        self.keys, self.uses = np.zeros(0, np.int64), np.zeros(0, np.int64)
         self.begin()
 
+    def full(self) -> bool:
+        return len(self.groups) > KEPT_GROUPS or self.kept > KEPT_BYTES
+
+    def trim(self) -> None:
+        """Keep the half of the parts that were looked up most; groups and pairs stay."""
+        keep = np.sort(np.argsort(self.uses, kind="stable")[-(KEPT_PARTS // 2) :])
+        names, text, (flat, count) = list(self.parts), self.text, self.part_groups.of(keep)
+        self.parts, self.part_groups = Numbers(), Ragged()
+        self.parts.update((names[i], n) for n, i in enumerate(keep.tolist()))
+        self.part_groups.add(flat, count)
+        self.text, self.facts, self.uses = [text[i] for i in keep.tolist()], self.facts[keep], self.uses[keep] // 2
+        self.kept = sum(map(len, self.parts))
+
     def begin(self) -> None:
         """A task begins: no document is counted yet."""
         self.group_n, self.pair_n = np.zeros(len(self.groups), np.int64), np.zeros(len(self.pairs), np.int64)
@@ -222,6 +235,9 @@ class Aligner:
         which = np.fromiter(map(self.parts.__getitem__, (p for x in found for p in x)), np.int64, int(size.sum()))
         if self.parts.fresh:
             self.learn()
+        uses = np.bincount(which, minlength=len(self.parts))
+        uses[: len(self.uses)] += self.uses
+        self.uses = uses
         doc = np.repeat(np.arange(len(texts)), size)
         bad = np.unique(doc[self.facts[which, 4] == 0])
         good = ~np.isin(doc, bad)
@@ -290,7 +306,9 @@ def described(docs: DataFrame, a: str, b: str) -> DataFrame:
                 size += len(t or b"")
             if texts:
                 yield aligner.documents(batch.column(0).slice(first, len(texts)), texts)
-            if len(aligner.parts) > KEPT_PARTS or aligner.kept > KEPT_BYTES:
+            if len(aligner.parts) > KEPT_PARTS:
+                aligner.trim()
+            if aligner.full():
                 yield from aligner.counts()
                 aligner.forget()
         if aligner:

@@ -83,8 +83,10 @@ def test_odd_texts(spark, pair, head):
     same(alignment.align(df, A, B, head).documents, brute(pair, rows))
 
 
-def test_random_texts(spark, pair, monkeypatch):
+@pytest.mark.parametrize("limit", [20, 10**6])
+def test_random_texts(spark, pair, monkeypatch, limit):
     monkeypatch.setattr(alignment, "KEPT_PARTS", 40)
+    monkeypatch.setattr(alignment, "KEPT_GROUPS", limit)
     monkeypatch.setattr(alignment, "TEXT_BYTES", 60)
     r = random.Random(4)
     parts = [" ", "  ", "\n", "\t", "\r", " ", "　", "'s", "the", "Nation", "é", "你", ".", "!!", "7", "<s>", " ", "\x0b", "\x85", "▁"]
