@@ -293,28 +293,65 @@ def pieces(column: pa.Array, limit: int = KERNEL_BYTES) -> Iterator[tuple[int, l
         yield start, out
 
 
+#: Edges that one task may join at once: 8 MB of them.
+TASK_EDGES = 1 << 19
+
+
+def joined_nodes(batches: Iterator[pa.RecordBatch], roots: bool) -> Iterator[pa.RecordBatch]:
+    """Of edges (src, dst) a spanning forest, as edges, or with roots each node and the smallest one that it is joined to."""
+    parent: dict[int, int] = {}
+    out: tuple[list[int], list[int]] = ([], [])
+
+    def root(x: int) -> int:
+        while (p := parent.setdefault(x, x)) != x:
+            parent[x] = x = parent[p]
+        return x
+
+    for batch in batches:
+        for src, dst in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            a, b = root(src), root(dst)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+                if not roots:
+                    out[0].append(src)
+                    out[1].append(dst)
+    if roots:
+        out = (list(parent), [root(x) for x in list(parent)])
+    names = ["node", "root"] if roots else ["src", "dst"]
+    for x in range(0, len(out[0]), 100_000):
+        yield pa.RecordBatch.from_arrays([pa.array(c[x : x + 100_000], pa.int64()) for c in out], names)
+
+
+def spanning(edges: DataFrame) -> DataFrame:
+    """edges (src, dst) without those that close a circle among the edges of their task."""
+    return checkpointed(edges.select("src", "dst").where("src <> dst").mapInArrow(lambda it: joined_nodes(it, False), "src long, dst long"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of (src long, dst long) edges as (node, root), root the smallest node reachable.
 
-    Minimum labels with pointer jumping, each round checkpointed in the shared folder; it ends when no label changes.
-    Degrees may be as large as they like: neighbours only meet in a minimum, which Spark combines before the shuffle.
+    Tasks keep a spanning forest of their edges, dealt to fewer tasks as long as that drops edges. TASK_EDGES that are left are joined
+    by one task. More of them get minimum labels with pointer jumping, each round checkpointed in the shared folder, until no
+    label changes; degrees may be as large as they like, as neighbours only meet in a minimum, which Spark combines first.
     """
-    both = edges.select("src", "dst").union(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    both = checkpointed(both.where("src <> dst").distinct())
-    labels = both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root"))
-    # A graph of few bytes takes few tasks, and its labels are broadcast; as large a graph as you like is shuffled.
-    small = both.count() * 32 <= BROADCAST_BYTES
-    few = (lambda df: df.coalesce(SMALL_TASKS)) if small else (lambda df: df)
-    both, labels = few(both), checkpointed(few(labels))
+    forest = spanning(edges)
+    n, tasks = forest.count(), forest.rdd.getNumPartitions()
+    while n > TASK_EDGES and tasks > 1:
+        tasks = max(1, tasks // 8, -(-n // (4 * TASK_EDGES)))
+        fewer = spanning(forest.repartition(tasks, "src"))
+        before, n, forest = n, fewer.count(), fewer
+        if 10 * n > 9 * before or tasks == -(-n // (4 * TASK_EDGES)):
+            break
+    if n <= TASK_EDGES:
+        return checkpointed(forest.coalesce(1).mapInArrow(lambda it: joined_nodes(it, True), "node long, root long"))
+    both = checkpointed(forest.union(forest.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
+    labels = checkpointed(both.groupBy(F.col("src").alias("node")).agg(F.least(F.min("dst"), F.first("src")).alias("root")))
     while True:
-        known = F.broadcast(labels) if small else labels
-        near = both.join(known.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
-        hooked = near.join(known, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
-        jump = known.select(F.col("node").alias("mid"), F.col("root").alias("far"))
-        moved = hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root"), "old")
-        moved = checkpointed(few(moved))
+        near = both.join(labels.select(F.col("node").alias("dst"), "root"), "dst").groupBy(F.col("src").alias("node")).agg(F.min("root").alias("near"))
+        hooked = near.join(labels, "node").select("node", F.col("root").alias("old"), F.least("root", "near").alias("mid"))
+        jump = labels.select(F.col("node").alias("mid"), F.col("root").alias("far"))
+        moved = checkpointed(hooked.join(jump, "mid", "left").select("node", F.least("mid", F.coalesce("far", "mid")).alias("root"), "old"))
         labels = moved.select("node", "root")
-        tidy(edges.sparkSession)
         if not moved.agg(F.count_if(F.col("root") != F.col("old"))).first()[0]:
             return labels
 

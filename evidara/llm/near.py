@@ -44,15 +44,15 @@ SHINGLE, SAMPLE, COMMON = 5, 2000, 100_000
 LEAST_WORDS, MOST_WORDS, CHUNK, HELD, TURNS, STRIP, HUBS, FEW_PAIRS = 8, 512, 4096, 100_000, 4, 1 << 14, 6, 4_000_000
 
 
-def shingle_sets(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(text, shingle) of the distinct shingles of each text, sorted."""
     words = Words([t.lower() for t in texts], NOT_SPACE)
     grams = Grams(words)
-    whole = grams.inside(SHINGLE)
-    short = np.flatnonzero((words.count > 0) & (words.count < SHINGLE))
+    whole = grams.inside(shingle)
+    short = np.flatnonzero((words.count > 0) & (words.count < shingle))
     brief = [grams.at(words.first[i : i + 1], int(words.count[i])) for i in short]
     doc = np.concatenate([words.doc[: len(whole)][whole], short]).astype(np.int64)
-    h = np.concatenate([grams.all(SHINGLE)[whole], *brief]).astype(np.uint64)
+    h = np.concatenate([grams.all(shingle)[whole], *brief]).astype(np.uint64)
     order = np.lexsort((h, doc))
     doc, h = doc[order], h[order]
     new = np.concatenate(([True], (doc[1:] != doc[:-1]) | (h[1:] != h[:-1]))) if len(h) else np.zeros(0, bool)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import alignment, conversations, decontaminate, mixing, pii, quality, simhash, substrings, token_files, topk, toxicity, warc
+from . import alignment, conversations, decontaminate, minhash, mixing, pii, quality, simhash, substrings, token_files, topk, toxicity, warc
 from .common import table
 
 
@@ -77,6 +77,11 @@ def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alignment.align(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model")).documents
 
 
+def op13_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of all documents whose sets of 2-word shingles have a similarity of 0.8 or more."""
+    return minhash.minhash_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_topk": op1_topk,
     "op2_winnowing": op2_winnowing,
@@ -90,5 +95,6 @@ QUERIES = {
     "op10_simhash": op10_simhash,
     "op11_viterbi": op11_viterbi,
     "op12_alignment": op12_alignment,
+    "op13_minhash": op13_minhash,
 }
 ORACLE_SQL: dict[str, str] = {"op1_topk": topk.ORACLE, "op2_winnowing": decontaminate.ORACLE, "op3_substrings": substrings.ORACLE, "op5_warc": warc.ORACLE, "op9_mixing": mixing.ORACLE, "op11_viterbi": conversations.ORACLE}
