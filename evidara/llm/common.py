@@ -3,21 +3,15 @@
 from __future__ import annotations
 
 import ctypes
-import gc
 import re
 import sys
 import tempfile
-import threading
-import time
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 from types import ModuleType
 
 import numpy as np
 import pyarrow as pa
-from py4j.java_gateway import JavaObject
-from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -98,83 +92,9 @@ def release() -> None:
         trim(0)
 
 
-#: Part of the driver's largest heap beyond which tidy collects, and seconds between two collections at least.
-TIDY_PART, TIDY_S = 0.5, 2
-#: When tidy last ended, and how long it took.
-tidied = [0.0, 0.0]
-
-
-def tidy(spark: SparkSession) -> bool:
-    """Collect the driver's garbage if its heap has grown; says whether it did.
-
-    What many short jobs leave (plans, broadcast tables, checkpoints, shuffles) is only given up when the driver collects its
-    garbage, which it else does once its heap is as large as it may be. Where live objects fill the heap, collections take a
-    tenth of the time at most.
-    """
-    jvm = spark.sparkContext._jvm
-    heap = jvm.java.lang.Runtime.getRuntime()
-    began = time.monotonic()
-    if heap.totalMemory() <= TIDY_PART * heap.maxMemory() or began - tidied[0] < TIDY_S * max(1, 5 * tidied[1]):
-        return False
-    gc.collect()
-    jvm.System.gc()
-    release()
-    tidied[:] = time.monotonic(), time.monotonic() - began
-    return True
-
-
-#: Seconds between two looks at the driver's heap, and the parts of it, in percent, that are free after a collection: at least and at
-#: most. With the JVM's own 40 and 70 a heap of 200 MB of live objects stays at 667 MB, however often it is collected.
-WATCH_S, FREE = 0.25, {"MinHeapFreeRatio": "10", "MaxHeapFreeRatio": "30"}
-
-
-def driver_option(spark: SparkSession, name: str, value: str) -> str | None:
-    """Set an option of the driver's running JVM; gives its value before, or None where it has no such option."""
-    gateway, java = spark.sparkContext._gateway, spark.sparkContext._jvm.java
-    try:
-        kind = java.lang.Class.forName("com.sun.management.HotSpotDiagnosticMXBean")
-        bean = java.lang.management.ManagementFactory.getPlatformMXBean(kind)
-        text = java.lang.Class.forName("java.lang.String")
-
-        def call(method: str, *values: str) -> JavaObject:  # the bean's own class is not open to calls
-            types, args = gateway.new_array(java.lang.Class, len(values)), gateway.new_array(java.lang.Object, len(values))
-            for i, v in enumerate(values):
-                types[i], args[i] = text, v
-            return kind.getMethod(method, types).invoke(bean, args)
-
-        before = call("getVMOption", name).getValue()
-        call("setVMOption", name, value)
-        return before
-    except Py4JJavaError:
-        return None
-
-
-@contextmanager
-def kept_tidy(spark: SparkSession) -> Iterator[None]:
-    """Meanwhile the driver's heap is watched and tidied, in the midst of jobs too, and gives back what it has free."""
-    before = {name: driver_option(spark, name, value) for name, value in FREE.items()}
-    ended = threading.Event()
-
-    def watch() -> None:
-        while not ended.wait(WATCH_S):
-            tidy(spark)
-
-    watcher = threading.Thread(target=watch, daemon=True)
-    watcher.start()
-    try:
-        yield
-    finally:
-        ended.set()
-        watcher.join()
-        tidy(spark)
-        for name, value in reversed(before.items()):
-            if value is not None:
-                driver_option(spark, name, value)
-
-
-#: Bytes of a broadcast table at most, as row_bytes counts them; tasks over a table of so few bytes. The driver holds each such table
+#: Bytes of a broadcast table at most, as row_bytes counts them. The driver holds each such table
 #: several times over (rows, hash relation, blocks), and a query several such tables at once.
-BROADCAST_BYTES, SMALL_TASKS = 2 << 20, 8
+BROADCAST_BYTES = 2 << 20
 
 
 def row_bytes(df: DataFrame) -> Column:
@@ -356,6 +276,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def with_components(of: DataFrame, roots: DataFrame) -> DataFrame:
+    """of (doc_id, fp) with component_id, the smallest doc_id of its fp's component (node, root), or of its fp."""
+    least = of.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
+    rooted = checkpointed(least.join(broadcast_if_small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
+    firsts = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
+    of_set = checkpointed(spread_join(rooted, firsts, "root", rooted.count(), F.col("fp"), "members").select("fp", "n", "component_id"))
+    return spread_join(of, of_set, "fp", of.count(), F.xxhash64("doc_id")).drop("n")
+
+
 def polynomial(values: np.ndarray, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Prefix sums of values[i] * base**i and the powers of base's inverse, both modulo 2**64."""
     n = len(values)

@@ -26,8 +26,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import grouping
-from .common import broadcast_if_small, checkpointed, components, materialize, mix64, pieces, possibly_in, release, spread_join
-from .near import lists, paired, set_names, several, shingle_sets
+from .common import components, materialize, mix64, pieces, release, with_components
+from .near import in_common, lists, one_a_set, paired, row_hashes, set_names, several, shingle_sets, whole_sets
 
 SHINGLE, COORDINATES, MATCHES = 2, 64, 34
 PREFIX = COORDINATES - MATCHES + 1
@@ -102,13 +102,7 @@ def described(docs: DataFrame) -> DataFrame:
                 )
         release()
 
-    return named(docs).mapInArrow(run, "doc_id long, h long, fp long, size long, signature binary, prefix array<long>")
-
-
-def named(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, text): h is a hash of both, nulls told apart."""
-    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
-    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, doc_id.isNull(), text).alias("h"), text.alias("text"))
+    return row_hashes(docs).mapInArrow(run, "doc_id long, h long, fp long, size long, signature binary, prefix array<long>")
 
 
 def matrix(table: pa.Table) -> np.ndarray:
@@ -128,49 +122,17 @@ def matching(table: pa.Table):
 
 def similar(table: pa.Table):
     """Tests by whole sets, of those whose collisions allow it."""
-    sign, size = matrix(table), table.column("size").to_numpy()
-    column = table.column("shingles").combine_chunks()
-    begin, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy().view(np.uint64)
+    size, agree, shared = table.column("size").to_numpy(), matching(table), in_common(table)
 
     def linked(i: int, j: np.ndarray) -> np.ndarray:
-        out = (sign[j] == sign[i]).sum(axis=1) >= MATCHES
-        own = flat[begin[i] : begin[i + 1]]
-        for k in np.flatnonzero(out).tolist():
-            other = flat[begin[j[k]] : begin[j[k] + 1]]
-            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
-            out[k] = 9 * np.count_nonzero(own[at] == other) >= 4 * (size[i] + size[j[k]])
+        out = agree(i, j)
+        at = j[out]
+        out[out] = 9 * shared(i, at) >= 4 * (size[i] + size[at])
         return out
 
     return linked
 
 
-def one_a_set(of: DataFrame) -> DataFrame:
-    """One of the rows (row, fp) of each fp."""
-    first = checkpointed(of.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    copies = spread_join(of.select("fp", "row"), first, "fp", of.count(), F.col("row")).where("row <> first").select("row")
-    return of.join(broadcast_if_small(copies), "row", "left_anti")
-
-
-def whole_sets(docs: DataFrame, wanted: DataFrame, repeated: bool) -> DataFrame:
-    """(key, fp, size, weight, signature, shingles) of wanted (h, fp, key), from the texts again: few of them are read further."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for first, texts in pieces(b.column(1)):
-                n, (doc, h) = len(texts), shingle_sets(texts, SHINGLE)
-                size = np.bincount(doc, minlength=n)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(size, pa.int64()), pa.array([s.tobytes() for s in signatures(n, doc, h)], pa.binary()), lists(n, doc, h)], ["h", "size", "signature", "shingles"])
-        release()
-
-    rows = named(docs).select(F.col("h").alias("doc"), "text")
-    some = possibly_in(rows, wanted.select(F.col("h").alias("id")))
-    sets = some.mapInArrow(run, "h long, size long, signature binary, shingles array<long>")
-    if repeated:
-        sets = sets.dropDuplicates(["h"])
-    weight = 8 * F.col("size") + 4 * COORDINATES
-    return sets.join(broadcast_if_small(wanted), "h").select("key", "fp", "size", weight.alias("weight"), "signature", "shingles")
-
-
 def candidates(once: DataFrame) -> DataFrame:
     """(fp, root) of the groups that signatures join, of once (fp, size, signature, prefix)."""
     dealt = once.select(F.explode("prefix").alias("key"), "fp", F.col("size").cast("int").alias("size"), F.lit(0).alias("pos"))
@@ -182,16 +144,9 @@ def candidates(once: DataFrame) -> DataFrame:
 def minhash_groups(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, n_shingles, component_id (smallest doc_id reachable), kept (whether that is its own)."""
     of = materialize(described(docs).withColumn("row", F.monotonically_increasing_id()), "minhash")
-    once = materialize(one_a_set(of.where("size > 0")), "minhash-sets")
-    near = candidates(once)
-    wanted = checkpointed(near.join(once.select("fp", "h"), "fp").select("h", "fp", F.col("root").alias("key")))
-    repeated = bool(of.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count())
-    roots = components(grouping.links(materialize(whole_sets(docs, wanted, repeated), "whole-sets"), similar, GROUP_BYTES))
-    least = of.where("size > 0").groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n"))
-    rooted = checkpointed(least.join(broadcast_if_small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp")))
-    firsts = checkpointed(rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("members")))
-    of_set = spread_join(rooted, firsts, "root", rooted.count(), F.col("fp"), "members").select("fp", "n", "component_id")
-    lone = of.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id"))
-    full = of.where("size > 0").select("doc_id", "fp", "size")
-    found = spread_join(full, checkpointed(of_set), "fp", full.count(), F.xxhash64("doc_id")).select("doc_id", "size", "component_id").union(lone)
+    full = of.where("size > 0")
+    near = candidates(materialize(one_a_set(full), "minhash-sets"))
+    sets = whole_sets(docs, full, near, SHINGLE, "signature", lambda n, doc, h: [s.tobytes() for s in signatures(n, doc, h)])
+    named = with_components(full.select("doc_id", "fp", "size"), components(grouping.links(sets, similar, GROUP_BYTES))).select("doc_id", "size", "component_id")
+    found = named.union(of.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id")))
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

@@ -1,47 +1,44 @@
 """Near-duplicates: texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
 
 SimHash comes first: the fingerprints of `simhash`, of five-word shingles, are linked through pivot distance tables inside
-pigeonhole buckets, and the sets of linked fingerprints are compared whole. Links at two differing bits are the nearest
-copies only: at a similarity of 0.8 some 10 to 18 of 64 bits differ, a radius at which neither blocks nor pivots reject
-anything. So the components that fingerprints give are where an exact search begins, which adds the links between them.
+pigeonhole buckets. Links at two differing bits are the nearest copies only: at a similarity of 0.8 some 10 to 18 of 64 bits
+differ, a radius at which neither blocks nor pivots reject anything. So an exact search adds the other candidates.
 
 No pair is missed by chance. Sets x and y of similarity 4/5 share 4/5 of the larger one, so under any fixed order of all
-shingles the first |x| - ceil(4|x|/5) + 1 of x and those of y have one in common (prefix filter). The order puts shingles
+shingles the first |x| - ceil(4|x|/5) + 1 of x and those of y have one in common (prefix filtering). The order puts shingles
 that a sample shows to be common last, so few unrelated texts meet. Each shingle of a prefix is a bucket; buckets with the
 same members are one. Two sets that first meet at places i and j share at most min(|x| - i, |y| - j) shingles, which
 drops most rows before anything else of them is moved.
 
 Pairs of a bucket then pass a bound on Hamming distance: a sketch has the parity of the shingles hashed to each of its bits,
 so two sketches differ in no more bits than the sets differ in shingles, at most (|x| + |y|) / 9. Sketches have four bits or
-more a shingle, so few other pairs pass. Components need no more edges than span them: a bucket proposes a forest of its
-pairs, nearest first, whose whole sets are compared. Buckets whose proposals all hold are done; those with a refuted pair
-propose another forest between what is still apart, and once few pairs are left, or in the last of TURNS, all of them.
+more a shingle, so few other pairs pass. What passes is joined to candidate groups, without listing pairs, and inside each
+group whole sets are compared, which decides. Buckets and groups of any size are taken in parts (`grouping`).
 
-A bucket of more than CHUNK sets is cut into chunks by hash. Each proposes for itself; then sets outside the bucket's
-largest component visit the other chunks, as pairs inside that component need no comparing. Nothing is dropped.
-
-Words are lower-cased (A-Z) and parted by ASCII white space; fewer than five words are one shingle, no words none. Shingles
-and sets are told apart by 64-bit hashes. A null text has no words; a table without rows gives none; repeated rows are all
-returned; a very long text is held whole by the task that reads it. Other columns are not read.
+Words are lower-cased (A-Z) and parted by ASCII white space; fewer than five words are one shingle, no words none, and texts
+without words are copies of each other. Shingles and sets are told apart by 64-bit hashes. A null text has no words; a table
+without rows gives none; repeated rows are all returned; a very long text is held whole by the task that reads it. Other
+columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NOT_SPACE, Words, broadcast_if_small, checkpointed, components, discard, marked_if_small, materialize, mix64, pieces, release, spread_join, tidy
+from . import grouping
+from .common import NOT_SPACE, Words, broadcast_if_small, checkpointed, components, discard, materialize, mix64, pieces, possibly_in, release, spread_join, with_components
 from .decontaminate import Grams
 from .simhash import fingerprint
 from .simhash import links as fingerprint_links
 
 SHINGLE, SAMPLE, COMMON = 5, 2000, 100_000
-#: 64-bit words of a sketch, for small and for large sets; sets of a chunk; rows that a grouping pass holds; turns; pairs tried at once; hubs; pairs of open buckets that are tried without a forest.
-LEAST_WORDS, MOST_WORDS, CHUNK, HELD, TURNS, STRIP, HUBS, FEW_PAIRS = 8, 512, 4096, 100_000, 4, 1 << 14, 6, 4_000_000
+#: 64-bit words of a sketch, for small and for large sets; rows that a grouping pass takes and holds at most; weight of a bucket's part and of a group's part.
+LEAST_WORDS, MOST_WORDS, STRIP, HELD, BUCKET_BYTES, GROUP_BYTES = 8, 512, 1 << 14, 100_000, 2 << 20, 16 << 20
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +111,7 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
 
 def described(docs: DataFrame) -> DataFrame:
-    """(doc_id, h, fp, size, simhash, sketch, prefix) of each row: h is a hash of its text, fp one of its set of shingles, simhash
+    """(doc_id, h, fp, size, simhash, sketch, prefix) of each row: h is a hash of doc_id and text, fp one of its set of shingles, simhash
     its fingerprint; the prefix is in order."""
     shared = docs.sparkSession.sparkContext.broadcast(common_shingles(docs))
 
@@ -131,10 +128,7 @@ def described(docs: DataFrame) -> DataFrame:
                 )
         release()
 
-    text = F.col("text").cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(
-        run, "doc_id long, h long, fp long, size long, simhash long, sketch binary, prefix array<long>"
-    )
+    return row_hashes(docs).mapInArrow(run, "doc_id long, h long, fp long, size long, simhash long, sketch binary, prefix array<long>")
 
 
 def whole_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Table, bool]]:
@@ -221,286 +215,132 @@ def paired(rows: DataFrame) -> DataFrame:
     return rows.repartition("key").sortWithinPartitions("key", "size", "fp", "pos").mapInArrow(run, ROW)
 
 
-REJECT, OWN, VISITOR = 0, 1, 2
-
-
-class Bucket:
-    """Pairs of the own sets of a bucket, and of visitors with these, that are in different components and pass the bounds."""
-
-    def __init__(self, key: int, forest: bool):
-        self.key, self.forest, self.parts, self.refuted, self.n = key, forest, [], set(), None
-
-    def add(self, kind: int, t: pa.Table) -> Iterator[tuple[int, int]]:
-        fp, other, size, pos, root = arrays(t, "fp", "other", "size", "pos", "root")
-        if kind == REJECT:
-            self.refuted.update(zip(fp.tolist(), other.tolist()))
-            return
-        part = (fp, size.astype(np.int64), pos.astype(np.int64), root, [np.frombuffer(x.as_buffer(), np.uint64) for x in t.column("sketch").combine_chunks()] if t.num_rows else [])
-        if kind == OWN:
-            self.parts.append(part)
-        else:
-            yield from self.close()
-            yield from self.visit(*part)
-
-    def close(self) -> Iterator[tuple[int, int]]:
-        """The pairs of the own sets, once all of them are here."""
-        if self.n is None:
-            self.fp, self.size, self.pos, self.root = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in range(4))
-            self.sketch = [x for p in self.parts for x in p[4]]
-            self.words, self.folds, self.n = np.array([len(x) for x in self.sketch], np.int64), {}, len(self.fp)
-            self.label = np.unique(self.root, return_inverse=True)[1]
-            yield from self.own()
-
-    def folded(self, words: int) -> np.ndarray:
-        """Sketches of at least so many words, folded to them."""
-        if words not in self.folds:
-            self.folds[words] = out = np.zeros((self.n, words), np.uint64)
-            for i in np.flatnonzero(self.words >= words).tolist():
-                out[i] = np.bitwise_xor.reduce(self.sketch[i].reshape(-1, words), axis=0)
-        return self.folds[words]
-
-    def bounded(self, size: np.ndarray, pos: np.ndarray, b: np.ndarray) -> np.ndarray:
-        """Whether sizes and places allow the pairs of sets of such size and place with own sets b."""
-        return 9 * np.minimum(size - pos, self.size[b] - self.pos[b]) >= 4 * (size + self.size[b])
-
-    def distance(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-        out, words = np.zeros(len(a), np.int64), np.minimum(self.words[a], self.words[b])
-        for w in np.unique(words).tolist():
-            s, at = self.folded(w), np.flatnonzero(words == w)
-            for x in range(0, len(at), step := max(64, (1 << 19) // w)):
-                k = at[x : x + step]
-                out[k] = np.bitwise_count(s[a[k]] ^ s[b[k]]).sum(axis=1, dtype=np.int64)
+def distances(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Gives the Hamming distances of a row's sketch to others', each pair folded to the smaller of both."""
+    sketch = [np.frombuffer(x, np.uint64) for x in table.column("sketch").to_pylist()]
+    words, folds = np.array([len(x) for x in sketch], np.int64), {}
+
+    def folded(w: int) -> np.ndarray:
+        """Sketches of at least w words, folded to w."""
+        if w not in folds:
+            folds[w] = out = np.zeros((len(sketch), w), np.uint64)
+            for i in np.flatnonzero(words >= w).tolist():
+                out[i] = np.bitwise_xor.reduce(sketch[i].reshape(-1, w), axis=0)
+        return folds[w]
+
+    def apart(i: int, j: np.ndarray) -> np.ndarray:
+        out, least = np.zeros(len(j), np.int64), np.minimum(words[j], words[i])
+        for w in np.unique(least).tolist():
+            k = np.flatnonzero(least == w)
+            out[k] = np.bitwise_count(folded(w)[j[k]] ^ folded(w)[i]).sum(axis=1, dtype=np.int64)
         return out
 
-    def pair(self, a: int, b: int) -> tuple[int, int]:
-        return (a, b) if a < b else (b, a)
-
-    def own(self) -> Iterator[tuple[int, int]]:
-        weak: list[tuple[float, int, int]] = []
-        # The sets of least name are tried with all others first, so that buckets with much the same sets propose the same pairs.
-        for hub in np.argsort(mix64(self.fp.view(np.uint64)), kind="stable")[: HUBS * self.forest].tolist():
-            a = np.flatnonzero((self.label != self.label[hub]) & (5 * np.minimum(self.size, self.size[hub]) >= 4 * np.maximum(self.size, self.size[hub])))
-            yield from self.tried(a, np.full(len(a), hub), weak)
-        at, step = np.arange(self.n), 0
-        while len(at):
-            step += 1
-            at = at[at + step < self.n]
-            at = at[5 * self.size[at] >= 4 * self.size[at + step]]  # later ones are larger still
-            a = at[self.label[at] != self.label[at + step]]
-            yield from self.tried(a, a + step, weak)
-            if len(weak) > STRIP:
-                weak = [w for w in weak if self.label[w[1]] != self.label[w[2]]]
-                if len(weak) > STRIP // 2:
-                    weak.sort()
-                    for _, i, j in weak:
-                        yield from self.proposal(i, j)
-                    weak = []
-        for _, i, j in sorted(weak):
-            yield from self.proposal(i, j)
-
-    def tried(self, a: np.ndarray, b: np.ndarray, weak: list[tuple[float, int, int]]) -> Iterator[tuple[int, int]]:
-        """Proposals of those pairs of own sets that pass the bounds; pairs near the bound wait in weak for better ones."""
-        ok = self.bounded(self.size[a], self.pos[a], b)
-        a, b = a[ok], b[ok]
-        apart, total = self.distance(a, b), self.size[a] + self.size[b]
-        ok = 9 * apart <= total
-        for i, j, x, n in zip(a[ok].tolist(), b[ok].tolist(), apart[ok].tolist(), total[ok].tolist()):
-            if self.forest and 10 * x > n:  # 0.9 of the bound
-                weak.append((x / n, i, j))
-            else:
-                yield from self.proposal(i, j)
-
-    def proposal(self, i: int, j: int) -> Iterator[tuple[int, int]]:
-        p = self.pair(int(self.fp[i]), int(self.fp[j]))
-        if self.label[i] != self.label[j] and p not in self.refuted:
-            yield p
-            if self.forest:
-                self.label[self.label == self.label[j]] = self.label[i]
-
-    def visit(self, fp: np.ndarray, size: np.ndarray, pos: np.ndarray, root: np.ndarray, sketches: list[np.ndarray]) -> Iterator[tuple[int, int]]:
-        """Of each visitor and component here that is not its own, the nearest pair, or all pairs if there is no forest."""
-        for f, n, i, r, sketch in zip(fp.tolist(), size.tolist(), pos.tolist(), root.tolist(), sketches):
-            b = np.flatnonzero((self.root != r) & (5 * np.minimum(self.size, n) >= 4 * np.maximum(self.size, n)))
-            b = b[self.bounded(np.full(len(b), n), np.full(len(b), i), b)]
-            words, apart = np.minimum(self.words[b], len(sketch)), np.zeros(len(b), np.int64)
-            for w in np.unique(words).tolist():
-                k = np.flatnonzero(words == w)
-                apart[k] = np.bitwise_count(self.folded(w)[b[k]] ^ np.bitwise_xor.reduce(sketch.reshape(-1, w), axis=0)).sum(axis=1, dtype=np.int64)
-            ok = 9 * apart <= n + self.size[b]
-            seen: set[int] = set()
-            for _, j in sorted(zip(apart[ok].tolist(), b[ok].tolist())):
-                p = self.pair(f, int(self.fp[j]))
-                if int(self.root[j]) not in seen and p not in self.refuted:
-                    yield p
-                    if self.forest:
-                        seen.add(int(self.root[j]))
-
-
-def proposals(rows: DataFrame, forest: bool) -> DataFrame:
-    """(key, src, dst) that the buckets of rows (key, kind, fp, other, size, pos, root, sketch) propose."""
+    return apart
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bucket, out = None, []
 
-        def done() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))], ["key", "src", "dst"])
-            out.clear()
-            return b
+def within_bound(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Tests by sizes, places in the bucket's prefixes, and sketches."""
+    size, pos = (table.column(c).to_numpy().astype(np.int64) for c in ("size", "pos"))
+    apart = distances(table)
+
+    def linked(i: int, j: np.ndarray) -> np.ndarray:
+        out = 9 * np.minimum(size[i] - pos[i], size[j] - pos[j]) >= 4 * (size[i] + size[j])
+        at = j[out]
+        out[out] = 9 * apart(i, at) <= size[i] + size[at]
+        return out
+
+    return linked
+
+
+def similar(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Tests by whole sets, of those whose sketches allow it."""
+    size, apart, shared = table.column("size").to_numpy(), distances(table), in_common(table)
+
+    def linked(i: int, j: np.ndarray) -> np.ndarray:
+        out = 9 * apart(i, j) <= size[i] + size[j]
+        at = j[out]
+        out[out] = 9 * shared(i, at) >= 4 * (size[i] + size[at])
+        return out
+
+    return linked
 
-        for b in batches:
-            if not b.num_rows:
-                continue
-            key, kind = b.column(0).to_numpy(), b.column(1).to_numpy()
-            cuts = np.flatnonzero(np.concatenate(([True], (key[1:] != key[:-1]) | (kind[1:] != kind[:-1]), [True])))
-            t = pa.Table.from_batches([b])
-            for x, y in zip(cuts.tolist(), cuts[1:].tolist()):
-                if bucket is None or bucket.key != key[x]:
-                    if bucket:
-                        out.extend((bucket.key, *p) for p in bucket.close())
-                    bucket = Bucket(int(key[x]), forest)
-                out.extend((bucket.key, *p) for p in bucket.add(int(kind[x]), t.slice(x, y - x)))
-                if len(out) > STRIP:
-                    yield done()
-        if bucket:
-            out.extend((bucket.key, *p) for p in bucket.close())
-        yield done()
-        del bucket
-        release()
 
-    columns = ["key", "kind", "fp", "other", "size", "pos", "root", "sketch"]
-    return rows.select(columns).repartition("key").sortWithinPartitions("key", "kind", "size", "fp").mapInArrow(run, "key long, src long, dst long")
+def in_common(table: pa.Table) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Gives how many shingles a row's set shares with others'."""
+    column = table.column("shingles").combine_chunks()
+    begin, flat = column.offsets.to_numpy().astype(np.int64), column.values.to_numpy().view(np.uint64)
 
+    def shared(i: int, j: np.ndarray) -> np.ndarray:
+        own, out = flat[begin[i] : begin[i + 1]], np.zeros(len(j), np.int64)
+        if not len(own):
+            return out
+        for k, other in enumerate(flat[begin[x] : begin[x + 1]] for x in j.tolist()):
+            at = np.minimum(np.searchsorted(own, other), len(own) - 1)
+            out[k] = np.count_nonzero(own[at] == other)
+        return out
+
+    return shared
+
+
+def row_hashes(docs: DataFrame) -> DataFrame:
+    """(doc_id, h, text): h is a hash of both, nulls told apart."""
+    text, doc_id = F.col("text").cast("string"), F.col("doc_id").cast("long")
+    return docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, doc_id.isNull(), text).alias("h"), text.alias("text"))
 
-def verified(pairs: DataFrame, docs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (src, dst) whose sets have the similarity; sets has fp, h, size."""
-    named = checkpointed(pairs.select(F.col("src").alias("fp")).union(pairs.select(F.col("dst").alias("fp"))).distinct())
-    needed = broadcast_if_small(sets.join(marked_if_small(named), "fp").select(F.col("h").alias("needed")))
+
+def one_a_set(of: DataFrame) -> DataFrame:
+    """One of the rows (row, fp) of each fp."""
+    first = checkpointed(of.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
+    copies = spread_join(of.select("fp", "row"), first, "fp", of.count(), F.col("row")).where("row <> first").select("row")
+    return of.join(broadcast_if_small(copies), "row", "left_anti")
+
+
+def whole_sets(docs: DataFrame, of: DataFrame, near: DataFrame, shingle: int, name: str, summary: Callable[[int, np.ndarray, np.ndarray], list[bytes]]) -> DataFrame:
+    """(key, fp, size, weight, shingles, and under name what summary says of a set) of the sets that near (fp, root) joins.
+
+    Texts are read again, and a bitmap of fixed size drops most of those that are not needed where they are read. of has fp and h.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for _, texts in pieces(b.column(0)):
-                doc, h = shingle_sets(texts)
-                yield pa.RecordBatch.from_arrays([pa.array(set_names(len(texts), doc, h).view(np.int64)), lists(len(texts), doc, h)], ["fp", "shingles"])
+            for first, texts in pieces(b.column(1)):
+                n, (doc, h) = len(texts), shingle_sets(texts, shingle)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(first, n), pa.array(np.bincount(doc, minlength=n), pa.int64()), lists(n, doc, h), pa.array(summary(n, doc, h), pa.binary())], ["h", "size", "shingles", name])
         release()
 
-    text = F.col("text").cast("string")
-    chosen = docs.select(text.alias("text")).join(needed, F.xxhash64(text) == F.col("needed"), "left_semi")
-    full = materialize(chosen.mapInArrow(run, "fp long, shingles array<long>").dropDuplicates(["fp"]), "near-sets")
-    x, y = (full.select(F.col("fp").alias(k), F.col("shingles").alias(f"{k}_set")) for k in ("src", "dst"))
-    shared: Column = F.size(F.array_intersect("src_set", "dst_set"))
-    total: Column = F.size("src_set") + F.size("dst_set")
-    tidy(docs.sparkSession)
-    edges = checkpointed(pairs.join(x, "src").join(y, "dst").where(9 * shared >= 4 * total).select("src", "dst"))
-    discard(full)
-    tidy(docs.sparkSession)
-    return edges
-
-
-def joined(roots: DataFrame | None, edges: DataFrame) -> DataFrame:
-    """(fp, root) of the components of roots and further edges (src, dst)."""
-    if roots is None:
-        return components(edges).withColumnRenamed("node", "fp")
-    known = marked_if_small(roots)
-    of = lambda e, c: e.join(known.select(F.col("fp").alias(c), F.col("root").alias(f"{c}_root")), c, "left").withColumn(c, F.coalesce(f"{c}_root", c)).select("src", "dst")
-    meet = checkpointed(of(of(edges, "src"), "dst").where("src <> dst").distinct())
-    if not meet.limit(1).count():
-        return roots
-    again = marked_if_small(components(meet))
-    moved = roots.join(again.withColumnRenamed("root", "to"), roots["root"] == again["node"], "left").select("fp", F.coalesce("to", "root").alias("root"))
-    fresh = again.join(roots.select(F.col("fp").alias("node")), "node", "left_anti").select(F.col("node").alias("fp"), "root")
-    return checkpointed(moved.union(fresh))
+    wanted = checkpointed(near.join(one_a_set(of).select("fp", "h"), "fp").select("h", "fp", F.col("root").alias("key")))
+    some = possibly_in(row_hashes(docs).select(F.col("h").alias("doc"), "text"), wanted.select(F.col("h").alias("id")))
+    sets = some.mapInArrow(run, f"h long, size long, shingles array<long>, {name} binary")
+    if of.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").limit(1).count():
+        sets = sets.dropDuplicates(["h"])  # rows that repeat doc_id and text
+    weight = 8 * F.col("size") + F.octet_length(name)
+    return materialize(sets.join(broadcast_if_small(wanted), "h").select("key", "fp", "size", weight.cast("bigint").alias("weight"), "shingles", name), "whole-sets")
 
 
 def simhash_links(sets: DataFrame) -> DataFrame:
-    """(src, dst) pairs of sets (fp, simhash), src < dst, that span those of linked fingerprints: each set of a fingerprint with the
-    least one, and the least ones of fingerprints that op10's links join."""
+    """(src, dst) pairs of sets (fp, simhash) that span those of linked fingerprints: each set of a fingerprint with the least one,
+    and the least ones of fingerprints that op10's links join."""
     least = checkpointed(sets.groupBy("simhash").agg(F.min("fp").alias("least"), F.count("*").alias("n")))
     shared = checkpointed(least.where("n > 1"))
-    same = spread_join(sets.select("simhash", "fp"), shared, "simhash", sets.count(), F.col("fp")).select(F.col("least").alias("a"), F.col("fp").alias("b"))
-    tidy(sets.sparkSession)
+    same = spread_join(sets.select("simhash", "fp"), shared, "simhash", sets.count(), F.col("fp")).select(F.col("least").alias("src"), F.col("fp").alias("dst"))
     edges = checkpointed(fingerprint_links(least.select(F.col("simhash").alias("fp"))))
     of = lambda c, k: least.select(F.col("simhash").alias(c), F.col("least").alias(k))
-    near = edges.join(of("src", "a"), "src").join(of("dst", "b"), "dst").select("a", "b")
-    pairs = same.union(near).where("a <> b").select(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst"))
-    return checkpointed(pairs.distinct())
-
-
-def simhash_roots(docs: DataFrame, sets: DataFrame) -> DataFrame | None:
-    """(fp, root) of the components of those pairs of simhash_links whose sets have the similarity, or None without such pairs."""
-    pairs = simhash_links(sets)
-    if not pairs.limit(1).count():
-        return None
-    good = verified(pairs, docs, sets)
-    return joined(None, good) if good.limit(1).count() else None
-
-
-def links(rows: DataFrame, docs: DataFrame, sets: DataFrame, roots: DataFrame | None = None) -> DataFrame:
-    """(fp, root) of the components of the sets that rows (key, fp, size, pos) may link, and of those that roots (fp, root) has
-    linked already; sets has fp, h, size, sketch."""
-    large = rows.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CHUNK).select("key", F.ceil(F.col("n") / CHUNK).cast("bigint").alias("chunks"))
-    large = broadcast_if_small(large)
-    some = bool(large.limit(1).count())
-    chunk = F.when(F.col("chunks").isNotNull(), F.pmod(F.xxhash64("fp"), F.col("chunks")))
-    part = lambda c: F.when(c.isNull(), F.col("key")).otherwise(F.xxhash64("key", c))
-    rows = rows.join(large, "key", "left").withColumn("chunk", chunk).withColumn("part", part(F.col("chunk")))
-    sketch, none = sets.select("fp", "sketch"), F.lit(0).cast("bigint")
-    refuted = None
-    for turn in range(TURNS):
-        named = rows.withColumn("root", F.col("fp")) if roots is None else rows.join(marked_if_small(roots), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-        if turn:
-            # Only buckets with a refuted pair, and in the second turn the large ones, that are still apart.
-            named = checkpointed(named)
-            open_ = refuted.select(F.col("key").alias("part")).distinct()
-            open_ = open_ if turn > 1 else open_.union(named.where("chunks IS NOT NULL").select("part")).distinct()
-            open_ = broadcast_if_small(open_)
-            live = named.join(open_, "part", "left_semi").withColumn("kind", F.lit(OWN))
-            if some:
-                most = named.where("chunks IS NOT NULL").groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("most"))
-                guests = named.where("chunks IS NOT NULL").join(broadcast_if_small(most), "key").where("root <> most").drop("most", "part")
-                guests = guests.withColumn("to", F.explode(F.sequence(none, F.col("chunks") - 1))).where("to <> chunk").withColumn("part", part(F.col("to")))
-                live = live.unionByName(guests.drop("to").join(open_, "part", "left_semi").withColumn("kind", F.lit(VISITOR)))
-            every = live.groupBy("part").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") * F.col("n"))).first()[0] or 0
-            forest = turn < TURNS - 1 and every > FEW_PAIRS
-        else:
-            live, forest = named.withColumn("kind", F.lit(OWN)), TURNS > 1
-        live = live.select(F.col("part").alias("key"), "kind", "fp", none.alias("other"), "size", "pos", "root").join(sketch, "fp")
-        if turn:
-            zero = F.lit(0)
-            no = refuted.select("key", F.lit(REJECT).alias("kind"), F.col("src").alias("fp"), F.col("dst").alias("other"), zero.alias("size"), zero.alias("pos"), none.alias("root"), F.lit(None).cast("binary").alias("sketch"))
-            live = live.unionByName(no)
-        tidy(docs.sparkSession)
-        found = checkpointed(proposals(live, forest))
-        tidy(docs.sparkSession)
-        if not found.limit(1).count():
-            break
-        pairs = checkpointed(found.select("src", "dst").distinct())
-        good = marked_if_small(verified(pairs, docs, sets))
-        roots = joined(roots, good)
-        if not forest:
-            break
-        bad = checkpointed(found.join(good, ["src", "dst"], "left_anti").select("key", "src", "dst"))
-        refuted = bad if refuted is None else refuted.union(bad)
-        if not (some and turn == 0) and not bad.limit(1).count():
-            break
-    return roots if roots is not None else rows.select("fp", F.col("fp").alias("root")).limit(0)
+    near = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).join(of("a", "src"), "a").join(of("b", "dst"), "b").select("src", "dst")
+    return same.union(near).where("src <> dst")
 
 
 def near_groups(docs: DataFrame) -> DataFrame:
     """A row per row of docs: doc_id, component_id (smallest doc_id reachable). Null ids as in simhash_groups."""
     release()  # what the driver held for stages before this one
     of = materialize(described(docs).withColumn("row", F.monotonically_increasing_id()), "near")
-    tidy(docs.sparkSession)
-    first = checkpointed(of.groupBy("fp").agg(F.min("row").alias("first"), F.count("*").alias("n")).where("n > 1"))
-    copies = spread_join(of.select("fp", "row"), first, "fp", of.count(), F.col("row")).where("row <> first").select("row")
-    copies = broadcast_if_small(copies)
-    once = of.join(copies, "row", "left_anti")
-    sets = once.select("fp", "h", "size", "simhash", "sketch")
+    once = one_a_set(of)
     dealt = once.select(F.posexplode("prefix").alias("pos", "key"), "fp", F.col("size").cast("int").alias("size")).select("key", "fp", "size", "pos")
-    rows = materialize(paired(several(dealt)), "near-shared")  # most shingles are in one set only
-    tidy(docs.sparkSession)
-    roots = marked_if_small(links(rows, docs, sets, simhash_roots(docs, sets)))
-    tidy(docs.sparkSession)
-    named = checkpointed(of.select("doc_id", "fp").join(roots, "fp", "left").select("doc_id", F.coalesce("root", "fp").alias("root")))
-    discard(of)
-    discard(rows)
-    return named.join(broadcast_if_small(named.groupBy("root").agg(F.min("doc_id").alias("component_id"))), "root").select("doc_id", "component_id")
+    rows = paired(several(dealt)).join(once.select("fp", "sketch"), "fp").withColumn("weight", F.octet_length("sketch").cast("bigint") + 32)
+    rows = materialize(rows, "near-shared")  # most shingles are in one set only
+    edges = grouping.links(rows, within_bound, BUCKET_BYTES).union(simhash_links(once.select("fp", "simhash")))
+    near = components(edges).withColumnRenamed("node", "fp")
+    sets = whole_sets(docs, of, near, SHINGLE, "sketch", sketches)
+    named = checkpointed(with_components(of.select("doc_id", "fp"), components(grouping.links(sets, similar, GROUP_BYTES))).select("doc_id", "component_id"))
+    for used in (of, rows, sets):
+        discard(used)
+    return named

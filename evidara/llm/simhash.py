@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_bytes, broadcast_if_small, checkpointed, components, materialize
+from .common import as_bytes, broadcast_if_small, checkpointed, components, materialize, spread_join, with_components
 
 PIVOTS, BUCKET, BLOCKS = 16, 512, (13, 13, 13, 13, 12)
 SEED, LONGEST = 42, 1 << 20
@@ -101,16 +101,17 @@ def bucket_edges(group: np.ndarray, fps: np.ndarray) -> list[tuple[int, int]]:
 
 def links(fps: DataFrame) -> DataFrame:
     """(src, dst) edges between the distinct fingerprints of fps (fp long) that span the graph of all links."""
-    key: list[Column] = [F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks())]
-    dealt = fps.select("fp", F.explode(F.array(*key)).alias("b")).select("b.c", "b.k", "fp")
-    sizes = dealt.groupBy("c", "k").agg(F.count("*").alias("n")).where("n > 1")
-    shared = checkpointed(dealt.join(sizes, ["c", "k"]))
+    fps = checkpointed(fps)
+    key: list[Column] = [F.xxhash64(F.lit(i), F.col("fp").bitwiseAND(F.lit(m))) for i, m in enumerate(masks())]
+    dealt = fps.select("fp", F.explode(F.array(*key)).alias("k"))
+    sizes = checkpointed(dealt.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = checkpointed(spread_join(dealt, sizes, "k", len(key) * fps.count(), F.col("fp")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def found(t: pa.Table) -> pa.RecordBatch:
             fp = t.column("fp").to_numpy().view(np.uint64)
-            c, k = t.column("c").to_numpy(), t.column("k").to_numpy()
-            group = np.concatenate(([0], np.cumsum((c[1:] != c[:-1]) | (k[1:] != k[:-1])))) if len(fp) else np.zeros(0, int)
+            k = t.column("k").to_numpy()
+            group = np.concatenate(([0], np.cumsum(k[1:] != k[:-1]))) if len(fp) else np.zeros(0, int)
             e = np.array(bucket_edges(group, fp), np.int64).reshape(-1, 2)
             return pa.RecordBatch.from_arrays([pa.array(fp[e[:, 0]].view(np.int64)), pa.array(fp[e[:, 1]].view(np.int64))], ["src", "dst"])
 
@@ -119,8 +120,8 @@ def links(fps: DataFrame) -> DataFrame:
             t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
             if not t.num_rows:
                 continue
-            c, k = t.column("c").to_numpy(), t.column("k").to_numpy()
-            other = np.flatnonzero((c != c[-1]) | (k != k[-1]))
+            k = t.column("k").to_numpy()
+            other = np.flatnonzero(k != k[-1])
             cut = int(other[-1]) + 1 if len(other) else 0  # the last group may go on; it has BUCKET rows at most
             if cut:
                 yield found(t.slice(0, cut))
@@ -128,7 +129,7 @@ def links(fps: DataFrame) -> DataFrame:
         if held is not None and held.num_rows:
             yield found(held)
 
-    usual = shared.where(F.col("n") <= BUCKET).select("c", "k", "fp").repartition("c", "k").sortWithinPartitions("c", "k", "fp").mapInArrow(run, "src long, dst long")
+    usual = shared.where(F.col("n") <= BUCKET).select("k", "fp").repartition("k").sortWithinPartitions("k", "fp").mapInArrow(run, "src long, dst long")
     balls = F.array(F.col("fp"), *(F.col("fp").bitwiseXOR(F.lit(int(np.uint64(1 << i).view(np.int64)))) for i in range(64)))
     hot = shared.where(F.col("n") > BUCKET).select("fp").distinct().select("fp", F.explode(balls).alias("ball"))
     met = hot.groupBy("ball").agg(F.collect_set("fp").alias("fps")).where(F.size("fps") > 1)
@@ -139,14 +140,8 @@ def links(fps: DataFrame) -> DataFrame:
 def simhash_groups(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable)."""
     of = materialize(fingerprints(docs, shingle), "simhash")
-    distinct = checkpointed(of.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    roots = components(links(distinct.select("fp")))
-    named = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    named = checkpointed(named)
-    firsts = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    return of.join(named.join(firsts, "root").select("fp", "component_id"), "fp").select(
-        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
-    )
+    named = with_components(of, components(links(of.select("fp").distinct())))
+    return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = simhash_groups) -> DataFrame:
@@ -158,11 +153,14 @@ def one_of_each(docs: DataFrame, groups: Callable[[DataFrame], DataFrame] = simh
     """
     text = F.xxhash64(F.col("text").cast("string"))
     named = groups(docs.select(text.alias("doc_id"), "text")).select(F.col("doc_id").alias("h"), "component_id").distinct()
-    rows = docs.select(F.col("doc_id").alias("id"), text.alias("h")).groupBy("id", "h").agg(F.count("*").alias("n"))
-    rows = checkpointed(rows.join(broadcast_if_small(named), "h"))
+    rows = checkpointed(docs.select(F.col("doc_id").alias("id"), text.alias("h")).groupBy("id", "h").agg(F.count("*").alias("n")))
+    total, salt = rows.count(), F.xxhash64("id")
+    of_text = checkpointed(rows.groupBy("h").agg(F.count("*").alias("rows")).join(named, "h"))
+    rows = checkpointed(spread_join(rows, of_text, "h", total, salt, "rows").drop("rows"))
     order = F.struct(F.col("id").isNull().alias("last"), "id", "h")
-    firsts = broadcast_if_small(rows.groupBy("component_id").agg(F.min(order).alias("first")))
-    judged = checkpointed(rows.join(firsts, "component_id").select("id", "h", "n", (order == F.col("first")).alias("stays")))
+    firsts = checkpointed(rows.groupBy("component_id").agg(F.min(order).alias("first"), F.count("*").alias("rows")))
+    judged = spread_join(rows, firsts, "component_id", total, salt, "rows").select("id", "h", "n", (order == F.col("first")).alias("stays"))
+    judged = checkpointed(judged)
     same = lambda other: docs.doc_id.eqNullSafe(other.id) & (text == other.h)
     out = broadcast_if_small(judged.where("n > 1 OR NOT stays").select("id", "h"))
     kept = docs.join(out, same(out), "left_anti")

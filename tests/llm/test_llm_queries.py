@@ -19,10 +19,13 @@ COLUMNS = {
     "op8_tokens": "doc_id:bigint start:bigint n_tokens:bigint ids_crc32:bigint",
     "op9_mixing": "doc_id:bigint size:bigint source_size:bigint target:double taken:bigint",
     "op10_simhash": "doc_id:bigint fingerprint:string component_id:bigint",
+    "op11_viterbi": "conv_id:bigint gaps:bigint blank:bigint duplicate:bigint truncated:bigint illegal:bigint cost:bigint audit:string repaired_sha256:string",
+    "op12_alignment": "doc_id:bigint n_a:bigint n_b:bigint n_groups:bigint n_links:bigint n_best:bigint count_sum:bigint groups_sha256:string",
+    "op13_minhash": "doc_id:bigint n_shingles:bigint component_id:bigint kept:boolean",
 }
 
 
-def test_all_ten():
+def test_all_of_them():
     assert sorted(QUERIES) == sorted(COLUMNS)
 
 

@@ -2,14 +2,13 @@
 
 import hashlib
 import random
-import time
 
 import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from evidara.llm import common, near, simhash
+from evidara.llm import common, grouping, near, simhash
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars int"
 
@@ -86,11 +85,12 @@ def test_null_and_repeated_ids(spark, groups):
     assert got == sorted([(1, a), (0, c), (2, d), (4, ""), (5, "x"), (5, "y"), (2, e), (0, b)])
 
 
-@pytest.mark.parametrize("chunk, held, strip, turns, few", [(4, 3, 5, 4, 0), (7, 50, 40, 3, 4_000_000), (2, 1, 1, 2, 0)])
-def test_small_chunks_and_parts(spark, small, monkeypatch, chunk, held, strip, turns, few):
-    """Large buckets in chunks, long groups in parts and few turns give the same kept documents."""
-    for name, value in (("CHUNK", chunk), ("HELD", held), ("STRIP", strip), ("TURNS", turns), ("FEW_PAIRS", few)):
+@pytest.mark.parametrize("weight, held, strip, broadcast", [(400, 3, 5, 1), (1500, 50, 40, 2 << 20), (1, 1, 1, 2 << 20)])
+def test_small_chunks_and_parts(spark, small, monkeypatch, weight, held, strip, broadcast):
+    """Large buckets and groups in chunks, long groupings in parts, and joins without broadcasts give the same kept documents."""
+    for name, value in (("BUCKET_BYTES", weight), ("GROUP_BYTES", 4 * weight), ("HELD", held), ("STRIP", strip)):
         monkeypatch.setattr(near, name, value)
+    monkeypatch.setattr(common, "BROADCAST_BYTES", broadcast)
     rows = edited(160, seed=8) + ODD
     kept = corpus_pipeline.keep_distinct(spark, docs(spark, rows), small)
     assert sorted(r.doc_id for r in kept.collect()) == firsts(rows)
@@ -112,14 +112,13 @@ def test_fingerprint_links_come_first(spark, small, monkeypatch):
     name = {r.doc_id: r.fp for r in of.collect()}
     want = {tuple(sorted((name[i], name[j]))) for i in name for j in name if i < j and (prints[i] ^ prints[j]).bit_count() <= simhash.BITS}
     assert want and all(abs(i - j) < 10 for i in name for j in name if tuple(sorted((name[i], name[j]))) in want)
-    found = {tuple(r) for r in near.simhash_links(sets).collect()}
-    roots = {r.fp: r.root for r in near.simhash_roots(df, sets).collect()}
-    assert found and found <= want and all(roots[a] == roots[b] for a, b in want) and set(roots) == {x for p in want for x in p}
+    roots = {r.node: r.root for r in common.components(near.simhash_links(sets)).collect()}
+    assert roots and all(roots[a] == roots[b] for a, b in want) and set(roots) == {x for p in want for x in p}
 
     asked = []
-    monkeypatch.setattr(near, "simhash_roots", lambda *a, own=near.simhash_roots: asked.append(own(*a)) or asked[-1])
+    monkeypatch.setattr(near, "simhash_links", lambda *a, own=near.simhash_links: asked.append(own(*a)) or asked[-1])
     assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, df, small).collect()) == firsts(rows)
-    assert len(asked) == 1 and {r.root for r in asked[0].collect()} <= set(name.values())
+    assert len(asked) == 1
 
 
 def test_equal_fingerprints_of_other_texts(spark, small, monkeypatch):
@@ -131,55 +130,40 @@ def test_equal_fingerprints_of_other_texts(spark, small, monkeypatch):
         assert sorted(r.doc_id for r in kept.collect()) == firsts(rows)
 
 
-def bucket_table(rows):
-    columns = ("fp", "other", "size", "pos", "root", "sketch")
-    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary())
-    return pa.table({c: pa.array([r[i] for r in rows], k) for i, (c, k) in enumerate(zip(columns, kinds))})
-
-
-def test_pairs_of_a_bucket():
-    """Without a forest all pairs of different components within the bounds; with one, edges that connect the same sets."""
+def test_links_of_a_part():
+    """Links of own members, or of visitors with these, join just what all pairs within the bounds join."""
     r = random.Random(5)
-    sets = [set(r.sample(range(1, 60), r.randrange(30, 40))) if r.random() < 0.3 else None for _ in range(90)]
-    seeds = [s for s in sets if s]
-    sets = [s or {x for x in r.choice(seeds) if r.random() > 0.04} | set(r.sample(range(1, 60), 1)) for s in sets]
-    doc = np.repeat(np.arange(90), [len(s) for s in sets])
-    h = near.mix64(np.array([x for s in sets for x in sorted(s)], np.uint64))
-    sketch = near.sketches(90, doc, h)
-    root = [i if r.random() < 0.8 else -1 - r.randrange(3) for i in range(90)]
-    rows = sorted(((i, 0, len(sets[i]), 0, root[i], sketch[i]) for i in range(90)), key=lambda x: x[2])
+    seeds = [set(r.sample(range(1, 60), r.randrange(30, 40))) for _ in range(25)]
+    sets = seeds + [{x for x in r.choice(seeds) if r.random() > 0.04} | set(r.sample(range(1, 60), 1)) for _ in range(65)]
+    n = len(sets)
+    doc, h = np.repeat(np.arange(n), [len(s) for s in sets]), near.mix64(np.array([x for s in sets for x in sorted(s)], np.uint64))
+    sketch = near.sketches(n, doc, h)
+    root = [i if r.random() < 0.8 else 1000 + r.randrange(3) for i in range(n)]
     want = set()
-    for i in range(90):
+    for i in range(n):
         for j in range(i):
             apart = int(np.bitwise_count(np.frombuffer(sketch[i], np.uint64) ^ np.frombuffer(sketch[j], np.uint64)).sum())
             assert apart <= len(sets[i] ^ sets[j])
-            if root[i] != root[j] and 9 * apart <= len(sets[i]) + len(sets[j]):
+            if 9 * apart <= len(sets[i]) + len(sets[j]):
                 want.add((j, i))
-    assert len(want) > 20
-
-    def found(forest, own, visitors=(), refuted=()):
-        b, out = near.Bucket(1, forest), []
-        for kind, part in ((near.REJECT, refuted), (near.OWN, own), (near.VISITOR, visitors)):
-            out += list(b.add(kind, bucket_table(part))) if part else []
-        return out + list(b.close())
-
-    assert set(found(False, rows)) == want
-    no = (0, 0, 0, 0, 0, None)
-    gone = [(i, j, *no[2:]) for i, j in sorted(want)[::7]]
-    assert set(found(False, rows, refuted=gone)) == want - {g[:2] for g in gone}
-    halves = found(False, rows[::2], rows[1::2]) + found(False, rows[::2]) + found(False, rows[1::2])
-    assert set(halves) == want
-    name = lambda i: root[i]
-
-    def parts(edges):
-        up = {n: n for n in root}
+
+    def joined(pairs):
+        up = {x: x for x in root}
         top = lambda x: x if up[x] == x else top(up[x])
-        for i, j in edges:
-            up[top(name(i))] = top(name(j))
-        return sorted(sorted(n for n in root if top(n) == t) for t in {top(n) for n in root})
+        for i, j in pairs:
+            up[top(root[i])] = top(root[j])
+        return sorted(sorted(x for x in up if top(x) == t) for t in {top(x) for x in up})
+
+    def found(own, visitors=()):
+        at = [*own, *visitors]
+        kinds = {"part": 1, "kind": 0, "fp": 0, "root": 0, "size": 0, "pos": 0}
+        table = pa.table({**kinds, "part": [1] * len(at), "kind": [grouping.OWN] * len(own) + [grouping.VISITOR] * len(visitors), "fp": at, "root": [root[i] for i in at], "size": [len(sets[i]) for i in at], "pos": [0] * len(at), "sketch": [sketch[i] for i in at]})
+        return list(grouping.Part(table, near.within_bound).links())
 
-    forest = found(True, rows)
-    assert set(forest) <= want and parts(forest) == parts(want) and len(forest) < len(set(root))
+    whole = found(range(n))
+    assert len(want) > 20 and {tuple(sorted(p)) for p in whole} <= want and joined(whole) == joined(want) and len(whole) < len(set(root))
+    a, b = range(0, n, 2), range(1, n, 2)
+    assert joined(found(a) + found(b) + found(a, b)) == joined(want)
 
 
 def test_sketches_fold():
@@ -195,52 +179,12 @@ def test_sketches_fold():
         assert (folded == want).all()
 
 
-def test_components_of_further_edges(spark):
-    """Roots after a second lot of edges are those of both lots together."""
-    r = random.Random(2)
-    first = [(r.randrange(-40, 40), r.randrange(-40, 40)) for _ in range(30)]
-    more = [(r.randrange(-60, 60), r.randrange(-60, 60)) for _ in range(25)]
-    frame = lambda e: spark.createDataFrame(e, "src long, dst long")
-    want = {x.node: x.root for x in near.components(frame(first + more)).collect()}
-    roots = near.joined(near.joined(None, frame(first)), frame(more))
-    got = {x.fp: x.root for x in roots.collect()}
-    assert got == want
-    assert {x.fp: x.root for x in near.joined(roots, frame(first)).collect()} == want
-
-
-def test_driver_is_tidied(spark, small, monkeypatch):
-    """The stage has the driver collect its garbage between its jobs, once the heap has grown; what is broadcast has a low bound."""
-    done = []
-    monkeypatch.setattr(common, "TIDY_PART", 0)
-    monkeypatch.setattr(common, "TIDY_S", 0)
-    monkeypatch.setattr(near, "tidy", lambda s: done.append(common.tidy(s)))
-    rows = edited(30, seed=6)
+def test_few_jobs(spark, small):
+    """The stage takes a bounded number of jobs, and changes nothing of the driver's JVM."""
+    tracker, group = spark.sparkContext.statusTracker(), "near-jobs"
+    spark.sparkContext.setJobGroup(group, group)
+    rows = edited(60, seed=6)
     assert sorted(r.doc_id for r in corpus_pipeline.keep_distinct(spark, docs(spark, rows), small).collect()) == firsts(rows)
-    assert len(done) >= 6 and all(done) and common.BROADCAST_BYTES <= 2 << 20
-    monkeypatch.setattr(common, "TIDY_PART", 1)
-    assert not common.tidy(spark)
-
-
-def test_driver_is_tidied_in_the_midst_of_a_job(spark, small, monkeypatch):
-    monkeypatch.setattr(common, "TIDY_PART", 0)
-    gateway, jvm = spark.sparkContext._gateway, spark.sparkContext._jvm
-    heap, sizes, free = jvm.java.lang.Runtime.getRuntime(), [], {}
-
-    def grows(docs, groups):
-        """Leaves garbage and collects nothing itself."""
-        held = [gateway.new_array(jvm.long, 4 << 20) for _ in range(16)]
-        sizes.append(heap.totalMemory())
-        del held
-        end = time.monotonic() + 10
-        while time.monotonic() < end and heap.totalMemory() > 400 << 20:
-            time.sleep(0.1)
-        sizes.append(heap.totalMemory())
-        free.update({k: common.driver_option(spark, k, v) for k, v in common.FREE.items()})
-        return docs
-
-    monkeypatch.setattr(simhash, "one_of_each", grows)
-    corpus_pipeline.keep_distinct(spark, docs(spark, [(1, "a")]), small)
-    assert sizes[0] > 500 << 20 and sizes[1] <= 400 << 20 and free == common.FREE
-    kept = {k: common.driver_option(spark, k, v) for k, v in {"MinHeapFreeRatio": "40", "MaxHeapFreeRatio": "70"}.items()}
-    assert kept == {"MinHeapFreeRatio": "40", "MaxHeapFreeRatio": "70"}
-    assert common.driver_option(spark, "NoSuchOption", "1") is None
+    jobs = len(tracker.getJobIdsForGroup(group))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert 10 < jobs < 150, jobs
