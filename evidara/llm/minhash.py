@@ -4,7 +4,8 @@ A text's set of word shingles has a signature of COORDINATES minima. Sets of sim
 probability 0.8, so fewer than MATCHES agree for 3 pairs in ten million. Signatures that agree on MATCHES coordinates have,
 under any fixed order of coordinate values, one of the first COORDINATES - MATCHES + 1 in common (the prefix): only those are
 posted, values that a sample shows to be common last, so the common ones are skipped. Documents that meet at a posting count
-all their collisions on the signatures themselves; pairs of MATCHES and more join candidate groups, without listing pairs:
+all their collisions on the signatures themselves, of which a byte a coordinate travels (other values then agree once in 256
+times, which lets a few more pairs pass and stops none); pairs of MATCHES and more join candidate groups, without listing pairs:
 a bucket gives links that span it. Inside each candidate group whole sets are compared, which decides.
 
 Texts with the same set are one member. Buckets and groups of any size are taken in parts of bounded weight (`grouping`).
@@ -32,7 +33,7 @@ from .near import in_common, lists, one_a_set, paired, row_hashes, set_names, se
 SHINGLE, COORDINATES, MATCHES = 2, 64, 34
 PREFIX = COORDINATES - MATCHES + 1
 #: Texts of the sample that orders coordinate values, and the common ones of it; shingles hashed at a time; weight of a bucket's part and of a group's part.
-SAMPLE, COMMON, STRIP, BUCKET_BYTES, GROUP_BYTES = 2000, 100_000, 1 << 14, 2 << 20, 16 << 20
+SAMPLE, COMMON, STRIP, BUCKET_BYTES, GROUP_BYTES = 2000, 100_000, 1 << 14, 1 << 16, 16 << 20
 FACTORS = np.random.default_rng(13).integers(0, 1 << 63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
 
@@ -97,7 +98,7 @@ def described(docs: DataFrame) -> DataFrame:
                 offsets = pa.array(np.concatenate(([0], np.cumsum(np.where(has, PREFIX, 0)))), pa.int32())
                 prefix = pa.ListArray.from_arrays(offsets, pa.array(keys.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(set_names(n, doc, h).view(np.int64)), pa.array(size, pa.int64()), pa.array([s.tobytes() for s in sign], pa.binary()), prefix],
+                    [b.column(0).slice(first, n), b.column(1).slice(first, n), pa.array(set_names(n, doc, h).view(np.int64)), pa.array(size, pa.int64()), pa.array(last_bytes(sign), pa.binary()), prefix],
                     ["doc_id", "h", "fp", "size", "signature", "prefix"],
                 )
         release()
@@ -105,9 +106,14 @@ def described(docs: DataFrame) -> DataFrame:
     return row_hashes(docs).mapInArrow(run, "doc_id long, h long, fp long, size long, signature binary, prefix array<long>")
 
 
+def last_bytes(signature: np.ndarray) -> list[bytes]:
+    """The last byte of each coordinate, for each row."""
+    return [s.tobytes() for s in signature.astype(np.uint8)]
+
+
 def matrix(table: pa.Table) -> np.ndarray:
-    """The signatures of a table's rows."""
-    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint32).reshape(-1, COORDINATES)
+    """The bytes of the signatures of a table's rows."""
+    return np.frombuffer(b"".join(table.column("signature").to_pylist()), np.uint8).reshape(-1, COORDINATES)
 
 
 def matching(table: pa.Table):
@@ -137,7 +143,7 @@ def candidates(once: DataFrame) -> DataFrame:
     """(fp, root) of the groups that signatures join, of once (fp, size, signature, prefix)."""
     dealt = once.select(F.explode("prefix").alias("key"), "fp", F.col("size").cast("int").alias("size"), F.lit(0).alias("pos"))
     rows = paired(several(dealt)).select("key", "fp", "size")
-    signed = rows.join(once.select("fp", "signature"), "fp").withColumn("weight", F.lit(4 * COORDINATES).cast("bigint"))
+    signed = rows.join(once.select("fp", "signature"), "fp").withColumn("weight", F.lit(COORDINATES).cast("bigint"))
     return components(grouping.links(materialize(signed, "postings"), matching, BUCKET_BYTES)).withColumnRenamed("node", "fp")
 
 
@@ -146,7 +152,7 @@ def minhash_groups(docs: DataFrame) -> DataFrame:
     of = materialize(described(docs).withColumn("row", F.monotonically_increasing_id()), "minhash")
     full = of.where("size > 0")
     near = candidates(materialize(one_a_set(full), "minhash-sets"))
-    sets = whole_sets(docs, full, near, SHINGLE, "signature", lambda n, doc, h: [s.tobytes() for s in signatures(n, doc, h)])
+    sets = whole_sets(docs, full, near, SHINGLE, "signature", lambda n, doc, h: last_bytes(signatures(n, doc, h)))
     named = with_components(full.select("doc_id", "fp", "size"), components(grouping.links(sets, similar, GROUP_BYTES))).select("doc_id", "size", "component_id")
     found = named.union(of.where("size = 0").select("doc_id", "size", F.col("doc_id").alias("component_id")))
     return found.select("doc_id", F.col("size").alias("n_shingles"), "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))

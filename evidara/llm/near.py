@@ -38,7 +38,7 @@ from .simhash import links as fingerprint_links
 
 SHINGLE, SAMPLE, COMMON = 5, 2000, 100_000
 #: 64-bit words of a sketch, for small and for large sets; rows that a grouping pass takes and holds at most; weight of a bucket's part and of a group's part.
-LEAST_WORDS, MOST_WORDS, STRIP, HELD, BUCKET_BYTES, GROUP_BYTES = 8, 512, 1 << 14, 100_000, 2 << 20, 16 << 20
+LEAST_WORDS, MOST_WORDS, STRIP, HELD, BUCKET_BYTES, GROUP_BYTES = 8, 512, 1 << 14, 100_000, 1 << 18, 16 << 20
 
 
 def shingle_sets(texts: list[bytes], shingle: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
