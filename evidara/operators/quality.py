@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
+from . import skew
+
 K = 5
 
 
@@ -13,10 +16,28 @@ def duplicates(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def backward_steps(events: DataFrame, unit: list[str], order: list[str], at: str) -> DataFrame:
-    """Events that come before the one that precedes them in their unit."""
+def backward_steps(events: DataFrame, unit: list[str], order: list[str], at: str, hot: int | None = None) -> DataFrame:
+    """Events that come before the one that precedes them in their unit.
+
+    Units of usual size are windows. Hot ones (see skew.apart; hot: rows from which a unit may be one) are dealt by ranges of
+    order, and the time of each range's last event is carried to the first of the unit's next range.
+    """
+    usual, large = skew.apart(events, unit, hot)
     before = F.lag(at).over(Window.partitionBy(*unit).orderBy(*order))
-    return events.withColumn("before", before).where(F.col(at) < F.col("before")).drop("before")
+    out = usual.withColumn("before", before).where(F.col(at) < F.col("before")).drop("before")
+    return out if large is None else out.unionByName(_backward_in_ranges(large, unit, order, at).select(*events.columns))
+
+
+def _backward_in_ranges(events: DataFrame, unit: list[str], order: list[str], at: str) -> DataFrame:
+    parts = max(2, int(events.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    dealt = stored(events.repartitionByRange(parts, *unit, *order).withColumn("_range", F.spark_partition_id()), "ranges")  # drawn anew if evaluated twice
+    inside = Window.partitionBy("_range", *unit).orderBy(*order)
+    last = dealt.groupBy("_range", *unit).agg(F.max_by(at, F.struct(*order)).alias("_last"))
+    carried = last.withColumn("_carried", F.lag("_last").over(Window.partitionBy(*unit).orderBy("_range"))).select(*(F.col(c).alias(f"_of_{c}") for c in ("_range", *unit)), "_carried")
+    # A row a range and unit: as many as ranges, and one more for each hot unit at most.
+    both = dealt.join(F.broadcast(carried), [dealt[c].eqNullSafe(carried[f"_of_{c}"]) for c in ("_range", *unit)])
+    before = F.when(F.row_number().over(inside) == 1, F.col("_carried")).otherwise(F.lag(at).over(inside))
+    return both.withColumn("_before", before).where(F.col(at) < F.col("_before"))
 
 
 def named_counts(checks: dict[str, DataFrame]) -> DataFrame:

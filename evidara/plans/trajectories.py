@@ -26,8 +26,7 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_of(log: DataFrame, customers: DataFrame) -> DataFrame:
-    events = trajectory.distinct_events(log, ("user_id", "event_type", "ts", "props"), "event_id")
-    summary = trajectory.event_summary(events, GROUPS, CASE, "event_type", "event_type", "ts", "props", raw=log)
+    summary = trajectory.event_summary(log, GROUPS, CASE, "event_type", "event_type", "ts", "props")
     targets = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 5000).alias("wealthy"))
     j = targets.join(summary.withColumn("found", F.lit(True)), "user_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
@@ -77,6 +76,12 @@ def _gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.backward_steps(table(spark, sf_dir, "lineitem"), ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"], "l_shipdate").select("l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
 
 
+def _hot_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same where a unit holds a large part of all lines: order by order within each return flag."""
+    order = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate"]
+    return quality.backward_steps(table(spark, sf_dir, "lineitem"), ["l_returnflag"], order, "l_shipdate", hot=1000).select("l_returnflag", "l_orderkey", "l_linenumber", "l_partkey", "l_shipdate")
+
+
 def _shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of customers with each event group in two segments, side by side."""
     return figures.group_shares(_comparison(("segment",))(spark, sf_dir), GROUPS, "segment", "BUILDING", "MACHINERY")
@@ -90,6 +95,7 @@ QUERIES = {
     "event_vocabulary": _vocabulary,
     "dedupe_inflation": _inflation,
     "backward_steps": _gaps,
+    "backward_steps_hot": _hot_gaps,
 }
 ORACLE_SQL = {
     "figure_shares": " UNION ALL ".join(
@@ -103,4 +109,5 @@ ORACLE_SQL = {
         GROUP BY ALL HAVING count(*) >= 5 ORDER BY cases DESC, event_type, c_mktsegment LIMIT 20""",
     "dedupe_inflation": """SELECT sum(n)::BIGINT AS rows, count(*) AS distinct_rows, round(sum(n) / count(*), 3)::DOUBLE AS ratio FROM (SELECT count(*) AS n FROM events GROUP BY user_id, event_type)""",
     "backward_steps": """SELECT l_orderkey, l_linenumber, l_partkey, l_shipdate FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_shipdate) AS b FROM lineitem) WHERE l_shipdate < b""",
+    "backward_steps_hot": """SELECT l_returnflag, l_orderkey, l_linenumber, l_partkey, l_shipdate FROM (SELECT *, lag(l_shipdate) OVER (PARTITION BY l_returnflag ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey, l_shipdate) AS b FROM lineitem) WHERE l_shipdate < b""",
 }

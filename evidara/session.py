@@ -25,11 +25,12 @@ def session(name: str = "evidara", master: str | None = None, **conf: str) -> Sp
 def scratch(spark: SparkSession, name: str) -> str:
     """A path for new files under spark.checkpoint.dir, which all executors share; they go with the session. Where that is
     unset, a temporary folder; a local master only, as on a cluster each executor would write to a disk of its own."""
+    import re
     import tempfile
     import uuid
 
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root and not spark.sparkContext.master.startswith("local"):
+    if not root and not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     root = root or "file://" + tempfile.mkdtemp(prefix="evidara-")
     folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}")

@@ -1,8 +1,13 @@
 import datetime as dt
+import random
+
+import pytest
+from pyspark.sql import functions as F
 
 from evidara import schemas
-from evidara.operators import quality
-from evidara.operators.trajectory import features
+
+from evidara.operators import quality, skew
+from evidara.operators.trajectory import event_summary, features
 from evidara.sources.config import load_groups
 
 GROUPS = load_groups({"version": "1", "groups": [{"id": "extincao", "label": "x", "codes": [196, 456]}, {"id": "emenda", "label": "y", "name_contains": ["emenda", "d'água"]}]})
@@ -44,3 +49,47 @@ def test_integrity(spark):
     f = features(cases, moves, targets, GROUPS)
     found = {r.check: r.violations for r in quality.trajectory_integrity(targets, cases, moves, f).collect()}
     assert found == {"cases without a target": 1, "events without a case": 1, "duplicate feature rows": 0, "duplicate event numbers": 0, "events out of order": 1, "targets without a feature row": 0}
+
+
+@pytest.mark.parametrize("least", [1 << 20, 30, 0])
+def test_summary_of_hot_cases(spark, monkeypatch, least):
+    """Nulls in every column, repeated events and a case that holds half of them give the same rows on each way."""
+    r = random.Random(1)
+    pick = lambda *x: r.choice([None, *x])
+    rows = [(r.choice(["1", "1", "2", "3", None]), pick("a"), pick(196, 456, 5), pick("Emenda", "x"), pick(at(1, 1), at(2, 2), at(3, 3)), pick("o1", "o2")) for _ in range(160)]
+    monkeypatch.setattr(skew, "LEAST", least)
+    events = spark.createDataFrame(rows, "numero_processo string, alias string, codigo int, nome string, data_hora timestamp_ntz, orgao_codigo string")
+    want = {}
+    for key in {x[:2] for x in rows}:
+        own = {}
+        for x in (x for x in rows if x[:2] == key):
+            own.setdefault((x[2], x[4], x[5]), []).append(x[3])
+        named = [(*k, min((n for n in v if n is not None), default=None)) for k, v in own.items()]
+        times = [t for _, t, _, _ in named if t]
+        first = [t for c, t, _, _ in named if c in (196, 456) and t]
+        want[key] = (len(named), min(times, default=None), max(times, default=None), sum(c in (196, 456) for c, *_ in named), min(first, default=None), sum(n == "Emenda" for *_, n in named), len({c for c, *_ in named if c}), len({o for _, _, o, _ in named if o}))
+    found = event_summary(events, GROUPS)
+    columns = ["n_movimentos", "primeiro_movimento", "ultimo_movimento", "n_extincao", "primeiro_extincao", "n_emenda", "n_codigos_distintos", "n_orgaos_movimento"]
+    got = {(x[0], x[1]): tuple(x)[2:] for x in found.select("numero_processo", "alias", *columns).collect()}
+    assert got == want
+
+
+def test_events_are_dealt_once(spark, capsys):
+    """The plan of the summary has one exchange of events."""
+    events = spark.range(1000).select(F.col("id").cast("string").alias("numero_processo"), (F.col("id") % 3).cast("string").alias("alias"), F.col("id").cast("int").alias("codigo"), F.lit("n").alias("nome"), F.lit(None).cast("timestamp_ntz").alias("data_hora"), F.lit("o").alias("orgao_codigo"))
+    event_summary(events, GROUPS).explain()
+    assert capsys.readouterr().out.count("Exchange") == 1
+
+
+@pytest.mark.parametrize("hot", [None, 5])
+def test_backward_steps_of_hot_units(spark, hot):
+    r = random.Random(2)
+    rows = [(r.choice(["a", "a", "a", "b", None]), i if r.random() < 0.95 else None, r.choice([None, *range(50)]), i) for i in range(600)]
+    rows = list({(u, o): x for x in rows for u, o in [(x[0], x[1])]}.values())  # no ties
+    want = []
+    for unit in ("a", "b", None):
+        own = sorted((x for x in rows if x[0] == unit), key=lambda x: (x[1] is not None, x[1] or 0))
+        want += [y[3] for x, y in zip(own, own[1:]) if x[2] is not None and y[2] is not None and y[2] < x[2]]
+    df = spark.createDataFrame(rows, "unit string, place int, at int, id int")
+    out = quality.backward_steps(df, ["unit"], ["place"], "at", hot)
+    assert out.columns == df.columns and sorted(x.id for x in out.collect()) == sorted(want)
