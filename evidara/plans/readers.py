@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import zipfile
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import trajectory
 from ..session import scratch
-from ..sources import cases, decisions, documents, links
+from ..sources import cases, decisions, documents, links, records
 from .scalars import _D, _STATES, case_text
 from .tables import table
 
@@ -72,6 +78,43 @@ def _decision_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     return of(cited, "citation", "reference").union(of(laws, "law", "number"))
 
 
+def _large_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders from pretty-printed JSON, each file read in ranges of 128 KB by as many tasks."""
+    path = scratch(spark, "large-json")
+    o = table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", F.struct("o_orderstatus", F.concat(F.lit('}"{\\'), F.col("o_orderpriority")).alias("odd")).alias("deep"))
+    o.select(F.to_json(F.struct("*"), {"pretty": "true"})).write.option("lineSep", ",\n").text(path)
+    r = records.read_large_records(spark, f"{path}/part-*", 128 << 10).select("record")
+    deep = F.from_json(F.col("record")["deep"], "o_orderstatus string, odd string")
+    return r.select(F.col("record")["o_orderkey"].cast("bigint").alias("o_orderkey"), F.col("record")["o_custkey"].cast("bigint").alias("o_custkey"), deep["o_orderstatus"].alias("status"), deep["odd"].alias("odd"))
+
+
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents from ZIP archives of some 100 members, read by members; a second member of a number, and others' kinds, are left out."""
+    folder = scratch(spark, "zip-texts")
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        context, archive = TaskContext.get(), None
+        store, root = fs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{root}/2024{context.partitionId():04d}.zip"
+        draft = f"{root}/.{context.taskAttemptId()}.draft"  # an archive has its name once it is whole, whichever attempt made it
+        with store.open_output_stream(draft) as out, zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as archive:
+            for b in batches:
+                for i, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    archive.writestr(f"texts/{i}.txt", text or "", zipfile.ZIP_STORED if i % 3 == 0 else zipfile.ZIP_DEFLATED)
+                    if i % 10 == 0:
+                        archive.writestr(f"again/{i}.TXT", "a later one")
+                        archive.writestr(f"texts/{i}.pdf", "no text")
+        store.move(draft, name)
+        yield pa.RecordBatch.from_pydict({"name": [name]})
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.concat_ws("<BR />\r", "lang", "text").alias("text"))
+    parts = max(1, docs.count() // 100)
+    docs.repartition(parts, F.floor(F.col("doc_id") / 100)).mapInArrow(write, "name string").write.format("noop").mode("overwrite").save()
+    found = documents.read_texts(spark, f"{folder}/*.zip")
+    return found.select("seq_documento", "nchar", "text_sha256", F.md5("text").alias("text_md5"), (F.length("key") == 8).alias("keyed"))
+
+
 def _source(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of each user as a case document of the index, movements out of order and some of them undated."""
     e = table(spark, sf_dir, "events")
@@ -106,7 +149,7 @@ def _filing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("user_id", trajectory.since_filing(F.col("filed"), F.col("last").cast("timestamp_ntz")).alias("days"))
 
 
-QUERIES = {"read_links": _links, "read_metadata": _metadata, "read_decisions": _decision_rows, "read_decision_children": _decision_children, "read_movements": _movements, "filing_plausibility": _filing}
+QUERIES = {"read_links": _links, "read_metadata": _metadata, "read_large_json": _large_json, "read_texts": _texts, "read_decisions": _decision_rows, "read_decision_children": _decision_children, "read_movements": _movements, "filing_plausibility": _filing}
 
 _ID = "CASE WHEN doc_id % 4 > 0 THEN doc_id::VARCHAR WHEN doc_id % 3 > 0 THEN 'corte:r' || doc_id END"
 ORACLE_SQL = {
@@ -115,6 +158,9 @@ ORACLE_SQL = {
         'AREsp' AS sigla_classe, CASE WHEN o_orderkey % 2 = 0 THEN strftime(o_orderdate, '%Y%m%d') END AS data_distribuicao, count(*) AS n FROM (SELECT *, {_D} AS d FROM orders) WHERE d IS NOT NULL AND o_orderkey % 6 > 0 GROUP BY ALL""",
     "read_metadata": """SELECT doc_id AS seq_documento, CASE WHEN doc_id % 2 = 0 THEN DATE '2021-01-01' + (doc_id % 700)::INT ELSE DATE '2023-06-14' + (doc_id % 50)::INT END AS data_publicacao, CASE WHEN doc_id % 3 = 0 THEN 'ACORDAO' END AS tipo_documento, 'AREsp ' || doc_id AS processo, 'AREsp' AS classe,
         doc_id % 90 || ';3372' AS assuntos_leaf, true AS hashed FROM documents""",
+    "read_large_json": """SELECT o_orderkey, o_custkey, o_orderstatus AS status, '}"{\\' || o_orderpriority AS odd FROM orders""",
+    "read_texts": """SELECT doc_id AS seq_documento, length(t)::BIGINT AS nchar, sha256(concat_ws('<BR />' || chr(13), lang, text)) AS text_sha256, md5(t) AS text_md5, true AS keyed
+        FROM (SELECT *, replace(regexp_replace(concat_ws('<BR />' || chr(13), lang, text), '<br\\s*/?>', chr(10), 'gi'), chr(13), '') AS t FROM documents)""",
     "read_decisions": f"""SELECT {_ID} AS espelho_id, CASE WHEN doc_id % 3 > 0 THEN 'r' || doc_id END AS numero_registro, CASE WHEN doc_id % 5 > 0 AND trim(text) <> '' THEN length(trim(text)) END AS chars, 'DJE' AS journal, DATE '2020-01-31' + (doc_id % 500)::INT AS data_publicacao,
         CASE WHEN doc_id % 7 > 0 THEN DATE '2024-02-29' END AS data_decisao, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 0 END AS n_citations, CASE WHEN doc_id % 3 = 1 THEN 2 ELSE 0 END AS n_legislation FROM documents WHERE {_ID} IS NOT NULL""",
     "read_decision_children": f"""SELECT {_ID} AS espelho_id, 'citation' AS kind, unnest(['REsp ' || doc_id, 'HC 1']) AS value FROM documents WHERE doc_id % 2 = 0 AND {_ID} IS NOT NULL

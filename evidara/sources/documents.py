@@ -2,12 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
-import io
-import re
-import zipfile
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -16,6 +10,7 @@ from .. import schemas
 from ..functions.dates import metadata_date
 from ..functions.hashing import pseudonym24
 from ..functions.text import clean, file_key, fold_accents, subject_leaves, to_ascii
+from . import zip_members
 from .records import read_records
 
 
@@ -47,44 +42,25 @@ def read_metadata(spark: SparkSession, path: str, salt: bytes) -> DataFrame:
     ).to(schemas.DOCUMENTS)
 
 
-def texts_of(name: str, content: bytes) -> Iterator[tuple]:
-    """(number, key, member, characters, sha256, text) of each .txt member; nothing from a damaged archive."""
-    key = re.search(r"\d{6,8}", name)
-    try:
-        archive = zipfile.ZipFile(io.BytesIO(content))
-    except zipfile.BadZipFile:
-        return
-    for info in archive.infolist():
-        number = re.search(r"\d+", info.filename.rsplit("/", 1)[-1])
-        if info.is_dir() or not info.filename.lower().endswith(".txt") or not number:
-            continue
-        raw = archive.read(info)
-        text = re.sub(r"(?i)<br\s*/?>", "\n", raw.decode("utf-8", "replace")).replace("\r", "")
-        yield int(number[0]), key and key[0], info.filename, len(text), hashlib.sha256(raw).hexdigest(), text
-
-
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
-    """schemas.DOCUMENT_TEXT of ZIP files; of members with one number in a file the first stays."""
+    """schemas.DOCUMENT_TEXT of ZIP files, members read in tasks of their own; of members with one number in a file the first stays."""
+    base, number = F.element_at(F.split("member", "/"), -1), F.regexp_extract(F.element_at(F.split("member", "/"), -1), r"\d+", 0)
+    named = zip_members.members(spark, path).where(F.lower("member").endswith(".txt") & base.rlike(r"\d"))
+    named = named.withColumn("seq_documento", number.cast("bigint"))
+    first = Window.partitionBy("file", "seq_documento").orderBy("place")
+    wanted = named.withColumn("n", F.row_number().over(first)).where("n = 1")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["seq_documento", "key", "member", "nchar", "text_sha256", "text", "file", "place"]
-        kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64()]
-        for b in batches:
-            for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows, size = [], 0
-                for place, row in enumerate(texts_of(path.rsplit("/", 1)[-1], content.as_buffer().to_pybytes())):
-                    rows.append((*row, path, place))
-                    size += row[3]
-                    if size > 8 << 20:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
-                        rows, size = [], 0
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), kinds)], names)
+    @F.arrow_udf("string")
+    def decoded(content: pa.Array) -> pa.Array:
+        return pa.array([x.as_py().decode("utf-8", "replace") for x in content], pa.string())
 
-    columns = "seq_documento bigint, key string, member string, nchar bigint, text_sha256 string, text string, file string, place bigint"
-    found = spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, columns)
-    first = Window.partitionBy("file", "seq_documento").orderBy("place")
-    return found.withColumn("n", F.row_number().over(first)).where("n = 1").select(*schemas.DOCUMENT_TEXT.names).to(schemas.DOCUMENT_TEXT)
+    text = F.replace(F.regexp_replace(decoded("content"), r"(?i)<br\s*/?>", "\n"), F.lit("\r"), F.lit(""))
+    rows = zip_members.contents(wanted).withColumn("text", text)
+    key = F.nullif(F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"\d{6,8}", 0), F.lit(""))
+    return rows.select(
+        F.regexp_extract(F.element_at(F.split("member", "/"), -1), r"\d+", 0).cast("bigint").alias("seq_documento"), key.alias("key"), "member",
+        F.length("text").cast("bigint").alias("nchar"), F.sha2("content", 256).alias("text_sha256"), "text",
+    ).select(*schemas.DOCUMENT_TEXT.names).to(schemas.DOCUMENT_TEXT)
 
 
 def kept_texts(texts: DataFrame, documents: DataFrame) -> DataFrame:

@@ -13,6 +13,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .json_blocks import BLOCK, read_objects
+
 ROWS = 2000
 _GAP = re.compile(r"[ \t\r\n,\[\]]*")
 
@@ -54,8 +56,8 @@ def file_objects(path: str, content: bytes) -> Iterator[dict]:
 def read_records(spark: SparkSession, path: str, keep: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
     """(source_file, position, record): each object as a map of its top-level fields, texts as they are, the rest as JSON.
 
-    keep: the only fields that are read. Files are tasks, as none of the layouts can be split in general; a corpus is
-    many files. limit: objects read from each file. For JSON lines, spark.read.json splits files and is faster.
+    keep: the only fields that are read. Files are tasks here, which hold one whole; read_large_records takes large plain files
+    in ranges. limit: objects read from each file. For JSON lines, spark.read.json splits files and is faster.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -79,6 +81,13 @@ def read_records(spark: SparkSession, path: str, keep: tuple[str, ...] | None =
     return files.mapInArrow(run, "source_file string, position bigint, record map<string, string>")
 
 
+def read_large_records(spark: SparkSession, path: str, block: int = BLOCK) -> DataFrame:
+    """read_records of plain JSON files of any size, each read by as many tasks as it has ranges of block bytes."""
+    found = read_objects(spark, path, block)
+    fields = F.from_json("record", "map<string, string>")
+    return found.select(F.element_at(F.split("file", "/"), -1).alias("source_file"), "position", fields.alias("record"))
+
+
 def unexpected_fields(records: DataFrame, known: tuple[str, ...], ignored: tuple[str, ...] = ()) -> DataFrame:
     """(field, records): fields beyond the known ones, with the number of records that have them."""
     new = F.array_except(F.map_keys("record"), F.array(*(F.lit(k) for k in (*known, *ignored))))

@@ -245,3 +245,29 @@ def test_scratch_is_shared(spark):
         session.scratch(Cluster, "x")
     df = session.stored(spark.range(3), "three")
     assert df.count() == 3 and len(df.inputFiles()) >= 1
+
+
+def test_members_of_one_archive_in_several_tasks(spark, tmp_path, monkeypatch):
+    """One archive, dealt by places in it: more tasks than one read it, and the first member of a number stays."""
+    from evidara.sources import zip_members
+
+    monkeypatch.setattr(zip_members, "SPAN", 500)
+    with zipfile.ZipFile(tmp_path / "20240102.zip", "w", zipfile.ZIP_DEFLATED) as z:
+        for i in range(60):
+            z.writestr(f"a/{i}.txt", f"text {i} " * (i % 7), zipfile.ZIP_STORED if i % 2 else zipfile.ZIP_DEFLATED)
+        z.writestr("b/5.txt", "a later one")
+        z.writestr("b/none.txt", "no number")
+        z.writestr("c/7.pdf", "no text")
+    (tmp_path / "broken.zip").write_bytes(b"PK nothing of that kind")
+    (tmp_path / "_hidden.zip").write_bytes(b"")
+    path = f"file://{tmp_path}"
+    assert documents.read_texts(spark, path).count() == 60
+    got = {r.seq_documento: (r.key, r.member, r.text) for r in documents.read_texts(spark, path).collect()}
+    assert got == {i: ("20240102", f"a/{i}.txt", f"text {i} " * (i % 7)) for i in range(60)}
+    wanted = zip_members.members(spark, path)
+    parts = zip_members.contents(wanted).withColumn("task", F.spark_partition_id()).groupBy("task").count().count()
+    assert parts > 1
+    data = (tmp_path / "20240102.zip").read_bytes()
+    (tmp_path / "20240102.zip").write_bytes(data.replace(b"text 3 text 3", b"text 3 text X"))
+    with pytest.raises(Exception, match="checksum"):
+        documents.read_texts(spark, path).collect()
