@@ -7,7 +7,7 @@ import re
 import sys
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from types import ModuleType
 
 import numpy as np
@@ -193,6 +193,12 @@ def running_totals(df: DataFrame, order: list[Column], sums: dict[str, Column],
     return both.withColumns(totals).select(*df.columns, *sums)
 
 
+def kept_rows(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """df through mapInArrow, whose schema it keeps, whatever its columns are called; run takes columns by place."""
+    plain = df.toDF(*(f"c{i}" for i in range(len(df.columns))))
+    return plain.mapInArrow(run, plain.schema).toDF(*df.columns)
+
+
 def as_bytes(column: pa.Array) -> list[bytes | None]:
     """UTF-8 bytes of a string column, without decoding."""
     return column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary()).to_pylist()

@@ -31,7 +31,7 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WORD_BASE, Words, bitmap, broadcast_if_small, checkpointed, in_bitmap, materialize, mix64, pieces, polynomial, possibly_in, spread_join
+from .common import ALNUM, WORD_BASE, Words, bitmap, broadcast_if_small, checkpointed, in_bitmap, kept_rows, materialize, mix64, pieces, polynomial, possibly_in, spread_join
 
 WINDOW, GRAM, BLOCK_BYTES = 10, 5, 1 << 20
 
@@ -268,14 +268,14 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         own, text = F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit(""))
         h = F.when(own.isNull(), F.xxhash64(text, F.lit("null"))).otherwise(F.xxhash64(text))
         return docs.join(hits, (F.coalesce(own, h) == hits.doc) & (h == hits.h), "left_anti")
-    index, schema, names = shared_index(items), docs.schema, docs.columns
+    index, at = shared_index(items), docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [not h for _, texts in pieces(b.column(names.index("text"))) for h in scan(texts, index.value)[1]]
+            keep = [not h for _, texts in pieces(b.column(at)) for h in scan(texts, index.value)[1]]
             yield b.filter(pa.array(keep, pa.bool_()))
 
-    return docs.mapInArrow(run, schema)
+    return kept_rows(docs, run)
 
 
 ORACLE = r"""

@@ -124,9 +124,11 @@ def links(rows: DataFrame, tester: Tester, most: int) -> DataFrame:
     guests = cut.join(broadcast_if_small(hubs), ["key", "fp"], "left_semi").withColumn("own", F.col("chunk")).withColumn("chunk", every).where("chunk <> own").drop("own")
     chunks = cut.unionByName(guests).withColumn("part", name).withColumn("kind", F.lit(OWN)).withColumn("root", F.col("fp")).select("part", "kind", "root", *payload)
     found = checkpointed(part_links(whole.unionByName(chunks.select(whole.columns)), tester))
-    roots = broadcast_if_small(components(found).withColumnRenamed("node", "fp"))
+    joined = components(found)
+    roots = broadcast_if_small(joined.withColumnRenamed("node", "fp"))
     named = cut.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     largest = named.groupBy("key", "root").agg(F.count("*").alias("n")).groupBy("key").agg(F.max_by("root", F.struct("n", "root")).alias("largest"))
     visitors = named.join(broadcast_if_small(largest), "key").where("root <> largest").drop("largest").withColumn("own", F.col("chunk")).withColumn("chunk", every).where("chunk <> own").drop("own")
     both = named.withColumn("kind", F.lit(OWN)).unionByName(visitors.withColumn("kind", F.lit(VISITOR))).withColumn("part", name).select("part", "kind", "root", *payload)
-    return checkpointed(found.union(part_links(both, tester)))
+    # What the first links join is told by a link of each member to its root.
+    return checkpointed(joined.select(F.col("node").alias("src"), F.col("root").alias("dst")).union(part_links(both, tester)))

@@ -88,7 +88,8 @@ def mix(docs: DataFrame, **how) -> DataFrame:
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The mix itself, with the columns of docs: a row for each repetition, cut to its first words where it gives a part."""
     kept = docs.columns
-    own = docs.select(F.struct(*kept).alias("row"), F.col("source").cast("string").alias("source"), size().alias("size"), seeded_bin().alias("bin"))
+    quoted = [F.col("`" + c.replace("`", "``") + "`") for c in kept]
+    own = docs.select(F.struct(*quoted).alias("row"), F.col("source").cast("string").alias("source"), size().alias("size"), seeded_bin().alias("bin"))
     p = broadcast_if_small(plan(own.select("source", "size", "bin"), **how))
     rows = own.alias("d").join(p.alias("p"), F.expr("d.source <=> p.source")).withColumn("extra", extra())
     turns = F.concat(F.expr("array_repeat(-1L, cast(whole as int))"), F.when(F.col("extra") > 0, F.array("extra")).otherwise(F.expr("cast(array() as array<bigint>)")))

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import pieces, release
+from .common import kept_rows, pieces, release
 from .fitting import base_rate, fold, labelled_sample, sigmoid
 
 FIT_DOCS, FILTERS, WIDTH, BLOCK, EMBED, HIDDEN = 1500, 16, 6, 128, 12, 12
@@ -184,4 +184,4 @@ def good_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
             yield b.filter(pa.array(keep, pa.bool_()))
         release()
 
-    return docs.mapInArrow(run, docs.schema)
+    return kept_rows(docs, run)

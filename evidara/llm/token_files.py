@@ -12,7 +12,7 @@ the shared folder, reached through pyarrow's filesystems. Order is that of parti
 
 Null texts are empty and give the end id alone. Repeated doc_ids, and repeated rows, are neighbours, ordered by hash and
 then by text; a null doc_id sorts first. A table without rows gives no file and no rows. Very long texts are encoded
-whole, one at a time. Other columns are not read.
+whole, one at a time. Bytes that are not UTF-8 are encoded as U+FFFD. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -269,7 +269,7 @@ def write_files(docs: DataFrame, folder: str, tokenizer: str) -> DataFrame:
     from tokenizers import Tokenizer
 
     bits = bits_for(Tokenizer.from_file(tokenizer).get_vocab_size(with_added_tokens=True))
-    chosen = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    chosen = docs.select(F.col("doc_id").cast("long"), F.make_valid_utf8(F.col("text").cast("string")).alias("text"))
     size = chosen.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     where, root = fs.FileSystem.from_uri(folder)
     where.create_dir(root, recursive=True)

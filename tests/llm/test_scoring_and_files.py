@@ -14,7 +14,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from evidara.llm import common, fitting, mixing, pii, quality, token_files, toxicity, warc
+from evidara.llm import common, decontaminate, fitting, mixing, pii, quality, token_files, toxicity, warc
 from evidara.llm.queries import word_tokenizer
 
 # ---------------------------------------------------------------------------------------------- classifiers
@@ -588,3 +588,22 @@ def test_pipeline_with_odd_rows(spark, small):
     ids = [r.doc_id for r in distinct]
     assert ids.count(1) in (1, 2) and text[::-1] in {r.text for r in distinct if r.doc_id is None}
     assert -(1 << 63) in ids and (1 << 63) - 1 in ids
+
+
+def test_stages_take_columns_of_any_name(spark):
+    """Names with dots and backticks come through every stage that keeps rows."""
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{words} {i}", i % 2, i, "s", 1, 2, 3) for i in range(12)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, `a.b` int, `c``d` int, source string, c0 int, row int, size int")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int")
+    bench = spark.createDataFrame([(1, "nothing of that kind is in any of these documents at all")], "item_id long, text string")
+    for out in (quality.good_documents(df, labels), decontaminate.clean_documents(df, bench), mixing.mixed_documents(df)):
+        assert out.columns == df.columns
+        assert {tuple(r)[2:] for r in out.collect()} <= {r[2:] for r in rows}
+    assert decontaminate.clean_documents(df, bench).count() == 12
+
+
+def test_tokens_of_bytes_that_are_no_text(spark):
+    df = spark.sql("SELECT 1L AS doc_id, cast(unhex('61FF62') AS string) AS text UNION ALL SELECT 2L, 'a�b'")
+    one, other = sorted(tuple(r)[2:] for r in token_files.token_output(df, word_tokenizer()).collect())
+    assert one == other
