@@ -31,9 +31,11 @@ from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, WORD_BASE, Words, bitmap, broadcast_if_small, checkpointed, in_bitmap, kept_rows, materialize, mix64, pieces, polynomial, possibly_in, spread_join
+from .common import ALNUM, WORD_BASE, Words, bitmap, broadcast_if_small, checkpointed, in_bitmap, kept_rows, materialize, mix64, pieces, polynomial, possibly_in, release, spread_join
 
 WINDOW, GRAM, BLOCK_BYTES = 10, 5, 1 << 20
+#: Bytes of text that clean_documents scans at a time: workers of a pipeline hold what earlier stages left.
+STAGE_BYTES = 1 << 20
 
 
 class Grams:
@@ -272,8 +274,9 @@ def clean_documents(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = [not h for _, texts in pieces(b.column(at)) for h in scan(texts, index.value)[1]]
+            keep = [not h for _, texts in pieces(b.column(at), STAGE_BYTES) for h in scan(texts, index.value)[1]]
             yield b.filter(pa.array(keep, pa.bool_()))
+        release()
 
     return kept_rows(docs, run)
 

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import KERNEL_BYTES, broadcast_if_small, checkpointed, pieces, release, temporary, worker_cache
 
 MAGIC, BLOCK_IDS, FILE_IDS, RANGE_BYTES, MOST_RANGES = b"EVIDTOK2", 4096, 2 << 20, 8 << 20, 50_000
-END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP = 1, 250_000, 1 << 20, 500
+END_ID, CACHE_WORDS, ENCODE_BYTES, GROUP = 1, 150_000, 1 << 20, 500
 #: A word that ends a text: a byte that UTF-8 never has.
 TEXT_END = b"\xff"
 GAP = b" " + TEXT_END + b" "
