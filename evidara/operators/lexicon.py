@@ -1,7 +1,8 @@
 """Lexicon scan: a cheap RE2 prefilter, the exact scan of what survives, and summaries.
 
 The prefilter is one alternation whose bounded repeats are widened, a superset of the exact patterns, matched by PyArrow's
-RE2 over whole Arrow arrays. Exact hits come from Python's re, whose Unicode classes and offsets (code points) are the
+RE2 over whole Arrow arrays. In what it keeps, one automaton over the literals that patterns must contain (factors.py)
+says which patterns are tried. Exact hits come from Python's re, whose Unicode classes and offsets (code points) are the
 definition. Both run where documents are read; nothing is shuffled before reports.
 """
 
@@ -17,6 +18,7 @@ from pyspark.sql.types import StructType
 
 from .. import schemas
 from ..sources.config import TIERS, Lexicon, Pattern
+from .factors import Literals
 
 HIT = "struct<pattern_id: string, tier: string, annex_a: string, start: bigint, match: string, context: string, negated_hint: boolean, excluded_by: string>"
 _SPACE = re.compile(r"\s+")
@@ -81,6 +83,7 @@ class Scanner:
     def __init__(self, lexicon: Lexicon, patterns: tuple[Pattern, ...]):
         compiled = lambda x: re.compile(x, re.I | re.S)
         self.patterns = [(p, compiled(widened(p.regex)), compiled(p.regex)) for p in patterns]
+        self.literals = Literals([p.regex for p in patterns])
         self.exclusions = [(r, compiled(r.regex)) for r in lexicon.exclusions]
         self.negations = [compiled(r.regex) for r in lexicon.negations]
         self.before, self.after, self.most = (int(lexicon.option(k)) for k in ("window_before", "window_after", "max_hits_per_pattern"))
@@ -88,8 +91,9 @@ class Scanner:
     def hits(self, text: str | None) -> list[dict]:
         """Non-overlapping hits, at most so many a pattern (excluded ones count), by start and pattern."""
         out = []
-        for p, cheap, exact in self.patterns if text else ():
-            if not cheap.search(text):
+        possible = self.literals.possible(text) if text else 0
+        for i, (p, cheap, exact) in enumerate(self.patterns):
+            if not possible >> i & 1 or not cheap.search(text):
                 continue
             for n, m in enumerate(exact.finditer(text)):
                 if n == self.most:
