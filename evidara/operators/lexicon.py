@@ -88,6 +88,13 @@ class Scanner:
         self.negations = [compiled(r.regex) for r in lexicon.negations]
         self.before, self.after, self.most = (int(lexicon.option(k)) for k in ("window_before", "window_after", "max_hits_per_pattern"))
 
+    def judged(self, pattern_id: str, around: str) -> dict:
+        """What the rules say of a hit, from its context alone."""
+        return {
+            "negated_hint": any(r.search(around) for r in self.negations),
+            "excluded_by": next((r.id for r, x in self.exclusions if pattern_id in r.applies_to and x.search(around)), None),
+        }
+
     def hits(self, text: str | None) -> list[dict]:
         """Non-overlapping hits, at most so many a pattern (excluded ones count), by start and pattern."""
         out = []
@@ -101,8 +108,7 @@ class Scanner:
                 around = _SPACE.sub(" ", text[max(0, m.start() - self.before) : m.end() + self.after]).strip()
                 out.append({
                     "pattern_id": p.id, "tier": p.tier, "annex_a": ";".join(map(str, p.annex_a)), "start": m.start(),
-                    "match": _SPACE.sub(" ", m[0]).strip(), "context": around, "negated_hint": any(r.search(around) for r in self.negations),
-                    "excluded_by": next((r.id for r, x in self.exclusions if p.id in r.applies_to and x.search(around)), None),
+                    "match": _SPACE.sub(" ", m[0]).strip(), "context": around, **self.judged(p.id, around),
                 })
         return sorted(out, key=lambda h: (h["start"], h["pattern_id"]))
 

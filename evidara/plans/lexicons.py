@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, figures
+from ..operators import corpus, figures, rescan
 from ..operators import lexicon as L
 from ..operators.sampling import top_per_key
+from ..session import scratch
 from ..sources.config import load_lexicon
 from .tables import LEXICON, table, texts
 
@@ -33,6 +34,17 @@ def wide_lexicon():
 
 
 WIDE = wide_lexicon()
+#: LEXICON before two of its patterns, a tier and the rules were changed.
+EARLIER = load_lexicon({
+    "version": "demo-0",
+    "patterns": [
+        {"id": "insult", "tier": "conduct", "regex": r"\bidiot\b"},
+        {"id": "code", "tier": "normative", "regex": r"Apache License"},
+        *({"id": p.id, "tier": "neighbour", "regex": p.regex} for p in LEXICON.patterns if p.id not in ("insult", "code")),
+    ],
+    "exclusions": [{"id": "all", "regex": r".", "applies_to": ["secret"]}],
+    "options": LEXICON.options,
+})
 
 
 def _hits(regex: str, column: str = "text") -> str:
@@ -133,7 +145,27 @@ def _inspect(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.groupBy("lang").agg(F.count_if(F.size("hits") > 0).alias("documents"), F.sum(F.size("hits")).cast("bigint").alias("hits")).where("documents >= 5")
 
 
+def _rescanned(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of a store of two batches, one of which was scanned with an earlier lexicon first."""
+    root = scratch(spark, "hits")
+    odd = F.col("seq_documento") % 2 == 1
+    rescan.scan_changed(texts(spark, sf_dir).where(odd), EARLIER, root, "odd")
+    rescan.scan_changed(texts(spark, sf_dir).where(odd), LEXICON, root, "odd")
+    rescan.scan_changed(texts(spark, sf_dir).where(~odd | odd.isNull()), LEXICON, root, "other")
+    return root
+
+
+def _rescan_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rescan.stored_hits(spark, _rescanned(spark, sf_dir), LEXICON)
+
+
+def _rescan_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rescan.stored_candidates(spark, _rescanned(spark, sf_dir), LEXICON)
+
+
 QUERIES = {
+    "lexicon_rescan_hits": _rescan_hits,
+    "lexicon_rescan_candidates": _rescan_candidates,
     "lexicon_prefilter": _prefilter,
     "lexicon_candidates": _candidates,
     "lexicon_near_miss": _near_miss,
@@ -198,7 +230,10 @@ _DECIDED = """WITH src AS (SELECT 0 AS seq, lang || ':e' || doc_id AS key, CASE
 _W = {p.id: _hits(p.regex) for p in WIDE.patterns}
 _WIDE_SUM = "(SELECT doc_id, " + ", ".join(f"{n} AS {i}" for i, n in _W.items()) + " FROM documents)"
 _of = lambda tiers: " + ".join(p.id for p in WIDE.of_tiers(tiers))
+_EVERY = f"WITH src AS (SELECT doc_id AS seq, source AS key, text FROM documents), {_found('src')}"
 ORACLE_SQL = {
+    "lexicon_rescan_hits": f"{_EVERY} SELECT * FROM h",
+    "lexicon_rescan_candidates": f"{_EVERY} SELECT * FROM ({_SUMMARY}) WHERE is_candidate",
     "lexicon_hits": f"{_LEX} SELECT * FROM h",
     "lexicon_near_miss": f"{_LEX} SELECT * FROM ({_SUMMARY}) WHERE NOT is_candidate",
     "lexicon_top_contexts": f"{_LEX}, r AS (SELECT *, row_number() OVER (PARTITION BY key, seq_documento ORDER BY negated_hint, {_TIER_RANK}, start, pattern_id) AS place FROM h WHERE excluded_by IS NULL) SELECT key, seq_documento, "
