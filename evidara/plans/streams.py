@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from ..operators import lexicon as L
 from ..session import scratch
+from ..streaming import trajectories
 from ..streaming.ingest import drain, new_rows
 from .lexicons import _CANDIDATE, _N, PLAIN
 from .tables import table
+from .trajectories import _SQL, CASE, GROUPS, features_from
 
 
 def _stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,5 +29,19 @@ def _stream_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy(F.col("key").alias("lang")).agg(F.count("*").alias("candidates"), F.count_if("strict_hit").alias("strict"))
 
 
-QUERIES = {"stream_candidates": _stream_candidates}
-ORACLE_SQL = {"stream_candidates": f"SELECT lang, count(*) AS candidates, count(*) FILTER ({_N['insult']} > 0) AS strict FROM documents WHERE {_CANDIDATE} GROUP BY lang"}
+def _stream_trajectories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """trajectory_features from a stream of events: every other one comes first, then all, so that half of them repeat."""
+    events, (arriving, out, done) = table(spark, sf_dir, "events"), (scratch(spark, f"trajectory-{x}") for x in ("in", "out", "done"))
+    for part in (events.where("event_id % 2 = 1"), events):
+        part.write.mode("append").parquet(arriving)
+        stream = new_rows(spark, arriving, events.schema)
+        trajectories.drain_events(stream, GROUPS, out, done, CASE, "event_type", "event_type", "ts", "props")
+    summary = trajectories.current(spark, out, GROUPS, "user_id bigint")
+    return features_from(summary, table(spark, sf_dir, "customer"))
+
+
+QUERIES = {"stream_candidates": _stream_candidates, "stream_trajectories": _stream_trajectories}
+ORACLE_SQL = {
+    "stream_trajectories": f"{_SQL} SELECT * FROM f",
+    "stream_candidates": f"SELECT lang, count(*) AS candidates, count(*) FILTER ({_N['insult']} > 0) AS strict FROM documents WHERE {_CANDIDATE} GROUP BY lang",
+}

@@ -26,7 +26,10 @@ def _features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def features_of(log: DataFrame, customers: DataFrame) -> DataFrame:
-    summary = trajectory.event_summary(log, GROUPS, CASE, "event_type", "event_type", "ts", "props")
+    return features_from(trajectory.event_summary(log, GROUPS, CASE, "event_type", "event_type", "ts", "props"), customers)
+
+
+def features_from(summary: DataFrame, customers: DataFrame) -> DataFrame:
     targets = customers.select(F.col("c_custkey").alias("user_id"), F.col("c_mktsegment").alias("segment"), (F.col("c_acctbal") > 5000).alias("wealthy"))
     j = targets.join(summary.withColumn("found", F.lit(True)), "user_id", "left")
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
