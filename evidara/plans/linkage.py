@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import corpus, linkage, quality, sampling, validation
+from ..operators import corpus, linkage, quality, sampling, sketches, validation
+from ..session import stored
 from .tables import table
 
 
@@ -175,18 +176,36 @@ def _linkage_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return validation.linkage_rates(gold, docs, links, cases)
 
 
+def _sketched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers of each year and of the next, exactly, and whether sketches by year and status agree within their error."""
+    o, lg_k = table(spark, sf_dir, "orders").select(F.year("o_orderdate").alias("year"), "o_orderstatus", "o_custkey"), 8
+    fine = stored(sketches.key_sketches(o, "o_custkey", ["year", "o_orderstatus"], lg_k), "sketches")
+    years = sketches.merged(fine, ["year"], lg_k)
+    after = years.select((F.col("year") - 1).alias("year"), F.col("sketch").alias("next"))
+    told = years.join(after, "year").select("year", *sketches.estimates(F.col("sketch"), F.col("next"), lg_k))
+    each = o.select("year", "o_custkey", F.lit(1).alias("own"), F.lit(0).alias("next")).union(o.select(F.col("year") - 1, "o_custkey", F.lit(0), F.lit(1)))
+    keys = each.groupBy("year", "o_custkey").agg(F.max("own").alias("a"), F.max("next").alias("b"))
+    exact = keys.groupBy("year").agg(F.sum(F.col("a") * F.col("b")).alias("n_both"), F.sum(F.col("a") * (1 - F.col("b"))).alias("n_known"), F.sum((1 - F.col("a")) * F.col("b")).alias("n_new"))
+    near = lambda c, n: F.abs(F.col(c) - F.col(n)) <= F.col("error")
+    return exact.join(told, "year").select("year", "n_both", "n_known", "n_new", (near("both", "n_both") & near("only_known", "n_known") & near("only_new", "n_new")).alias("within"))
+
+
 QUERIES = {
     "field_terms": _terms, "decision_stats": _decision_stats, "field_profile": _profile, "target_coverage": _target_coverage, "case_stats": _case_stats, "linkage_rates": _linkage_rates,
     "link_coverage": _coverage, "linked_documents": _linked, "key_overlap": _overlap, "source_agreement": _agreement, "integrity_checks": _integrity,
     "duplicate_texts": _duplicates, "suppressed_report": _suppressed, "top_groups": _top, "text_coverage": _text_coverage, "low_coverage": _low_coverage,
     "latest_run": _latest, "undone_work": _undone, "quota_matched_draw": _quota, "conditional_sums": _sums, "set_operations": _sets, "parameter_filter": _filtered,
-    "point_lookup": _lookup, "top_per_key": _ranked, "event_properties": _props,
+    "sketch_overlap": _sketched, "point_lookup": _lookup, "top_per_key": _ranked, "event_properties": _props,
 }
 _TC = "SELECT source AS key, count(*) AS meta_rows, count(l.doc_id) AS text_rows, round(100.0 * count(l.doc_id) / count(*), 1)::DOUBLE AS pct FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l ON d.doc_id = l.doc_id GROUP BY source"
 _VALUES = {"o_orderstatus": "o_orderstatus", "o_orderpriority": "CASE WHEN o_orderkey % 7 > 0 THEN o_orderpriority END", "o_custkey": "o_custkey::VARCHAR"}
 _D = """WITH d AS (SELECT lower(o_orderstatus) AS body, CASE WHEN o_orderkey % 9 > 0 THEN o_custkey END AS reg, CASE WHEN o_orderkey % 11 > 0 THEN year(o_orderdate)::VARCHAR END AS y, o_orderkey % 3 = 0 AS themed, o_orderkey % 4 > 0 AS citing FROM orders)"""
 _DS = "count(*) AS decisions, count(*) FILTER (themed) AS with_theme, count(*) FILTER (citing) AS with_citations, count(DISTINCT reg) AS registrations"
 ORACLE_SQL = {
+    "sketch_overlap": """WITH k AS (SELECT DISTINCT year(o_orderdate)::INT AS year, o_custkey AS c FROM orders), y AS (SELECT DISTINCT year FROM k)
+        SELECT year, (count(*) FILTER (a AND b))::BIGINT AS n_both, (count(*) FILTER (a AND NOT b))::BIGINT AS n_known, (count(*) FILTER (b AND NOT a))::BIGINT AS n_new, true AS within
+        FROM (SELECT year, c, bool_or(a) AS a, bool_or(NOT a) AS b FROM (SELECT year, c, true AS a FROM k UNION ALL SELECT year - 1, c, false FROM k) GROUP BY year, c)
+        WHERE year IN (SELECT year FROM y) AND year + 1 IN (SELECT year FROM y) GROUP BY year""",
     "field_terms": " UNION ALL ".join(f"SELECT * FROM (SELECT '{c}' AS field, {v} AS value, count(*) AS n FROM orders WHERE {v} IS NOT NULL GROUP BY 2 ORDER BY n DESC, value LIMIT 4) UNION ALL SELECT '{c}', NULL, count(*) FROM orders WHERE {v} IS NULL HAVING count(*) > 0" for c, v in _VALUES.items()),
     "decision_stats": f"{_D} SELECT 'all' AS part, NULL::VARCHAR AS name, {_DS} FROM d UNION ALL SELECT 'year', y, {_DS} FROM d WHERE y IS NOT NULL GROUP BY y UNION ALL SELECT 'body', body, {_DS} FROM d GROUP BY body",
     "field_profile": " UNION ALL ".join(f"SELECT '{c}' AS field, count(*) AS rows, count({c}) AS filled, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS distinct_values FROM orders" for c in ("o_custkey", "o_orderstatus", "o_orderpriority")),
