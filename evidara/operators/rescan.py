@@ -1,6 +1,6 @@
 """Stored hits by pattern, so that a changed lexicon scans again only what has changed.
 
-What a pattern finds in a text depends on its expression, the windows and the cap: these make its fingerprint. Tiers, annex
+What a pattern finds in a text depends on its expression, the engine, the windows and the cap: these make its fingerprint. Tiers, annex
 numbers and context rules are read off stored contexts, so a change of these needs no text, nor does a new id. Documents come
 in batches (a day, a folder); a batch and a fingerprint are scanned once.
 
@@ -35,6 +35,8 @@ DONE = schemas.flat("batch string, fingerprint string, scan string")
 def fingerprint(pattern: Pattern, lexicon: Lexicon) -> str:
     """Of all that decides what the pattern finds and how its contexts are cut."""
     what = (pattern.regex, *(int(lexicon.option(o)) for o in ("window_before", "window_after", "max_hits_per_pattern")))
+    if (engine := lexicon.option("engine")) != "python":
+        what += (engine,)
     return hashlib.sha256(repr(what).encode()).hexdigest()[:32]
 
 

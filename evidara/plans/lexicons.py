@@ -10,11 +10,11 @@ from ..operators import lexicon as L
 from ..operators.sampling import top_per_key
 from ..session import scratch
 from ..sources.config import load_lexicon
-from .tables import LEXICON, table, texts
+from .tables import LEXICON, SQL_ENGINE, table, texts
 
 #: The lexicon without context rules, which SQL cannot follow, for the queries that SQL checks.
-PLAIN = load_lexicon({"version": "plain-1", "patterns": [{"id": p.id, "tier": p.tier, "regex": p.regex, "annex_a": list(p.annex_a)} for p in LEXICON.patterns]})
-PLACES = load_lexicon({"version": "places-1", "patterns": [{"id": "link", "tier": "strict", "regex": r'href="/[a-z]+'}]})
+PLAIN = load_lexicon({"version": "plain-1", "patterns": [{"id": p.id, "tier": p.tier, "regex": p.regex, "annex_a": list(p.annex_a)} for p in LEXICON.patterns], "options": SQL_ENGINE})
+PLACES = load_lexicon({"version": "places-1", "patterns": [{"id": "link", "tier": "strict", "regex": r'href="/[a-z]+'}], "options": SQL_ENGINE})
 
 
 #: Words that wide_lexicon builds its patterns from.
@@ -30,7 +30,7 @@ def wide_lexicon():
         a, b, c = WORDS[i % n], WORDS[(3 * i + 1) % n], WORDS[(7 * i + 2) % n]
         regex = rf"\b{a}\s+(?:{b}|{c})tion" if i % 3 else rf"\b{a}{b}\b[^.]{{0,40}}?\b{c}{a}"
         patterns.append({"id": f"p{i:02d}", "tier": tier, "regex": regex, "annex_a": [i % 20 + 1]})
-    return load_lexicon({"version": "wide-1", "patterns": patterns})
+    return load_lexicon({"version": "wide-1", "patterns": patterns, "options": SQL_ENGINE})
 
 
 WIDE = wide_lexicon()

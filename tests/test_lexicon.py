@@ -117,3 +117,34 @@ def test_near_misses_and_marks(spark):
     assert [r.seq_documento for r in out["near_miss"].collect()] == [1] and [r.seq_documento for r in out["candidates"].collect()] == [2]
     df = spark.createDataFrame([("an idiot, a moron",)], "t string")
     assert df.select(L.marked(F.col("t"), L.hit_spans(F.col("t"), LEXICON, ("insult",)))).first()[0] == "an [[idiot]], a [[moron]]"
+
+
+def test_engine_of_sql():
+    """With engine re2 an expression finds what RE2 finds; by default what Python does."""
+    regexes = (r"\bnicht\b", r"\Bnicht", r"a\wb", r"a\Wb", r"a\sb", r"a\Sb", r"a[\s\w]b", r"a[a-z]b", r"[^.]{0,2}?\bin(?:i|s)k", r"(?P<n>i+)s{1,2}", r"a[]i]b", r"\d\D")
+    texts = [f"{x}{y}" for x in ("nicht", "xnicht", "inik", "INSK", "iss", "1") for y in ("", "\u00e4", ".", "\u0131", " ")]
+    texts += [f"\u00e4{x}" for x in ("nicht", "inik")] + [f"a{c}b" for c in " \xa0\x0b\u00e4xX\u0130\u0131\u017f\u212ai_.]"] + ["\u0131nik", "\u0131\u017f", "\u0663x"]
+    of = lambda engine: [L.compiled(r, load_lexicon({**BASE, "options": {"engine": engine}})) for r in regexes]
+    for exact, plain, regex in zip(of("re2"), of("python"), regexes):
+        assert [bool(exact.search(t)) for t in texts] == pc.match_substring_regex(pa.array(texts), f"(?s){regex}", ignore_case=True).to_pylist(), regex
+        assert [bool(plain.search(t)) for t in texts] == [bool(re.search(regex, t, re.I | re.S)) for t in texts]
+    with pytest.raises(ValueError):
+        load_lexicon({**BASE, "options": {"engine": "other"}})
+
+
+def test_boundaries_of_queries_are_those_of_their_sql(spark, tmp_path):
+    """A letter beyond ASCII ends a word in SQL: the one hit of each text stands beside it or beside a negation that does."""
+    import sys
+    from pathlib import Path
+
+    sys.path.insert(0, str(Path(__file__).parent))
+    from oracle import assert_same, database
+
+    from evidara.plans import ORACLE_SQL, QUERIES
+
+    texts = ["das nicht\u00e4tzach is moron", "das nicht\u00e4 x", "ein moron\u00e4 und", "\u00e4\u00e4idiot", "nichts moron", "mor\u00f3n \u0131diot"]
+    spark.createDataFrame([(i, t, "de", "s", len(t)) for i, t in enumerate(texts * 2)], "doc_id bigint, text string, lang string, source string, n_chars bigint").coalesce(1).write.parquet(f"{tmp_path}/documents")
+    (next(Path(f"{tmp_path}/documents").glob("*.parquet"))).rename(f"{tmp_path}/documents.parquet")
+    tables = database(str(tmp_path))
+    for name in ("lexicon_decisions", "lexicon_hits", "lexicon_near_miss", "lexicon_candidates", "lexicon_marked", "lexicon_rescan_candidates", "lexicon_wide"):
+        assert_same(QUERIES[name](spark, str(tmp_path)), tables, ORACLE_SQL[name])
