@@ -8,14 +8,18 @@ import json
 import re
 import zipfile
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .json_blocks import BLOCK, read_objects
+from .json_blocks import BLOCK, CHUNK, FAULT, OBJECT, Range, State, read_objects
 
-ROWS = 2000
+#: Rows and characters of a batch of records.
+ROWS, BATCH_CHARS = 2000, 4 << 20
+#: Stores whose files pyarrow opens, and reads piece by piece; of others Spark reads files whole.
+STREAMED = ("file", "hdfs", "s3", "gs", "gcs", "abfs", "abfss")
 _GAP = re.compile(r"[ \t\r\n,\[\]]*")
 
 
@@ -34,12 +38,28 @@ def objects(text: io.TextIOBase, chunk: int = 1 << 20) -> Iterator[dict]:
         held = held[at:]
 
 
-def file_objects(path: str, content: bytes) -> Iterator[dict]:
-    """Objects of a file, by the ending of its name: .zip (every .json member, unreadable ones skipped), .gz, or plain."""
+def streamed(raw: BinaryIO) -> Iterator[dict]:
+    """Objects of JSON in bytes up to its first fault, held one object and one chunk at a time; each byte is looked at once."""
+    scan = Range(State(), True)
+    while data := raw.read(CHUNK):
+        for kind, value, _ in scan.feed(data):
+            if kind == FAULT:
+                return
+            if kind == OBJECT:
+                yield value
+
+
+def file_objects(path: str, raw: BinaryIO) -> Iterator[dict]:
+    """Objects of a file, by the ending of its name: .zip (every .json member, unreadable ones skipped), .gz, or plain.
+
+    Files are streamed; of an archive one member is held.
+    """
     if path.lower().endswith(".zip"):
         try:
-            archive = zipfile.ZipFile(io.BytesIO(content))
-        except zipfile.BadZipFile:
+            archive = zipfile.ZipFile(raw)
+        except (zipfile.BadZipFile, ValueError, OSError) as e:
+            if isinstance(e, OSError) and raw.seek(0, 2) >= 22:  # in a shorter file there is no place where the reader seeks
+                raise
             return
         for name in archive.namelist():
             if name.lower().endswith(".json"):
@@ -49,35 +69,47 @@ def file_objects(path: str, content: bytes) -> Iterator[dict]:
                     continue
                 yield from (x for x in (data if isinstance(data, list) else [data]) if isinstance(x, dict))
         return
-    raw = io.BytesIO(content)
-    yield from objects(io.TextIOWrapper(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw, encoding="utf-8"))
+    yield from streamed(gzip.GzipFile(fileobj=raw) if path.endswith(".gz") else raw)
+
+
+def opened(path: str) -> BinaryIO:
+    from pyarrow import fs
+
+    if path.startswith("file:"):  # the rest is a path as it is, not a URI
+        return fs.LocalFileSystem().open_input_file("/" + path.removeprefix("file:").lstrip("/"))
+    store, name = fs.FileSystem.from_uri(path)
+    return store.open_input_file(name)
 
 
 def read_records(spark: SparkSession, path: str, keep: tuple[str, ...] | None = None, limit: int | None = None) -> DataFrame:
     """(source_file, position, record): each object as a map of its top-level fields, texts as they are, the rest as JSON.
 
-    keep: the only fields that are read. Files are tasks here, which hold one whole; read_large_records takes large plain files
+    keep: the only fields that are read. A file is read by one task, which streams it; read_large_records takes large plain files
     in ranges. limit: objects read from each file. For JSON lines, spark.read.json splits files and is faster.
     """
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getUri().getScheme() in STREAMED
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.map_(pa.string(), pa.string())
         names = ["source_file", "position", "record"]
         for b in batches:
-            for name, content in zip(b.column(0).to_pylist(), b.column(1)):
-                rows: list[tuple] = []
-                for n, x in enumerate(file_objects(name, content.as_buffer().to_pybytes())):
-                    if limit is not None and n >= limit:
-                        break
-                    fields = [(k, v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in x.items() if keep is None or k in keep]
-                    rows.append((name.rsplit("/", 1)[-1], n, fields))
-                    if len(rows) == ROWS:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), kind))], names)
-                        rows = []
+            for name, content in zip(b.column(0).to_pylist(), [None] * len(b) if stream else b.column(1)):
+                rows, chars = [], 0
+                with opened(name) if stream else io.BytesIO(content.as_buffer().to_pybytes()) as raw:
+                    for n, x in enumerate(file_objects(name, raw)):
+                        if limit is not None and n >= limit:
+                            break
+                        fields = [(k, v if v is None or isinstance(v, str) else json.dumps(v, ensure_ascii=False)) for k, v in x.items() if keep is None or k in keep]
+                        rows.append((name.rsplit("/", 1)[-1], n, fields))
+                        chars += sum(len(v) for _, v in fields if v)
+                        if len(rows) == ROWS or chars >= BATCH_CHARS:
+                            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), kind))], names)
+                            rows, chars = [], 0
                 if rows:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.int64(), kind))], names)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    files = spark.read.format("binaryFile").load(path).select("path", *([] if stream else ["content"]))
     return files.mapInArrow(run, "source_file string, position bigint, record map<string, string>")
 
 

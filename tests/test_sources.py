@@ -37,6 +37,38 @@ def test_json_layouts(spark, tmp_path):
     assert [tuple(r) for r in records.unexpected_fields(df, ("a",)).collect()] == [("b", 10)]
 
 
+def test_files_are_streamed(spark, tmp_path):
+    """A task holds a piece of a file and one object, not the file: here the reader may use 32 MB for one of 64 MB."""
+    import tracemalloc
+
+    path = tmp_path / "a large one.json"
+    with open(path, "w") as f:
+        for i in range(16):
+            f.write(("[" if i == 0 else ",\n") + json.dumps({"i": i, "text": "x" * (4 << 20)}, indent=1))
+        f.write("]")
+    for store in (records.STREAMED, ()):  # a store that only Spark reads gives the same
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(records, "STREAMED", store)
+            rows = records.read_records(spark, str(path), ("i",))
+            assert [(r.source_file, r.position, r.record) for r in rows.orderBy("position").collect()] == [(path.name, i, {"i": str(i)}) for i in range(16)]
+    tracemalloc.start()
+    with records.opened(f"file:{path}") as raw:
+        assert sum(len(x["text"]) for x in records.file_objects(str(path), raw)) == 64 << 20
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 32 << 20
+    scan = records.read_records(spark, str(path))._jdf.queryExecution().executedPlan().toString()
+    assert "content" not in scan.split("ReadSchema: ")[1]
+
+
+def test_faults_end_a_streamed_file():
+    import io
+
+    good = '[{"a": 1}, "x{", 3, {"b": "}"}'
+    for tail in ("", "]", ', {"c": 1', ', {"c": }, {"d": 1}]', " oops {}", "}{}", '"'):
+        assert list(records.streamed(io.BytesIO((good + tail).encode()))) == list(records.objects(io.StringIO(good + tail))) == [{"a": 1}, {"b": "}"}]
+
+
 def test_links(spark, tmp_path):
     party = {"partes": [{"nomeParte": "someone"}], "nomeMinistroRelator": " minister "}
     rows = [
