@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -50,11 +49,9 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     first = Window.partitionBy("file", "seq_documento").orderBy("place")
     wanted = named.withColumn("n", F.row_number().over(first)).where("n = 1")
 
-    @F.arrow_udf("string")
-    def decoded(content: pa.Array) -> pa.Array:
-        return pa.array([x.as_py().decode("utf-8", "replace") for x in content], pa.string())
-
-    text = F.replace(F.regexp_replace(decoded("content"), r"(?i)<br\s*/?>", "\n"), F.lit("\r"), F.lit(""))
+    # In the JVM: an Arrow batch of another worker would hold thousands of texts, whatever their bytes.
+    decoded = F.make_valid_utf8(F.col("content").cast("string"))
+    text = F.replace(F.regexp_replace(decoded, r"(?i)<br\s*/?>", "\n"), F.lit("\r"), F.lit(""))
     rows = zip_members.contents(wanted).withColumn("text", text)
     key = F.nullif(F.regexp_extract(F.element_at(F.split("file", "/"), -1), r"\d{6,8}", 0), F.lit(""))
     return rows.select(

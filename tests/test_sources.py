@@ -1,6 +1,7 @@
 import datetime as dt
 import gzip
 import json
+import re
 import sys
 import zipfile
 from pathlib import Path
@@ -61,6 +62,22 @@ def test_files_are_streamed(spark, tmp_path):
     assert "content" not in scan.split("ReadSchema: ")[1]
 
 
+def test_texts_are_decoded_without_another_worker(spark, tmp_path):
+    """Bytes that are no UTF-8 become U+FFFD as Python has it, and only one Python stage reads members."""
+    import random
+
+    r = random.Random(5)
+    odd = [b"\xff", b"\xc3", b"\xc3\xa4", b"\xe2\x82", b"\xe2\x82\xac", b"\xf0\x9f\x98", b"\xf0\x9f\x98\x80", b"\xed\xa0\x80", b"\xf4\x90\x80\x80", b"\xc0\x80", b"\x80", b"a", b"<BR />", b"\r\n", b"\x00", b"\xe0\x80", b"\xf5", b"\xf8\x88"]
+    made = {i: b"".join(r.choices(odd, k=r.randrange(12))) for i in range(1, 400)}
+    with zipfile.ZipFile(tmp_path / "20240101.zip", "w") as z:
+        for i, data in made.items():
+            z.writestr(f"{i}.txt", data)
+    df = documents.read_texts(spark, f"file://{tmp_path}/*.zip")
+    want = {i: re.sub(r"(?i)<br\s*/?>", "\n", data.decode("utf-8", "replace")).replace("\r", "") for i, data in made.items()}
+    assert {x.seq_documento: x.text for x in df.collect()} == want
+    assert df._jdf.queryExecution().executedPlan().toString().count("Python") == 0
+
+
 def test_faults_end_a_streamed_file():
     import io
 
