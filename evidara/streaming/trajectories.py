@@ -1,156 +1,62 @@
-"""Trajectories over a stream: the state of each case is what of it has been seen, so late and repeated events count once.
+"""Trajectories over a stream: the state is which events have been seen, so late and repeated events count once.
 
-An event, a code and an organ are facts of a case. Facts are dealt by case and a salt of their own, so a case that holds a large
-part of all events is spread over SALTS tasks, and counts of its salts add up. The state is a map of facts in RocksDB, which
-holds them on disk, and a line of totals. Each batch emits the totals of what it touched; `current` reads the last ones.
+Structured Streaming's own dropDuplicates holds the state, in RocksDB, which keeps it on disk: a key for each event and name it
+came under, dealt by all of the key, so a case that holds a large part of all events is spread over all tasks. Each batch appends
+what is new of it; `current` sums up all of that, as a batch query, by trajectory.event_summary, hot cases included.
 
 The drained stream equals trajectory.event_summary over all that came, in whatever order and however often. State is kept for
-good: a time-out needs timers of processing time, and with these a query that takes what is there and stops would not stop.
-Where a repeated event
-comes with a lesser name, groups count it by that name. Nulls in keys are values like any other; null codes and organs are not counted
-as such.
+good: a time-out would let an event that comes again after it count twice. Where a repeated event comes with a lesser name,
+groups count it by that name: both rows are there, and the summary takes the least. Nulls in keys are values like any other; null
+codes and organs are not counted as such.
 """
 
 from __future__ import annotations
 
-import itertools
-from collections.abc import Iterator
-
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.types import StructType
 
+from ..operators.trajectory import event_summary
 from ..sources.config import EventGroups
 from .ingest import drain
 
-SALTS = 8
-#: A part of a case of up to so many facts is read into its task at once; in a larger one each fact is looked up.
-HELD = 100_000
-FACT = "name string, at bigint, groups bigint"
-TOTALS = "facts bigint, n bigint, codes bigint, organs bigint, first bigint, last bigint, group_n array<bigint>, group_first array<bigint>"
-PART = f"case string, salt int, {TOTALS}"
-_STORE, _ROCKS = "spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_EPOCH = "TIMESTAMP_NTZ '1970-01-01 00:00:00'"
-
-
-def facts(events: DataFrame, groups: EventGroups, case: tuple[str, ...], code: str, name: str, at: str, organ: str) -> DataFrame:
-    """case (as JSON), salt, kind, fact, name, at (microseconds), groups (bits): one row for each of an event's facts."""
-    if len(groups.groups) > 62:
-        raise ValueError("62 groups at most")
-    bits = sum((F.when(g.matches(code, name), F.lit(1 << i)).otherwise(0).cast("bigint") for i, g in enumerate(groups.groups)), F.lit(0).cast("bigint"))
-    micros = F.expr(f"timestampdiff(MICROSECOND, {_EPOCH}, cast(`{at}` AS timestamp_ntz))")
-
-    def fact(kind: str, *values: Column) -> Column:
-        named = F.to_json(F.struct(*(v.alias(f"v{i}") for i, v in enumerate(values))))
-        of = F.struct(F.lit(kind).alias("kind"), F.md5(F.concat(F.lit(kind), named)).alias("fact"))
-        return of if kind == "event" else F.when(values[0].isNotNull(), of)
-
-    three = F.array_compact(F.array(fact("event", F.col(code), micros, F.col(organ)), fact("code", F.col(code)), fact("organ", F.col(organ))))
-    rows = events.select(F.to_json(F.struct(*case)).alias("case"), F.col(name).alias("name"), micros.alias("at"), bits.alias("groups"), F.explode(three).alias("f"))
-    return rows.select("case", F.pmod(F.xxhash64("f.fact"), F.lit(SALTS)).cast("int").alias("salt"), "f.kind", "f.fact", "name", "at", "groups")
-
-
-class Trajectory(StatefulProcessor):
-    """Facts and totals of a part of a case."""
-
-    def __init__(self, groups: int, held: int):
-        self.groups, self.held = groups, held
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.totals = handle.getValueState("totals", TOTALS)
-        self.facts = handle.getMapState("facts", "fact string", FACT)
-
-    def _known(self, size: int):
-        """What returns the state of a fact, or None."""
-        if size > self.held:
-            return lambda fact: self.facts.getValue((fact,)) if self.facts.containsKey((fact,)) else None
-        held = {k[0]: v for k, v in self.facts.iterator()} if size else {}
-        return held.get
-
-    def _grouped(self, t: dict, at: int | None, bits: int) -> None:
-        for i in range(self.groups):
-            if bits >> i & 1:
-                t["group_n"][i] += 1
-                if at is not None:
-                    t["group_first"][i] = at if t["group_first"][i] is None else min(at, t["group_first"][i])
-
-    def _regrouped(self, t: dict) -> None:
-        t["group_n"], t["group_first"] = [0] * self.groups, [None] * self.groups
-        for _, (_, at, bits) in self.facts.iterator():
-            self._grouped(t, at, bits)
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        names = [f.split()[0] for f in TOTALS.split(", ")]
-        if self.totals.exists():
-            t = dict(zip(names, self.totals.get()))
-            t["group_n"], t["group_first"] = list(t["group_n"]), list(t["group_first"])
-        else:
-            t = {n: 0 for n in names} | {"first": None, "last": None, "group_n": [0] * self.groups, "group_first": [None] * self.groups}
-        self._take(t, rows)
-        self.totals.update(tuple(t[n] for n in names))
-        yield Row(case=key[0], salt=key[1], **{n: t[n] for n in names})
+#: Rows of a file of new events at most.
+HELD = 1_000_000
+_CONF = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",  # of all partitions of an executor together
+}
 
-    def _take(self, t: dict, rows: Iterator[Row]) -> None:
-        known, new, renamed = self._known(t["facts"]), {}, False
-        while chunk := list(itertools.islice(rows, self.held)):
-            for r in chunk:
-                event = r.kind == "event"
-                before = new.get(r.fact) or known(r.fact)
-                if before is None:
-                    t["facts"] += 1
-                    t[{"event": "n", "code": "codes", "organ": "organs"}[r.kind]] += 1
-                    if event:
-                        self._grouped(t, r.at, r.groups)
-                        if r.at is not None:
-                            t["first"], t["last"] = min(r.at, t["first"] if t["first"] is not None else r.at), max(r.at, t["last"] if t["last"] is not None else r.at)
-                    new[r.fact] = (r.name, r.at, r.groups) if event else (None, None, 0)
-                elif event and r.name is not None and (before[0] is None or r.name.encode() < before[0].encode()):
-                    renamed = renamed or r.groups != before[2]
-                    new[r.fact] = (r.name, r.at, r.groups)
-            for fact, value in new.items():
-                self.facts.updateValue((fact,), value)
-            if t["facts"] > self.held:  # from here on each fact is looked up
-                known, new = self._known(t["facts"]), {}
-        if renamed:
-            self._regrouped(t)
 
-    def close(self) -> None:
-        pass
+def facts(events: DataFrame, case: tuple[str, ...], code: str, name: str, at: str, organ: str) -> DataFrame:
+    """case (a struct), code, name, at, organ: what of an event decides how it counts."""
+    return events.select(F.struct(*case).alias("case"), F.col(code).alias("code"), F.col(name).alias("name"), F.col(at).cast("timestamp_ntz").alias("at"), F.col(organ).alias("organ"))
 
 
 def drain_events(
     events: DataFrame, groups: EventGroups, out: str, checkpoint: str, case: tuple[str, ...], code: str, name: str, at: str, organ: str, held: int = HELD
 ) -> None:
-    """Take in all that events, a stream, has; totals go to a folder of out for each batch."""
+    """Take in all that events, a stream, has; events not seen before go to a folder of out for each batch. Groups are read by current."""
     spark = events.sparkSession
-    parts = facts(events, groups, case, code, name, at, organ).groupBy("case", "salt").transformWithState(
-        Trajectory(len(groups.groups), held), StructType.fromDDL(PART), "Update", "None"
-    )
+    new = facts(events, case, code, name, at, organ)
 
     def each(batch: DataFrame, number: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        batch.write.mode("overwrite").option("maxRecordsPerFile", held).parquet(f"{out}/batch={number}")
 
-    spark.createDataFrame([], StructType.fromDDL(PART)).write.mode("overwrite").parquet(f"{out}/batch=-1")  # there is always one to read
-    before = spark.conf.get(_STORE)
-    spark.conf.set(_STORE, _ROCKS)
+    spark.createDataFrame([], new.schema).write.mode("overwrite").parquet(f"{out}/batch=-1")  # there is always one to read
+    before = {k: spark.conf.get(k, None) for k in _CONF}
+    for k, v in _CONF.items():
+        spark.conf.set(k, v)
     try:
-        drain(parts, checkpoint, each)
+        drain(new.dropDuplicates(), checkpoint, each)
     finally:
-        spark.conf.set(_STORE, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 def current(spark: SparkSession, out: str, groups: EventGroups, case: str) -> DataFrame:
     """The columns of trajectory.event_summary for each case seen; case is the DDL of its columns."""
-    rows = spark.read.schema(f"{PART}, batch bigint").parquet(out)
-    names = [f.split()[0] for f in TOTALS.split(", ")]
-    last = rows.groupBy("case", "salt").agg(F.max_by(F.struct(*names), "batch").alias("t")).select("case", "salt", "t.*")
-    time = lambda c: F.when(c.isNotNull(), F.timestamp_add("MICROSECOND", c, F.expr(_EPOCH)))
-    add = lambda c, as_: F.sum(c).alias(as_)
-    summed = last.groupBy("case").agg(
-        add("n", "n_movimentos"), time(F.min("first")).alias("primeiro_movimento"), time(F.max("last")).alias("ultimo_movimento"),
-        *(x for i, g in enumerate(groups.groups) for x in (add(F.get("group_n", F.lit(i)), f"n_{g.id}"), time(F.min(F.get("group_first", F.lit(i)))).alias(f"primeiro_{g.id}"))),
-        add("codes", "n_codigos_distintos"), add("organs", "n_orgaos_movimento"),
-    )
-    return summed.select(F.from_json("case", case).alias("c"), *summed.columns[1:]).select("c.*", *summed.columns[1:])
+    fields = StructType.fromDDL(case).fields
+    own = [f"_case{i}" for i in range(len(fields))]
+    rows = spark.read.parquet(out).select(*(F.col(f"case.`{f.name}`").cast(f.dataType).alias(n) for f, n in zip(fields, own)), "code", "name", "at", "organ")
+    return event_summary(rows, groups, tuple(own), "code", "name", "at", "organ").withColumnsRenamed({n: f.name for f, n in zip(fields, own)})

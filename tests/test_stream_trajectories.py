@@ -44,3 +44,15 @@ def test_a_drained_stream_equals_the_batch(spark, tmp_path, held):
 def test_empty_stream(spark, tmp_path):
     spark.createDataFrame([], KIND).write.parquet(f"{tmp_path}/in")
     assert drained(spark, tmp_path).count() == 0
+
+
+def test_state_is_kept_by_spark_and_holds_an_event_once(spark, tmp_path):
+    """No Python worker takes part, a repeated event is not written again, and a changed checkpoint setting is put back."""
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    for n in range(2):
+        add(spark, f"{tmp_path}/in", FIRST)
+        drained(spark, tmp_path)
+    assert spark.read.parquet(f"{tmp_path}/out").count() == 4
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+    stream = S.facts(new_rows(spark, f"{tmp_path}/in", KIND), ("numero",), **NAMES).dropDuplicates()
+    assert "Python" not in stream._jdf.queryExecution().logical().toString() and "transformwithstate" not in stream._jdf.queryExecution().logical().toString().lower()
