@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from ..session import stored
 
 BLOCK, CHUNK, ROWS = 64 << 20, 4 << 20, 2000
+#: Bytes of small ranges that one task reads: starting a task takes longer than reading a range of some 100 KB.
+TASK_BYTES = 16 << 20
 #: Text without braces or unfinished strings; the rest of a string; what may stand between objects.
 _PLAIN = re.compile(rb'(?:[^{}"]++|"(?:[^"\\]++|\\.)*+")*+', re.S)
 _STRING = re.compile(rb'(?:[^"\\]++|\\.)*+', re.S)
@@ -194,13 +196,15 @@ def read_objects(spark: SparkSession, path: str, block: int = BLOCK) -> DataFram
     """(file, position, record) of every JSON object of the files, record as JSON text; position counts a file's objects from 0."""
     ranges = planned(spark, path, block)
     kinds = "file string, start long, end long"
-    tasks = max(1, min(len(ranges), 10_000))
+    several = max(-(-sum(end - start for _, start, end in ranges) // TASK_BYTES), 4 * spark.sparkContext.defaultParallelism)
+    tasks = max(1, min(len(ranges), several, 10_000))
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for file, start, end in zip(*(c.to_pylist() for c in b.columns)):
                 escaped = escaped_before(file, start)
-                both = [summary(chunks_of(file, start, end), State(s, s and escaped)) for s in (False, True)]
+                held = list(chunks_of(file, start, end)) if end - start <= CHUNK else None  # else it is read twice, not held
+                both = [summary(held or chunks_of(file, start, end), State(s, s and escaped)) for s in (False, True)]
                 yield pa.RecordBatch.from_pylist([{"file": file, "start": start, "escaped": escaped} | {f"{n}{k}": v for k, own in enumerate(both) for n, v in zip(("ends", "change", "least", "opens"), own)}])
 
     reading = ", ".join(f"ends{k} boolean, change{k} long, least{k} long, opens{k} boolean" for k in range(2))
@@ -209,19 +213,20 @@ def read_objects(spark: SparkSession, path: str, block: int = BLOCK) -> DataFram
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([("file", pa.string()), ("start", pa.int64()), ("begun", pa.int64()), ("place", pa.int64()), ("kind", pa.int32()), ("record", pa.string()), ("part", pa.binary())])
+        batch = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
         for b in batches:
             for file, start, end, in_string, escaped, depth, begun in zip(*(c.to_pylist() for c in b.columns)):
                 scan, place, rows = Range(State(in_string, escaped, depth), start == 0), 0, []
-                row = lambda kind, value, text, of: {"file": file, "start": start, "begun": of, "place": place, "kind": kind, "record": None if value is None else json.dumps(value, ensure_ascii=False), "part": text or None}  # noqa: E731, B023
+                row = lambda kind, value, text, of: (file, start, of, place, kind, None if value is None else json.dumps(value, ensure_ascii=False), text or None)  # noqa: E731, B023
                 for data in chunks_of(file, start, end):
                     for kind, value, text in scan.feed(data):
                         rows.append(row(kind, value, text, begun if kind == FRAGMENT else start))
                         place += 1
                     if len(rows) >= ROWS:
-                        yield pa.RecordBatch.from_pylist(rows, schema)
+                        yield batch(rows)
                         rows = []
                 rows.append(row(FRAGMENT, None, scan.take(b""), start if scan.synced else begun))
-                yield pa.RecordBatch.from_pylist(rows, schema)
+                yield batch(rows)
 
     starts = spark.createDataFrame(placed(ranges, summaries), f"{kinds}, in_string boolean, escaped boolean, depth long, begun long")
     rows = stored(starts.repartition(tasks).mapInArrow(parse, "file string, start long, begun long, place long, kind int, record string, part binary"), "json-objects")

@@ -107,3 +107,16 @@ def test_records(spark, tmp_path):
     one = {r.position: {k: v if v is None or v[:1] not in "{[" else json.loads(v) for k, v in r.record.items()} for r in records.read_records(spark, path).collect()}
     other = {r.position: {k: v if v is None or v[:1] not in "{[" else json.loads(v) for k, v in r.record.items()} for r in records.read_large_records(spark, path, 64).collect()}
     assert one == other and len(one) == 9
+
+
+def test_small_ranges_share_tasks(spark, tmp_path, monkeypatch):
+    """Ranges are as small as they are asked for; tasks are as many as their bytes need."""
+    text = LAYOUTS["lines"](made(400))
+    monkeypatch.setattr(json_blocks, "TASK_BYTES", 1 << 20)
+    (tmp_path / "x.json").write_text(text)
+    written = []
+    keep = json_blocks.stored
+    monkeypatch.setattr(json_blocks, "stored", lambda df, name: written.append(df.rdd.getNumPartitions()) or keep(df, name))
+    rows = json_blocks.read_objects(spark, f"file://{tmp_path}/x.json", 50).collect()
+    assert [json.loads(r.record) for r in sorted(rows, key=lambda r: r.position)] == made(400)
+    assert len(text) // 50 > 400 and written[0] == 4 * spark.sparkContext.defaultParallelism
