@@ -22,7 +22,7 @@ ALIASES = (
 
 
 def _lookup(table: dict[str, str], key: Column) -> Column:
-    return F.get(F.map_values(F.map_filter(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), lambda k, v: k == key)), F.lit(0))
+    return F.try_element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), key)
 
 
 def case_digits(value: Column) -> Column:
@@ -33,7 +33,11 @@ def case_digits(value: Column) -> Column:
 
 def case_number(value: Column) -> Column:
     """Struct of digits, formatted, valid, year, segment, tribunal (J.TR), origin; null where there are not 20 digits."""
-    d = case_digits(value)
+    # As a variable of a lambda the digits are looked for once, not once for each part of each field.
+    return F.get(F.transform(F.array(case_digits(value)), _numbered), F.lit(0))
+
+
+def _numbered(d: Column) -> Column:
     seq, check, year, segment, court, origin = (F.substring(d, a, n) for a, n in ((1, 7), (8, 2), (10, 4), (14, 1), (15, 2), (17, 4)))
     tribunal = F.concat(segment, F.lit("."), court)
     return F.when(

@@ -22,6 +22,14 @@ def test_case_numbers(spark, digits, court, year):
     assert not bad.valid and short is None
 
 
+def test_odd_case_numbers(spark):
+    """No number, and texts of 20 digits among others, or of digits that are not ASCII."""
+    none, empty, more, among, foreign = values(spark, casenumber.case_number, None, "", "1" * 21, " 1061514-54.2025.8.26.0100x", "٠" * 20)
+    assert none is None and empty is None and more is None and foreign is None
+    assert (among.digits, among.segment, among.origin, among.valid) == ("10615145420258260100", "8", "0100", True)
+    assert values(spark, casenumber.endpoint_alias, None, "") == [None, None] and values(spark, casenumber.segment_name, None) == ["desconhecido"]
+
+
 def test_segments_and_aliases(spark):
     assert values(spark, casenumber.segment_name, "8", "0") == ["Justiça Estadual", "desconhecido"]
     assert values(spark, casenumber.endpoint_alias, "8.26", "4.06", "9.13") == ["api_publica_tjsp", "api_publica_trf6", None]

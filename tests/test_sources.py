@@ -103,6 +103,38 @@ def test_links(spark, tmp_path):
         schemas.without_personal_fields(spark.createDataFrame([("x",)], "partes string"))
 
 
+def test_links_of_a_large_file(spark, tmp_path):
+    """A task's Python holds a chunk and a batch, not the file: one of 81 MB takes less than 64 MB more than a small one."""
+    objects, taken = records.file_objects, []
+
+    def watched(path, raw):
+        most = 0
+        for n, x in enumerate(objects(path, raw)):
+            if n % 1000 == 0:
+                most = max(most, int(re.search(r"VmRSS:\s+(\d+)", Path("/proc/self/status").read_text())[1]))
+            yield x
+        (tmp_path / "taken").write_text(str(most))
+
+    for n in (2_000, 40_000):
+        path = tmp_path / f"{n}.json"
+        with open(path, "w") as f:
+            for i in range(n):
+                f.write(json.dumps({"numeroUnico": NUMBER, "numeroRegistro": str(i), "partes": "x" * 2000}) + "\n")
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr(records, "file_objects", watched)
+            found = links.read_links(spark, str(path), "acervo", b"s")
+            assert found.select(F.count_distinct("numero_registro")).first()[0] == n
+        taken.append(int((tmp_path / "taken").read_text()))
+    assert taken[1] - taken[0] < 64 << 10
+
+
+def test_links_look_for_digits_once(spark, tmp_path):
+    """Once where rows are filtered and once where fields are made, not for each part of each field."""
+    (tmp_path / "a.json").write_text("[]")
+    plan = links.read_links(spark, str(tmp_path), "acervo", b"s")._jdf.queryExecution().executedPlan().toString()
+    assert 2 <= plan.count("regexp_replace(") <= 4
+
+
 def test_documents(spark, tmp_path):
     rows = [{"SeqDocumento": 1, "dataPublicacao": "2021-05-06", "NM_MINISTRO": "Ação", "assuntos": "1.9596,2.7", "processo": "AREsp 1826238", "tipoDocumento": "ACÓRDÃO"}]
     (tmp_path / "metadados20210506.json").write_text(json.dumps(rows))
