@@ -12,13 +12,26 @@ from pyspark.sql import functions as F
 # Placeholders that stand for a missing value in the decision summaries.
 PLACEHOLDERS = ("", "none", "null", "nan", "-")
 
-_LATIN = [chr(c) for c in range(0xC0, 0x250) if unicodedata.normalize("NFD", chr(c))[0].isascii() and len(unicodedata.normalize("NFD", chr(c))) > 1]
-_PLAIN = "".join(unicodedata.normalize("NFD", c)[0] for c in _LATIN)
+# White space that SQL's trim takes off.
+SPACES = "".join(c for c in map(chr, range(0x10000)) if unicodedata.category(c) == "Zs")
+
+
+def _composed(s: str | None) -> str | None:
+    """NFC without combining marks of any kind."""
+    return s if s is None or s.isascii() else unicodedata.normalize("NFC", "".join(c for c in unicodedata.normalize("NFD", s) if unicodedata.category(c)[0] != "M"))
+
+
+# Marks and what is made with them, in the planes that have any; composed Hangul is not among them.
+_BARE = {c: _composed(c) for c in map(chr, (*range(0x80, 0x30000), *range(0xE0000, 0xE0200))) if unicodedata.category(c)[0] == "M" or unicodedata.decomposition(c)[:1].isalnum()}
+_MARKED = sorted(_BARE, key=lambda c: (not _BARE[c], c))  # what leaves nothing comes last
+_PLAIN = "".join(_BARE[c] for c in _MARKED)
+#: Where loose Hangul letters follow each other that NFC composes.
+JAMO = "[\u1100-\u1112\uac00-\ud7a3][\u1161-\u1175\u11a8-\u11c2]"
 
 
 def fold_accents(value: Column) -> Column:
-    """Latin letters without their accents, inside code generation; other characters stay."""
-    return F.translate(value, "".join(_LATIN), _PLAIN)
+    """Letters of any script without their accents, inside code generation; loose marks go, Hangul is not composed."""
+    return F.translate(value, "".join(_MARKED), _PLAIN)
 
 
 def each(make: Callable, returns: str) -> Callable[[Column], Column]:
@@ -46,18 +59,30 @@ def _ascii(s: str | None) -> str | None:
     return None if s is None else unicodedata.normalize("NFKD", s).encode("ascii", "ignore").decode()
 
 
-strip_marks, to_ascii = each(_marks, "string"), each(_ascii, "string")
+_decomposed_column, _composed_column, to_ascii = each(_marks, "string"), each(_composed, "string"), each(_ascii, "string")
+
+
+def strip_marks(value: Column, sql: bool = False) -> Column:
+    """NFD without nonspacing marks, for text of any script; with sql, as strip_accents has it, NFC without marks of any kind."""
+    return (_composed_column if sql else _decomposed_column)(value)
+
+
+def trimmed(value: Column) -> Column:
+    """Without spaces of any width at the ends, as SQL's trim has it: no tabs, no newlines."""
+    plain, wide = F.trim(value), SPACES.replace(" ", "")
+    # Trimming a set of characters takes several times a text's memory, so only texts that need it get it.
+    return F.when(F.substring(plain, 1, 1).isin(*wide) | F.substring(plain, -1, 1).isin(*wide), F.trim(plain, F.lit(SPACES))).otherwise(plain)
 
 
 def clean(value: Column) -> Column:
     """Trimmed, null for the empty text, None and null as written."""
-    v = F.trim(value.cast("string"))
+    v = trimmed(value.cast("string"))
     return F.when(~v.isin("", "None", "null"), v)
 
 
 def clean_placeholder(value: Column) -> Column:
     """Trimmed, null for PLACEHOLDERS in any case."""
-    v = F.trim(value.cast("string"))
+    v = trimmed(value.cast("string"))
     return F.when(~F.lower(v).isin(*PLACEHOLDERS), v)
 
 
@@ -71,9 +96,9 @@ def subject_leaves(value: Column) -> Column:
     return F.when(F.size(codes) > 0, F.array_join(codes, ";"))
 
 
-def collapse(value: Column) -> Column:
-    """Runs of white space as one space, none at the ends."""
-    return F.trim(F.regexp_replace(value, r"(?U)\s+", " "))
+def collapse(value: Column, sql: bool = False) -> Column:
+    """Runs of white space as one space, none at the ends; with sql, runs of what \\s is in RE2: ASCII, without the vertical tab."""
+    return trimmed(F.regexp_replace(value, r"[\t\n\f\r ]+" if sql else r"(?U)\s+", " "))
 
 
 def file_key(path: Column) -> Column:

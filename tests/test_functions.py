@@ -53,6 +53,15 @@ def test_texts(spark):
     assert values(spark, text.fold_accents, "PETIÇÕES ção ñ") == ["PETICOES cao n"]
 
 
+def test_marks_and_spaces(spark):
+    """Of any script; what SQL's functions do where they differ."""
+    assert values(spark, text.fold_accents, "\u1ea1\u03ac\u0439", "e\u0301", "\ud55c", None) == ["a\u03b1\u0438", "e", "\ud55c", None]
+    assert values(spark, text.strip_marks, "\ud55c\u0301", "a\u0903", None) == ["\u1112\u1161\u11ab", "a\u0903", None]
+    assert values(spark, lambda v: text.strip_marks(v, sql=True), "\u1112\u1161\u11ab", "a\u0903", None) == ["\ud55c", "a", None]
+    assert values(spark, text.collapse, "a\u00a0\x0bb ") == ["a b"] and values(spark, lambda v: text.collapse(v, sql=True), "a\t\nb\u00a0c\u00a0") == ["a b\u00a0c"]
+    assert values(spark, text.clean, "\u00a0None\u3000", "\u00a0x") == [None, "x"]
+
+
 def test_labels(spark):
     assert values(spark, labels.status, "s3", "2", "N/A", "NÃO", "x", "", None) == ["S3", "S2", "NA", "S0", None, None, None]
     assert values(spark, labels.grounds, "A11; a12 ,T1198/A11;A99", None) == [["A11", "A12", "T1198"], []]
